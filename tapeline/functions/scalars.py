@@ -62,32 +62,45 @@ def nonzero(c) -> Column:
 
 def round_metric(c) -> Column:
     """Two decimals, four when the magnitude is below one; non-finite gives null."""
-    c = finite(c)
-    return F.when(F.abs(c) < 1, F.round(c, 4)).otherwise(F.round(c, 2))
+    return round_metrics([c])[0]
+
+
+def round_metrics(cols: list) -> Column:
+    """``round_metric`` over many columns at once, as one array in the given order.
+
+    A lambda over the packed values keeps the generated code small: the rounding
+    expression appears once instead of once per column.
+    """
+    def one(x):
+        scale = F.when(F.abs(x) < 1, F.lit(10000.0)).otherwise(F.lit(100.0))
+        exact = F.when(F.abs(x) >= 2.0**45, x).otherwise(_round_scaled(x, scale))
+        return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), exact)
+
+    return F.transform(F.array(*[col(c).cast("double") for c in cols]), one)
 
 
 def round_half_even_exact(c, digits: int) -> Column:
-    """Round on the exact binary value, ties to even (2.675 -> 2.67).
+    """Round on the exact binary value, ties to even (2.675 -> 2.67)."""
+    return _round_scaled(col(c), F.lit(float(10**digits)))
+
+
+def _round_scaled(c: Column, scale: Column) -> Column:
+    """Exact rounding to 1/scale.
 
     ``F.round`` works on the shortest decimal text of the double. Here the scaled
-    product is split into high part and exact error (Dekker's product), which
-    decides the ties the decimal text hides.
+    product is split into high part and exact error (Dekker's product; the scale
+    has few enough bits to need no split), which decides the ties the text hides.
     """
-    x = F.abs(col(c))
-    scale = float(10**digits)
-    split = 134217729.0  # 2**27 + 1
+    x = F.abs(c)
+    big = x * 134217729.0  # 2**27 + 1
+    high = big - (big - x)
     p = x * scale
-    xh = x * split - (x * split - x)
-    xl = x - xh
-    sh = scale * split - (scale * split - scale)
-    sl = scale - sh
-    err = ((xh * sh - p) + xh * sl + xl * sh) + xl * sl
+    err = (high * scale - p) + (x - high) * scale
     base = F.floor(p).cast("double")
     rest = ((p - base) - 0.5) + err
-    even = F.when(F.pmod(base, F.lit(2.0)) == 0, base).otherwise(base + 1)
-    k = F.when(rest > 0, base + 1).when(rest < 0, base).otherwise(even)
-    signed = F.when(col(c) < 0, -k).otherwise(k)
-    return signed / scale
+    up = (rest > 0) | ((rest == 0) & (F.pmod(base, F.lit(2.0)) == 1))
+    k = F.try_divide(F.when(up, base + 1).otherwise(base), scale)
+    return F.when(c < 0, 0.0 - k).otherwise(k) + 0.0
 
 
 def parse_value(c) -> Column:

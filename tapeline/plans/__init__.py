@@ -1,3 +1,3 @@
 """Registered queries; importing this package registers all of them."""
 
-from tapeline.plans import price  # noqa: F401
+from tapeline.plans import fundamentals, price  # noqa: F401
