@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeline.functions.scalars import growth, nonzero, nz, pct, round_metrics, safe_div
+from tapeline.functions.scalars import col, nonzero, nz, pct, round_metrics
 from tapeline.operators import statements as ST
 from tapeline.sources import schema as S
 
@@ -49,6 +49,16 @@ PAST = [
 GROWTH_FLOWS = [S.REVENUE, S.PAT, S.EPS_BASIC, S.OCF, S.CAPEX, S.DEPRECIATION, S.PBT, S.FINANCE, "operating_income"]
 
 
+def safe_div(a, b) -> Column:
+    """Null on a zero or missing divisor; inputs are finite and ``round_metrics`` drops any overflow."""
+    return F.try_divide(col(a), col(b))
+
+
+def growth(cur, prev) -> Column:
+    cur, prev = col(cur), col(prev)
+    return pct(F.try_divide(cur - prev, prev))
+
+
 def records(income: DataFrame, balance: DataFrame, cashflow: DataFrame) -> DataFrame:
     """Merged, carried-forward quarterly records."""
     parts = [f.filter(F.col("filing_type") == "quarterly") for f in (income, balance, cashflow)]

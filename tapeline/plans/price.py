@@ -432,7 +432,10 @@ def indicator_views(p: str, frames: str) -> str:
     def win(fn, c, n):
         return f"CASE WHEN rn>={n} THEN {fn}({c}) OVER ({w} ROWS {n-1} PRECEDING) END"
 
-    view(f"v_{p}w1", f"""SELECT s.*, adx, sig, {win('avg','close',20)} AS s20, {win('avg','close',50)} AS s50, {win('avg','close',200)} AS s200, {win('stddev_pop','close',20)} AS sd,
+    def cents(n):  # closes are whole cents, so their mean is exact in integers
+        return f"CASE WHEN rn>={n} THEN CAST(sum(CAST(round(close*100) AS BIGINT)) OVER ({w} ROWS {n-1} PRECEDING) AS DOUBLE)/{n*100} END"
+
+    view(f"v_{p}w1", f"""SELECT s.*, adx, sig, {cents(20)} AS s20, {cents(50)} AS s50, {cents(200)} AS s200, {win('stddev_pop','close',20)} AS sd,
  100.0*(close-{win('min','low',14)})/nullif({win('max','high',14)}-{win('min','low',14)},0) AS fast,
  -100.0*({win('max','high',14)}-close)/nullif({win('max','high',14)}-{win('min','low',14)},0) AS wr, {win('avg','tp',20)} AS tpm, {win('list','tp',20)} AS tpl,
  CAST(sum(coalesce(sign(d),0)*volume) OVER ({w}) AS BIGINT) AS obv, sum(coalesce(((close-low)-(high-close))/nullif(high-low,0)*volume,0)) OVER ({w}) AS ad,

@@ -44,3 +44,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_run_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def cut_lineage(spark: SparkSession, df):
+    """Reliable checkpoint in the shared folder: later branches reuse it and survive lost executors."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_dir(spark))
+    return df.checkpoint()

@@ -411,3 +411,31 @@ class Views:
             "symbol", "period_end_date", "last", "prev",
             F.round(F.try_divide(F.col("last") - F.col("prev"), F.col("prev")) * 100, 4).alias("change_pct"),
         )
+
+    _BAR_SYMBOLS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+
+    def _bar_symbol(self, key: str) -> Column:
+        names = F.array(*[F.lit(s) for s in self._BAR_SYMBOLS])
+        return names[F.pmod(F.col(key), F.lit(len(self._BAR_SYMBOLS))).cast("int")]
+
+    @cached_property
+    def announcements(self) -> DataFrame:
+        """Announcements of the bar symbols; title and date sit in alternative fields."""
+        k = F.col("doc_id")
+        title = F.when(k % 7 != 0, F.col("title"))
+        day = F.date_format("published_at", "yyyy-MM-dd")
+        return self.news.select(
+            self._bar_symbol("doc_id").alias("symbol"), F.col("doc_id").alias("ord"), "published_at",
+            F.when(k % 3 == 0, title).alias("heading"), F.when(k % 3 == 1, title).alias("subject"),
+            F.when(k % 3 == 2, title).alias("title"),
+            F.when(k % 2 == 0, day).alias("date"), F.when(k % 2 == 1, day).alias("broadcast_date"),
+        )
+
+    @cached_property
+    def earnings(self) -> DataFrame:
+        """Earnings calendar entries of the bar symbols."""
+        return self.table("orders").select(
+            self._bar_symbol("o_orderkey").alias("symbol"), F.col("o_orderdate").cast("date").alias("date"),
+            F.col("o_orderkey").alias("ord"), F.round(F.col("o_totalprice") / 1000, 2).alias("eps_estimate"),
+            F.when(F.col("o_orderstatus") == "F", F.round(F.col("o_totalprice") / 900, 2)).alias("eps_reported"),
+        )
