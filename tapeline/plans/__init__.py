@@ -1,3 +1,3 @@
 """Registered queries; importing this package registers all of them."""
 
-from tapeline.plans import calls, fundamentals, price, shapes  # noqa: F401
+from tapeline.plans import calls, filings, fundamentals, market, price, shapes  # noqa: F401
