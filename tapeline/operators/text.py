@@ -79,7 +79,7 @@ def page_texts(docs: DataFrame, key: str, text: str, max_chars: int | None = Non
 
 def page_numbers(spec) -> Column:
     """'3,5-9' to the sorted distinct page numbers; a malformed part gives null for the whole spec."""
-    parts = F.filter(F.transform(F.split(col(spec), ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(col(spec), ","), lambda p: F.trim(p)), lambda p: p != "")
     ok = F.forall(parts, lambda p: p.rlike(r"^\d+(-\d+)?$"))
 
     def expand(p):
@@ -163,17 +163,18 @@ def map_latest(m) -> Column:
     return F.try_element_at(col(m), F.try_element_at(_dated(m), F.lit(-1)))
 
 
-def map_growth(m, period: str) -> Column:
-    """Latest against the previous date key (QOQ) or the same month a year before (YOY), over the base's magnitude."""
-    keys = _dated(m)
-    last = F.try_element_at(keys, F.lit(-1))
-    if period == "QOQ":
-        prev = F.try_element_at(keys, F.lit(-2))
-    else:
-        target = F.concat((F.substring(last, 1, 4).try_cast("int") - 1).cast("string"), F.substring(last, 5, 3))
-        prev = F.try_element_at(F.filter(keys, lambda k: F.substring(k, 1, 7) == target), F.lit(1))
-    value = lambda k: parse_value_number(F.try_element_at(col(m), k))
-    return F.when(prev.isNotNull(), growth_abs(value(last), value(prev)))
+def map_growth(df: DataFrame, m: str, qoq: str = "qoq", yoy: str = "yoy") -> DataFrame:
+    """Latest date key against the one before (quarter) and against the same month a year before,
+    over the base's magnitude."""
+    at = lambda k: parse_value_number(F.try_element_at(F.col(m), F.col(k)))
+    d = df.withColumn("_keys", _dated(m))
+    d = d.withColumns({"_last": F.try_element_at("_keys", F.lit(-1)), "_prev": F.try_element_at("_keys", F.lit(-2))})
+    month = F.concat((F.substring("_last", 1, 4).try_cast("int") - 1).cast("string"), F.substring("_last", 5, 3))
+    d = d.withColumn("_month", month)
+    d = d.withColumn("_year", F.try_element_at(F.filter("_keys", lambda k: F.substring(k, 1, 7) == F.col("_month")), F.lit(1)))
+    d = d.withColumns({"_lv": at("_last"), "_pv": at("_prev"), "_yv": at("_year")})
+    return d.withColumns({qoq: growth_abs("_lv", "_pv"), yoy: growth_abs("_lv", "_yv")}).drop(
+        "_keys", "_last", "_prev", "_month", "_year", "_lv", "_pv", "_yv")
 
 
 # Keywords that identify a scraped table.
@@ -218,3 +219,46 @@ def flatten_company(cells: DataFrame, key: str) -> DataFrame:
         prefix = F.when(F.col("section") == s, F.lit(p)).otherwise(prefix)
     d = cells.filter(F.col("period").rlike(DATE_KEY)).groupBy(key, "section", "parameter").agg(F.max_by("cell", "period").alias("cell"))
     return d.select(key, F.concat(prefix, "parameter").alias("field"), parse_value_number("cell").alias("value"))
+
+
+# -- announcement feeds -----------------------------------------------------------------------
+
+# Announcement feed fields and the columns they fill.
+ANNOUNCEMENT_FIELDS = {
+    "an_dt": "filed_at", "attchmntText": "title", "desc": "description",
+    "attchmntFile": "url", "attFileSize": "file_size", "hasXbrl": "has_xbrl",
+}
+
+
+def scan_announcements(feed: DataFrame, c: str = "body", keys=("symbol",)) -> DataFrame:
+    """JSON array of announcements to typed rows; the raw record is kept as text."""
+    from tapeline.functions.scalars import parse_datetime
+
+    fields = ", ".join(f"{f}: string" for f in ANNOUNCEMENT_FIELDS)
+    d = feed.select(*keys, F.explode(F.from_json(F.col(c), f"array<struct<{fields}>>")).alias("r"))
+    typed = {
+        "filed_at": parse_datetime("r.an_dt"), "file_size": F.col("r.attFileSize").try_cast("bigint"),
+        "has_xbrl": F.col("r.hasXbrl").try_cast("boolean"),
+    }
+    return d.select(*keys, *[typed.get(n, F.col(f"r.{f}")).alias(n) for f, n in ANNOUNCEMENT_FIELDS.items()],
+                    F.to_json("r", {"ignoreNullFields": "true"}).alias("raw_data"))
+
+
+def content_key(raw: str = "raw_data") -> Column:
+    return F.md5(F.col(raw))
+
+
+def dedup_filings(filings: DataFrame, order: str = "ord") -> DataFrame:
+    """One row per (symbol, source, content hash), and per (source, url) among documents.
+
+    The latest delivery of a key wins, like the upsert it stands for; both passes
+    are grouped, so copies combine before the shuffle.
+    """
+    def newest(df, keys):
+        rest = [c for c in df.columns if c not in keys]
+        return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
+
+    d = filings.withColumn("content_hash", content_key())
+    d = newest(d, ["symbol", "source", "content_hash"])
+    doc = d.filter(F.col("filing_type") == "document")
+    return d.filter(F.coalesce(F.col("filing_type") != "document", F.lit(True))).unionByName(newest(doc, ["source", "url"]))

@@ -96,10 +96,10 @@ def index_history(v):
     return MK.series_payload(_index_series(v), "1996-01-01").select("symbol", "date", "close", "bars_available", "downsampled")
 
 
-@query("index_valuation", _SER.format(w="", c="round(close/10,4) AS pe, round(close/40,4) AS pb"))
+@query("index_valuation", _SER.format(w="", c="round(close/10,4) AS pe, round(close/40,6) AS pb"))
 def index_valuation(v):
     d = MK.series_payload(_index_series(v))
-    return d.select("symbol", "date", F.round(F.col("close") / 10, 4).alias("pe"), F.round(F.col("close") / 40, 4).alias("pb"), "bars_available", "downsampled")
+    return d.select("symbol", "date", F.round(F.col("close") / 10, 4).alias("pe"), F.round(F.col("close") / 40, 6).alias("pb"), "bars_available", "downsampled")
 
 
 @query("index_returns", _SER.format(w="WHERE date<=DATE '1999-12-31'", c="round(close*1.1::DOUBLE,4) AS total_return_index"))
