@@ -18,9 +18,9 @@ QUARTER_CATEGORIES, ANNUAL_CATEGORIES = ("integrated-filing", "quarterly-results
 
 def tag_dimension(spark: SparkSession) -> DataFrame:
     """tag -> statement, column, category: the fixed catalog, under a hundred rows."""
-    rows = [(t[1], S.CATEGORY_STATEMENT.get(t[0]), t[0], t[2] if len(t) > 2 else None) for t in S.TAG_CATALOG]
-    d = spark.createDataFrame(rows, "tag string, statement string, category_of_tag string, override string")
-    return d.select("tag", "statement", "category_of_tag", F.coalesce("override", camel_to_snake("tag")).alias("column"))
+    rows = [(t[1], S.CATEGORY_STATEMENT.get(t[0]), t[0], t[2] if len(t) > 2 else None, i) for i, t in enumerate(S.TAG_CATALOG)]
+    d = spark.createDataFrame(rows, "tag string, statement string, category_of_tag string, override string, tag_id int")
+    return d.select("tag", "tag_id", "statement", "category_of_tag", F.coalesce("override", camel_to_snake("tag")).alias("column"))
 
 
 def statement_columns(statement: str) -> list[str]:
@@ -124,12 +124,16 @@ def collapse(facts: DataFrame) -> DataFrame:
     """
     date = F.coalesce("end_date", "instant_date")
     rank = F.when(date.isNull(), 0).when(date == F.col("period_end"), 2).otherwise(1)
-    best = F.max_by("value", F.when(F.col("value").isNotNull(), F.struct(rank.alias("r"), date.alias("d"), (-F.col("ord")).alias("o"))))
-    total = F.sum(F.col("value").try_cast("decimal(28,6)"))
+    # one whole number orders the candidates (class, then date, then earliest in the document), so the
+    # aggregation buffers stay fixed-width and hash-aggregate map-side
+    day = F.coalesce(F.unix_date(date), F.lit(0)).cast("bigint") + 1_000_000
+    order = rank.cast("bigint") * 2**56 + day * 2**32 + (2**32 - 1 - F.col("ord"))
+    number = F.col("value").try_cast("decimal(28,6)")
     g = facts.filter(F.col("statement").isNotNull()).groupBy("filing_id", "symbol", "period_end", "statement", "column").agg(
-        F.count_distinct("tag").alias("_tags"), best.alias("_pick"), total.alias("_sum")
+        (F.min("tag_id") != F.max("tag_id")).alias("_several"),
+        F.max_by(number, F.when(F.col("value").isNotNull(), order)).alias("_pick"), F.sum(number).alias("_sum"),
     )
-    value = F.when(F.col("_tags") > 1, F.col("_sum")).otherwise(F.col("_pick").try_cast("decimal(28,6)"))
+    value = F.when(F.col("_several"), F.col("_sum")).otherwise(F.col("_pick"))
     return g.select("filing_id", "symbol", "period_end", "statement", "column", value.cast("double").alias("value"))
 
 

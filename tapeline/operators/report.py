@@ -96,7 +96,8 @@ def _tf(df: DataFrame, tf: str, rename: dict | None = None) -> DataFrame:
 def technical_report(spark: SparkSession, bars: DataFrame, index: DataFrame, announcements: DataFrame, earnings: DataFrame, as_of: str) -> DataFrame:
     K = ["symbol", "timeframe"]
     S = ["symbol"]
-    # the frames feed a dozen topics and the indicator row feeds all signals: cut both once
+    # the bars feed the history topics, the frames a dozen structure topics, the indicator row all signals
+    bars = cut_lineage(spark, bars)
     fr = cut_lineage(spark, R.number_rows(B.report_frames(bars), K))
     last = cut_lineage(spark, SG.report_last(fr.drop("rn", "rd", "n")))
     year = B.recent_years(bars, 1)

@@ -34,28 +34,36 @@ def filter_mentions(news: DataFrame, symbol: str) -> DataFrame:
     return news.filter(F.concat_ws(" ", "title", F.coalesce("summary", F.lit(""))).rlike("(?<![A-Za-z])\\Q" + symbol + "\\E(?![A-Za-z])"))
 
 
-def symbol_mentions(news: DataFrame, symbols: DataFrame, text: Column) -> DataFrame:
-    """Stories joined to every symbol they mention, by token instead of comparing all pairs.
+def symbol_mentions(news: DataFrame, symbols: DataFrame, key: str, text: Column) -> DataFrame:
+    """(key, symbol) for every symbol a story mentions, by token instead of comparing all pairs.
 
     A symbol's letter runs are bounded by non-letters wherever it matches, so the
     longest one is a whole letter run of the text: an equi-join on it finds every
-    candidate, and the full pattern confirms. A symbol without letters is looked up
-    the same way through the fixed-length pieces of the text's letter-free runs.
+    candidate. For an all-letter symbol the token is the match; other candidates go
+    back to their story for the full pattern. A symbol without letters is looked up
+    through the fixed-length pieces of the text's letter-free runs. Only keys and
+    tokens are exploded and shuffled, never the texts.
     """
     s = symbols.select("symbol").distinct()
     runs = F.filter(F.split("symbol", "[^A-Za-z]+"), lambda x: x != "")
     longest = F.array_max(F.transform(runs, lambda x: F.struct(F.length(x).alias("n"), x.alias("t"))))["t"]
     s = s.withColumn("token", F.coalesce(longest, F.col("symbol"))).withColumn("_plain", longest.isNull())
-    stories = news.withColumn("_text", text)
-    words = stories.withColumn("token", F.explode(F.array_distinct(F.filter(F.split("_text", "[^A-Za-z]+"), lambda x: x != ""))))
-    hits = words.join(s.filter(~F.col("_plain")).drop("_plain"), "token")
+    s = s.withColumn("_exact", F.col("token") == F.col("symbol"))
+    stories = news.select(key, text.alias("_text"))
+    pieces = lambda sep: F.array_distinct(F.filter(F.split("_text", sep), lambda x: x != ""))
+    words = stories.select(key, F.explode(pieces("[^A-Za-z]+")).alias("token"))
+    hits = words.join(s.filter(~F.col("_plain")), "token").select(key, "symbol", "_exact")
     sizes = s.filter("_plain").select(F.length("symbol").alias("_n")).distinct()
-    gaps = stories.withColumn("_gap", F.explode(F.array_distinct(F.filter(F.split("_text", "[A-Za-z]+"), lambda x: x != ""))))
-    gaps = gaps.withColumn("_n", F.explode(F.sequence(F.lit(1), F.length("_gap")))).join(F.broadcast(sizes), "_n")  # lengths: at most a few dozen
-    piece = F.explode(F.transform(F.sequence(F.lit(1), F.length("_gap") - F.col("_n") + 1), lambda i: F.substring(F.col("_gap"), i, F.col("_n"))))
-    plain = gaps.withColumn("token", piece).drop("_gap", "_n").join(s.filter("_plain").drop("_plain"), "token")
-    confirmed = hits.unionByName(plain).filter(F.expr("_text rlike concat('(?<![A-Za-z])\\\\Q', symbol, '\\\\E(?![A-Za-z])')"))
-    return confirmed.drop("token", "_text").distinct()
+    gaps = stories.select(key, F.explode(pieces("[A-Za-z]+")).alias("_gap"))
+    gaps = gaps.select(key, "_gap", F.explode(F.sequence(F.lit(1), F.length("_gap"))).alias("_n")).join(sizes, "_n")
+    cut = F.transform(F.sequence(F.lit(1), F.length("_gap") - F.col("_n") + 1), lambda i: F.substring(F.col("_gap"), i, F.col("_n")))
+    codes = gaps.select(key, F.explode(F.array_distinct(cut)).alias("token")).join(s.filter("_plain"), "token")
+    codes = codes.select(key, "symbol", F.lit(False).alias("_exact")).distinct()
+    candidates = hits.unionByName(codes)
+    exact = candidates.filter("_exact").select(key, "symbol")
+    rest = candidates.filter("NOT _exact").join(stories, key)
+    confirmed = rest.filter(F.expr("_text rlike concat('(?<![A-Za-z])\\\\Q', symbol, '\\\\E(?![A-Za-z])')")).select(key, "symbol")
+    return exact.unionByName(confirmed)
 
 
 def union_news_dedup(stock: DataFrame, market: DataFrame, stock_cap=50, market_cap=200, out_cap=50) -> DataFrame:

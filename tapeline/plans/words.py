@@ -44,7 +44,7 @@ def watch_symbols(v):
 
 @query("news_symbol_match", f"""SELECT doc_id, symbol FROM v_news, v_symbols WHERE contains(text, symbol) AND regexp_matches(text, '(^|[^A-Za-z])'||symbol||'($|[^A-Za-z])')""")
 def news_symbol_match(v):
-    return TX.symbol_mentions(v.news.select("doc_id", "text"), watch_symbols(v), F.col("text")).select("doc_id", "symbol")
+    return TX.symbol_mentions(v.news, watch_symbols(v), "doc_id", F.col("text"))
 
 
 view("v_unews", """SELECT * FROM (SELECT *, 0 AS rk FROM (SELECT doc_id, country, source, url, title, published_at FROM v_news WHERE doc_id%10=0 ORDER BY published_at DESC NULLS LAST, doc_id LIMIT 50) UNION ALL
