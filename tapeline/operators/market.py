@@ -28,10 +28,9 @@ def index_quote(snapshot: DataFrame, wanted: DataFrame) -> DataFrame:
     """One row per asked index; an unknown one is answered with a suggestion instead of data."""
     key = F.upper(F.trim(F.col("asked")))
     j = wanted.withColumn("_k", key).join(snapshot.withColumn("_k", F.upper("symbol")), "_k", "left")
-    some = snapshot.agg(F.min("symbol").alias("_some"))
-    d = j.join(F.broadcast(some))  # one-row aggregate
-    return d.select("asked", "symbol", "last", "change_pct", F.when(
-        F.col("symbol").isNull(), F.concat(F.lit("index '"), F.col("_k"), F.lit("' not found; closest match: "), F.col("_some"))).alias("error"))
+    some = snapshot.agg(F.min("symbol")).scalar()
+    return j.select("asked", "symbol", "last", "change_pct", F.when(
+        F.col("symbol").isNull(), F.concat(F.lit("index '"), F.col("_k"), F.lit("' not found; closest match: "), some)).alias("error"))
 
 
 def market_breadth(members: DataFrame, changes: DataFrame) -> DataFrame:
@@ -89,8 +88,8 @@ def series_payload(df: DataFrame, start=None, end=None, target: int = 500, keys=
 def market_valuation(rows: DataFrame) -> DataFrame:
     """P/E per symbol under any of its header spellings, with the newest trade date."""
     pe = F.coalesce(*[F.col(f"`{c}`").try_cast("double") for c in ("p/e", "P/E", "PE") if c in rows.columns])
-    last = rows.agg(F.max(F.trim("DATE")).alias("trade_date"))
-    return rows.select(F.trim("SYMBOL").alias("symbol"), pe.alias("pe")).join(F.broadcast(last))  # one-row aggregate
+    last = rows.agg(F.max(F.trim("DATE"))).scalar()
+    return rows.select(F.trim("SYMBOL").alias("symbol"), pe.alias("pe"), last.alias("trade_date"))
 
 
 # -- option chains -----------------------------------------------------------------

@@ -1,8 +1,10 @@
 """The 61-section technical report as long rows (symbol, position, section, status, reason, payload).
 
-Each topic is reduced to one JSON text per symbol, the topics meet in joins on
-symbol, and one ``inline`` spreads the sections. A topic without data degrades to
-an 'unsupported' section; the document always has all sections.
+Each topic is reduced to JSON texts per symbol. The topics are stacked as
+(symbol, name, text) rows and meet in one grouped pass per symbol - a single small
+shuffle instead of a join per topic - and one ``inline`` spreads the sections. A
+topic without data degrades to an 'unsupported' section; the document always has
+all sections.
 """
 
 from __future__ import annotations
@@ -86,6 +88,12 @@ def one_json(df: DataFrame, key, name: str) -> DataFrame:
     return df.select(*key, js(*rest).alias(name))
 
 
+def melt(df: DataFrame) -> DataFrame:
+    """(symbol, name, text) rows of a topic's text columns."""
+    names = [c for c in df.columns if c != "symbol"]
+    return df.select("symbol", F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("text")) for c in names])))
+
+
 def _tf(df: DataFrame, tf: str, rename: dict | None = None) -> DataFrame:
     d = df.filter(F.col("timeframe") == tf).drop("timeframe")
     for a, b in (rename or {}).items():
@@ -130,9 +138,8 @@ def technical_report(spark: SparkSession, bars: DataFrame, index: DataFrame, ann
         *by_tf(sr, ["side", "price", "touches"], ["price"], "sr"),
         rows_json(_tf(ST.supply_demand_zones(fr), "daily"), S, ["kind", "zone_low", "zone_high", "strength_pct", "volume_in_zone"], "zones", ["rank"]),
         one_json(_tf(ms, "daily"), S, "ms"),
-        _tf(ms, "daily").select("symbol", F.col("classification").alias("ms_class"), F.col("confidence").alias("ms_conf")),
-        _tf(ms, "weekly").select("symbol", F.col("classification").alias("wms_class"), F.col("confidence").alias("wms_conf")),
-        _tf(ms, "monthly").select("symbol", F.col("classification").alias("mms_class"), F.col("confidence").alias("mms_conf")),
+        *[_tf(ms, tf).select("symbol", F.col("classification").alias(f"{p}_class"), F.col("confidence").alias(f"{p}_conf"))
+          for tf, p in (("daily", "ms"), ("weekly", "wms"), ("monthly", "mms"))],
         one_json(tr, S, "regime_json"), tr.select("symbol", "regime"),
         *by_tf(ST.candle_hits(fr), ["date", "bar_offset_from_end", "pattern"], ["date", "pattern"], "candles"),
         *by_tf(ST.chart_patterns(fr), ["pattern"], ["pattern"], "charts"),
@@ -141,17 +148,20 @@ def technical_report(spark: SparkSession, bars: DataFrame, index: DataFrame, ann
         one_json(_tf(ST.value_area(ST.volume_profile(fr)), "daily"), S, "profile"),
         rows_json(div, S, ["type", "anchor"], "div", ["anchor"]),
         rows_json(fib, S, ["label", "level"], "fib_levels", ["label"]),
-        fib.groupBy("symbol").agg(F.max("swing_high").alias("swing_high"), F.max("swing_low").alias("swing_low"), F.max("direction").alias("direction")),
+        fib.groupBy("symbol").agg(*[q(F.max(c)).alias(c) for c in ("swing_high", "swing_low", "direction")]),
         one_json(I.volume_stats(fr.filter("timeframe = 'daily'"), S), S, "vstats"),
         one_json(hv, S, "hv"), one_json(rs, S, "rs"),
         rows_json(sig, S, ["signal", "bias", "note"], "signals", ["position"]),
-        conf.select("symbol", js(*[c for c in conf.columns if c != "symbol"]).alias("conf"), F.col("overall"), "bullish", "bearish", "neutral", "total_signals"),
-        lv.select("symbol", "reference_price", js("entry_zones").alias("entry_obj"), js("exit_zones").alias("exit_obj"),
+        conf.select("symbol", js(*[c for c in conf.columns if c != "symbol"]).alias("conf"), "overall", F.format_string(
+            "%d bullish / %d bearish / %d neutral of %d deterministic signals", "bullish", "bearish", "neutral", "total_signals").alias("headline")),
+        lv.select("symbol", js("entry_zones").alias("entry_zones"), js("exit_zones").alias("exit_zones"),
                   F.to_json(F.try_element_at("entry_zones", F.lit(1))).alias("entry1"), F.to_json(F.try_element_at("exit_zones", F.lit(1))).alias("exit1"),
-                  "stop_level", "stop_basis", "tp1", "tp2", "tp3", "risk_reward_to_tp1", "invalidation_level",
-                  js("reference_price", "entry_zones", "exit_zones", "stop_level", "tp1", "tp2", "tp3", "invalidation_level").alias("levels")),
+                  js("stop_level", "stop_basis").alias("stop_loss"), js("tp1", "tp2", "tp3").alias("take_profit_targets"),
+                  js("risk_reward_to_tp1").alias("risk_reward"), q(F.col("risk_reward_to_tp1")).alias("rr"),
+                  js("invalidation_level", F.lit(SG.INVALIDATION_BASIS).alias("basis")).alias("invalidation_levels"),
+                  js("reference_price", "entry_zones", "exit_zones", "stop_level", "tp1", "tp2", "tp3", "invalidation_level").alias("key_technical_levels")),
         *[one_json(scen.filter(F.col("scenario") == s).drop("scenario"), S, f"sc_{s}") for s in ("bullish", "bearish", "neutral")],
-        one_json(trend, S, "trend"), trend.select("symbol", "trend_headline", "price_vs_sma200_pct"),
+        one_json(trend, S, "trend"), trend.select("symbol", "trend_headline", q(F.col("price_vs_sma200_pct")).alias("vs200")),
         rows_json(mtf, S, ["timeframe", "state", "bull", "bear"], "mtf", ["timeframe"]),
         _tf(mtf, "daily").select("symbol", F.col("state").alias("daily_state")),
         rows_json(SG.dashboard(last), S, ["timeframe", "indicator", "value"], "dash", ["timeframe", "indicator"]),
@@ -162,10 +172,12 @@ def technical_report(spark: SparkSession, bars: DataFrame, index: DataFrame, ann
         last.filter("timeframe = 'monthly'").select("symbol", js("rsi_14", "sma_20", "sma_50").alias("monthly_row")),
         rows_json(last, S, ["timeframe", "bars", "current_price", *CHANGES], "mtf_price", ["timeframe"]),
     ]
-    wide = reduce(lambda a, b: a.join(b, "symbol", "left"), topics, day)
+    names = [c for t in topics for c in t.columns if c != "symbol"]
+    stacked = reduce(lambda a, b: a.unionByName(b), [melt(t) for t in topics])
+    texts = stacked.groupBy("symbol").agg(*[F.max(F.when(F.col("name") == n, F.col("text"))).alias(n) for n in names])
+    wide = day.join(texts, "symbol", "left")
     c = F.col
-    ok_levels = c("reference_price").isNotNull()
-    level = lambda x: F.when(ok_levels, x)
+    level = lambda x: F.when(c("key_technical_levels").isNotNull(), x)
     no_levels = "daily timeframe unavailable"
     any_of = lambda cols: F.coalesce(*[c(x).cast("string") for x in cols]).isNotNull()
     volume = F.when(any_of(["obv", "acc_dist", "vstats"]), obj(obv=q(c("obv")), acc_dist=q(c("acc_dist")), volume_stats=c("vstats")))
@@ -196,7 +208,7 @@ def technical_report(spark: SparkSession, bars: DataFrame, index: DataFrame, ann
         "historical_volatility": (c("hv"), "insufficient history"),
         "relative_strength": (c("rs"), "benchmark history unavailable"),
         "fibonacci_analysis": (F.when(c("fib_levels").isNotNull(), obj(
-            swing_high=q(c("swing_high")), swing_low=q(c("swing_low")), direction=q(c("direction")), levels=c("fib_levels"))), "insufficient bars for swing levels"),
+            swing_high=c("swing_high"), swing_low=c("swing_low"), direction=c("direction"), levels=c("fib_levels"))), "insufficient bars for swing levels"),
         "ichimoku_analysis": (F.when(any_of(ich), js(*ich, cloud.alias("price_vs_cloud"))), "needs >= 78 bars (Senkou B shift)"),
         "gap_analysis": (obj(gaps=F.coalesce(c("gaps"), F.lit("[]"))), "no gaps found"),
         "market_regime": (c("regime_json"), "insufficient bars"),
@@ -207,25 +219,18 @@ def technical_report(spark: SparkSession, bars: DataFrame, index: DataFrame, ann
         "short_term_setup": (level(js(F.lit("daily").alias("basis_timeframe"), "daily_state")), no_levels),
         "medium_term_setup": (F.when(c("weekly_row").isNotNull(), obj(indicators=c("weekly_row"), structure=q(c("wms_class")), structure_confidence=q(c("wms_conf")))), "weekly timeframe unavailable"),
         "long_term_structure": (F.when(c("monthly_row").isNotNull(), obj(indicators=c("monthly_row"), structure=q(c("mms_class")), structure_confidence=q(c("mms_conf")))), "monthly timeframe unavailable"),
-        "entry_zones": (level(c("entry_obj")), no_levels),
-        "exit_zones": (level(c("exit_obj")), no_levels),
-        "stop_loss": (level(js("stop_level", "stop_basis")), no_levels),
-        "take_profit_targets": (level(js("tp1", "tp2", "tp3")), no_levels),
-        "risk_reward": (level(js("risk_reward_to_tp1")), no_levels),
-        "invalidation_levels": (level(js("invalidation_level", F.lit(SG.INVALIDATION_BASIS).alias("basis"))), no_levels),
+        **{n: (c(n), no_levels) for n in ("entry_zones", "exit_zones", "stop_loss", "take_profit_targets", "risk_reward", "invalidation_levels", "key_technical_levels")},
         "breakout_scenarios": (level(obj(above=c("exit1"), volume_confirmed_breakout=c("brk"))), no_levels),
         "breakdown_scenarios": (level(obj(below=c("entry1"), volume_confirmed_breakdown=c("brk"))), no_levels),
         **{f"{s}_scenario": (c(f"sc_{s}"), "daily data or levels unavailable") for s in ("bullish", "bearish", "neutral")},
-        "technical_signal_summary": (F.when(c("overall").isNotNull(), obj(overall=q(c("overall")), headline=q(F.format_string(
-            "%d bullish / %d bearish / %d neutral of %d deterministic signals", "bullish", "bearish", "neutral", "total_signals")))), "no price data"),
+        "technical_signal_summary": (F.when(c("overall").isNotNull(), obj(overall=q(c("overall")), headline=q(c("headline")))), "no price data"),
         "indicator_dashboard": (c("dash"), "no price data"),
         "mtf_signal_matrix": (c("mtf"), "no price data"),
-        "key_technical_levels": (level(c("levels")), no_levels),
         "upcoming_catalysts": (c("catalysts"), "no announcements or earnings dates available"),
         "historical_pattern_comparison": (c("analogues"), "needs >= 120 daily bars"),
         "technical_risk_factors": (c("risks"), "no price data"),
-        "overall_assessment": (js(c("overall").alias("confluence"), "regime", c("ms_class").alias("structure"), c("ms_conf").alias("structure_confidence"),
-                                  "price_vs_sma200_pct", "risk_reward_to_tp1"), "no price data"),
+        "overall_assessment": (obj(confluence=q(c("overall")), regime=q(c("regime")), structure=q(c("ms_class")), structure_confidence=q(c("ms_conf")),
+                                   price_vs_sma200_pct=c("vs200"), risk_reward_to_tp1=c("rr")), "no price data"),
         "data_sources_methodology": (js(F.lit("split+dividend adjusted").alias("price_adjustment"), F.lit("zero-volume placeholder bars dropped").alias("bar_filter"),
                                         F.lit("Wilder smoothing, exponential averages seeded with the first value").alias("indicator_definitions"),
                                         F.lit("clustered levels, retracements and ATR; no discretion").alias("levels")), ""),

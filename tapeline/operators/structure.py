@@ -73,10 +73,14 @@ def cluster_levels(pivots: DataFrame, tolerance=LEVEL_TOLERANCE, keys=K) -> Data
 
 
 def support_resistance(numbered: DataFrame, keys=K) -> DataFrame:
-    """Levels split at the last close, at most eight per side by touches."""
-    levels = cluster_levels(pivot_rows(numbered, 3, 3, keys), keys=keys)
-    last = numbered.filter("rd = 1").select(*keys, F.col("close").alias("_close"))
-    d = levels.join(last, list(keys)).withColumn("side", F.when(F.col("price") < F.col("_close"), "support").otherwise("resistance"))
+    """Levels split at the last close, at most eight per side by touches (one grouped pass per frame)."""
+    p = find_pivots(numbered, 3, 3, keys)
+    hit = lambda flag, c: F.collect_list(F.when(F.col(flag), F.col(c)))
+    g = p.groupBy(*keys).agg(
+        F.concat(hit("pivot_high", "high"), hit("pivot_low", "low")).alias("p"), F.max(F.when(F.col("rd") == 1, F.col("close"))).alias("_close")
+    )
+    d = g.select(*keys, "_close", F.posexplode(cluster_fold(F.col("p"), LEVEL_TOLERANCE)).alias("position", "l"))
+    d = d.select(*keys, "position", "l.price", "l.touches", F.when(F.col("l.price") < F.col("_close"), "support").otherwise("resistance").alias("side"))
     win = Window.partitionBy(*keys, "side").orderBy(F.col("touches").desc(), "position")
     d = d.withColumn("_r", F.row_number().over(win)).filter(F.col("_r") <= LEVELS_PER_SIDE)
     return d.select(*keys, "side", "price", "touches")
@@ -129,8 +133,11 @@ def supply_demand_zones(numbered: DataFrame, keys=K) -> DataFrame:
     )
 
 
-def last_pivots(numbered: DataFrame, keep: int, left=3, right=3, keys=K, extra=()) -> DataFrame:
-    """Per frame: pivot counts and the prices of the last pivots, newest first (h1 is the newest high)."""
+def last_pivots(numbered: DataFrame, keep: int, left=3, right=3, keys=K, extra=(), more=()) -> DataFrame:
+    """Per frame: pivot counts and the prices of the last pivots, newest first (h1 is the newest high).
+
+    ``extra`` names further columns reported at each pivot, ``more`` further aggregates of the frame.
+    """
     p = find_pivots(numbered, left, right, keys)
     for side, flag in (("h", "pivot_high"), ("l", "pivot_low")):
         newest = R.Window.partitionBy(*keys, flag).orderBy(F.col("rn").desc())
@@ -141,17 +148,15 @@ def last_pivots(numbered: DataFrame, keep: int, left=3, right=3, keys=K, extra=(
             at = F.col(f"_{side}r") == i
             aggs.append(F.max(F.when(at, F.col(price))).alias(f"{side}{i}"))
             aggs += [F.max(F.when(at, F.col(c))).alias(f"{side}{i}_{c}") for c in extra]
-    return p.groupBy(*keys).agg(*aggs)
+    return p.groupBy(*keys).agg(*aggs, *more)
 
 
 def market_structure(numbered: DataFrame, keys=K) -> DataFrame:
     """Higher/lower pivots classification with pivot counts, confidence and side of the 200-bar average."""
-    p = last_pivots(numbered, 2, keys=keys)
-    last = numbered.groupBy(*keys).agg(
+    d = last_pivots(numbered, 2, keys=keys, more=(
         F.max("n").alias("n"), F.max(F.when(F.col("rd") == 1, F.col("close"))).alias("_close"),
         F.avg(F.when(F.col("rd") <= 200, F.col("close"))).alias("_sma200"),
-    )
-    d = p.join(last, list(keys))
+    ))
     enough = (F.col("pivot_highs") >= 2) & (F.col("pivot_lows") >= 2)
     hh, hl = F.col("h1") > F.col("h2"), F.col("l1") > F.col("l2")
     label = (
@@ -255,22 +260,24 @@ def candle_flags(numbered: DataFrame, scan: int | None = CANDLE_BARS, keys=K) ->
     return d.drop("_body", "_rng", "_bull", "_bear", "_up", "_lo")
 
 
-def candle_hits(numbered: DataFrame, scan: int | None = CANDLE_BARS, keys=K) -> DataFrame:
-    """(key, date, pattern) with streaks of a multi-bar pattern reduced to their first bar."""
+def _named_candles(numbered: DataFrame, scan: int | None, keys) -> DataFrame:
+    """Pattern names per bar, streaks of a multi-bar pattern reduced to their first bar."""
     d = candle_flags(numbered, scan, keys)
     first = {p: F.col(p) & ~F.coalesce(F.lag(p).over(R.w(keys)), F.lit(False)) for p in STREAK_CANDLES}
-    named = F.array(*[F.when(first.get(p, F.col(p)), F.lit(p)) for p in CANDLES])
-    d = d.withColumn("_names", F.array_compact(named))
+    return d.withColumn("_names", F.array_compact(F.array(*[F.when(first.get(p, F.col(p)), F.lit(p)) for p in CANDLES])))
+
+
+def candle_hits(numbered: DataFrame, scan: int | None = CANDLE_BARS, keys=K) -> DataFrame:
+    """(key, date, pattern) of the scanned bars."""
+    d = _named_candles(numbered, scan, keys)
     return d.select(*keys, "date", (F.col("n") - F.col("rn")).alias("bar_offset_from_end"), F.explode("_names").alias("pattern"))
 
 
 def candle_tally(numbered: DataFrame, keys=K) -> DataFrame:
-    hits = candle_hits(numbered, keys=keys)
-    return numbered.select(*keys).distinct().join(
-        hits.groupBy(*keys).agg(
-            F.count_if(F.col("pattern").isin(*BULLISH_CANDLES)).alias("b"), F.count_if(F.col("pattern").isin(*BEARISH_CANDLES)).alias("s")
-        ), list(keys), "left"
-    ).select(*keys, F.coalesce("b", F.lit(0)).alias("bullish_count"), F.coalesce("s", F.lit(0)).alias("bearish_count"))
+    """Bullish and bearish patterns per frame, zero included."""
+    count = lambda names: F.sum(F.size(F.filter("_names", lambda p: p.isin(*names)))).cast("bigint")
+    return _named_candles(numbered, CANDLE_BARS, keys).groupBy(*keys).agg(
+        count(BULLISH_CANDLES).alias("bullish_count"), count(BEARISH_CANDLES).alias("bearish_count"))
 
 
 # Chart-pattern window and tolerances.
@@ -284,99 +291,112 @@ def chart_window(numbered: DataFrame, keys=K) -> DataFrame:
     return R.number_rows(tail, keys).filter("n >= 30")
 
 
-def double_top_bottom(numbered: DataFrame, keys=K) -> DataFrame:
-    p = last_pivots(chart_window(numbered, keys), 2, keys=keys)
-    top = F.abs(F.col("h1") - F.col("h2")) / F.col("h2") <= SAME_LEVEL
-    bottom = F.abs(F.col("l1") - F.col("l2")) / F.col("l2") <= SAME_LEVEL
-    return p.select(*keys, F.coalesce(top, F.lit(False)).alias("double_top"), F.coalesce(bottom, F.lit(False)).alias("double_bottom"))
-
+def chart_row(numbered: DataFrame, keys=K) -> DataFrame:
+    """Everything the chart rules need, one row per frame from one pass over its last 60 bars.
 
-def head_shoulders(numbered: DataFrame, keys=K) -> DataFrame:
-    """The last three pivots: an extreme first one, then two at the same level."""
-    p = last_pivots(chart_window(numbered, keys), 3, keys=keys)
-    hs = (F.col("h3") > F.col("h2") * 1.01) & (F.abs(F.col("h2") - F.col("h1")) / F.col("h2") <= SAME_LEVEL)
-    inv = (F.col("l3") < F.col("l2") * 0.99) & (F.abs(F.col("l2") - F.col("l1")) / F.col("l2") <= SAME_LEVEL)
-    return p.select(*keys, F.coalesce(hs, F.lit(False)).alias("head_and_shoulders"), F.coalesce(inv, F.lit(False)).alias("inverse_head_and_shoulders"))
-
-
-def chart_range(numbered: DataFrame, keys=K) -> DataFrame:
-    """Range of the window without its last bar, touches on both sides, trend line and volume check."""
-    wide = numbered.filter(F.col("rd") <= CHART_BARS).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("bars"),
-        F.max(F.when(F.col("rd") == 1, F.col("close"))).alias("close"),
-        F.max(F.when(F.col("rd") > 1, F.col("high"))).alias("range_high"),
-        F.min(F.when(F.col("rd") > 1, F.col("low"))).alias("range_low"),
+    Pivots, range without the last bar, touches on both sides, trend line, pivot
+    slopes and the volume check share one partitioning.
+    """
+    d = find_pivots(chart_window(numbered, keys), 3, 3, keys)
+    whole = Window.partitionBy(*keys)
+    past = F.col("rd") > 1
+    cols = {"range_high": F.max(F.when(past, F.col("high"))).over(whole), "range_low": F.min(F.when(past, F.col("low"))).over(whole)}
+    for side, flag in (("h", "pivot_high"), ("l", "pivot_low")):
+        same = Window.partitionBy(*keys, flag)
+        cols[f"_{side}x"] = F.when(F.col(flag), F.row_number().over(same.orderBy("rn")).cast("double"))
+        cols[f"_{side}r"] = F.when(F.col(flag), F.row_number().over(same.orderBy(F.col("rn").desc())))
+    d = d.withColumns(cols)
+    x = F.col("rn").cast("double")
+    aggs = [
+        F.count_if("pivot_high").alias("nh"), F.count_if("pivot_low").alias("nl"),
+        F.max(F.when(F.col("rd") == 1, F.col("close"))).alias("close"), F.max("range_high").alias("range_high"), F.min("range_low").alias("range_low"),
         F.max(F.when(F.col("rd") == 1, F.col("volume"))).alias("last_volume"),
         F.avg(F.when(F.col("rd").between(2, 21), F.col("volume"))).alias("avg_volume"),
-        F.regr_slope("close", F.col("rn").cast("double")).alias("slope"),
-        F.regr_r2("close", F.col("rn").cast("double")).alias("_r2"),
-        F.var_pop("close").alias("_var"),
-    ).filter("bars >= 30")
-    return wide.withColumn("r2", F.when(F.col("_var") == 0, 0.0).otherwise(F.col("_r2"))).drop("_r2", "_var")
+        F.regr_slope("close", x).alias("slope"), F.regr_r2("close", x).alias("_r2"), F.var_pop("close").alias("_var"),
+        F.count_if(past & (F.col("high") >= F.col("range_high") * 0.99)).alias("near_high"),
+        F.count_if(past & (F.col("low") <= F.col("range_low") * 1.01)).alias("near_low"),
+        F.regr_slope(F.when(F.col("pivot_high"), F.col("high")), F.col("_hx")).alias("hs"),
+        F.regr_slope(F.when(F.col("pivot_low"), F.col("low")), F.col("_lx")).alias("ls"),
+    ]
+    for side, price in (("h", "high"), ("l", "low")):
+        aggs += [F.max(F.when(F.col(f"_{side}r") == i, F.col(price))).alias(f"{side}{i}") for i in (1, 2, 3)]
+    g = d.groupBy(*keys).agg(*aggs)
+    return g.withColumn("r2", F.when(F.col("_var") == 0, 0.0).otherwise(F.col("_r2"))).drop("_r2", "_var")
+
+
+def _near(a: str, b: str) -> Column:
+    return F.abs(F.col(a) - F.col(b)) / F.col(b) <= SAME_LEVEL
+
+
+def _holds(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False))
+
+
+def chart_rules() -> dict[str, Column]:
+    """Chart rules over a ``chart_row``."""
+    c = F.col
+    lo, hi = c("range_low"), c("range_high")
+    tight = (lo != 0) & ((hi - lo) / lo < 0.15)
+    enough = (c("nh") >= 3) & (c("nl") >= 3)
+    return {
+        "double_top": _holds(_near("h1", "h2")),
+        "double_bottom": _holds(_near("l1", "l2")),
+        # the last three pivots: an extreme first one, then two at the same level
+        "head_and_shoulders": _holds((c("h3") > c("h2") * 1.01) & _near("h1", "h2")),
+        "inverse_head_and_shoulders": _holds((c("l3") < c("l2") * 0.99) & _near("l1", "l2")),
+        "trading_range": _holds(tight & (c("near_high") >= 2) & (c("near_low") >= 2)),
+        "channel": F.when(c("r2") >= 0.7, F.when(c("slope") > 0, "rising_channel").otherwise("falling_channel")),
+        "triangle": F.when(enough & (c("ls") > 0) & (c("hs") < c("ls")), "ascending_triangle").when(
+            enough & (c("hs") < 0) & (c("ls") > c("hs")), "descending_triangle"),
+    }
 
 
-def breakout(numbered: DataFrame, keys=K) -> DataFrame:
-    """Close outside the 60-bar range, with a volume confirmation."""
-    d = chart_range(numbered, keys)
-    kind = F.when(F.col("close") > F.col("range_high"), "breakout").when(F.col("close") < F.col("range_low"), "breakdown")
-    level = F.when(kind == "breakout", F.col("range_high")).when(kind == "breakdown", F.col("range_low"))
-    return d.select(
-        *keys, kind.alias("type"), F.round(level, 4).alias("level"),
-        F.when(kind.isNotNull(), F.col("last_volume") > 1.5 * F.col("avg_volume")).alias("volume_confirmed"),
-    ).filter(F.col("type").isNotNull())
+def _chart(numbered: DataFrame, keys, *names: str, also=()) -> DataFrame:
+    rules = chart_rules()
+    return chart_row(numbered, keys).select(*keys, *also, *[rules[n].alias(n) for n in names])
+
+
+def double_top_bottom(numbered: DataFrame, keys=K) -> DataFrame:
+    return _chart(numbered, keys, "double_top", "double_bottom")
+
+
+def head_shoulders(numbered: DataFrame, keys=K) -> DataFrame:
+    return _chart(numbered, keys, "head_and_shoulders", "inverse_head_and_shoulders")
 
 
 def trading_range(numbered: DataFrame, keys=K) -> DataFrame:
     """A box under 15 percent with two touches within one percent on each side."""
-    r = chart_range(numbered, keys).select(*keys, "range_high", "range_low")
-    d = numbered.filter((F.col("rd") <= CHART_BARS) & (F.col("rd") > 1)).join(r, list(keys))
-    g = d.groupBy(*keys).agg(
-        F.max("range_high").alias("hi"), F.max("range_low").alias("lo"),
-        F.count_if(F.col("high") >= F.col("range_high") * 0.99).alias("near_high"),
-        F.count_if(F.col("low") <= F.col("range_low") * 1.01).alias("near_low"),
-    )
-    tight = (F.col("lo") != 0) & ((F.col("hi") - F.col("lo")) / F.col("lo") < 0.15)
-    return g.select(*keys, "near_high", "near_low", (tight & (F.col("near_high") >= 2) & (F.col("near_low") >= 2)).alias("trading_range"))
+    return _chart(numbered, keys, "trading_range", also=("near_high", "near_low"))
 
 
 def channel(numbered: DataFrame, keys=K) -> DataFrame:
     """Straight-line channel on closes when R2 reaches 0.7."""
-    d = chart_range(numbered, keys)
-    label = F.when(F.col("r2") >= 0.7, F.when(F.col("slope") > 0, "rising_channel").otherwise("falling_channel"))
-    return d.select(*keys, F.round("slope", 6).alias("slope"), F.round("r2", 6).alias("r2"), label.alias("channel"))
+    return _chart(numbered, keys, "channel", also=(F.round("slope", 6).alias("slope"), F.round("r2", 6).alias("r2")))
 
 
 def triangle(numbered: DataFrame, keys=K) -> DataFrame:
     """Converging slopes of pivot highs and lows over their ordinals (three of each at least)."""
-    p = pivot_rows(chart_window(numbered, keys), 3, 3, keys)
-    win = Window.partitionBy(*keys, "side").orderBy("rn")
-    p = p.withColumn("x", F.row_number().over(win).cast("double"))
-    hi, lo = F.col("side") == "high", F.col("side") == "low"
-    g = p.groupBy(*keys).agg(
-        F.count_if(hi).alias("nh"), F.count_if(lo).alias("nl"),
-        F.regr_slope(F.when(hi, F.col("price")), F.when(hi, F.col("x"))).alias("hs"),
-        F.regr_slope(F.when(lo, F.col("price")), F.when(lo, F.col("x"))).alias("ls"),
-    )
-    enough = (F.col("nh") >= 3) & (F.col("nl") >= 3)
-    hs, ls = F.col("hs"), F.col("ls")
-    label = F.when(enough & (ls > 0) & (hs < ls), "ascending_triangle").when(enough & (hs < 0) & (ls > hs), "descending_triangle")
-    return g.select(*keys, label.alias("triangle"))
+    return _chart(numbered, keys, "triangle")
+
+
+def breakout(numbered: DataFrame, keys=K) -> DataFrame:
+    """Close outside the 60-bar range, with a volume confirmation."""
+    d = chart_row(numbered, keys)
+    kind = F.when(F.col("close") > F.col("range_high"), "breakout").when(F.col("close") < F.col("range_low"), "breakdown")
+    level = F.when(kind == "breakout", F.col("range_high")).when(kind == "breakdown", F.col("range_low"))
+    return d.select(
+        *keys, kind.alias("type"), F.round(level, 4).alias("level"),
+        F.when(kind.isNotNull(), F.col("last_volume") > 1.5 * F.col("avg_volume")).alias("volume_confirmed"),
+    ).filter(F.col("type").isNotNull())
 
 
 def chart_patterns(numbered: DataFrame, keys=K) -> DataFrame:
     """(key, pattern) rows of everything found in the chart window."""
-    k = list(keys)
-    d = (
-        double_top_bottom(numbered, keys).join(head_shoulders(numbered, keys), k).join(trading_range(numbered, keys), k)
-        .join(channel(numbered, keys), k).join(triangle(numbered, keys), k, "left")
-    )
-    names = F.array(
-        F.when(F.col("double_top"), "possible_double_top"), F.when(F.col("double_bottom"), "possible_double_bottom"),
-        F.when(F.col("head_and_shoulders"), "possible_head_and_shoulders"),
-        F.when(F.col("inverse_head_and_shoulders"), "possible_inverse_head_and_shoulders"),
-        F.when(F.col("trading_range"), "trading_range"), F.col("channel"), F.col("triangle"),
-    )
-    return d.select(*keys, F.explode(F.array_compact(names)).alias("pattern"))
+    r = chart_rules()
+    named = {"double_top": "possible_double_top", "double_bottom": "possible_double_bottom", "head_and_shoulders": "possible_head_and_shoulders",
+             "inverse_head_and_shoulders": "possible_inverse_head_and_shoulders", "trading_range": "trading_range"}
+    found = F.array(*[F.when(r[k], F.lit(v)) for k, v in named.items()], r["channel"], r["triangle"])
+    return chart_row(numbered, keys).select(*keys, F.explode(F.array_compact(found)).alias("pattern"))
 
 
 # Gap size and number of gaps reported.

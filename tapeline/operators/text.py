@@ -259,14 +259,13 @@ def content_key(raw: str = "raw_data") -> Column:
 def dedup_filings(filings: DataFrame, order: str = "ord") -> DataFrame:
     """One row per (symbol, source, content hash), and per (source, url) among documents.
 
-    The latest delivery of a key wins, like the upsert it stands for; both passes
-    are grouped, so copies combine before the shuffle.
+    The latest delivery of a key wins, like the upsert it stands for. ``order`` is
+    unique: winners are chosen on hashes and order numbers alone, where copies
+    combine before the shuffle, and the full rows are fetched once at the end.
     """
-    def newest(df, keys):
-        rest = [c for c in df.columns if c not in keys]
-        return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
-
     d = filings.withColumn("content_hash", content_key())
-    d = newest(d, ["symbol", "source", "content_hash"])
-    doc = d.filter(F.col("filing_type") == "document")
-    return d.filter(F.coalesce(F.col("filing_type") != "document", F.lit(True))).unionByName(newest(doc, ["source", "url"]))
+    narrow = d.groupBy("symbol", "source", "content_hash").agg(
+        F.max(order).alias(order), F.max_by("filing_type", order).alias("filing_type"), F.max_by("url", order).alias("url"))
+    document = F.coalesce(F.col("filing_type") == "document", F.lit(False))
+    docs = narrow.filter(document).groupBy("source", "url").agg(F.max(order).alias(order)).select(order)
+    return d.join(narrow.filter(~document).select(order).unionByName(docs), order, "left_semi")

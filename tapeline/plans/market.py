@@ -151,8 +151,7 @@ def turnover_rows(v):
     """Turnover per segment from today's and yesterday's trades (one segment has no rows today)."""
     li = v.table("lineitem").select("l_partkey", F.col("l_shipdate").cast("date").alias("date"), "l_quantity", "l_extendedprice")
     part = v.table("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("segment"))
-    last = li.agg(F.max("date").alias("td"))
-    d = li.join(F.broadcast(last)).filter(F.col("date") >= F.date_sub("td", 1))  # one-row aggregate
+    d = li.withColumn("td", li.agg(F.max("date")).scalar()).filter(F.col("date") >= F.date_sub("td", 1))
     g = d.join(part, "l_partkey").groupBy("segment", "date", "td").agg(F.sum(F.col("l_quantity").cast("bigint")).alias("volume"), F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("value"))
     rec = F.struct(F.col("volume").cast("double").alias("volume"), F.col("value").cast("double").alias("value"), (F.col("volume") * 2).cast("double").alias("open_interest"))
     g = g.groupBy("segment", "td").agg(F.max_by(rec, F.when((F.col("date") == F.col("td")) & (F.col("segment") != "PROMO"), 1)).alias("today"),
@@ -206,17 +205,16 @@ def regex_extract_rate(v):
  (SELECT max(date) AS d, sum(equity_net_crore) FILTER (category='FII' AND date=md) AS fii, sum(equity_net_crore) FILTER (category LIKE 'DII%' AND date=md) AS dii FROM v_flowrows, (SELECT max(date) AS md FROM v_flowrows)) f,
  (SELECT value_crore FROM v_turnover WHERE segment='STANDARD') t, (SELECT max(r/100.0::DOUBLE) FILTER (name='Policy Repo Rate') AS rr FROM v_ratefeed) r WHERE i.symbol IN ('ASIA','EUROPE','AMERICA')""")
 def macro_overview(v):
-    """Main indices beside the latest flows, cash turnover and policy rate (three one-row aggregates)."""
+    """Main indices beside the latest flows, cash turnover and policy rate (each a scalar subquery)."""
     flows = MK.flows_by_category(flow_feed(v))
     newest = flows.groupBy("date").agg(F.sum(F.when(F.col("category") == "FII", F.col("equity_net_crore"))).alias("fii_net_crore"),
                                        F.sum(F.when(F.col("category").startswith("DII"), F.col("equity_net_crore"))).alias("dii_net_crore"))
-    newest = newest.agg(F.max(F.struct("date", "fii_net_crore", "dii_net_crore")).alias("x")).select(F.col("x.date").alias("flows_date"), "x.fii_net_crore", "x.dii_net_crore")
-    cash = turnover_by_segment(v).groupBy().agg(F.max(F.when(F.col("segment") == "STANDARD", F.col("value_crore"))).alias("turnover_cash_crore"))
-    repo = rate_feed(v).agg(F.max(F.when(F.col("name") == "Policy Repo Rate", X.rate_text("value"))).alias("policy_repo_rate_pct"))
+    newest = newest.agg(F.max(F.struct("date", "fii_net_crore", "dii_net_crore"))).scalar()
+    cash = turnover_by_segment(v).agg(F.max(F.when(F.col("segment") == "STANDARD", F.col("value_crore")))).scalar()
+    repo = rate_feed(v).agg(F.max(F.when(F.col("name") == "Policy Repo Rate", X.rate_text("value")))).scalar()
     d = _snapshot(v).filter(F.upper("symbol").isin("ASIA", "EUROPE", "AMERICA")).select("symbol", "last", "change_pct")
-    for one in (newest, cash, repo):
-        d = d.join(F.broadcast(one))  # one-row aggregates
-    return d
+    d = d.withColumns({"_flows": newest, "turnover_cash_crore": cash, "policy_repo_rate_pct": repo})
+    return d.select("symbol", "last", "change_pct", F.col("_flows.date").alias("flows_date"), "_flows.fii_net_crore", "_flows.dii_net_crore", "turnover_cash_crore", "policy_repo_rate_pct")
 
 
 # -- options and insiders --------------------------------------------------------------------

@@ -90,12 +90,9 @@ class Views:
     def market_index(self) -> DataFrame:
         """Benchmark close per date: mean tick over all symbols, dates where every symbol traded."""
         ticks = self.bars.select("symbol", "date", F.round(F.col("close") * 100).cast("bigint").alias("t"))
-        n_sym = ticks.agg(F.count_distinct("symbol").alias("n_sym"))
+        symbols = ticks.agg(F.count_distinct("symbol")).scalar()
         per_day = ticks.groupBy("date").agg(F.sum("t").alias("s"), F.count(F.lit(1)).alias("n"))
-        return (
-            per_day.join(F.broadcast(n_sym), F.col("n") == F.col("n_sym"))  # one-row aggregate
-            .select("date", (F.floor(F.col("s") / F.col("n")).cast("double") / 100).alias("close"))
-        )
+        return per_day.filter(F.col("n") == symbols).select("date", (F.floor(F.col("s") / F.col("n")).cast("double") / 100).alias("close"))
 
     @cached_property
     def quotes(self) -> DataFrame:
