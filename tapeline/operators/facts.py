@@ -67,10 +67,10 @@ def parse_filings(filings: DataFrame, xml: str = "xml") -> DataFrame:
         return F.transform(F.coalesce(F.col("x")[f"in:{tag}"], F.array().cast(value)), row)
 
     facts = F.flatten(F.array(*[tagged(t) for t in tags]))
-    scheme_end = F.element_at("x.in:endDate", -1)["_VALUE"]
-    any_end = F.element_at(F.filter(F.transform("x.xbrli:context", lambda c: c["xbrli:period"]["xbrli:endDate"]), lambda e: e.isNotNull()), -1)
+    scheme_end = F.try_element_at("x.in:endDate", F.lit(-1))["_VALUE"]
+    any_end = F.try_element_at(F.filter(F.transform("x.xbrli:context", lambda c: c["xbrli:period"]["xbrli:endDate"]), lambda e: e.isNotNull()), F.lit(-1))
     d = d.select("symbol", "filing_id", contexts.alias("ctx"), F.coalesce(scheme_end, any_end).cast("date").alias("period_end"),
-                 F.element_at("x.xbrli:unit", 1)["xbrli:measure"].alias("currency"), F.posexplode(facts).alias("ord", "f"))
+                 F.try_element_at("x.xbrli:unit", F.lit(1))["xbrli:measure"].alias("currency"), F.posexplode(facts).alias("ord", "f"))
     c = F.try_element_at("ctx", F.col("f.context_ref"))
     return d.select("symbol", "filing_id", "period_end", "currency", "ord", "f.tag", "f.value", "f.context_ref",
                     F.coalesce(c["entity"], F.col("symbol")).alias("entity"), *[c[x].cast("date").alias(x) for x in ("start_date", "end_date", "instant_date")])

@@ -281,11 +281,15 @@ def upsert_present(stored: DataFrame, incoming: DataFrame, keys: list[str], pres
     )
 
 
+def latest_load(df: DataFrame, keys: list[str], load_order: str) -> DataFrame:
+    """The latest delivery of every key (grouped, so re-deliveries combine map-side)."""
+    rest = [c for c in df.columns if c not in keys and c != load_order]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), load_order).alias("_r")).select(*keys, "_r.*")
+
+
 def upsert_latest(stored: DataFrame, incoming: DataFrame, keys: list[str], load_order: str) -> DataFrame:
-    """Replace all value columns of a key by its latest load (grouped, so re-deliveries combine map-side)."""
-    both = stored.unionByName(incoming)
-    rest = [c for c in both.columns if c not in keys and c != load_order]
-    return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), load_order).alias("_r")).select(*keys, "_r.*")
+    """Replace all value columns of a key by its latest load."""
+    return latest_load(stored.unionByName(incoming), keys, load_order)
 
 
 def insert_ignore(stored: DataFrame, incoming: DataFrame, key: str, order: str) -> DataFrame:

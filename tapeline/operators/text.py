@@ -128,13 +128,27 @@ def parse_index_list(lines: DataFrame, c: str = "value", keys=()) -> DataFrame:
     return d.select(*keys, at(1).alias("symbol"), F.coalesce(at(2), F.lit("NSE")).alias("exchange"), F.coalesce(at(3), F.lit("IN")).alias("country"))
 
 
+CAPTION_SCHEMA = "struct<events:array<struct<tStartMs:bigint,dDurationMs:bigint,segs:array<struct<utf8:string>>>>>"
+
+
+def segment_text(event: Column) -> Column:
+    """Non-empty segments of one caption event, trimmed and joined."""
+    kept = F.filter(event["segs"], lambda s: s["utf8"].isNotNull() & (s["utf8"] != ""))
+    return F.array_join(F.transform(kept, lambda s: F.trim(s["utf8"])), " ")
+
+
 def caption_segments(events: DataFrame, c: str, keys: list[str]) -> DataFrame:
     """Caption event JSON to rows: joined segment text, start and duration in seconds."""
-    schema = "struct<events:array<struct<tStartMs:bigint,dDurationMs:bigint,segs:array<struct<utf8:string>>>>>"
-    d = events.select(*keys, F.from_json(F.col(c), schema).alias("j")).select(*keys, F.posexplode("j.events").alias("position", "e"))
-    texts = F.transform(F.filter("e.segs", lambda s: s["utf8"].isNotNull() & (s["utf8"] != "")), lambda s: F.trim(s["utf8"]))
+    d = events.select(*keys, F.from_json(F.col(c), CAPTION_SCHEMA).alias("j")).select(*keys, F.posexplode("j.events").alias("position", "e"))
     ms = lambda f: F.coalesce(F.col(f"e.{f}"), F.lit(0)) / 1000.0
-    return d.filter(F.size("e.segs") > 0).select(*keys, "position", F.array_join(texts, " ").alias("text"), ms("tStartMs").alias("start"), ms("dDurationMs").alias("duration"))
+    return d.filter(F.size("e.segs") > 0).select(*keys, "position", segment_text(F.col("e")).alias("text"), ms("tStartMs").alias("start"), ms("dDurationMs").alias("duration"))
+
+
+def caption_text(events: DataFrame, c: str, keys: list[str]) -> DataFrame:
+    """Whole transcript per document, joined inside its row: nothing is regrouped."""
+    d = events.select(*keys, F.from_json(F.col(c), CAPTION_SCHEMA).alias("j"))
+    spoken = F.filter("j.events", lambda e: F.size(e["segs"]) > 0)
+    return d.select(*keys, F.array_join(F.transform(spoken, segment_text), " ").alias("full_text"))
 
 
 # Caption languages in order of preference.

@@ -128,7 +128,7 @@ SELECT symbol, form, period_end, u.statement, u.concept, CAST(u.value AS DOUBLE)
  {'statement':'balance','concept':'us-gaap_LiabilitiesAndStockholdersEquity','value':rev*4},
  {'statement':'balance','concept':'us-gaap_Liabilities','value':rev*4-shares*10-floor(rev*152/100)}]) AS u FROM v_ytd) WHERE u.value IS NOT NULL"""
 VIEWS["v_news"] = """
-SELECT doc_id, CASE WHEN lang='en' THEN 'us' ELSE 'in' END AS country, source, md5(text) AS url, substring(text,1,80) AS title, substring(text,81,1500) AS summary,
+SELECT doc_id, CASE WHEN lang='en' THEN 'us' ELSE 'in' END AS country, source, md5(text) AS url, substring(text,1,80) AS title, substring(text,81) AS summary,
  TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(doc_id AS INT)) AS published_at, text FROM documents"""
 VIEWS["v_requests"] = """
 SELECT user_id AS key, ts, 'GET' AS method, event_type AS route, CASE WHEN event_type='error' THEN 500 ELSE 200 END AS status, value AS latency_ms, event_id FROM events"""

@@ -199,10 +199,17 @@ def sink_json_rows(v):
 view("v_pagetext", "SELECT doc_id, CAST(p AS INT) AS page, t[p] AS text FROM (SELECT doc_id, t, unnest(range(1, len(t)+1)) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents))")
 
 
-@query("page_text_table", "SELECT doc_id, page, text FROM v_pagetext JOIN documents d USING (doc_id) WHERE length(d.text)<=20000".replace("page, text FROM", "page, v_pagetext.text AS text FROM"))
+@query("page_text_table", "SELECT doc_id, page, text FROM v_pagetext")
 def page_text_table(v):
-    """Pages of all documents inside the size guard (the guard is part of the operator)."""
-    return TX.page_texts(v.table("documents"), "doc_id", "text", max_chars=20000)
+    return TX.page_texts(v.table("documents"), "doc_id", "text")
+
+
+@query("page_size_guard", "SELECT doc_id, count(*) AS pages, CAST(sum(length(v_pagetext.text)) AS BIGINT) AS chars, sum(length(v_pagetext.text)) > 50000 AS too_large FROM v_pagetext GROUP BY 1")
+def page_size_guard(v):
+    """Pages and characters per document, and whether structuring would be refused."""
+    d = v.table("documents").select("doc_id", F.split("text", "\n").alias("p"))
+    chars = F.aggregate("p", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
+    return d.select("doc_id", F.size("p").cast("bigint").alias("pages"), chars.alias("chars"), (chars > 50000).alias("too_large"))
 
 
 @query("select_pages", """WITH r AS (SELECT doc_id, CASE doc_id%4 WHEN 0 THEN '1-2' WHEN 1 THEN '2,1,2' WHEN 2 THEN '9000-9001' ELSE '1,x' END AS spec FROM documents), n AS (SELECT doc_id, max(page) AS num_pages FROM v_pagetext GROUP BY 1),

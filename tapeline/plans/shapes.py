@@ -319,3 +319,14 @@ def structure_all(v):
     return ST.structure_all(frames(v))
 
 
+def frame_vwap(pdf):
+    """Anchored VWAP of one frame in pandas, the independent form of the built-in one."""
+    import pandas as pd
+
+    tp = (pdf.high + pdf.low + pdf.close) / 3
+    return pd.DataFrame({"symbol": [pdf.symbol.iloc[0]], "timeframe": [pdf.timeframe.iloc[0]], "vwap": [round(float((tp * pdf.volume).sum() / pdf.volume.sum()), 3)]})
+
+
+@query("apply_frame", f"SELECT {K}, round(sum((high+low+close)/3*volume)/sum(volume),3) AS vwap FROM v_frn GROUP BY ALL")
+def apply_frame(v):
+    return B.apply_frame(B.report_frames(v.bars), frame_vwap, "symbol string, timeframe string, vwap double")

@@ -65,10 +65,9 @@ def stream_upsert_bars(v):
     """Bars delivered twice leave one row per key (the sink folds batches by load order)."""
     path, schema = _bar_stream(v, "bars")
     v.bars.withColumn("chunk", F.lit(9999)).write.mode("append").partitionBy("chunk").parquet(path)
-    s = v.spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path).drop("chunk")
+    s = v.spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path)
     keys = ["symbol", "date"]
-    once = lambda d: ST.upsert_latest(d.withColumn("load_ts", F.lit(1)), d.withColumn("load_ts", F.lit(1)).limit(0), keys, "load_ts")
-    return J.newest_epoch(J.drain(s, "upsert", "append", once), keys)
+    return J.newest_epoch(J.drain(s, "upsert", "append", lambda d: ST.latest_load(d, keys, "chunk")), keys)
 
 
 @query("stream_dedup_filings", "SELECT source AS symbol, md5(text) AS content_hash, count(DISTINCT md5(text)) AS kept FROM documents GROUP BY 1, 2")

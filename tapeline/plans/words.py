@@ -123,9 +123,7 @@ def json_segments_text(v):
 
 @query("caption_full_text", "SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS full_text FROM v_cap WHERE turn<>3 GROUP BY 1")
 def caption_full_text(v):
-    d = TX.caption_segments(caption_feed(v), "body", ["conv_id"])
-    g = d.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("position", "text"))).alias("t"))
-    return g.select("conv_id", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("full_text"))
+    return TX.caption_text(caption_feed(v), "body", ["conv_id"])
 
 
 @query("caption_track_pick", """SELECT video, lang, track FROM (SELECT source AS video, CASE doc_id%6 WHEN 0 THEN 'en-GB' WHEN 1 THEN 'de' WHEN 2 THEN 'en' WHEN 3 THEN 'a.fr' WHEN 4 THEN 'a.en' ELSE 'es' END AS lang, doc_id AS track FROM documents WHERE (doc_id%6<>4 OR length(source)=5) AND (doc_id%6<>2 OR source<>'src3'))

@@ -316,14 +316,14 @@ class Views:
     def news(self) -> DataFrame:
         """One story per document; exact copies share a url on purpose."""
         base = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-        # title: part of a line up to 80 characters, summary: the following 1500 - both are feed limits
+        # the first 80 characters stand in for a title, everything after them for the summary
         return self.table("documents").select(
             "doc_id",
             F.when(F.col("lang") == "en", "us").otherwise("in").alias("country"),
             "source",
             F.md5(F.col("text")).alias("url"),
             F.substring("text", 1, 80).alias("title"),
-            F.substring("text", 81, 1500).alias("summary"),
+            F.expr("substring(text, 81)").alias("summary"),
             (base + F.make_dt_interval(mins=F.col("doc_id").cast("int"))).alias("published_at"),
             "text",
         )
