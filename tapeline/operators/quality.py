@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeline.functions.scalars import safe_div
+from tapeline.functions.scalars import round_half_even_exact, safe_div
 
 
 def data_catalog(meta: DataFrame, prices, income, balance, cashflow, filings) -> DataFrame:
@@ -92,8 +92,9 @@ def histogram_quantile(buckets: DataFrame, quantiles=(("p50_ms", 0.5), ("p95_ms"
         width = F.col("cum") - F.col("_pc")
         at = F.when(width <= 0, F.col("le")).otherwise(F.col("_ple") + (F.col("le") - F.col("_ple")) * F.try_divide(target - F.col("_pc"), width))
         hit = F.col("cum") >= target
-        aggs.append(F.round(F.min_by(at, F.when(hit, F.struct(F.col("le").isNull().alias("u"), F.col("le").alias("le")))) * 1000, 1).alias(name))
-    return d.filter("_total > 0").groupBy(*keys).agg(F.max("_total").alias("requests"), *aggs)
+        aggs.append((F.min_by(at, F.when(hit, F.struct(F.col("le").isNull().alias("u"), F.col("le").alias("le")))) * 1000).alias(f"_{name}"))
+    g = d.filter("_total > 0").groupBy(*keys).agg(F.max("_total").alias("requests"), *aggs)
+    return g.select(*keys, "requests", *[round_half_even_exact(f"_{name}", 1).alias(name) for name, _ in quantiles])
 
 
 def batch_summary(rows: DataFrame, key: str) -> DataFrame:

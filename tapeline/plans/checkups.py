@@ -87,7 +87,7 @@ view("v_bk", "SELECT *, coalesce(lag(le) OVER w,0) AS ple, coalesce(lag(cum) OVE
 
 
 def _q(p):
-    return f"SELECT method, route, max(total) AS requests, round(min_by(CASE WHEN cum-pc<=0 THEN le ELSE ple+(le-ple)*(total*{p}::DOUBLE-pc)/(cum-pc) END, coalesce(le,1e9)) FILTER (cum>=total*{p}::DOUBLE)*1000,1) AS q FROM v_bk GROUP BY 1,2"
+    return f"SELECT method, route, max(total) AS requests, CAST(format('{{:.1f}}', min_by(CASE WHEN cum-pc<=0 THEN le ELSE ple+(le-ple)*((total*{p}::DOUBLE-pc)/(cum-pc)) END, coalesce(le,1e9)) FILTER (cum>=total*{p}::DOUBLE)*1000) AS DOUBLE) AS q FROM v_bk GROUP BY 1,2"
 
 
 @query("histogram_quantile", f"SELECT a.method, a.route, a.requests, a.q AS p50_ms, b.q AS p95_ms FROM ({_q(0.5)}) a JOIN ({_q(0.95)}) b USING (method, route)")
