@@ -1,9 +1,10 @@
 """Fundamental metrics: trailing flows, stocks, growth and valuation per company and basis.
 
-The merged records of a series are reduced once to a row of inputs (trailing sums,
-the year-ago record, the preceding quarter); every metric is then a column
-expression. All steps share the series partitioning, so the whole set costs one
-shuffle of the statements and one of the price lookup.
+The merged records of a series are reduced in one grouped pass to a row of inputs
+(trailing sums, the newest, year-ago and preceding-quarter records, the fiscal-year-end
+month); every metric is then a column expression. All steps share the series
+partitioning, so the whole set costs one shuffle of the statements and one each for
+the price and annual-filing look-ups.
 """
 
 from __future__ import annotations
@@ -49,6 +50,14 @@ PAST = [
 GROWTH_FLOWS = [S.REVENUE, S.PAT, S.EPS_BASIC, S.OCF, S.CAPEX, S.DEPRECIATION, S.PBT, S.FINANCE, "operating_income"]
 
 
+# Columns of the anchor record the metrics read.
+ANCHOR = [
+    "period_end_date", *ST.FLOWS, "operating_income", "weighted_average_shares_basic", S.PAID_UP, S.FACE,
+    "equity_share_capital", "other_equity", "borrowings_current", "borrowings_noncurrent", S.CASH, S.BANK, "assets",
+    "current_liabilities", "assets_current", "inventories", "trade_receivables_current", "trade_payables",
+]
+
+
 def safe_div(a, b) -> Column:
     """Null on a zero or missing divisor; inputs are finite and ``round_metrics`` drops any overflow."""
     return F.try_divide(col(a), col(b))
@@ -84,7 +93,9 @@ def series_inputs(recs: DataFrame) -> DataFrame:
         F.max("_bal_end").alias("balance_sheet_period"),
         F.max("_cf_end").alias("cash_flow_period"),
         F.max("period_end_date").alias("_newest"),
-    )
+        F.max_by(F.struct(*ANCHOR), "period_end_date").alias("_latest"),
+        ST.period_marks().alias("_marks"),
+    ).withColumn("fye_month", ST.fye_from_marks("_marks")).drop("_marks")
 
 
 def metric_columns(d: DataFrame, mode: str = "ttm") -> DataFrame:
@@ -271,32 +282,27 @@ def finish(d: DataFrame) -> DataFrame:
     )
 
 
-def _with_context(recs: DataFrame, balance: DataFrame, prices: DataFrame) -> DataFrame:
-    """Series inputs joined back to every record, with price, filed annual end and fiscal-year-end month."""
-    inputs = series_inputs(recs)
-    fye = ST.fye_month(recs)
-    filed = ST.latest_annual_end(balance)
-    return (
-        recs.drop("_inc_end", "_bal_end", "_cf_end")
-        .join(inputs, ST.SERIES).join(fye, ST.SERIES, "left").join(filed, S.SERIES_KEY, "left")
-        .join(prices.select("symbol", "current_price"), "symbol", "left")
-    )
+def _look_ups(d: DataFrame, balance: DataFrame, prices: DataFrame) -> DataFrame:
+    """Latest filed annual period end and current price."""
+    d = d.join(ST.latest_annual_end(balance), S.SERIES_KEY, "left")
+    return d.join(prices.select("symbol", "current_price"), "symbol", "left")
 
 
 def financial_metrics(income, balance, cashflow, prices, mode: str = "ttm") -> DataFrame:
     """One wide row per (symbol, source, basis) at its newest record."""
-    recs = records(income, balance, cashflow)
-    d = _with_context(recs, balance, prices).filter(F.col("period_end_date") == F.col("_newest"))
-    return finish(metric_columns(d, mode))
+    inputs = series_inputs(records(income, balance, cashflow))
+    d = inputs.select(*[c for c in inputs.columns if c != "_latest"], "_latest.*")
+    return finish(metric_columns(_look_ups(d, balance, prices), mode))
 
 
 def metrics_per_period(income, balance, cashflow, prices, gte=None, lte=None, limit: int = 0, mode: str = "ttm") -> DataFrame:
     """One row per record in range, newest first; trailing and growth windows stay at the newest record."""
     recs = records(income, balance, cashflow)
-    d = ST.filter_period_range(_with_context(recs, balance, prices), gte, lte)
+    anchors = ST.filter_period_range(recs.select(*ST.SERIES, *ANCHOR), gte, lte)
     if limit:
-        d = d.withColumn("_pos", ST.newest_first()).filter(F.col("_pos") <= limit)
-    return finish(metric_columns(d, mode))
+        anchors = anchors.withColumn("_pos", ST.newest_first()).filter(F.col("_pos") <= limit)
+    d = anchors.join(series_inputs(recs).drop("_latest"), ST.SERIES)
+    return finish(metric_columns(_look_ups(d, balance, prices), mode))
 
 
 def metrics_no_data(symbols: DataFrame, recs: DataFrame) -> DataFrame:

@@ -125,23 +125,29 @@ def latest_annual_end(balance: DataFrame) -> DataFrame:
     return a.groupBy(*S.SERIES_KEY).agg(F.max("period_end_date").alias("annual_end"))
 
 
+def period_marks() -> Column:
+    """Aggregate: (month, tagged Q4, period end) of every record of a series - bounded by its quarters."""
+    return F.collect_list(F.struct(F.month("period_end_date").alias("m"), F.coalesce(F.upper("fiscal_period") == "Q4", F.lit(False)).alias("q4"),
+                                   F.col("period_end_date").alias("d")))
+
+
+def fye_from_marks(marks: str) -> Column:
+    """Fiscal-year-end month: the modal month of Q4 records (newest wins ties), else the uniquely rarest month of four or more."""
+    q4 = F.filter(marks, lambda x: x["q4"])
+    per_month = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda m: F.struct(
+        F.size(F.filter(q4, lambda x: x["m"] == m)).alias("n"),
+        F.array_max(F.transform(F.filter(q4, lambda x: x["m"] == m), lambda x: x["d"])).alias("seen"), m.alias("m")))
+    counts = F.filter(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda m: F.struct(
+        F.size(F.filter(marks, lambda x: x["m"] == m)).alias("n"), m.alias("m"))), lambda c: c["n"] > 0)
+    rare = F.array_sort(counts)
+    alone = (F.size(rare) == 1) | (F.try_element_at(rare, F.lit(2))["n"] > F.try_element_at(rare, F.lit(1))["n"])
+    untagged = F.when((F.size(marks) >= 4) & alone, F.try_element_at(rare, F.lit(1))["m"])
+    return F.when(F.size(q4) > 0, F.array_max(per_month)["m"]).otherwise(untagged)
+
+
 def fye_month(records: DataFrame, keys=SERIES) -> DataFrame:
-    """Fiscal-year-end month: the modal month of Q4 records, else the uniquely rarest month of four or more."""
-    per = records.groupBy(*keys, F.month("period_end_date").alias("m")).agg(
-        F.count(F.lit(1)).alias("cnt"),
-        F.sum(F.when(F.upper("fiscal_period") == "Q4", 1).otherwise(0)).alias("q4"),
-        F.max(F.when(F.upper("fiscal_period") == "Q4", F.col("period_end_date"))).alias("_seen"),
-    )
-    win = Window.partitionBy(*keys)
-    per = per.withColumn("_min", F.min("cnt").over(win))
-    g = per.groupBy(*keys).agg(
-        F.sum("cnt").alias("total"), F.sum("q4").alias("q4_total"),
-        F.max_by("m", F.struct("q4", "_seen")).alias("q4_month"),
-        F.count(F.when(F.col("cnt") == F.col("_min"), 1)).alias("ties"),
-        F.max(F.when(F.col("cnt") == F.col("_min"), F.col("m"))).alias("rare"),
-    )
-    rare = F.when((F.col("total") >= 4) & (F.col("ties") == 1), F.col("rare"))
-    return g.select(*keys, F.when(F.col("q4_total") > 0, F.col("q4_month")).otherwise(rare).alias("fye_month"))
+    marked = records.groupBy(*keys).agg(period_marks().alias("_marks"))
+    return marked.select(*keys, fye_from_marks("_marks").alias("fye_month"))
 
 
 def annual_end_inferred(latest: Column, fye: Column, filed: Column) -> tuple[Column, Column]:

@@ -482,11 +482,9 @@ for _n, _c in GROUPS.items():
 
 @query("shares_outstanding", f"""SELECT {SER}, round(coalesce({S.PAID_UP}/nullif({S.FACE},0), weighted_average_shares_basic, any_shares),4) AS shares_outstanding FROM v_cfwd JOIN v_minputs USING ({SER}) WHERE rn=1""")
 def shares_outstanding(v):
-    recs = _recs(v)
-    inputs = M.series_inputs(recs).select(*ST.SERIES, "_any_shares", "_newest")
-    d = recs.join(inputs, ST.SERIES).filter(F.col("period_end_date") == F.col("_newest"))
+    inputs = M.series_inputs(_recs(v)).select(*ST.SERIES, "_any_shares", "_latest.*")
     sh = F.coalesce(RT.shares_from_capital(), "weighted_average_shares_basic", "_any_shares")
-    return d.select(*ST.SERIES, F.round(sh, 4).alias("shares_outstanding"))
+    return inputs.select(*ST.SERIES, F.round(sh, 4).alias("shares_outstanding"))
 
 
 view("v_syms", "SELECT 'S'||s_suppkey AS symbol FROM supplier UNION SELECT 'C'||c_custkey FROM customer")
