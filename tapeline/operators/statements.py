@@ -133,16 +133,15 @@ def period_marks() -> Column:
 
 def fye_from_marks(marks: str) -> Column:
     """Fiscal-year-end month: the modal month of Q4 records (newest wins ties), else the uniquely rarest month of four or more."""
-    q4 = F.filter(marks, lambda x: x["q4"])
     per_month = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda m: F.struct(
-        F.size(F.filter(q4, lambda x: x["m"] == m)).alias("n"),
-        F.array_max(F.transform(F.filter(q4, lambda x: x["m"] == m), lambda x: x["d"])).alias("seen"), m.alias("m")))
+        F.size(F.filter(marks, lambda x: x["q4"] & (x["m"] == m))).alias("n"),
+        F.array_max(F.transform(F.filter(marks, lambda x: x["q4"] & (x["m"] == m)), lambda x: x["d"])).alias("seen"), m.alias("m")))
     counts = F.filter(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda m: F.struct(
         F.size(F.filter(marks, lambda x: x["m"] == m)).alias("n"), m.alias("m"))), lambda c: c["n"] > 0)
     rare = F.array_sort(counts)
     alone = (F.size(rare) == 1) | (F.try_element_at(rare, F.lit(2))["n"] > F.try_element_at(rare, F.lit(1))["n"])
     untagged = F.when((F.size(marks) >= 4) & alone, F.try_element_at(rare, F.lit(1))["m"])
-    return F.when(F.size(q4) > 0, F.array_max(per_month)["m"]).otherwise(untagged)
+    return F.when(F.exists(marks, lambda x: x["q4"]), F.array_max(per_month)["m"]).otherwise(untagged)
 
 
 def fye_month(records: DataFrame, keys=SERIES) -> DataFrame:
