@@ -114,9 +114,15 @@ def parse_value_number(c) -> Column:
     return to_float(parse_value(c))
 
 
+# Word boundaries inside a tag name.
+WORD_STARTS = ("(.)([A-Z][a-z]+)", "([a-z0-9])([A-Z])")
+
+
 def camel_to_snake(c) -> Column:
-    s = F.regexp_replace(col(c), "(.)([A-Z][a-z]+)", "$1_$2")
-    return F.lower(F.regexp_replace(s, "([a-z0-9])([A-Z])", "$1_$2"))
+    out = col(c)
+    for boundary in WORD_STARTS:
+        out = F.regexp_replace(out, boundary, "$1_$2")
+    return F.lower(out)
 
 
 def clean_edges(c) -> Column:

@@ -35,10 +35,8 @@ def statement_columns(statement: str) -> list[str]:
 
 
 def snake(tag: str) -> str:
-    """The column name of a catalog tag (same rule as ``camel_to_snake``, for naming columns on the driver)."""
-    import re
-
-    return re.sub("([a-z0-9])([A-Z])", r"\1_\2", re.sub("(.)([A-Z][a-z]+)", r"\1_\2", tag)).lower()
+    """Column name of a catalog tag, for naming columns on the driver (catalog tags hold no acronyms)."""
+    return "".join(f"_{ch.lower()}" if ch.isupper() else ch for ch in tag).lstrip("_")
 
 
 def parse_filings(filings: DataFrame, xml: str = "xml") -> DataFrame:
