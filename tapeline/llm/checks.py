@@ -36,3 +36,20 @@ items AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
+
+LINE_DEDUP_SQL = """
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS w FROM documents),
+l AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS s FROM d),
+c AS (
+  SELECT doc_id, i, s, len(list_filter(string_split_regex(s, '[ \\t\\n\\x0b\\x0c\\r]+'), lambda x: x <> '')) AS n,
+    CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS upto FROM l),
+b AS (SELECT a.doc_id, a.i, min(z.i) AS e FROM c a JOIN c z ON a.doc_id = z.doc_id AND z.i >= a.i AND z.upto - (a.upto - a.n) >= 50 GROUP BY 1, 2),
+r AS (SELECT b.doc_id, b.i, b.e, list_slice(w, b.i, b.e) AS k FROM b JOIN d USING (doc_id)),
+x AS (SELECT doc_id, i, e, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS o FROM r),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, e + 1)) AS i FROM x WHERE o > 1),
+k AS (
+  SELECT c.doc_id, count(*) AS n_lines, count(g.i) AS n_removed, coalesce(string_agg(CASE WHEN g.i IS NULL THEN c.s END, chr(10) ORDER BY c.i), '') AS t
+  FROM c LEFT JOIN g ON c.doc_id = g.doc_id AND c.i = g.i GROUP BY c.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CAST(CASE WHEN d.text IS NOT NULL THEN strlen(t) END AS BIGINT) AS clean_bytes,
+  CASE WHEN d.text IS NOT NULL THEN sha256(t) END AS clean_sha256
+FROM d LEFT JOIN k USING (doc_id)"""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,17 +35,17 @@ def fold(id_column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("null")).cast("binary")) % modulus
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Slices of the batches with their texts as bytes, each of about PIECE_BYTES of text (one row at least)."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Slices of the batches with their texts as bytes, each of about ``size`` bytes of text (one row at least)."""
     for batch in batches:
         texts = batch.column(batch.schema.names.index(column)).cast(pa.binary())
         start, held = 0, 0
-        sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
-        for i, size in enumerate(sizes):
-            if held and held + size > PIECE_BYTES:
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+        for i, own in enumerate(sizes):
+            if held and held + own > size:
                 yield batch.slice(start, i - start), texts.slice(start, i - start).to_pylist()
                 start, held = i, 0
-            held += size + 1
+            held += own + 1
         if start < len(sizes):
             yield batch.slice(start), texts.slice(start).to_pylist()
 
@@ -66,3 +68,8 @@ def narrow(df: DataFrame, *columns: str) -> DataFrame:
 def checked_broadcast(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:
     """Broadcast hint for a side whose row count was proven to be at most ``limit``; else left to the optimizer."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def broadcast_model(spark: SparkSession, model: object) -> Broadcast:
+    """A model of bounded size as pickled bytes that hold their classes; tasks read it with ``pickle.loads``."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))

@@ -241,6 +241,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sl
         ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """The documents that aren't contaminated; same columns. Only keys of the contaminated ones meet the texts."""
+    bad = decontaminate(docs, benchmark, width).where("contaminated").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("text_key").alias("_key")).distinct()
+    key = F.when(F.col("text").isNull(), F.lit(b"")).otherwise(F.unhex(F.md5("text")))
+    d = docs.withColumns({"_id": F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), "_key": key})
+    return d.join(bad, ["_id", "_key"], "left_anti").select(*docs.columns)
+
+
 def digest(result: DataFrame) -> DataFrame:
     return result.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),

@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeline.llm.common import map_texts
@@ -30,6 +30,7 @@ SHINGLE = 3
 SEGMENTS = 4
 #: Fingerprints of a tile that are compared at once; larger tiles are several blocks.
 BLOCK = 4096
+NO_ID = -(1 << 63)
 
 def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
     """64-bit SimHash over the XXH64 (seed 42) of word shingles, repeats included."""
@@ -56,14 +57,15 @@ def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > m, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and its fingerprint as a long (the 64 bits)."""
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and the fingerprint as a long (the 64 bits)."""
+    kinds = dict(docs.dtypes)
 
     def run(piece: pa.RecordBatch, texts: list) -> pa.RecordBatch:
         fp = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([piece.column(0), pa.array(fp)], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([*piece.columns[: len(keep)], pa.array(fp)], [*keep, "fp"])
 
-    return map_texts(docs.select("doc_id", "text"), "doc_id long, fp long", run)
+    return map_texts(docs.select(*keep, "text"), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "fp long"]), run)
 
 
 def _near_tiles(segments: int, radius: int) -> np.ndarray:
@@ -173,12 +175,35 @@ def components(edges: DataFrame) -> DataFrame:
         mark = seen
 
 
+def _components_of(own: DataFrame, radius: int) -> DataFrame:
+    """fp and component_id (the smallest id among all rows of the component) of every fingerprint."""
+    first = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(links(first.select("fp"), radius))
+    rooted = first.join(roots, first.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest id reachable) of every document."""
     spark = docs.sparkSession
     own = cut_lineage(spark, fingerprints(docs))
-    first = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(first.select("fp"), radius))
-    rooted = first.join(roots, first.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    named = _components_of(own, radius).drop("root")
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row of each component, the one that comes first by id and text hash; same columns.
+
+    Winners are found on narrow rows. The documents are joined to them by id and text hash;
+    rows equal in both are numbered in the same place, and one stays.
+    """
+    spark = docs.sparkSession
+    d = docs.withColumn("_key", F.xxhash64("text"))
+    own = cut_lineage(spark, fingerprints(d, ("doc_id", "_key")))
+    first = own.groupBy("fp").agg(F.min(F.struct("doc_id", "_key")).alias("first"))
+    roots = _components_of(own, radius).select("fp", "root")
+    winners = first.join(roots, "fp").groupBy("root").agg(F.min("first").alias("w")).select(
+        F.coalesce(F.col("w.doc_id"), F.lit(NO_ID)).alias("_id"), F.col("w._key").alias("_key"))
+    same = Window.partitionBy("_id", "_key").orderBy(F.lit(0))
+    kept = d.withColumn("_id", F.coalesce(F.col("doc_id"), F.lit(NO_ID))).join(winners, ["_id", "_key"], "left_semi")
+    return kept.withColumn("_n", F.row_number().over(same)).where("_n = 1").select(*docs.columns)

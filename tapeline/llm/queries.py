@@ -6,15 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeline.llm import chat, decontamination, near_dup, sharding, token_counts
-from tapeline.llm.checks import CHAT_SQL, DECONTAMINATION_SQL
+from tapeline.llm import chat, decontamination, language_id, line_dedup, mixing, near_dup, quality_rules, sharding, token_counts, toxicity
+from tapeline.llm.checks import CHAT_SQL, DECONTAMINATION_SQL, LINE_DEDUP_SQL
 from tapeline.llm.common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.line_dedup(table(spark, sf_dir, "documents")))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    domains = mixing.label_domains(table(spark, sf_dir, "labels"))
+    mixed, _ = mixing.mix(table(spark, sf_dir, "documents"), domains)
+    return mixing.digest(mixed, sorted(mixing.TARGETS))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -24,6 +42,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(d, keep=["doc_id"])
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.histogram(token_counts.encoded_lengths(table(spark, sf_dir, "documents")))
 
@@ -34,6 +56,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_decontamination, op6_simhash, op7_sharding, op9_token_counts, op10_chat_format)
+    f.__name__: f
+    for f in (op1_line_dedup, op2_mixing, op3_decontamination, op4_toxicity, op5_language_id, op6_simhash, op7_sharding, op8_quality_rules, op9_token_counts, op10_chat_format)
 }
-ORACLES: dict[str, str] = {"op3_decontamination": DECONTAMINATION_SQL, "op10_chat_format": CHAT_SQL}
+#: The other queries rest on trained models, an external vocabulary or hashes that the SQL engine lacks.
+ORACLES: dict[str, str] = {"op1_line_dedup": LINE_DEDUP_SQL, "op3_decontamination": DECONTAMINATION_SQL, "op10_chat_format": CHAT_SQL}
