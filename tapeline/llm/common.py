@@ -60,14 +60,14 @@ def map_texts(df: DataFrame, schema: str, per_piece: Callable[[pa.RecordBatch, l
     return df.mapInArrow(run, schema)
 
 
-def narrow(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, whatever others the table has."""
-    return df.select(*columns)
-
-
-def checked_broadcast(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:
-    """Broadcast hint for a side whose row count was proven to be at most ``limit``; else left to the optimizer."""
-    return F.broadcast(df) if rows <= limit else df
+def neutral(docs: DataFrame, *own: str) -> tuple[DataFrame, list[Column]]:
+    """The table with neutral names for all columns but ``own``, and the columns that restore the old names and order.
+
+    Operators that carry whole rows work on it, so no column of a caller clashes with theirs.
+    """
+    names = {c: f"carried{i}" for i, c in enumerate(docs.columns) if c not in own}
+    d = docs.select(*own, *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return d, [F.col(names.get(c, c)).alias(c) for c in docs.columns]
 
 
 def broadcast_model(spark: SparkSession, model: object) -> Broadcast:

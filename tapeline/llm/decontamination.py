@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import lower_words, map_texts
+from tapeline.llm.common import lower_words, map_texts, neutral
 from tapeline.session import new_run_dir
 
 WINDOW = 13
@@ -84,7 +84,7 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
         cols = [piece.column(0), pa.array(keys, pa.binary()), pa.array(n_words, pa.int64()), *map(_lists, (terms, ends, positions))]
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "n_words", "terms", "ends", "positions"])
 
-    return map_texts(docs.select("doc_id", "text"), INDEX, run)
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), INDEX, run)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -245,8 +245,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFra
     """The documents that aren't contaminated; same columns. Only keys of the contaminated ones meet the texts."""
     bad = decontaminate(docs, benchmark, width).where("contaminated").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("text_key").alias("_key")).distinct()
     key = F.when(F.col("text").isNull(), F.lit(b"")).otherwise(F.unhex(F.md5("text")))
-    d = docs.withColumns({"_id": F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), "_key": key})
-    return d.join(bad, ["_id", "_key"], "left_anti").select(*docs.columns)
+    d, restored = neutral(docs, "doc_id", "text")
+    d = d.withColumns({"_id": F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), "_key": key})
+    return d.join(bad, ["_id", "_key"], "left_anti").select(*restored)
 
 
 def digest(result: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import broadcast_model, fold, pieces
+from tapeline.llm.common import broadcast_model, fold, neutral, pieces
 
 MAX_LANGUAGES, PER_LANGUAGE, SAMPLE_WORDS = 64, 250, 400
 FOLDS, HELD_OUT = 4, 2
@@ -263,8 +263,6 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, least_score: float) -> DataFrame:
     """The documents that have a language with at least this score; same columns, no shuffle."""
-    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # own columns may be named like the results
-    d = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items() if c != "text"], "text")
-    chain = fit(docs)
-    found = predict(d, chain, tuple(d.columns)).where((F.col("lang_pred") != "und") & (F.col("score") >= least_score))
-    return found.select(*[F.col("text" if c == "text" else n).alias(c) for c, n in names.items()])
+    d, restored = neutral(docs, "text")
+    found = predict(d, fit(docs), tuple(d.columns))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select(*restored)

@@ -15,7 +15,7 @@ Edge cases: null texts have no lines and stay null; lines without a word count a
 as words; copies within a document and overlapping copies are deleted too; rows equal in id and
 text are one document read several times and get the same result; null ids come first in the
 order; an empty table gives no rows; other columns are ignored by ``dedup_runs`` and carried by
-``delete_runs``.
+``delete_runs``, which replaces those named like its results.
 """
 
 from __future__ import annotations
@@ -25,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import pieces
+from tapeline.llm.common import neutral, pieces
 from tapeline.session import cut_lineage
 
 #: Words that a repeated run must have.
 MIN_WORDS = 50
 NO_ID = -(1 << 63)
+MADE = ["clean_text", "n_lines", "n_removed"]
 LINES = "doc long, text_key long, line int, id1 long, id2 long, need int"
 DOC = ["doc", "text_key"]
 
@@ -83,14 +84,17 @@ def _places(groups: DataFrame, within: list[str], key: list[str], bucket: Column
 
 
 def _first_ranks(lines: DataFrame) -> DataFrame:
-    """Suffixes at repeated lines, ranked by their first line (the alphabet is ordered by hash)."""
+    """Suffixes at repeated lines, ranked by their first line (the alphabet is ordered by hash).
+
+    A document that is read several times leaves its suffixes once.
+    """
     groups = lines.groupBy("id1", "id2").agg(F.count("*").alias("n")).where("n > 1")
     # 4096 buckets of the first hash: they are summed along the order in one small window
     groups = groups.withColumn("top", F.shiftright("id1", 52))
     tops = groups.groupBy("top").agg(F.sum("n").alias("_n"))
     tops = tops.select("top", F.coalesce(F.sum("_n").over(Window.orderBy("top").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     ranked = _places(groups, ["top"], ["id1", "id2"], F.shiftright("id1", 44)).join(F.broadcast(tops), "top")
-    return lines.join(ranked.select("id1", "id2", (F.col("start") + F.col("before")).alias("rank")), ["id1", "id2"]).select(*DOC, "line", "need", "rank")
+    return lines.join(ranked.select("id1", "id2", (F.col("start") + F.col("before")).alias("rank")), ["id1", "id2"]).select(*DOC, "line", "need", "rank").dropDuplicates([*DOC, "line"])
 
 
 def _ahead(suffixes: DataFrame, by: Column) -> DataFrame:
@@ -148,10 +152,9 @@ def delete_runs(docs: DataFrame, later: DataFrame) -> DataFrame:
     document has lines.
     """
     marks = later.groupBy(*DOC).agg(F.collect_list("line").alias("_at"), F.collect_list("need").alias("_need"))
-    d = docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "text_key": F.xxhash64("text")}).join(marks, DOC, "left")
-    schema = "clean_text string, n_lines long, n_removed long"
-    names = [c for c in docs.columns if c not in ("clean_text", "n_lines", "n_removed")]
-    d = d.select(*names, *[c for c in ("text", "_at", "_need") if c not in names])
+    named, restored = neutral(docs, "doc_id", "text")
+    names, kinds = named.columns, dict(named.dtypes)
+    d = named.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "text_key": F.xxhash64("text")}).join(marks, DOC, "left").select(*names, "_at", "_need")
 
     def run(batches):
         for piece, texts in pieces(batches):
@@ -169,10 +172,10 @@ def delete_runs(docs: DataFrame, later: DataFrame) -> DataFrame:
                 removed.append(int(gone.sum()))
                 clean.append(text if not gone.any() else b"\n".join(x for x, g in zip(own, gone) if not g))
             made = [pa.array(clean, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*[piece.column(piece.schema.names.index(c)) for c in names], *made], [*names, "clean_text", "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*[piece.column(piece.schema.names.index(c)) for c in names], *made], [*names, *MADE])
 
-    kinds = dict(docs.dtypes)
-    return d.mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in names], schema]))
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in names], "clean_text string, n_lines long, n_removed long"])
+    return d.mapInArrow(run, schema).select(*[c for c, n in zip(restored, docs.columns) if n not in MADE], *MADE)
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

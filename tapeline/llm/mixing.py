@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import broadcast_model, lower_words, pieces
+from tapeline.llm.common import broadcast_model, lower_words, neutral, pieces
 from tapeline.session import cut_lineage
 
 UNITS = 100
@@ -266,9 +266,10 @@ def copies(rate: Column, *keys: str) -> Column:
 
 def resample(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """The documents, each as often as its rate says; same columns."""
-    d, _ = mix(docs, domains, targets, tuple(docs.columns))
+    named, restored = neutral(docs, "doc_id", "text")
+    d, _ = mix(named, domains, targets, tuple(named.columns))
     many = d.withColumn("_copies", copies(F.col("rate"), "doc_id", "text")).where("_copies > 0")
-    return many.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return many.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*restored)
 
 
 def digest(d: DataFrame, names: list[str]) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import map_texts
+from tapeline.llm.common import map_texts, neutral
 from tapeline.session import cut_lineage
 
 RADIUS = 2
@@ -116,7 +116,7 @@ def links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, block:
     """
     width = 64 // segments
     fps = fps.select("fp").distinct()
-    counts = [F.bit_count(F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << width) - 1))) for i in range(segments)]
+    counts = [F.bit_count(F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))) for i in range(segments)]
     tile = F.lit(0).cast("long")
     for c in counts:
         tile = tile * 128 + c + 32  # room for visits beyond either end
@@ -198,12 +198,13 @@ def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows equal in both are numbered in the same place, and one stays.
     """
     spark = docs.sparkSession
-    d = docs.withColumn("_key", F.xxhash64("text"))
-    own = cut_lineage(spark, fingerprints(d, ("doc_id", "_key")))
-    first = own.groupBy("fp").agg(F.min(F.struct("doc_id", "_key")).alias("first"))
+    d, restored = neutral(docs, "doc_id", "text")
+    d = d.withColumn("text_key", F.xxhash64("text"))
+    own = cut_lineage(spark, fingerprints(d, ("doc_id", "text_key")))
+    first = own.groupBy("fp").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
     roots = _components_of(own, radius).select("fp", "root")
     winners = first.join(roots, "fp").groupBy("root").agg(F.min("first").alias("w")).select(
-        F.coalesce(F.col("w.doc_id"), F.lit(NO_ID)).alias("_id"), F.col("w._key").alias("_key"))
-    same = Window.partitionBy("_id", "_key").orderBy(F.lit(0))
-    kept = d.withColumn("_id", F.coalesce(F.col("doc_id"), F.lit(NO_ID))).join(winners, ["_id", "_key"], "left_semi")
-    return kept.withColumn("_n", F.row_number().over(same)).where("_n = 1").select(*docs.columns)
+        F.coalesce(F.col("w.doc_id"), F.lit(NO_ID)).alias("id"), F.col("w.text_key").alias("text_key"))
+    same = Window.partitionBy("id", "text_key").orderBy(F.lit(0))
+    kept = d.withColumn("id", F.coalesce(F.col("doc_id"), F.lit(NO_ID))).join(winners, ["id", "text_key"], "left_semi")
+    return kept.withColumn("n", F.row_number().over(same)).where("n = 1").select(*restored)

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeline.llm.common import neutral
+
 BITS = 5
 #: Rows numbered together, on average; more rows in a cell make more buckets.
 BUCKET_ROWS = 20_000
@@ -76,12 +78,13 @@ def assign(docs: DataFrame, shards: int = 16, bits: int = BITS, bucket_rows: int
     def cell(lang: pd.Series, source: pd.Series, size: pd.Series) -> pd.Series:
         return pd.Series(hilbert_numbers(np.stack([lang, source, size], axis=1), bits))
 
-    d = docs.drop(*OUTPUTS)
+    d, _ = neutral(docs, "doc_id", "text", "lang", "source")
     d = d.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)
     d = d.withColumn("text_crc32", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     d = d.withColumn("curve", cell(*quantised(bits)))
     kept = [c for c in (docs.columns if keep is None else keep) if c not in OUTPUTS]
-    d = d.select(*dict.fromkeys([*kept, "doc_id", "size", "text_crc32", "curve"]))
+    own = [c if c in d.columns else f"carried{docs.columns.index(c)}" for c in kept]
+    d = d.select(*dict.fromkeys([*own, "doc_id", "size", "text_crc32", "curve"]))
 
     sizes = d.groupBy("curve").agg(F.count("*").alias("_n"))  # as many rows as cells at most
     along = Window.orderBy("curve").rowsBetween(Window.unboundedPreceding, -1)
@@ -107,7 +110,7 @@ def assign(docs: DataFrame, shards: int = 16, bits: int = BITS, bucket_rows: int
     d = d.withColumn("shard", shard.cast("int"))
     start = F.col("shard") * each + F.least(F.col("shard").cast("long"), more)
     return d.withColumn("slot", (F.col("_at") - start).cast("long")).select(
-        *kept, "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        *[F.col(o).alias(c) for o, c in zip(own, kept)], "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 

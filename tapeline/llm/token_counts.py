@@ -54,7 +54,7 @@ def encoded_lengths(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             n = [len(encode(t.decode())) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long")
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
