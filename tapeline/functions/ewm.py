@@ -1,15 +1,18 @@
 """Recursive smoothing y[t] = (1-a) y[t-1] + a x[t] as plain window sums.
 
-With d = 1-a a block of B rows has the closed form
-L[j] = d^j * sum(u[i] * d^-i), i <= j, where u is the seed value on the first row
-and a*x after it. The tails of the three blocks before carry over with weights
-d^(j+1), d^(j+1+B), d^(j+1+2B); with B = 256 the next term is below double
-precision for every smoothing used here (a >= 2/27). All windows share one
-partitioning and one sort.
+After a gap of k nulls the old value has aged to weight (1-a)^(k+1) and the average is
+renormalised, so a row keeps the share c = (1-a)^(k+1) / ((1-a)^(k+1) + a) of it; without a
+gap c is 1-a. Inside a block of B rows, with C[j] the product of the shares so far,
+L[j] = C[j] * sum(u[i] / C[i]), i <= j, where u is the seed value on the first row and
+(1-c) x after it. The ends of all blocks before carry over: they are folded in order, each
+weighed by the products of the blocks behind it, so the result is exact for any alpha. All
+windows share one partitioning and one sort.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,45 +30,47 @@ def wilder_alpha(length: int) -> float:
 def ewm(df: DataFrame, series: list[tuple[str, str, float]], keys=("symbol",), order="rn") -> DataFrame:
     """Add one smoothed column per (output, input, alpha).
 
-    ``order`` is the dense 1-based row number of the series. Leading nulls of an
-    input are skipped: the first value seeds the recursion. Interior nulls are not
-    supported here (see ``ewm_fold_last``).
+    ``order`` is the dense 1-based row number of the series. Leading nulls of an input are
+    skipped: the first value seeds the recursion. A row with a null keeps the value before it.
     """
     keys = list(keys)
-    pos = F.col(order) - 1
-    df = df.withColumn("_b", F.floor(pos / BLOCK).cast("int")).withColumn("_j", F.pmod(pos, F.lit(BLOCK)).cast("double"))
+    fastest = max((a for _, _, a in series if a < 1), default=0.0)
+    block = BLOCK if fastest <= 0.9 else max(1, int(-250 / math.log10(1 - fastest)))  # the product stays a double
+    df = df.withColumn("_b", F.floor((F.col(order) - 1) / block).cast("int"))
     inside = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_b", order).rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(*keys).orderBy("_b", order).rowsBetween(Window.unboundedPreceding, 0)
-
-    seeded = {}
-    for i, (_, x, a) in enumerate(series):
-        d = 1.0 - a
-        first = F.count(F.col(x)).over(upto) == 1
-        u = F.when(first & F.col(x).isNotNull(), F.col(x)).otherwise(F.col(x) * a)
-        seeded[f"_u{i}"] = F.coalesce(u, F.lit(0.0)) * F.pow(F.lit(d), -F.col("_j"))
-        seeded[f"_s{i}"] = F.count(F.col(x)).over(upto) > 0
-    df = df.withColumns(seeded)
-    df = df.withColumns(
-        {f"_l{i}": F.sum(f"_u{i}").over(inside) * F.pow(F.lit(1.0 - a), F.col("_j")) for i, (_, _, a) in enumerate(series)}
-    )
-    is_tail = F.col("_j") == BLOCK - 1
-    src = {i: f"_l{i}" for i in range(len(series))}
-    for depth in (1, 2, 3):
-        df = df.withColumns(
-            {f"_c{depth}_{i}": F.last(F.when(is_tail, F.col(src[i])), ignorenulls=True).over(before) for i in src}
-        )
-        src = {i: f"_c{depth}_{i}" for i in src}
-    outs = {}
-    for i, (name, _, a) in enumerate(series):
-        d = 1.0 - a
-        carry = F.lit(0.0)
-        for depth in (1, 2, 3):
-            carry = carry + F.coalesce(F.col(f"_c{depth}_{i}"), F.lit(0.0)) * (d ** (BLOCK * (depth - 1)))
-        outs[name] = F.when(F.col(f"_s{i}"), F.col(f"_l{i}") + F.pow(F.lit(d), F.col("_j") + 1) * carry)
-    df = df.withColumns(outs)
-    tmp = [c for c in df.columns if c in ("_b", "_j") or c[:2] in ("_u", "_s", "_l", "_c") and c[2:3].isdigit()]
-    return df.drop(*tmp)
+
+    def every(make) -> DataFrame:
+        made = {}
+        for i, (_, x, a) in enumerate(series):
+            made.update(make(i, F.col(x), min(a, 1.0), max(1.0 - a, 0.0)))
+        return df.withColumns(made)
+
+    df = every(lambda i, x, a, d: {f"_g{i}": F.col(order) - F.last(F.when(x.isNotNull(), F.col(order)), ignorenulls=True).over(before)})
+
+    def shares(i, x, a, d):
+        gap, old = F.col(f"_g{i}"), F.pow(F.lit(d), F.col(f"_g{i}"))
+        far = x.isNotNull() & (gap > 1)
+        u = F.when(gap.isNull(), x).when(far, x * a / (old + a)).otherwise(x * a)
+        return {f"_u{i}": F.coalesce(u, F.lit(0.0)), f"_n{i}": F.when(x.isNotNull() & (gap == 1), 1).otherwise(0),
+                f"_e{i}": F.when(far, F.greatest(gap * math.log(d), F.lit(-60.0)) - F.log(old + a)).otherwise(0.0) if d else F.lit(0.0), f"_s{i}": x.isNotNull() | gap.isNotNull()}
+
+    df = every(shares)
+    # the product of the shares is kept as a power and, for rows behind gaps, a sum of logarithms
+    df = every(lambda i, x, a, d: {f"_c{i}": F.pow(F.lit(d), F.sum(f"_n{i}").over(inside)) * F.exp(F.sum(f"_e{i}").over(inside))} if d else {})
+    df = every(lambda i, x, a, d: {f"_l{i}": F.col(f"_c{i}") * F.sum(F.col(f"_u{i}") / F.col(f"_c{i}")).over(inside)} if d else {})
+    is_tail = F.pmod(F.col(order), F.lit(block)) == 0
+    df = every(lambda i, x, a, d: {f"_t{i}": F.collect_list(F.when(is_tail, F.struct(F.col(f"_l{i}").alias("l"), F.col(f"_c{i}").alias("c")))).over(before)} if d else {})
+
+    def result(i, x, a, d):
+        name = series[i][0]
+        if not d:  # nothing is remembered
+            return {name: F.coalesce(x, F.last(x, ignorenulls=True).over(before))}
+        carried = F.aggregate(f"_t{i}", F.lit(0.0), lambda acc, t: acc * t["c"] + t["l"])
+        return {name: F.when(F.col(f"_s{i}"), F.col(f"_l{i}") + F.col(f"_c{i}") * carried)}
+
+    df = every(result)
+    return df.drop("_b", *[f"_{k}{i}" for k in "gunescltp" for i in range(len(series))])
 
 
 def ewm_fold_last(values: Column, alpha: float) -> Column:

@@ -379,6 +379,15 @@ def ema(v):
     return rounded(I.ema(R.number_rows(v.bars)), KEYCOLS, ["ema_12", "ema_26"])
 
 
+view("v_rec_long", recursion("v_move", "v_rec_long", {f"e{n}": ("close", f"(2.0::DOUBLE/{n + 1})") for n in (50, 200, 400)}))
+
+
+@query("ema_long", "SELECT s.symbol, s.date, round(e50,6) AS ema_50, round(e200,6) AS ema_200, round(e400,6) AS ema_400 FROM v_move s JOIN v_rec_long e ON s.symbol=e.symbol AND s.rn=e.rn")
+def ema_long(v):
+    """Long memories: the whole history counts."""
+    return rounded(I.ema(R.number_rows(v.bars), (50, 200, 400)), KEYCOLS, ["ema_50", "ema_200", "ema_400"])
+
+
 @query("rsi", "SELECT symbol, date, round(rsi,6) AS rsi_14 FROM v_dx")
 def rsi(v):
     return rounded(I.rsi(R.number_rows(v.bars)), KEYCOLS, ["rsi_14"])

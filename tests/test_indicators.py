@@ -230,3 +230,19 @@ def test_report_has_all_sections(spark):
     for r in rep:
         if r.payload is not None:
             json.loads(r.payload)
+
+
+def test_smoothing_is_exact_for_long_spans_and_gaps(spark):
+    rng = np.random.default_rng(3)
+    x = np.cumsum(rng.normal(size=3000)) + 75
+    gaps = np.where(rng.random(3000) < 0.2, np.nan, x)
+    gaps[500:1200] = np.nan
+    gaps[:2] = np.nan
+    rows = [(g, i + 1, None if np.isnan(v) else float(v)) for g, s in (("whole", x), ("gaps", gaps)) for i, v in enumerate(s)]
+    df = spark.createDataFrame(rows, "symbol string, rn int, x double")
+    spans = (1, 1.05, 2, 12, 26, 100, 200, 400)
+    got = ewm(df, [(f"y{i}", "x", 2 / (n + 1)) for i, n in enumerate(spans)]).orderBy("symbol", "rn").toPandas()
+    for g, s in (("whole", x), ("gaps", gaps)):
+        for i, n in enumerate(spans):
+            want = pd.Series(s).ewm(span=n, adjust=False).mean().to_numpy()
+            assert np.allclose(got[got.symbol == g][f"y{i}"], want, rtol=1e-10, equal_nan=True), (g, n)
