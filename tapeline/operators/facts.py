@@ -39,39 +39,60 @@ def snake(tag: str) -> str:
     return "".join(f"_{ch.lower()}" if ch.isupper() else ch for ch in tag).lstrip("_")
 
 
-def parse_filings(filings: DataFrame, xml: str = "xml") -> DataFrame:
-    """Facts of XML instances: contexts resolved, period end taken from the scheme-level end date.
+_NAME = r"(?:[\w.-]+:)?"
 
-    ``filings`` has ``symbol``, ``filing_id`` and the document text. Namespace
-    prefixes are kept by the parser, so context dates and scheme-level elements stay
-    apart; only direct children of the root carrying a context are facts.
-    """
-    ctx = "struct<_id:string,`xbrli:entity`:struct<`xbrli:identifier`:string>,`xbrli:period`:struct<`xbrli:startDate`:string,`xbrli:endDate`:string,`xbrli:instant`:string>>"
-    unit = "struct<_id:string,`xbrli:measure`:string>"
-    value = "array<struct<_VALUE:string,_contextRef:string>>"
-    tags = [t[1] for t in S.TAG_CATALOG if t[0] != "metadata"]
-    schema = f"`xbrli:context` array<{ctx}>, `xbrli:unit` array<{unit}>, `in:endDate` array<struct<_VALUE:string,_contextRef:string>>, " + ", ".join(
-        f"`in:{t}` {value}" for t in tags
-    )
-    d = filings.select("symbol", "filing_id", F.from_xml(F.col(xml), schema).alias("x"))
-    contexts = F.map_from_entries(F.transform("x.xbrli:context", lambda c: F.struct(c["_id"], F.struct(
-        c["xbrli:entity"]["xbrli:identifier"].alias("entity"), c["xbrli:period"]["xbrli:startDate"].alias("start_date"),
-        c["xbrli:period"]["xbrli:endDate"].alias("end_date"), c["xbrli:period"]["xbrli:instant"].alias("instant_date")))))
 
-    def tagged(tag):
-        def row(f):
-            return F.struct(F.lit(tag).alias("tag"), F.trim(f["_VALUE"]).alias("value"), f["_contextRef"].alias("context_ref"))
+def _subtree(*names: str) -> str:
+    """Pattern of whole elements with these local names, whatever their prefix."""
+    return rf"(?s)<({_NAME}(?:{'|'.join(names)}))(?=[\s>])[^>]*(?<!/)>.*?</\1\s*>"
+
+
+def _plain(text: Column) -> Column:
+    """Text content without entities and outer blanks; an empty one is null."""
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    return F.nullif(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit(""))
+
+
+def _attribute(element: Column, name: str) -> Column:
+    return F.nullif(F.regexp_extract(element, rf"""^<[^>]*?\s{name}\s*=\s*["']([^"']*)["']""", 1), F.lit(""))
+
 
-        return F.transform(F.coalesce(F.col("x")[f"in:{tag}"], F.array().cast(value)), row)
+def _inner(element: Column, *names: str) -> Column:
+    """Text of the last leaf below ``element`` that has one of these local names."""
+    found = F.regexp_extract_all(element, F.lit(rf"<{_NAME}(?:{'|'.join(names)})(?:\s[^>]*)?>([^<]*)</"), F.lit(1))
+    return _plain(F.try_element_at(found, F.lit(-1)))
 
-    facts = F.flatten(F.array(*[tagged(t) for t in tags]))
-    scheme_end = F.try_element_at("x.in:endDate", F.lit(-1))["_VALUE"]
-    any_end = F.try_element_at(F.filter(F.transform("x.xbrli:context", lambda c: c["xbrli:period"]["xbrli:endDate"]), lambda e: e.isNotNull()), F.lit(-1))
-    d = d.select("symbol", "filing_id", contexts.alias("ctx"), F.coalesce(scheme_end, any_end).cast("date").alias("period_end"),
-                 F.try_element_at("x.xbrli:unit", F.lit(1))["xbrli:measure"].alias("currency"), F.posexplode(facts).alias("ord", "f"))
-    c = F.try_element_at("ctx", F.col("f.context_ref"))
-    return d.select("symbol", "filing_id", "period_end", "currency", "ord", "f.tag", "f.value", "f.context_ref",
-                    F.coalesce(c["entity"], F.col("symbol")).alias("entity"), *[c[x].cast("date").alias(x) for x in ("start_date", "end_date", "instant_date")])
+
+def parse_filings(filings: DataFrame, xml: str = "xml") -> DataFrame:
+    """Facts of XML instances in document order: every root child with a text, by local name.
+
+    ``filings`` has ``symbol``, ``filing_id`` and the document text. Any namespace prefix will
+    do. Contexts and units (and footnote links) are no facts; contexts give a fact its entity
+    and dates, and a later context of the same id replaces an earlier one. The period end is the
+    last ``endDate`` on the root level, else the last one of the document. ``ord`` is the fact's
+    place; the catalog is joined afterwards, so unknown tags stay.
+    """
+    text = F.regexp_replace(F.col(xml), r"(?s)<!--.*?-->", "")
+    d = filings.select("symbol", "filing_id", text.alias("_xml"))
+    contexts = F.transform(F.regexp_extract_all("_xml", F.lit(_subtree("context")), F.lit(0)), lambda c: F.struct(
+        _attribute(c, "id").alias("id"), _inner(c, "identifier").alias("entity"), _inner(c, "startDate").alias("start_date"),
+        _inner(c, "endDate").alias("end_date"), _inner(c, "instant").alias("instant_date")))
+    unit = F.try_element_at(F.regexp_extract_all("_xml", F.lit(_subtree("unit")), F.lit(0)), F.lit(1))
+    body = F.regexp_replace("_xml", _subtree("context", "unit", "footnoteLink"), "")
+    leaves = F.regexp_extract_all(body, F.lit(rf"<({_NAME}[\w.-]+)(?:\s[^<>]*)?(?<!/)>[^<]*</\1\s*>"), F.lit(0))
+    d = d.select("symbol", "filing_id", F.filter(contexts, lambda c: c["id"].isNotNull()).alias("_contexts"), _inner(unit, "measure").alias("currency"), F.filter(F.transform(leaves, lambda e: F.struct(
+        F.regexp_extract(e, rf"^<{_NAME}([\w.-]+)", 1).alias("tag"), _plain(F.regexp_extract(e, r"(?s)^<[^>]*>(.*)</", 1)).alias("value"),
+        _attribute(e, "contextRef").alias("context_ref"))), lambda e: e["value"].isNotNull()).alias("_facts"))
+    ids = F.array_distinct(F.transform("_contexts", lambda c: c["id"]))
+    by_id = F.map_from_arrays(ids, F.transform(ids, lambda i: F.try_element_at(F.filter("_contexts", lambda c: c["id"] == i), F.lit(-1))))
+    root_end = F.try_element_at(F.filter("_facts", lambda f: f["tag"] == "endDate"), F.lit(-1))["value"]
+    any_end = F.try_element_at(F.filter(F.transform("_contexts", lambda c: c["end_date"]), lambda e: e.isNotNull()), F.lit(-1))
+    d = d.withColumns({"period_end": F.coalesce(root_end, any_end).try_cast("date"), "_by_id": by_id})
+    facts = F.transform("_facts", lambda f: F.struct(f.alias("f"), F.try_element_at("_by_id", f["context_ref"]).alias("c")))
+    d = d.select("symbol", "filing_id", "period_end", "currency", F.posexplode(facts).alias("ord", "e"))
+    return d.select("symbol", "filing_id", "period_end", "currency", "ord", "e.f.tag", "e.f.value", "e.f.context_ref",
+                    F.coalesce("e.c.entity", "symbol").alias("entity"), *[F.col(f"e.c.{x}").try_cast("date").alias(x) for x in ("start_date", "end_date", "instant_date")])
 
 
 def with_tags(facts: DataFrame, dim: DataFrame, how: str = "left") -> DataFrame:
@@ -286,6 +307,27 @@ def income_rows(spark: SparkSession, concepts: DataFrame, annual: bool) -> DataF
     return wide.withColumn("filing_type", F.lit("annual" if annual else "quarterly"))
 
 
+def cashflow_rows(spark: SparkSession, concepts: DataFrame, form: str) -> DataFrame:
+    """Cash-flow rows per period: full years of 10-K, single quarters of 10-Q, or ``Q4``, the rest of the year.
+
+    Operating cash flow fills both of its columns. Every period of the statement has a row, also
+    when none of the columns is tagged.
+    """
+    cash = concepts.filter(F.col("statement") == "cashflow")
+    if form == "Q4":
+        ends = cash.select("symbol", "form", "period_end").distinct()
+        d = q4_values(cash, q4_asof(ends.filter("form = '10-K'"), ends.filter("form = '10-Q'")))
+        d = d.select("symbol", "concept", F.col("annual_period").alias("period_end"), "value")
+    else:
+        d = cash.filter(F.col("form") == form).drop("form", "statement")
+        d = diff_cumulative(d) if form == "10-Q" else d
+    columns = list(S.CASHFLOW_CONCEPTS)
+    values = coalesce_tags(d, concept_dimension(spark, S.CASHFLOW_CONCEPTS))
+    periods = d.select("symbol", "period_end", F.lit(None).cast("string").alias("column"), F.lit(None).cast("double").alias("value"))
+    wide = to_wide(values.select("symbol", "period_end", "column", "value").unionByName(periods), columns)
+    return wide.withColumns({S.OCF_ALIAS: F.col(S.OCF), "filing_type": F.lit("annual" if form == "10-K" else "quarterly")})
+
+
 def balance_rows(spark: SparkSession, concepts: DataFrame) -> DataFrame:
     """Balance rows with the equity split and total equity from liabilities when untagged."""
     d = concepts.filter(F.col("statement") == "balance")

@@ -85,14 +85,18 @@ def page_texts(docs: DataFrame, key: str, text: str, max_chars: int | None = Non
     return d.select(key, F.posexplode(F.split(text, "\n")).alias("p", "text")).select(key, (F.col("p") + 1).alias("page"), "text")
 
 
-def page_numbers(spec) -> Column:
-    """'3,5-9' to the sorted distinct page numbers; a malformed part gives null for the whole spec."""
+def page_numbers(spec, last) -> Column:
+    """'3,5-9' to the sorted distinct page numbers from 1 to ``last``; a malformed part gives null for the whole spec.
+
+    Ranges are cut to the pages that exist before they are expanded.
+    """
     parts = F.filter(F.transform(F.split(col(spec), ","), lambda p: F.trim(p)), lambda p: p != "")
     ok = F.forall(parts, lambda p: p.rlike(r"^\d+(-\d+)?$"))
 
     def expand(p):
-        lo = F.split_part(p, F.lit("-"), F.lit(1)).try_cast("int")
-        hi = F.when(p.contains("-"), F.split_part(p, F.lit("-"), F.lit(2)).try_cast("int")).otherwise(lo)
+        number = lambda i: F.least(F.split_part(p, F.lit("-"), F.lit(i)).cast("decimal(38,0)"), F.lit(2**31 - 1)).cast("int")
+        lo = F.greatest(number(1), F.lit(1))
+        hi = F.least(F.when(p.contains("-"), number(2)).otherwise(number(1)), col(last).cast("int"))
         return F.when(lo <= hi, F.sequence(lo, F.greatest(hi, lo))).otherwise(F.array().cast("array<int>"))
 
     return F.when(ok, F.array_sort(F.array_distinct(F.flatten(F.transform(parts, expand)))))
@@ -101,9 +105,8 @@ def page_numbers(spec) -> Column:
 def select_pages(requests: DataFrame, pages: DataFrame, key: str) -> DataFrame:
     """Requested pages of each document; a request without any existing page gives one error row."""
     n = pages.groupBy(key).agg(F.max("page").alias("num_pages"))
-    r = requests.join(n, key).withColumn("wanted", page_numbers("spec"))
-    inside = F.filter("wanted", lambda p: (p >= 1) & (p <= F.col("num_pages")))
-    r = r.withColumn("page", F.explode_outer(F.when(F.size(inside) > 0, inside)))
+    r = requests.join(n, key).withColumn("wanted", page_numbers("spec", "num_pages"))
+    r = r.withColumn("page", F.explode_outer(F.when(F.size("wanted") > 0, F.col("wanted"))))
     d = r.join(pages, [key, "page"], "left")
     err = F.when(F.col("wanted").isNull(), F.concat(F.lit("Bad page spec '"), F.col("spec"), F.lit("'; use e.g. 3,5-9"))).when(
         F.col("page").isNull(), F.concat(F.lit("No requested page is within 1-"), F.col("num_pages").cast("string")))

@@ -129,41 +129,40 @@ def shareholdings_latest(v):
 
 # -- XML instances ------------------------------------------------------------------------------
 
-_XML_TAGS = ("RevenueFromOperations", "ProfitLossForPeriod", "Assets")
-
-
 def filing_documents(v):
-    """One XML instance per filing, written from the facts."""
+    """One XML instance per filing, written from the facts; filings differ in their namespace prefixes."""
     c = F.col
-    facts = v.facts.filter(c("tag").isin(*_XML_TAGS)).select(
-        "filing_id", "symbol", "period_end", "ord",
-        F.concat(F.lit("<in:"), c("tag"), F.lit(' contextRef="'), c("context_ref"), F.lit('">'), c("value"), F.lit("</in:"), c("tag"), F.lit(">")).alias("el"),
-        "context_ref",
-        F.when(c("instant_date").isNotNull(), F.concat(F.lit("<xbrli:instant>"), c("instant_date").cast("string"), F.lit("</xbrli:instant>"))).otherwise(
-            F.concat(F.lit("<xbrli:startDate>"), c("start_date").cast("string"), F.lit("</xbrli:startDate><xbrli:endDate>"), c("end_date").cast("string"), F.lit("</xbrli:endDate>"))).alias("p"),
-    )
-    ctx = F.concat(F.lit('<xbrli:context id="'), c("context_ref"), F.lit('"><xbrli:entity><xbrli:identifier>'), c("symbol"), F.lit("</xbrli:identifier></xbrli:entity><xbrli:period>"), c("p"), F.lit("</xbrli:period></xbrli:context>"))
-    g = facts.groupBy("filing_id", "symbol", "period_end").agg(
-        F.array_join(F.array_sort(F.collect_set(ctx)), "").alias("ctx"), F.array_sort(F.collect_list(F.struct("ord", "el"))).alias("els"))
-    body = F.array_join(F.transform("els", lambda e: e["el"]), "")
-    xml = F.concat(F.lit('<xbrl xmlns:xbrli="http://www.xbrl.org/2003/instance" xmlns:in="urn:in">'), c("ctx"), F.lit('<xbrli:unit id="INR"><xbrli:measure>INR</xbrli:measure></xbrli:unit>'),
-                   F.lit('<in:endDate contextRef="OneD">'), c("period_end").cast("string"), F.lit("</in:endDate>"), body, F.lit("</xbrl>"))
+    lit = lambda *a: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in a])
+    odd = F.pmod(F.xxhash64("symbol"), F.lit(2)) == 1
+    own, base = F.when(odd, "in-bse-fin:").otherwise("in:"), F.when(odd, "").otherwise("xbrli:")
+    facts = v.facts.select(
+        "filing_id", "symbol", "period_end", "ord", lit("<", own, c("tag"), ' contextRef="', c("context_ref"), '">', c("value"), "</", own, c("tag"), ">").alias("el"), "context_ref",
+        F.when(c("instant_date").isNotNull(), lit("<", base, "instant>", c("instant_date").cast("string"), "</", base, "instant>")).otherwise(
+            lit("<", base, "startDate>", c("start_date").cast("string"), "</", base, "startDate><", base, "endDate>", c("end_date").cast("string"), "</", base, "endDate>")).alias("p"))
+    ctx = lit("<", base, 'context id="', c("context_ref"), '"><', base, "entity><", base, 'identifier scheme="s">', c("symbol"), "</", base, "identifier></", base, "entity><", base, "period>", c("p"), "</", base, "period></", base, "context>")
+    g = facts.withColumn("ctx", ctx).groupBy("filing_id", "symbol", "period_end").agg(
+        F.array_join(F.array_sort(F.collect_set("ctx")), "").alias("ctx"), F.array_sort(F.collect_list(F.struct("ord", "el"))).alias("els"))
+    body = F.array_join(F.transform("els", lambda e: e["el"]), "\n")
+    spaces = ' xmlns:xbrli="http://www.xbrl.org/2003/instance" xmlns="http://www.xbrl.org/2003/instance" xmlns:in="urn:in" xmlns:in-bse-fin="urn:fin">'
+    xml = lit("<", base, "xbrl", spaces, c("ctx"), "<", base, 'unit id="INR"><', base, "measure>INR</", base, "measure></", base, "unit><!-- facts -->\n<", own, "endDate>",
+              c("period_end").cast("string"), "</", own, "endDate>", body, "</", base, "xbrl>")
     return g.select("filing_id", "symbol", xml.alias("xml"))
 
 
-@query("xbrl_facts", """SELECT filing_id, symbol, period_end, 'INR' AS currency, tag, value, context_ref, symbol AS entity, start_date, end_date, instant_date FROM v_facts WHERE tag IN ('RevenueFromOperations','ProfitLossForPeriod','Assets')""")
+@query("xbrl_facts", """SELECT filing_id, symbol, period_end, 'INR' AS currency, CAST(row_number() OVER (PARTITION BY filing_id ORDER BY ord) AS INT) AS ord, tag, value, context_ref, symbol AS entity, start_date, end_date, instant_date FROM v_facts
+ UNION ALL SELECT DISTINCT filing_id, symbol, period_end, 'INR', 0, 'endDate', strftime(period_end, '%Y-%m-%d'), NULL, symbol, NULL, NULL, NULL FROM v_facts""")
 def xbrl_facts(v):
-    return FA.parse_filings(filing_documents(v)).drop("ord")
+    return FA.parse_filings(filing_documents(v))
 
 
 # -- concept frames --------------------------------------------------------------------------------
 
-@query("unpivot_periods", """SELECT symbol, concept, period_end, value FROM (SELECT symbol, concept, unnest([DATE '1996-03-31', DATE '1996-06-30', DATE '1996-09-30']) AS period_end,
- unnest([max(value) FILTER (period_end=DATE '1996-03-31'), max(value) FILTER (period_end=DATE '1996-06-30'), max(value) FILTER (period_end=DATE '1996-09-30')]) AS value FROM v_concepts WHERE form='10-Q' GROUP BY 1,2)""")
+@query("unpivot_periods", """WITH q AS (SELECT symbol, concept, period_end, max(value) AS value FROM v_concepts WHERE form='10-Q' GROUP BY 1,2,3)
+ SELECT symbol, concept, period_end, value FROM (SELECT DISTINCT symbol, concept FROM q) CROSS JOIN (SELECT DISTINCT period_end FROM q) LEFT JOIN q USING (symbol, concept, period_end)""")
 def unpivot_periods(v):
-    periods = ["1996-03-31", "1996-06-30", "1996-09-30"]
+    """Frames with a column for every quarter end (a calendar's worth), and back to rows."""
     q = v.concept_periods.filter(F.col("form") == "10-Q")
-    wide = q.groupBy("symbol", "concept").agg(*[F.max(F.when(F.col("period_end") == F.lit(p).cast("date"), F.col("value"))).alias(p) for p in periods])
+    wide = q.groupBy("symbol", "concept").pivot("period_end").agg(F.max("value"))
     return FA.unpivot_periods(wide, ["symbol", "concept"])
 
 
@@ -268,6 +267,20 @@ def us_income_rows(v):
     return d.select("symbol", "period_end", *_USCOLS, F.col(S.DEPRECIATION).alias("depreciation"), "weighted_average_shares_basic", "filing_type")
 
 
+view("v_q4cash", "SELECT symbol, concept, annual_period AS period_end, value FROM v_q4 WHERE statement='cashflow'")
+view("v_kcash", "SELECT symbol, concept, period_end, value FROM v_concepts WHERE form='10-K' AND statement='cashflow'")
+_CASHCOLS = {c: "coalesce(" + ", ".join(f"max(value) FILTER (concept='{t}')" for t in ts) + ")" for c, ts in S.CASHFLOW_CONCEPTS.items()}
+
+
+@query("us_cashflow_rows", " UNION ALL ".join(
+    f"SELECT symbol, period_end, {', '.join(f'{e} AS {c}' for c, e in _CASHCOLS.items())}, {_CASHCOLS[S.OCF]} AS {S.OCF_ALIAS}, '{kind}' AS filing_type, '{form}' AS frame FROM {src} GROUP BY 1,2"
+    for form, src, kind in (("10-K", "v_kcash", "annual"), ("10-Q", "v_diffcash", "quarterly"), ("Q4", "v_q4cash", "quarterly"))))
+def us_cashflow_rows(v):
+    """Cash-flow rows of annual, quarterly and derived fourth-quarter frames."""
+    rows = [FA.cashflow_rows(v.spark, v.concept_periods, f).withColumn("frame", F.lit(f)) for f in ("10-K", "10-Q", "Q4")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query("annual_vs_quarterly_shares", f"""SELECT symbol, period_end, CASE WHEN form='10-K' THEN value END AS weighted_average_shares_basic, CASE WHEN form='10-K' THEN 'annual' ELSE 'quarterly' END AS filing_type FROM v_concepts WHERE concept='{FA.BASIC_SHARES}'""")
 def annual_vs_quarterly_shares(v):
     d = FA.income_rows(v.spark, v.concept_periods, False).unionByName(FA.income_rows(v.spark, v.concept_periods, True))

@@ -94,15 +94,15 @@ def except_existing(v):
     return new.join(stored, "url", "left_anti")
 
 
-view("v_filings", """SELECT doc_id AS ord, source AS symbol, CASE WHEN doc_id%2=0 THEN 'NSE' ELSE 'SEC' END AS source, CASE WHEN doc_id%4=0 THEN 'document' ELSE 'announcement' END AS filing_type, 'u/'||md5(substring(text,1,40)) AS url, text AS raw_data FROM documents""")
+view("v_filings", """SELECT doc_id AS ord, source AS symbol, CASE WHEN doc_id%2=0 THEN 'NSE' ELSE 'SEC' END AS source, CASE WHEN doc_id%4=0 THEN 'document' ELSE 'announcement' END AS filing_type, CASE WHEN doc_id%4=0 THEN 'd/'||doc_id//20 ELSE 'u/'||doc_id//3 END AS url, text AS raw_data FROM documents""")
 
 
 def filings(v):
-    """Delivered filings: the raw record is the whole text, addresses collide for similar ones."""
+    """Delivered filings: the raw record is the whole text, neighbouring ids share an address."""
     d = v.table("documents")
     k = F.col("doc_id")
     return d.select(k.alias("ord"), F.col("source").alias("symbol"), F.when(k % 2 == 0, "NSE").otherwise("SEC").alias("source"),
-                    F.when(k % 4 == 0, "document").otherwise("announcement").alias("filing_type"), F.concat(F.lit("u/"), F.md5(F.substring("text", 1, 40))).alias("url"), F.col("text").alias("raw_data"))
+                    F.when(k % 4 == 0, "document").otherwise("announcement").alias("filing_type"), F.when(k % 4 == 0, F.concat(F.lit("d/"), F.expr("doc_id div 20"))).otherwise(F.concat(F.lit("u/"), F.expr("doc_id div 3"))).alias("url"), F.col("text").alias("raw_data"))
 
 
 view("v_dedup1", "SELECT *, md5(raw_data) AS content_hash FROM v_filings QUALIFY row_number() OVER (PARTITION BY symbol, source, md5(raw_data) ORDER BY ord DESC)=1")

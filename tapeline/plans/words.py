@@ -57,10 +57,10 @@ def union_news_dedup(v):
     return TX.union_news_dedup(n.filter("doc_id % 10 = 0"), n.filter("doc_id % 10 <> 0"))
 
 
-@query("order_nulls_last", "SELECT doc_id, p AS published_at FROM (SELECT doc_id, CASE WHEN doc_id%10<>0 THEN published_at END AS p FROM v_news) ORDER BY p DESC NULLS LAST, doc_id LIMIT 950")
+@query("order_nulls_last", "SELECT doc_id, p AS published_at FROM (SELECT doc_id, CASE WHEN doc_id%10<>0 THEN published_at END AS p FROM v_news)  ORDER BY p DESC NULLS LAST, doc_id")
 def order_nulls_last(v):
     d = v.news.select("doc_id", F.when(F.col("doc_id") % 10 != 0, F.col("published_at")).alias("published_at"))
-    return d.orderBy(F.col("published_at").desc_nulls_last(), "doc_id").limit(950)
+    return d.orderBy(F.col("published_at").desc_nulls_last(), "doc_id")
 
 
 @query("topk_posts", """SELECT grp AS "group", post_id, score FROM (SELECT event_type AS grp, event_id AS post_id, CASE WHEN event_id%9=0 THEN NULL ELSE value END AS score, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS r FROM events) WHERE r<=25 ORDER BY coalesce(score,0) DESC, post_id LIMIT 40""")

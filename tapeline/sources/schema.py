@@ -10,6 +10,7 @@ PBT = "profit_before_tax"
 FINANCE = "finance_costs"
 DEPRECIATION = "depreciation_depletion_and_amortisation_expense"
 OCF = "cash_flows_from_used_in_operating_activities"
+OCF_ALIAS = "cash_flows_from_used_in_operations"
 CAPEX = "payments_for_purchase_of_noncurrent_assets"
 CASH = "cash_and_cash_equivalents"
 BANK = "bank_balance_other_than_cash_and_cash_equivalents"

@@ -134,12 +134,32 @@ def test_xml_instance(spark):
     <in:RevenueFromOperations contextRef="OneI">5000000</in:RevenueFromOperations><in:RevenueFromOperations contextRef="FourD">15000000</in:RevenueFromOperations></xbrl>"""
     got = FA.parse_filings(spark.createDataFrame([("A", "f1", xml)], "symbol string, filing_id string, xml string")).orderBy("ord").collect()
     assert [(r.tag, r.value, r.context_ref, r.start_date) for r in got] == [
-        ("RevenueFromOperations", "5000000", "OneI", dt.date(2025, 7, 1)), ("RevenueFromOperations", "15000000", "FourD", dt.date(2025, 1, 1))]
+        ("endDate", "2025-09-30", "OneI", dt.date(2025, 7, 1)), ("RevenueFromOperations", "5000000", "OneI", dt.date(2025, 7, 1)), ("RevenueFromOperations", "15000000", "FourD", dt.date(2025, 1, 1))]
     assert got[0].period_end == dt.date(2025, 9, 30) and got[0].currency == "iso4217:INR" and got[0].entity == "ACME"
     bare = xml.replace('<in:endDate contextRef="OneI">2025-09-30</in:endDate>', "")
     assert FA.parse_filings(spark.createDataFrame([("A", "f1", bare)], "symbol string, filing_id string, xml string")).first().period_end == dt.date(2025, 12, 31)
 
 
+def test_instance_as_filed(spark):
+    xml = """<?xml version="1.0"?><xbrli:xbrl xmlns:xbrli="http://www.xbrl.org/2003/instance" xmlns:in-bse-fin="urn:y">
+    <xbrli:context id='OneI'><xbrli:entity><xbrli:identifier scheme="u">T</xbrli:identifier></xbrli:entity><xbrli:period><xbrli:startDate>2025-07-01</xbrli:startDate><xbrli:endDate> 2025-09-30 </xbrli:endDate></xbrli:period></xbrli:context>
+    <!-- <in-bse-fin:Assets contextRef="OneI">1</in-bse-fin:Assets> --><in-bse-fin:endDate>2025-09-30</in-bse-fin:endDate>
+    <in-bse-fin:ProfitLossForPeriod decimals="0" contextRef="OneI">7</in-bse-fin:ProfitLossForPeriod><in-bse-fin:RevenueFromOperations contextRef="OneI">
+      5 </in-bse-fin:RevenueFromOperations><in-bse-fin:NotInCatalog contextRef="Gone">a &amp;lt; &lt;b&gt;</in-bse-fin:NotInCatalog><in-bse-fin:Assets contextRef="OneI"/><in-bse-fin:Assets contextRef="OneI"> </in-bse-fin:Assets></xbrli:xbrl>"""
+    d = spark.createDataFrame([("A", "f", xml), ("B", "g", None), ("C", "h", "no markup")], "symbol string, filing_id string, xml string")
+    got = [(r.ord, r.tag, r.value, r.context_ref, r.entity, r.start_date) for r in FA.parse_filings(d).orderBy("ord").collect()]
+    q = dt.date(2025, 7, 1)
+    assert got == [(0, "endDate", "2025-09-30", None, "A", None), (1, "ProfitLossForPeriod", "7", "OneI", "T", q), (2, "RevenueFromOperations", "5", "OneI", "T", q), (3, "NotInCatalog", "a &lt; <b>", "Gone", "A", None)]
+
+
+def test_shareholding_instance(spark):
+    tag, ids = "ShareholdingAsAPercentageOfTotalNumberOfShares", ("ShareholdingOfPromoterAndPromoterGroup", "PublicShareholding")
+    facts = "".join(f'<s:{tag} contextRef="{i}_ContextI">{x}</s:{tag}>' for i, x in zip(ids, ("0.7177", "0.2823")))
+    xml = f'<xbrli:xbrl xmlns:xbrli="http://www.xbrl.org/2003/instance" xmlns:s="urn:s"><s:endDate>2026-06-30</s:endDate>{facts}</xbrli:xbrl>'
+    r = FA.shareholding(FA.parse_filings(spark.createDataFrame([("A", "f", xml)], "symbol string, filing_id string, xml string"))).first().asDict()
+    assert r["period_end"] == dt.date(2026, 6, 30) and sorted(x for x in r.values() if isinstance(x, float)) == [28.23, 71.77]
+
+
 def test_histogram_quantiles(spark):
     d = spark.createDataFrame([("GET", "/a", le, c) for le, c in ((0.1, 3), (0.5, 5), (1.0, 5), (2.5, 5), (None, 5))], "method string, route string, le double, cum bigint")
     r = QL.histogram_quantile(d).first()
@@ -160,8 +180,9 @@ def test_scalars(spark):
 
 
 def test_page_specs(spark):
-    d = spark.createDataFrame([("3,5-9",), ("2,1,2",), ("1-x",), (" 4 , ",)], "s string")
-    assert [r.p for r in d.select(TX.page_numbers("s").alias("p")).collect()] == [[3, 5, 6, 7, 8, 9], [1, 2], None, [4]]
+    specs = ["3,5-9", "2,1,2", "1-x", " 4 , ", "8-2000000000", "0-2", "99999999999999999999", "7-3", "11-20"]
+    d = spark.createDataFrame([(s, 10) for s in specs], "s string, n bigint")
+    assert [r.p for r in d.select(TX.page_numbers("s", "n").alias("p")).collect()] == [[3, 5, 6, 7, 8, 9], [1, 2], None, [4], [8, 9, 10], [1, 2], [], [], []]
 
 
 def test_mentions_match_brute_force(spark):
