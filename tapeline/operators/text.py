@@ -53,10 +53,11 @@ def symbol_mentions(news: DataFrame, symbols: DataFrame, key: str, text: Column)
     pieces = lambda sep: F.array_distinct(F.filter(F.split("_text", sep), lambda x: x != ""))
     words = stories.select(key, F.explode(pieces("[^A-Za-z]+")).alias("token"))
     hits = words.join(s.filter(~F.col("_plain")), "token").select(key, "symbol", "_exact")
-    sizes = s.filter("_plain").select(F.length("symbol").alias("_n")).distinct()
-    gaps = stories.select(key, F.explode(pieces("[A-Za-z]+")).alias("_gap"))
-    gaps = gaps.select(key, "_gap", F.explode(F.sequence(F.lit(1), F.length("_gap"))).alias("_n")).join(sizes, "_n")
-    cut = F.transform(F.sequence(F.lit(1), F.length("_gap") - F.col("_n") + 1), lambda i: F.substring(F.col("_gap"), i, F.col("_n")))
+    # pieces of the lengths that letter-free symbols have, cut from the run's characters; a run of L characters gives L of each
+    sizes = s.filter("_plain").agg(F.collect_set(F.length("symbol"))).scalar()
+    gaps = stories.select(key, F.explode(pieces("[A-Za-z]+")).alias("_gap")).select(key, F.split("_gap", "").alias("_chars"), sizes.alias("_sizes"))
+    at = lambda n: F.when(F.size("_chars") >= n, F.sequence(F.lit(1), F.size("_chars") - n + 1)).otherwise(F.array().cast("array<int>"))
+    cut = F.flatten(F.transform("_sizes", lambda n: F.transform(at(n), lambda i: F.array_join(F.slice("_chars", i, n), ""))))
     codes = gaps.select(key, F.explode(F.array_distinct(cut)).alias("token")).join(s.filter("_plain"), "token")
     codes = codes.select(key, "symbol", F.lit(False).alias("_exact")).distinct()
     candidates = hits.unionByName(codes)

@@ -4,85 +4,87 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeline.operators import statements as ST
 from tapeline.operators.quality import LATENCY_BOUNDS
-from tapeline.plans.price import _RES, WEEK
+from tapeline.plans.price import _RES, MONTH, WEEK
 from tapeline.registry import query
 from tapeline.session import new_run_dir
 from tapeline.streaming import jobs as J
 
 
-def _events(v):
-    return J.read_stream(v.spark, v.sf_dir, "events")
+def _stream(v, table):
+    return J.read_stream(v.spark, f"{v.sf_dir}/{table}.parquet")
 
 
 @query("rate_window", """SELECT user_id AS key, date_trunc('minute', ts) AS window_start, date_trunc('minute', ts) + INTERVAL 1 MINUTE AS reset_at, count(*) AS requests, greatest(60-count(*),0) AS remaining, count(*)>60 AS over_limit FROM events GROUP BY ALL""")
 def rate_window(v):
-    out = J.drain(J.rate_window(_events(v)), "rate", "update")
-    return J.newest_epoch(out, ["key", "window_start"])
+    return J.rate_window(J.drain(_stream(v, "events"), "rate", transform=J.rate_parts))
 
 
 @query("stream_route_metrics", "SELECT event_type AS route, date_trunc('hour', ts) AS window_start, count(*) AS requests, count(*) FILTER (event_type='error') AS errors, "
        + ", ".join(f"count(*) FILTER (value/1000.0::DOUBLE<={b}::DOUBLE) AS le_{str(b).replace('.', '_')}" for b in LATENCY_BOUNDS) + " FROM events GROUP BY ALL")
 def stream_route_metrics(v):
-    out = J.drain(J.route_metrics(_events(v)), "routes", "update")
-    return J.newest_epoch(out, ["route", "window_start"])
+    return J.merge_sums(J.drain(_stream(v, "events"), "routes", transform=J.route_parts), ["route", "window_start"])
 
 
 @query("stream_session_vwap", """SELECT event_type AS symbol, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS session, count(*) AS bars, round(CAST(sum(CAST(value AS DECIMAL(18,6))*CAST(event_id%7 AS DECIMAL(10,0))) AS DOUBLE)/CAST(sum(event_id%7) AS DOUBLE),4) AS vwap FROM events GROUP BY ALL""")
 def stream_session_vwap(v):
-    out = J.drain(J.session_vwap(_events(v)), "vwap", "update")
-    return J.newest_epoch(out, ["symbol", "session"])
+    return J.session_vwap(J.drain(_stream(v, "events"), "vwap", transform=J.vwap_parts))
 
 
-def _bar_stream(v, label):
-    """Daily bars written as a table of one file per chunk, then read back as a stream."""
+def _bar_stream(v, label, in_order=True):
+    """Daily bars as a table folder of one file a year, then read back as a stream of several batches.
+
+    The years (a calendar's worth) are written one after the other, or the odd ones last.
+    """
     path = new_run_dir(v.spark, label)
-    chunk = F.pmod(F.year("date"), F.lit(1000))
-    v.bars.withColumn("chunk", chunk).repartition("chunk").write.partitionBy("chunk").parquet(path)
-    schema = v.spark.read.parquet(path).schema
-    return path, schema
+    bars = v.bars.withColumn("year", F.year("date"))
+    first, last = bars.agg(F.min("year"), F.max("year")).first()
+    years = range(first, last + 1)
+    for y in years if in_order else sorted(years, key=lambda y: (y % 2, -y)):
+        bars.where(F.col("year") == y).drop("year").coalesce(1).write.mode("append").parquet(path)
+    return J.read_stream(v.spark, path, 1 if in_order else 2)
 
 
 @query("stream_resample", _RES.format(b=WEEK, t="v_bars"))
 def stream_resample(v):
-    path, schema = _bar_stream(v, "bars")
-    s = v.spark.readStream.schema(schema).parquet(path)
-    out = J.drain(J.resample_weekly(s), "weekly", "update")
-    return J.newest_epoch(out, ["symbol", "date"])
+    return J.merge_bars(J.drain(_bar_stream(v, "bars"), "weekly", transform=J.bar_parts("week")))
+
+
+@query("stream_resample_month", _RES.format(b=MONTH, t="v_bars"))
+def stream_resample_month(v):
+    """Years arrive out of order; a late bar restates its month."""
+    return J.merge_bars(J.drain(_bar_stream(v, "bars", in_order=False), "monthly", transform=J.bar_parts("month")))
 
 
 @query("stream_indicators", """SELECT s.symbol, strftime(s.date,'%Y-%m-%d') AS date, s.n AS bars, s.close, round(s.e12,6) AS ema_12, round(s.e26,6) AS ema_26, round(s.rsi,6) AS rsi_14, round(s.atr,6) AS atr_14, CAST(0 AS BIGINT) AS dropped FROM v_dx s WHERE s.rd=1""")
 def stream_indicators(v):
-    path, schema = _bar_stream(v, "bars")
-    s = v.spark.readStream.schema(schema).parquet(path).drop("chunk", "open", "volume").withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+    s = _bar_stream(v, "bars").drop("open", "volume").withColumn("date", F.date_format("date", "yyyy-MM-dd"))
     out = J.newest_epoch(J.drain(J.indicators(s), "state", "update"), ["symbol"])
     return out.select("symbol", "date", "bars", "close", *[F.round(c, 6).alias(c) for c in ("ema_12", "ema_26", "rsi_14", "atr_14")], "dropped")
 
 
-@query("stream_upsert_bars", "SELECT symbol, date, open, high, low, close, volume FROM v_bars")
+@query("stream_upsert_bars", "SELECT symbol, date, open, high, low, CASE WHEN month(date)%2=0 THEN close+1 ELSE close END AS close, volume FROM v_bars")
 def stream_upsert_bars(v):
-    """Bars delivered twice leave one row per key (the sink folds batches by load order)."""
-    path, schema = _bar_stream(v, "bars")
-    v.bars.withColumn("chunk", F.lit(9999)).write.mode("append").partitionBy("chunk").parquet(path)
-    s = v.spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path)
-    keys = ["symbol", "date"]
-    return J.newest_epoch(J.drain(s, "upsert", "append", lambda d: ST.latest_load(d, keys, "chunk")), keys)
+    """Bars merged into a stored table by load time; every other month was loaded again with another close, and that load arrives first."""
+    source, stored = new_run_dir(v.spark, "loads"), new_run_dir(v.spark, "stored")
+    bars = v.bars.select("symbol", "date", "open", "high", "low", "close", "volume", F.year("date").alias("year"), F.lit(1).alias("load"))
+    again = bars.where(F.month("date") % 2 == 0).withColumns({"close": F.col("close") + 1, "load": F.lit(2)})
+    for part in (again, bars):
+        part.coalesce(2).write.mode("append").parquet(source)
+    J.upsert_stream(J.read_stream(v.spark, source), stored, "year", ["symbol", "date"], "load")
+    return v.spark.read.parquet(stored).drop("year", "load")
 
 
-@query("stream_dedup_filings", "SELECT source AS symbol, md5(text) AS content_hash, count(DISTINCT md5(text)) AS kept FROM documents GROUP BY 1, 2")
+@query("stream_dedup_filings", "SELECT source AS symbol, md5(text) AS content_hash, min(doc_id) AS ord, text AS raw_data FROM documents GROUP BY source, text")
 def stream_dedup_filings(v):
-    """Re-delivered announcements pass once per (symbol, content hash)."""
-    s = J.read_stream(v.spark, v.sf_dir, "documents").select(
-        F.col("source").alias("symbol"), F.md5("text").alias("content_hash"), (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=F.col("doc_id").cast("int"))).alias("at"))
-    out = J.drain(J.dedup_within(s, ["symbol", "content_hash"], "at", "3650 days"), "filings")
-    return out.groupBy("symbol", "content_hash").agg(F.count(F.lit(1)).alias("kept"))
+    """Re-delivered announcements pass once per (symbol, content hash), whole."""
+    s = _stream(v, "documents").select(F.col("source").alias("symbol"), F.md5("text").alias("content_hash"), F.col("doc_id").alias("ord"), F.col("text").alias("raw_data"))
+    keys = ["symbol", "content_hash"]
+    return J.drain(s, "filings", transform=J.first_of(keys, "ord"), unseen=keys).drop("epoch")
 
 
-@query("stream_news_insert_ignore", "SELECT md5(text) AS url, 1 AS stored FROM documents GROUP BY 1")
+@query("stream_news_insert_ignore", "SELECT md5(text) AS url, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source, text FROM documents GROUP BY text")
 def stream_news_insert_ignore(v):
-    """Append sink that ignores a url seen before."""
-    s = J.read_stream(v.spark, v.sf_dir, "documents").select(
-        F.md5("text").alias("url"), (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=F.col("doc_id").cast("int"))).alias("published_at"))
-    out = J.drain(J.dedup_within(s, ["url"], "published_at", "3650 days"), "news")
-    return out.groupBy("url").agg(F.count(F.lit(1)).cast("int").alias("stored"))
+    """Append sink that ignores a url seen before; the first story stays, whole."""
+    s = _stream(v, "documents").select(F.md5("text").alias("url"), "doc_id", "source", "text")
+    return J.drain(s, "news", transform=J.first_of(["url"], "doc_id"), unseen=["url"]).drop("epoch")

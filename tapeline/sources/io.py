@@ -48,9 +48,9 @@ def upsert_parquet(
     Plain Parquet has no row-level merge: the touched partitions are read (a partition
     filter, so nothing else is scanned), merged, checkpointed in the shared folder and
     written back with dynamic partition overwrite. The checkpoint frees the plan from
-    the files it is about to replace.
+    the files it is about to replace. The table may be an empty folder.
     """
     touched = incoming.select(partition).distinct()
-    stored = spark.read.parquet(path).join(touched, partition, "left_semi")
+    stored = spark.read.schema(incoming.schema).parquet(path).join(touched, partition, "left_semi")
     merged = cut_lineage(spark, merge(stored, incoming))
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)

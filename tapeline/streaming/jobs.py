@@ -1,9 +1,13 @@
 """Structured Streaming forms of the incremental operators.
 
-Each job reads a source folder as a stream, runs to the end of what is there
+Each job reads a table folder as a stream, runs to the end of what is there
 (``availableNow``) and leaves its result as a Parquet table under the shared
 checkpoint folder. Sinks are idempotent: a re-run batch overwrites its own folder,
 so a batch repeated after a lost executor does not count twice.
+
+Windowed aggregates keep no state and have no watermark: a micro-batch leaves its partial
+sums, and the reader merges the partials of all batches, so a late row restates its window
+instead of being dropped.
 """
 
 from __future__ import annotations
@@ -11,42 +15,54 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tapeline.operators.bars import period_label
 from tapeline.operators.quality import LATENCY_BOUNDS
 from tapeline.session import new_run_dir
+from tapeline.sources.io import upsert_parquet
+
+
+def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
+    """A table (a folder of part files, or one file) as a stream, oldest files first."""
+    schema = spark.read.parquet(path).schema
+    # a path without a pattern has to be a folder; a pattern that only matches this path may be a file as well
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def read_stream(spark: SparkSession, sf_dir: str, table: str, files_per_trigger: int = 1) -> DataFrame:
-    """One table file of a folder as a stream; the schema comes from the file footer."""
-    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-        .option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir)
-    )
+def run_batches(stream: DataFrame, base: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    """Hands every micro-batch of what is available to ``write``."""
+    (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint")
+     .foreachBatch(write).trigger(availableNow=True).start().awaitTermination())
 
 
-def drain(stream: DataFrame, label: str, mode: str = "append", transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def drain(stream: DataFrame, label: str, mode: str = "append", transform: Callable[[DataFrame], DataFrame] | None = None,
+          unseen: list[str] | None = None) -> DataFrame:
     """Run a stream over everything available and return what its sink holds.
 
     Every micro-batch is written to a folder named after its id (``epoch``), replacing
-    an earlier attempt of the same batch.
+    an earlier attempt of the same batch. With ``unseen`` only rows whose key no earlier batch
+    has stored are written: the stored keys are the only memory. A stream without a batch gives
+    an empty table.
     """
     spark = stream.sparkSession
     base = new_run_dir(spark, label)
+    path = f"{base}/data"
+    shape = spark.createDataFrame([], stream.schema)
+    shape = transform(shape) if transform else shape
+    shape.write.parquet(f"{path}/epoch=-1")
 
     def write(batch: DataFrame, epoch: int) -> None:
         out = transform(batch) if transform else batch
-        out.write.mode("overwrite").parquet(f"{base}/data/epoch={epoch}")
+        if unseen:
+            stored = spark.read.schema(shape.schema).parquet(path).where(F.col("epoch") < epoch)
+            out = out.join(stored.select(*unseen), unseen, "left_anti")
+        out.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    q = (
-        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint")
-        .foreachBatch(write).trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    return spark.read.parquet(f"{base}/data")
+    run_batches(stream, base, write, mode)
+    return spark.read.parquet(path)
 
 
 def newest_epoch(table: DataFrame, keys: list[str]) -> DataFrame:
@@ -55,53 +71,91 @@ def newest_epoch(table: DataFrame, keys: list[str]) -> DataFrame:
     return table.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("_r")).select(*keys, "_r.*")
 
 
-def event_time(df: DataFrame, c: str, out: str = "_ts") -> DataFrame:
-    """Event-time column; naive times are read in the session time zone, which the jobs expect to be UTC."""
-    return df.withColumn(out, F.col(c).cast("timestamp"))
+def upsert_stream(stream: DataFrame, path: str, partition: str, keys: list[str], load: str) -> None:
+    """Merge every batch into the stored table at ``path``: the row of the latest load stays, in whatever order loads arrive."""
+    spark = stream.sparkSession
+    columns = stream.columns
+    spark.createDataFrame([], stream.schema).write.mode("ignore").partitionBy(partition).parquet(path)
+
+    def newest(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+        both = stored.select(*columns).unionByName(incoming.select(*columns))
+        rest = [c for c in columns if c not in keys]
+        return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), load).alias("r")).select(*keys, "r.*").select(*columns)
+
+    def write(batch: DataFrame, _: int) -> None:
+        upsert_parquet(spark, path, batch, partition, newest)
+
+    run_batches(stream, new_run_dir(spark, "upsert"), write)
+
+
+def floor_to(c: str, unit: str) -> Column:
+    """Start of the window a naive time lies in."""
+    return F.date_trunc(unit, F.col(c)).cast("timestamp_ntz")
+
+
+def merge_sums(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Partial sums of all batches added up."""
+    return parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in parts.columns if c not in (*keys, "epoch")])
 
 
-def naive(c: str):
-    return F.col(c).cast("timestamp_ntz")
+def rate_parts(events: DataFrame) -> DataFrame:
+    """Requests of a batch per key and minute."""
+    return events.groupBy(F.col("user_id").alias("key"), floor_to("ts", "minute").alias("window_start")).agg(F.count("*").alias("requests"))
 
 
-def rate_window(events: DataFrame, rpm: int = 60) -> DataFrame:
+def rate_window(parts: DataFrame, rpm: int = 60) -> DataFrame:
     """Requests per key and minute, remaining quota, over-limit flag and reset time (tumbling window)."""
-    w = F.window("_ts", "1 minute")
-    g = event_time(events, "ts").withWatermark("_ts", "10 minutes").groupBy(w.alias("w"), F.col("user_id").alias("key")).agg(F.count(F.lit(1)).alias("requests"))
-    return g.select("key", naive("w.start").alias("window_start"), naive("w.end").alias("reset_at"), "requests",
+    g = merge_sums(parts, ["key", "window_start"])
+    return g.select("key", "window_start", (F.col("window_start") + F.make_dt_interval(mins=F.lit(1))).alias("reset_at"), "requests",
                     F.greatest(F.lit(rpm) - F.col("requests"), F.lit(0)).alias("remaining"), (F.col("requests") > rpm).alias("over_limit"))
 
 
-def route_metrics(events: DataFrame) -> DataFrame:
-    """Request and error counters with cumulative latency buckets per route and hour."""
+def route_parts(events: DataFrame) -> DataFrame:
+    """Request and error counters with cumulative latency buckets of a batch per route and hour."""
     sec = F.col("value") / 1000.0
-    g = event_time(events, "ts").withWatermark("_ts", "10 minutes").groupBy(F.window("_ts", "1 hour").alias("w"), F.col("event_type").alias("route")).agg(
-        F.count(F.lit(1)).alias("requests"), F.count_if(F.col("event_type") == "error").alias("errors"),
+    return events.groupBy(F.col("event_type").alias("route"), floor_to("ts", "hour").alias("window_start")).agg(
+        F.count("*").alias("requests"), F.count_if(F.col("event_type") == "error").alias("errors"),
         *[F.count_if(sec <= b).alias(f"le_{str(b).replace('.', '_')}") for b in LATENCY_BOUNDS])
-    return g.select("route", naive("w.start").alias("window_start"), *[c for c in g.columns if c not in ("w", "route")])
 
 
-def session_vwap(ticks: DataFrame) -> DataFrame:
-    """VWAP per symbol and calendar day from intraday prints (prices in exact decimals)."""
+def vwap_parts(ticks: DataFrame) -> DataFrame:
+    """Value, volume and prints of a batch per symbol and calendar day (prices in exact decimals)."""
     price = F.col("value").cast("decimal(18,6)")
     vol = (F.col("event_id") % 7).cast("decimal(18,0)")
-    g = event_time(ticks, "ts").withWatermark("_ts", "10 minutes").groupBy(F.window("_ts", "1 day").alias("w"), F.col("event_type").alias("symbol")).agg(
-        F.sum((price * vol).cast("decimal(38,6)")).alias("pv"), F.sum(vol).alias("vol"), F.count(F.lit(1)).alias("bars"))
-    return g.select("symbol", naive("w.start").alias("session"), "bars", F.round(F.try_divide(F.col("pv").cast("double"), F.col("vol").cast("double")), 4).alias("vwap"))
+    return ticks.groupBy(F.col("event_type").alias("symbol"), floor_to("ts", "day").alias("session")).agg(
+        F.sum((price * vol).cast("decimal(38,6)")).alias("pv"), F.sum(vol).alias("vol"), F.count("*").alias("bars"))
 
 
-def resample_weekly(daily: DataFrame) -> DataFrame:
-    """Weekly bars ending Sunday as daily rows arrive; late rows inside the watermark still count."""
-    # weeks start on Monday; the window origin 1970-01-01 was a Thursday
-    w = F.window("_ts", "7 days", "7 days", "4 days")
-    g = event_time(daily, "date").withWatermark("_ts", "14 days").groupBy(w.alias("w"), "symbol").agg(
-        F.min_by("open", "date").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "date").alias("close"), F.sum("volume").alias("volume"))
-    return g.select("symbol", F.date_sub(F.col("w.end").cast("date"), 1).alias("date"), "open", "high", "low", "close", "volume")
+def session_vwap(parts: DataFrame) -> DataFrame:
+    g = merge_sums(parts, ["symbol", "session"])
+    return g.select("symbol", "session", "bars", F.round(F.try_divide(F.col("pv").cast("double"), F.col("vol").cast("double")), 4).alias("vwap"))
 
 
-def dedup_within(stream: DataFrame, keys: list[str], ts: str, delay: str = "10 days") -> DataFrame:
-    """First delivery per key within the watermark."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
+def bar_parts(rule: str) -> Callable[[DataFrame], DataFrame]:
+    """Bars of a batch per week or month; the dates of the first open and the last close travel along."""
+
+    def parts(daily: DataFrame) -> DataFrame:
+        return daily.groupBy("symbol", period_label(rule).alias("bucket")).agg(
+            F.min(F.when(F.col("open").isNotNull(), F.struct("date", "open"))).alias("first"),
+            F.max("high").alias("high"), F.min("low").alias("low"), F.max(F.when(F.col("close").isNotNull(), F.struct("date", "close"))).alias("last"), F.sum("volume").alias("volume"))
+
+    return parts
+
+
+def merge_bars(parts: DataFrame) -> DataFrame:
+    g = parts.groupBy("symbol", F.col("bucket").alias("date")).agg(
+        F.min("first").alias("first"), F.max("high").alias("high"), F.min("low").alias("low"), F.max("last").alias("last"), F.sum("volume").cast("bigint").alias("volume"))
+    return g.select("symbol", "date", F.col("first.open").alias("open"), "high", "low", F.col("last.close").alias("close"), "volume").dropna(subset=["open", "close"])
+
+
+def first_of(keys: list[str], order: str) -> Callable[[DataFrame], DataFrame]:
+    """The first row of every key in a batch, whole."""
+
+    def first(batch: DataFrame) -> DataFrame:
+        rest = [c for c in batch.columns if c not in keys]
+        return batch.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
+
+    return first
 
 
 # -- recursive indicators as state -----------------------------------------------------------------
@@ -110,27 +164,29 @@ STATE = "n bigint, close double, high double, low double, ema_12 double, ema_26
 OUTPUT = "symbol string, date string, bars bigint, close double, ema_12 double, ema_26 double, rsi_14 double, atr_14 double, dropped bigint"
 
 
+def _smoothed(before: float | None, values: pd.Series, alpha: float) -> float:
+    seeded = values if before is None else pd.concat([pd.Series([before]), values])
+    return float(seeded.ewm(alpha=alpha, adjust=False).mean().iloc[-1])
+
+
 def advance(state: tuple, rows: pd.DataFrame) -> tuple:
-    """Fold time-ordered bars into the constant-size state; a bar not after the last one is dropped and counted."""
+    """Fold time-ordered bars into the constant-size state; a bar not after the one before it is dropped and counted."""
     n, close, high, low, e12, e26, gain, loss, atr, last, dropped = state
-    for r in rows.itertuples(index=False):
-        day = str(r.date)
-        if last is not None and day <= last:
-            dropped += 1
-            continue
-        tr = r.high - r.low
-        if n == 0:
-            e12, e26, atr = r.close, r.close, tr
-        else:
-            step = r.close - close
-            up, down = max(step, 0.0), max(-step, 0.0)
-            gain, loss = (up, down) if n == 1 else (gain + (up - gain) / 14, loss + (down - loss) / 14)
-            tr = max(tr, abs(r.high - close), abs(r.low - close))
-            atr += (tr - atr) / 14
-            e12 += (r.close - e12) * 2 / 13
-            e26 += (r.close - e26) * 2 / 27
-        n, close, high, low, last = n + 1, r.close, r.high, r.low, day
-    return n, close, high, low, e12, e26, gain, loss, atr, last, dropped
+    days = rows["date"].astype(str)
+    new = ~days.duplicated() & (days > (last or ""))
+    dropped += int((~new).sum())
+    rows = rows[new.to_numpy()].reset_index(drop=True)
+    if not len(rows):
+        return n, close, high, low, e12, e26, gain, loss, atr, last, dropped
+    before = rows["close"].shift().fillna(close) if n else rows["close"].shift()
+    step = (rows["close"] - before).dropna()
+    reach = pd.concat([rows["high"] - rows["low"], (rows["high"] - before).abs(), (rows["low"] - before).abs()], axis=1).max(axis=1)
+    if len(step):
+        gain = _smoothed(gain if n > 1 else None, step.clip(lower=0), 1 / 14)
+        loss = _smoothed(loss if n > 1 else None, (-step).clip(lower=0), 1 / 14)
+    e12, e26, atr = _smoothed(e12, rows["close"], 2 / 13), _smoothed(e26, rows["close"], 2 / 27), _smoothed(atr, reach, 1 / 14)
+    r = rows.iloc[-1]
+    return n + len(rows), float(r["close"]), float(r["high"]), float(r["low"]), e12, e26, gain, loss, atr, str(r["date"]), dropped
 
 
 def update_symbol(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
