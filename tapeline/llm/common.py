@@ -70,6 +70,14 @@ def neutral(docs: DataFrame, *own: str) -> tuple[DataFrame, list[Column]]:
     return d, [F.col(names.get(c, c)).alias(c) for c in docs.columns]
 
 
+def bounded(df: DataFrame, limit: int) -> list[dict]:
+    """Rows of a model or of a sample on the driver; the caller's plan holds them to ``limit``, and more are an error."""
+    rows = df.toArrow()
+    if rows.num_rows > limit:
+        raise ValueError(f"{rows.num_rows} rows where at most {limit} were planned")
+    return rows.to_pylist()
+
+
 def broadcast_model(spark: SparkSession, model: object) -> Broadcast:
     """A model of bounded size as pickled bytes that hold their classes; tasks read it with ``pickle.loads``."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(model))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import lower_words, map_texts, neutral
+from tapeline.llm.common import bounded, lower_words, map_texts, neutral
 from tapeline.session import new_run_dir
 
 WINDOW = 13
@@ -205,7 +205,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slack: i
     for windows in _blocks(benchmark, width, block_windows):
         vocabulary = {w: i for i, w in enumerate(sorted({w for ws in windows for w in ws}))}
         index = stored(spark, build_index(docs, vocabulary), "positions")
-        counts = dict(term_counts(index).collect()) if vocabulary else {}  # one row a term of the block at most
+        counts = {r["term"]: r["n"] for r in bounded(term_counts(index), len(vocabulary))} if vocabulary else {}
         base = index.select("doc_id", "text_key", "n_words") if base is None else base
         hits = search(index, _plans(windows, vocabulary, counts), slack)
         found = hits if found is None else found.unionByName(hits)

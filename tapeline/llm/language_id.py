@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import broadcast_model, fold, neutral, pieces
+from tapeline.llm.common import bounded, broadcast_model, fold, neutral, pieces
 
 MAX_LANGUAGES, PER_LANGUAGE, SAMPLE_WORDS = 64, 250, 400
 FOLDS, HELD_OUT = 4, 2
@@ -194,12 +194,13 @@ def training_sample(docs: DataFrame) -> DataFrame:
             cut = [b" ".join(w[i : i + SAMPLE_WORDS]) for i, w in zip(at, words)]
             yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(cut, pa.binary())], ["doc_id", "lang", "words"])
 
-    return texts.mapInArrow(run, "doc_id long, lang string, words binary")
+    rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(run, "doc_id long, lang string, words binary")
+    return rows.groupBy("doc_id", "lang").agg(F.min("words").alias("words"))
 
 
 def fit(docs: DataFrame) -> Chain | None:
     """The field of the bounded sample (PER_LANGUAGE * MAX_LANGUAGES * SAMPLE_WORDS words at most); None if it is empty."""
-    rows = sorted(((r["lang"], r["doc_id"], bytes(r["words"])) for r in training_sample(docs).collect()))
+    rows = sorted(((r["lang"], r["doc_id"], bytes(r["words"])) for r in bounded(training_sample(docs), MAX_LANGUAGES * PER_LANGUAGE)))
     languages = sorted({lang for lang, _, words in rows if words})
     if not languages:
         return None

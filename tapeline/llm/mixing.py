@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import broadcast_model, lower_words, neutral, pieces
+from tapeline.llm.common import bounded, broadcast_model, lower_words, neutral, pieces
 from tapeline.session import cut_lineage
 
 UNITS = 100
@@ -112,7 +112,7 @@ def fit_classifier(docs: DataFrame, domains: DataFrame, names: list[str], per_do
     """Feature counts are summed by Spark; every third sampled document is held back for the temperature."""
     spark = docs.sparkSession
     known = domains.where(F.col("domain").isin(names)).groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    totals = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    totals = {r["domain"]: r["n"] for r in bounded(known.groupBy("domain").agg(F.count("*").alias("n")), len(names))}
     picked = None
     for name in names:
         p = known.where(F.col("domain") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_domain)
@@ -125,15 +125,17 @@ def fit_classifier(docs: DataFrame, domains: DataFrame, names: list[str], per_do
             own = [number[d] for d in piece.column(piece.schema.names.index("domain")).to_pylist()]
             feats = [text_features(t)[1] for t in texts]
             back = [zlib.crc32(t or b"") % 3 == 0 for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(back), pa.array([f.tolist() for f in feats], pa.list_(pa.int32()))], ["domain", "back", "features"])
+            made = [pa.array(own, pa.int32()), pa.array(back), pa.array([f.tolist() for f in feats], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([piece.column(0), *made], ["doc_id", "domain", "back", "features"])
 
-    rows = cut_lineage(spark, texts.mapInArrow(run, "domain int, back boolean, features array<int>"))
+    rows = texts.mapInArrow(run, "doc_id long, domain int, back boolean, features array<int>")
+    rows = cut_lineage(spark, rows.groupBy("doc_id").agg(F.min(F.struct("domain", "back", "features")).alias("r")).select("r.*"))
     k = len(names)
     docs_of = np.zeros(k)
-    for r in rows.where("NOT back").groupBy("domain").agg(F.count("*").alias("n")).collect():
+    for r in bounded(rows.where("NOT back").groupBy("domain").agg(F.count("*").alias("n")), k):
         docs_of[r["domain"]] = r["n"]
     seen = np.zeros((HASHED, k))
-    for r in rows.where("NOT back").select("domain", F.explode("features").alias("f")).groupBy("f", "domain").agg(F.count("*").alias("n")).collect():
+    for r in bounded(rows.where("NOT back").select("domain", F.explode("features").alias("f")).groupBy("f", "domain").agg(F.count("*").alias("n")), HASHED * k):
         seen[r["f"], r["domain"]] = r["n"]
     if not docs_of.sum():
         return Classifier(names, np.zeros(k), np.zeros((HASHED, k)))
@@ -151,7 +153,7 @@ def fit_classifier(docs: DataFrame, domains: DataFrame, names: list[str], per_do
             lists = [[f for f in x if keep[f]] for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int32()))], ["domain", "back", "features"])
 
-    found = sorted((r["back"], r["domain"], r["features"]) for r in rows.mapInArrow(chosen, rows.schema).collect())  # per_domain * domains rows at most
+    found = sorted((r["back"], r["domain"], r["features"]) for r in bounded(rows.mapInArrow(chosen, rows.schema), per_domain * k))
     back, y = np.array([r[0] for r in found]), np.array([r[1] for r in found])
     lists = [np.array(r[2], dtype=np.int64) for r in found]
     row_weight = np.array([totals[n] if n in totals else 0 for n in names])[y] / np.bincount(y, minlength=k)[y]

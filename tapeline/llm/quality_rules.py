@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import map_texts
+from tapeline.llm.common import bounded, map_texts
 
 #: Labelled documents that the list is learned from: those with the smallest hash of the id.
 SAMPLE = 20_000
@@ -171,15 +171,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     named = named.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(named), "doc_id")
     stats = statistics(texts).join(F.broadcast(named), "doc_id")
-    return with_features(stats).where(~F.col("base_failed")).select("doc_id", "quality", *FEATURES)
+    passed = with_features(stats).where(~F.col("base_failed"))
+    return passed.groupBy("doc_id").agg(F.min(F.struct("quality", *FEATURES)).alias("r")).select("doc_id", "r.*")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     """The list learned from at most ``sample`` labelled documents that pass the base rules."""
-    rows = labelled_sample(docs, labels, sample).toPandas().sort_values(["doc_id", *FEATURES]).reset_index(drop=True)
-    if not len(rows):
+    rows = sorted((r["doc_id"], r["quality"], *(r[f] for f in FEATURES)) for r in bounded(labelled_sample(docs, labels, sample), sample))
+    if not rows:
         return []
-    return learn(rows[FEATURES].to_numpy(float), (rows["quality"] == 0).to_numpy(), np.arange(len(rows)) % 3 == 0)
+    table = np.array(rows, dtype=float)
+    return learn(table[:, 2:], table[:, 1] == 0, np.arange(len(rows)) % 3 == 0)
 
 
 def verdict(rules: list[Rule]) -> Column:

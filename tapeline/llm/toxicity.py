@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import broadcast_model, fold, lower_words, map_texts, pieces
+from tapeline.llm.common import bounded, broadcast_model, fold, lower_words, map_texts, pieces
 
 PER_CLASS, MAX_TERMS, NEIGHBOURS = 4_000, 5_000, 25
 FOLDS, HELD_OUT = 5, 0
@@ -43,7 +43,7 @@ def examples(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     named = named.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold("doc_id", FOLDS) != HELD_OUT))
     named = named.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    totals = {r["toxic"]: r["n"] for r in named.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    totals = {r["toxic"]: r["n"] for r in bounded(named.groupBy("toxic").agg(F.count("*").alias("n")), 2)}
     by_hash = [F.xxhash64("doc_id"), "doc_id"]
     picked = [named.where(F.col("toxic") == y).orderBy(*by_hash).limit(per_class) for y in (0, 1)]
     return picked[0].unionByName(picked[1]), totals
@@ -75,8 +75,8 @@ def document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[dict[byte
             n.update(shared.value.intersection(lower_words(t)))
         return pa.RecordBatch.from_arrays([pa.array([b"", *n], pa.binary()), pa.array([len(texts), *n.values()], pa.int64())], ["term", "n"])
 
-    rows = map_texts(docs.select("text"), "term binary, n long", run).groupBy("term").agg(F.sum("n").alias("n")).collect()
-    counts = {bytes(r["term"]): r["n"] for r in rows}
+    rows = map_texts(docs.select("text"), "term binary, n long", run).groupBy("term").agg(F.sum("n").alias("n"))
+    counts = {r["term"]: r["n"] for r in bounded(rows, len(terms) + 1)}
     return counts, counts.pop(b"", 0)
 
 
@@ -206,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Index
     """The index of the sampled examples; None without examples of both labels."""
     picked, totals = examples(docs, labels, per_class)
     rows = _term_rows(docs, picked)
-    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.countDistinct("text_key").alias("n")).collect()}
+    sizes = {r["toxic"]: r["n"] for r in bounded(rows.groupBy("toxic").agg(F.countDistinct("text_key").alias("n")), 2)}
     if len(sizes) < 2:
         return None
     n0, n1 = float(sizes[0]), float(sizes[1])
@@ -215,13 +215,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Index
     error = F.sqrt(share * (1 - share) * (1 / n0 + 1 / n1))
     terms = seen.where(F.col("d1") >= LEAST_DOCS).withColumn("z", (F.col("d1") / n1 - F.col("d0") / n0) / F.greatest(error, F.lit(1e-12)))
     terms = terms.where((F.col("z") >= STANDARD_ERRORS) & (F.length("term") > 0)).orderBy(F.desc("z"), "term").limit(MAX_TERMS).select("term")
-    chosen = sorted(bytes(r["term"]) for r in terms.collect())
+    chosen = sorted(r["term"] for r in bounded(terms, MAX_TERMS))
     df, n = document_frequencies(docs, chosen)
     idf = {t: (i, float(np.log((1 + n) / (1 + df.get(t, 0))) + 1)) for i, t in enumerate(chosen)}
-    found = rows.join(F.broadcast(terms), "term").groupBy("doc_id", "toxic", "term").agg(F.max("tf").alias("tf")).collect()  # examples times terms at most
-    tfs: dict[tuple, dict] = {(r["doc_id"], r["toxic"]): {} for r in picked.join(docs.select("doc_id"), "doc_id", "left_semi").collect()}
-    for r in found:
-        tfs[r["doc_id"], r["toxic"]][bytes(r["term"])] = r["tf"]
+    found = rows.join(F.broadcast(terms), "term").groupBy("doc_id", "toxic", "term").agg(F.max("tf").alias("tf"))
+    tfs: dict[tuple, dict] = {(r["doc_id"], r["toxic"]): {} for r in bounded(picked.join(docs.select("doc_id"), "doc_id", "left_semi"), 2 * per_class)}
+    for r in bounded(found, 2 * per_class * len(chosen)):
+        tfs[r["doc_id"], r["toxic"]][r["term"]] = r["tf"]
     empty = build_index([], idf)
     vectors = [(i, y, empty.vector([w for w, k in tf.items() for _ in range(k)])) for (i, y), tf in sorted(tfs.items())]
     index = build_index(vectors, idf)
