@@ -92,8 +92,17 @@ def resample_stored(df: DataFrame, interval: str, keys=("symbol", "exchange")) -
 
 def recent_years(df: DataFrame, years: int, keys=("symbol",)) -> DataFrame:
     """Bars of the last ``years`` years before each symbol's newest bar."""
-    last = F.max("date").over(R.Window.partitionBy(*keys))
-    return df.withColumn("_last", last).filter(F.col("date") > F.add_months("_last", -12 * years)).drop("_last")
+    return since(with_newest(df, keys), years)
+
+
+def with_newest(df: DataFrame, keys=("symbol",)) -> DataFrame:
+    """Adds ``_last``, the newest date of a series: a combined aggregate joined back, so the history is filtered before any window."""
+    last = df.groupBy(*keys).agg(F.max("date").alias("_last"))
+    return df.join(last, list(keys)).select(*df.columns, "_last")
+
+
+def since(df: DataFrame, years: int) -> DataFrame:
+    return df.filter(F.col("date") > F.add_months("_last", -12 * years)).drop("_last")
 
 
 # History and bar limits of the report timeframes.
@@ -121,9 +130,10 @@ def report_frames(bars: DataFrame) -> DataFrame:
 
 def technicals_frames(bars: DataFrame) -> DataFrame:
     """Frames behind the indicator row: 1y daily, 2y weekly, 5y monthly."""
-    daily = _tagged(recent_years(bars, TECHNICALS_YEARS["daily"]), "daily")
-    weekly = _tagged(resample(recent_years(bars, TECHNICALS_YEARS["weekly"]), "week"), "weekly")
-    monthly = _tagged(resample(recent_years(bars, TECHNICALS_YEARS["monthly"]), "month"), "monthly")
+    dated = with_newest(bars)
+    daily = _tagged(since(dated, TECHNICALS_YEARS["daily"]), "daily")
+    weekly = _tagged(resample(since(dated, TECHNICALS_YEARS["weekly"]), "week"), "weekly")
+    monthly = _tagged(resample(since(dated, TECHNICALS_YEARS["monthly"]), "month"), "monthly")
     return daily.unionByName(weekly).unionByName(monthly)
 
 

@@ -23,20 +23,21 @@ def measures(df: DataFrame) -> list[str]:
 def merge_statements(income: DataFrame, balance: DataFrame, cashflow: DataFrame) -> DataFrame:
     """One record per period over the union of the three statements' periods.
 
-    The three frames are stacked and grouped instead of joined: one shuffle on the
-    series key serves the merge and every later window of the series. Inside a
-    statement the first endpoint of a period wins; identity columns come from the
-    last statement that has the period, ``fiscal_period`` from the first non-null.
+    The three frames are stacked and grouped instead of joined, and restated rows
+    combine before the shuffle. Inside a statement the first endpoint of a period
+    wins; identity columns come from the last statement that has the period,
+    ``fiscal_period`` from the first non-null. Rows that tie are ordered by a hash of
+    the whole row, so a result never depends on task order.
     """
     parts = [f.withColumn("_rank", F.lit(i)) for i, f in enumerate((income, balance, cashflow))]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    stacked = stacked.repartition(*SERIES)
+    stacked = stacked.withColumn("_tie", F.xxhash64(*stacked.columns))
     owners = {c: i for i, f in enumerate((income, balance, cashflow)) for c in measures(f)}
     aggs = [
-        F.min_by(c, F.when(F.col("_rank") == i, F.col("source_endpoint"))).cast("double").alias(c) for c, i in owners.items()
+        F.min_by(c, F.when(F.col("_rank") == i, F.struct("source_endpoint", "_tie"))).cast("double").alias(c) for c, i in owners.items()
     ]
-    later = [F.max_by(c, "_rank").alias(c) for c in META if c != "fiscal_period"]
-    fp = F.min_by("fiscal_period", F.when(F.col("fiscal_period").isNotNull(), F.col("_rank"))).alias("fiscal_period")
+    later = [F.max_by(c, F.struct("_rank", "_tie")).alias(c) for c in META if c != "fiscal_period"]
+    fp = F.min_by("fiscal_period", F.when(F.col("fiscal_period").isNotNull(), F.struct("_rank", "_tie"))).alias("fiscal_period")
     seen = [F.max(F.when(F.col("_rank") == i, F.col("period_end_date"))).alias(n) for i, n in enumerate(("_inc_end", "_bal_end", "_cf_end"))]
     return stacked.groupBy(*KEY).agg(*later, fp, *aggs, *seen)
 
@@ -161,7 +162,7 @@ def annual_end_inferred(latest: Column, fye: Column, filed: Column) -> tuple[Col
 def latest_per_key(df: DataFrame, keys, order="period_end_date") -> DataFrame:
     """Newest row per key with map-side combine."""
     rest = [c for c in df.columns if c not in keys and c != order]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(order, *rest), order).alias("_r")).select(*keys, "_r.*")
+    return df.groupBy(*keys).agg(F.max_by(F.struct(order, *rest), F.struct(order, F.xxhash64(*rest))).alias("_r")).select(*keys, "_r.*")
 
 
 def consolidated_fallback(df: DataFrame) -> DataFrame:
@@ -289,7 +290,7 @@ def upsert_present(stored: DataFrame, incoming: DataFrame, keys: list[str], pres
 def latest_load(df: DataFrame, keys: list[str], load_order: str) -> DataFrame:
     """The latest delivery of every key (grouped, so re-deliveries combine map-side)."""
     rest = [c for c in df.columns if c not in keys and c != load_order]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), load_order).alias("_r")).select(*keys, "_r.*")
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(load_order, F.xxhash64(*rest))).alias("_r")).select(*keys, "_r.*")
 
 
 def upsert_latest(stored: DataFrame, incoming: DataFrame, keys: list[str], load_order: str) -> DataFrame:

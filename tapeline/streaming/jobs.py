@@ -80,7 +80,7 @@ def upsert_stream(stream: DataFrame, path: str, partition: str, keys: list[str],
     def newest(stored: DataFrame, incoming: DataFrame) -> DataFrame:
         both = stored.select(*columns).unionByName(incoming.select(*columns))
         rest = [c for c in columns if c not in keys]
-        return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), load).alias("r")).select(*keys, "r.*").select(*columns)
+        return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(load, F.xxhash64(*rest))).alias("r")).select(*keys, "r.*").select(*columns)
 
     def write(batch: DataFrame, _: int) -> None:
         upsert_parquet(spark, path, batch, partition, newest)
