@@ -217,8 +217,9 @@ def technical_report(v):
     return RP.technical_report(v.spark, v.bars, v.market_index, v.announcements, v.earnings, AS_OF)
 
 
-@query("section_status_counts", "SELECT symbol, CAST(61 AS BIGINT) AS sections FROM v_bars GROUP BY 1")
+@query("section_status_counts", f"SELECT symbol, CAST({len(RP.SECTIONS)} AS BIGINT) AS ok, CAST(0 AS BIGINT) AS unsupported FROM v_bars GROUP BY 1 HAVING count(*) >= 260")
 def section_status_counts(v):
-    return RP.section_status_counts(technical_report(v)).select("symbol", (F.col("ok") + F.col("unsupported")).alias("sections"))
+    """Every symbol of the test tables has a year of bars and more, so no section may be missing."""
+    return RP.section_status_counts(technical_report(v))
 
 

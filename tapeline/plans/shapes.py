@@ -9,7 +9,7 @@ from tapeline.operators import bars as B
 from tapeline.operators import structure as ST
 from tapeline.plans.checks import view
 from tapeline.plans.price import indicator_views
-from tapeline.registry import query
+from tapeline.registry import _QUERIES, query
 
 K = "symbol, timeframe"
 KEYS = ("symbol", "timeframe")
@@ -319,6 +319,17 @@ def structure_all(v):
     return ST.structure_all(frames(v))
 
 
+# topic -> the registered query whose SQL gives the topic's rows
+_TOPICS = {t: t for t in ("support_resistance", "supply_demand_zones", "market_structure", "trend_regime", "chart_patterns", "breakout", "gaps", "value_area", "divergence")}
+_TOPICS["candlesticks"] = "candle_dedupe"
+
+
+@query("structure_topic_counts", " UNION ALL ".join(f"SELECT {K}, '{t}' AS topic, count(*) AS findings FROM ({_QUERIES[name].sql}) GROUP BY ALL" for t, name in _TOPICS.items()))
+def structure_topic_counts(v):
+    """Findings of each frame by topic, against the SQL of every topic."""
+    return ST.structure_all(frames(v)).groupBy("symbol", "timeframe", "topic").agg(F.count("*").alias("findings"))
+
+
 def frame_vwap(pdf):
     """Anchored VWAP of one frame in pandas, the independent form of the built-in one."""
     import pandas as pd
