@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeline.llm.common import pieces
+from tapeline.session import cut_lineage
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this vocabulary's texts are cut before merging.
@@ -69,6 +70,7 @@ def histogram(lengths: DataFrame) -> DataFrame:
     """
     h = lengths.groupBy(F.col("n_tokens").alias("length")).agg(F.count("*").alias("n_docs"))
     h = h.withColumn("tokens", F.col("length") * F.col("n_docs")).withColumn("_block", F.expr(f"length div {BLOCK}"))
+    h = cut_lineage(lengths.sparkSession, h)  # the texts are encoded once
     blocks = h.groupBy("_block").agg(F.sum("n_docs").alias("_d"), F.sum("tokens").alias("_t"))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
