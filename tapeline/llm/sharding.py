@@ -27,7 +27,7 @@ from tapeline.llm.common import neutral
 
 BITS = 5
 #: Rows numbered together, on average; more rows in a cell make more buckets.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 OUTPUTS = ["size", "text_crc32", "law", "shard", "slot", "grown_shard", "curve"]
 
 
