@@ -59,7 +59,14 @@ def number_rows(df: DataFrame, keys=KEYS, order="date") -> DataFrame:
     return out.withColumn("rd", (F.col("n") - F.col("rn") + 1).cast("int"))
 
 
-def tail(df: DataFrame, n: int, keys=KEYS, order="date") -> DataFrame:
-    """Last n rows of every series (the rank limit is applied before the shuffle)."""
+def at_most(column, n: int | None) -> Column:
+    """Condition of a feature's limit; None is no limit."""
+    return F.lit(True) if n is None else F.col(column) <= n
+
+
+def tail(df: DataFrame, n: int | None, keys=KEYS, order="date") -> DataFrame:
+    """Last n rows of every series, all if n is None (the rank limit is applied before the shuffle)."""
+    if n is None:
+        return df
     newest = Window.partitionBy(*keys).orderBy(F.col(order).desc())
     return df.withColumn("_rd", F.row_number().over(newest)).filter(F.col("_rd") <= n).drop("_rd")

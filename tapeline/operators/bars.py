@@ -90,9 +90,9 @@ def resample_stored(df: DataFrame, interval: str, keys=("symbol", "exchange")) -
     )
 
 
-def recent_years(df: DataFrame, years: int, keys=("symbol",)) -> DataFrame:
-    """Bars of the last ``years`` years before each symbol's newest bar."""
-    return since(with_newest(df, keys), years)
+def recent_years(df: DataFrame, years: int | None, keys=("symbol",)) -> DataFrame:
+    """Bars of the last ``years`` years before each symbol's newest bar; None keeps the whole history."""
+    return df if years is None else since(with_newest(df, keys), years)
 
 
 def with_newest(df: DataFrame, keys=("symbol",)) -> DataFrame:
@@ -120,11 +120,11 @@ def _tagged(df: DataFrame, timeframe: str) -> DataFrame:
     return df.withColumn("timeframe", F.lit(timeframe)).select(*BAR_COLS)
 
 
-def report_frames(bars: DataFrame) -> DataFrame:
-    """Daily, weekly and monthly frames of every symbol in one long table."""
-    base = recent_years(bars, REPORT_YEARS)
-    daily = _tagged(R.tail(base, DAILY_BARS), "daily")
-    weekly = _tagged(R.tail(resample(base, "week"), WEEKLY_BARS), "weekly")
+def report_frames(bars: DataFrame, years: int | None = REPORT_YEARS, daily_bars: int | None = DAILY_BARS, weekly_bars: int | None = WEEKLY_BARS) -> DataFrame:
+    """Daily, weekly and monthly frames of every symbol in one long table; a limit of None keeps everything."""
+    base = recent_years(bars, years)
+    daily = _tagged(R.tail(base, daily_bars), "daily")
+    weekly = _tagged(R.tail(resample(base, "week"), weekly_bars), "weekly")
     return daily.unionByName(weekly).unionByName(_tagged(resample(base, "month"), "monthly"))
 
 
@@ -204,10 +204,10 @@ def downsample_stride(df: DataFrame, target: int = 500, keys=("symbol",)) -> Dat
     return d.filter(keep)
 
 
-def weekly_history(bars: DataFrame) -> DataFrame:
+def weekly_history(bars: DataFrame, weekly_bars: int | None = WEEKLY_BARS) -> DataFrame:
     """Weekly bars with the partial-week flag; volume nulled two years before the last daily bar."""
     last = bars.groupBy("symbol").agg(F.max("date").alias("last_daily"))
-    weekly = R.tail(resample(bars, "week"), WEEKLY_BARS)
+    weekly = R.tail(resample(bars, "week"), weekly_bars)
     newest = F.max("date").over(R.Window.partitionBy("symbol"))
     return (
         weekly.withColumn("newest", newest).join(last, "symbol")
@@ -219,13 +219,13 @@ def weekly_history(bars: DataFrame) -> DataFrame:
     )
 
 
-def price_history(bars: DataFrame) -> DataFrame:
-    """Report bars: 320 daily and 280 weekly rows per symbol."""
-    base = recent_years(bars, REPORT_YEARS)
-    daily = R.tail(base, DAILY_BARS).select(
+def price_history(bars: DataFrame, years: int | None = REPORT_YEARS, daily_bars: int | None = DAILY_BARS, weekly_bars: int | None = WEEKLY_BARS) -> DataFrame:
+    """Report bars: the newest daily and weekly rows per symbol; a limit of None keeps everything."""
+    base = recent_years(bars, years)
+    daily = R.tail(base, daily_bars).select(
         "symbol", F.lit("daily").alias("timeframe"), "date", *OHLC, "volume", F.lit(False).alias("is_partial")
     )
-    weekly = weekly_history(base).withColumn("timeframe", F.lit("weekly"))
+    weekly = weekly_history(base, weekly_bars).withColumn("timeframe", F.lit("weekly"))
     return daily.unionByName(weekly)
 
 

@@ -72,8 +72,8 @@ def cluster_levels(pivots: DataFrame, tolerance=LEVEL_TOLERANCE, keys=K) -> Data
     )
 
 
-def support_resistance(numbered: DataFrame, keys=K) -> DataFrame:
-    """Levels split at the last close, at most eight per side by touches (one grouped pass per frame)."""
+def support_resistance(numbered: DataFrame, keys=K, per_side: int | None = LEVELS_PER_SIDE) -> DataFrame:
+    """Levels split at the last close, the ``per_side`` most touched of each side (None: all; one grouped pass per frame)."""
     p = find_pivots(numbered, 3, 3, keys)
     hit = lambda flag, c: F.collect_list(F.when(F.col(flag), F.col(c)))
     g = p.groupBy(*keys).agg(
@@ -82,7 +82,7 @@ def support_resistance(numbered: DataFrame, keys=K) -> DataFrame:
     d = g.select(*keys, "_close", F.posexplode(cluster_fold(F.col("p"), LEVEL_TOLERANCE)).alias("position", "l"))
     d = d.select(*keys, "position", "l.price", "l.touches", F.when(F.col("l.price") < F.col("_close"), "support").otherwise("resistance").alias("side"))
     win = Window.partitionBy(*keys, "side").orderBy(F.col("touches").desc(), "position")
-    d = d.withColumn("_r", F.row_number().over(win)).filter(F.col("_r") <= LEVELS_PER_SIDE)
+    d = d.withColumn("_r", F.row_number().over(win)).filter(R.at_most("_r", per_side))
     return d.select(*keys, "side", "price", "touches")
 
 
@@ -285,9 +285,9 @@ CHART_BARS = 60
 SAME_LEVEL = 0.02
 
 
-def chart_window(numbered: DataFrame, keys=K) -> DataFrame:
-    """Last 60 bars of frames that have at least 30, renumbered."""
-    tail = numbered.filter(F.col("rd") <= CHART_BARS).drop("rn", "rd", "n")
+def chart_window(numbered: DataFrame, keys=K, bars: int | None = CHART_BARS) -> DataFrame:
+    """Last ``bars`` bars (None: all) of frames that have at least 30, renumbered."""
+    tail = numbered.filter(R.at_most("rd", bars)).drop("rn", "rd", "n")
     return R.number_rows(tail, keys).filter("n >= 30")
 
 
@@ -403,16 +403,16 @@ def chart_patterns(numbered: DataFrame, keys=K) -> DataFrame:
 GAP_UP, GAP_DOWN, MAX_GAPS = 1.005, 0.995, 5
 
 
-def gaps(numbered: DataFrame, keys=K) -> DataFrame:
-    """Newest five opening gaps; filled when one later bar spans from the previous close to the open.
+def gaps(numbered: DataFrame, keys=K, most: int | None = MAX_GAPS) -> DataFrame:
+    """Newest ``most`` opening gaps (None: all); filled when one later bar spans from the previous close to the open.
 
-    Gaps are cut to five per frame before meeting the later bars, so the lookup is
-    five comparisons per bar.
+    Gaps are cut to the newest of a frame before meeting the later bars, so the lookup is
+    ``most`` comparisons per bar.
     """
     pc = F.lag("close").over(R.w(keys))
     g = numbered.withColumn("pc", pc).filter((F.col("open") > F.col("pc") * GAP_UP) | (F.col("open") < F.col("pc") * GAP_DOWN))
     newest = Window.partitionBy(*keys).orderBy(F.col("rn").desc())
-    g = g.withColumn("rank", F.row_number().over(newest)).filter(F.col("rank") <= MAX_GAPS)
+    g = g.withColumn("rank", F.row_number().over(newest)).filter(R.at_most("rank", most))
     g = g.select(*keys, "rank", "date", F.col("rn").alias("_at"), "pc", F.col("open").alias("o"))
     later = numbered.select(*keys, "rn", "low", "high")
     hit = (F.col("rn") > F.col("_at")) & (F.col("low") <= F.col("pc")) & (F.col("high") >= F.col("o"))
@@ -429,9 +429,9 @@ def gaps(numbered: DataFrame, keys=K) -> DataFrame:
 PROFILE_BARS, PROFILE_BINS, VALUE_AREA = 120, 24, 0.7
 
 
-def volume_profile(numbered: DataFrame, keys=K) -> DataFrame:
-    """Volume per price bin over the last 120 bars, each bar spread evenly over the bins it spans."""
-    d = numbered.filter((F.col("rd") <= PROFILE_BARS) & (F.col("n") >= 20))
+def volume_profile(numbered: DataFrame, keys=K, bars: int | None = PROFILE_BARS) -> DataFrame:
+    """Volume per price bin over the last ``bars`` bars (None: all), each bar spread evenly over the bins it spans."""
+    d = numbered.filter(R.at_most("rd", bars) & (F.col("n") >= 20))
     win = Window.partitionBy(*keys)
     d = d.withColumns({"_lo": F.min("low").over(win), "_hi": F.max("high").over(win)}).filter(F.col("_hi") > F.col("_lo"))
     step = (F.col("_hi") - F.col("_lo")) / PROFILE_BINS
@@ -510,19 +510,20 @@ def analogue_distances(numbered: DataFrame, keys=("symbol",)) -> DataFrame:
                     F.sqrt(sq).alias("distance"), (F.col("fwd") * 100).alias("forward_20d_pct"))
 
 
-def greedy_nonoverlap(candidates: Column, position, gap: int, k: int) -> Column:
-    """First k entries of a sorted array whose positions lie at least ``gap`` apart."""
+def greedy_nonoverlap(candidates: Column, position, gap: int, k: int | None) -> Column:
+    """First k entries (None: all) of a sorted array whose positions lie at least ``gap`` apart."""
     def keep(acc, c):
         near = F.exists(acc, lambda t: F.abs(position(t) - position(c)) < gap)
-        return F.when((F.size(acc) < k) & ~near, F.concat(acc, F.array(c))).otherwise(acc)
+        return F.when(~near if k is None else (F.size(acc) < k) & ~near, F.concat(acc, F.array(c))).otherwise(acc)
 
     return F.aggregate(candidates, F.filter(candidates, lambda c: F.lit(False)), keep)
 
 
-def historical_analogues(numbered: DataFrame, keys=("symbol",)) -> DataFrame:
+def historical_analogues(numbered: DataFrame, keys=("symbol",), count: int | None = ANALOGUES) -> DataFrame:
+    """The ``count`` nearest paths that don't overlap (None: all of them)."""
     d = analogue_distances(numbered, keys)
     g = d.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("distance", "start_idx", "start_date", "end_date", "forward_20d_pct"))).alias("c"))
-    top = greedy_nonoverlap(F.col("c"), lambda t: t["start_idx"], PATH, ANALOGUES)
+    top = greedy_nonoverlap(F.col("c"), lambda t: t["start_idx"], PATH, count)
     return g.select(*keys, F.posexplode(top).alias("rank", "t")).select(
         *keys, (F.col("rank") + 1).alias("rank"), "t.start_idx", "t.start_date", "t.end_date",
         F.round("t.distance", 5).alias("distance"), F.round("t.forward_20d_pct", 4).alias("forward_20d_pct"),

@@ -11,11 +11,11 @@ from tapeline.functions.scalars import clean_edges, col, growth_abs, parse_value
 FEED_LIMIT, FEED_DAYS = 15, 7
 
 
-def scan_news(items: DataFrame, as_of: Column, limit: int = FEED_LIMIT, days: int = FEED_DAYS) -> DataFrame:
-    """First ``limit`` entries per feed, without linkless and outdated ones (undated ones stay)."""
+def scan_news(items: DataFrame, as_of: Column, limit: int | None = FEED_LIMIT, days: int | None = FEED_DAYS) -> DataFrame:
+    """First ``limit`` entries per feed, without linkless and outdated ones (undated ones stay); None is no limit."""
     win = Window.partitionBy("country", "source").orderBy("ord")
-    d = items.withColumn("_r", F.row_number().over(win)).filter(F.col("_r") <= limit)
-    recent = F.col("published_at").isNull() | (F.col("published_at") >= as_of - F.make_dt_interval(days=F.lit(days)))
+    d = items if limit is None else items.withColumn("_r", F.row_number().over(win)).filter(F.col("_r") <= limit)
+    recent = F.lit(True) if days is None else F.col("published_at").isNull() | (F.col("published_at") >= as_of - F.make_dt_interval(days=F.lit(days)))
     return d.filter(recent & F.col("link").isNotNull()).select(
         "country", "source", F.col("link").alias("url"), F.trim("title").alias("title"), strip_html("summary").alias("summary"), "published_at")
 
@@ -68,14 +68,16 @@ def symbol_mentions(news: DataFrame, symbols: DataFrame, key: str, text: Column)
 
 
 def union_news_dedup(stock: DataFrame, market: DataFrame, stock_cap=50, market_cap=200, out_cap=50) -> DataFrame:
-    """Stock stories before market stories, first url wins, newest first; the caps are the feature's limits."""
+    """Stock stories before market stories, first url wins, newest first; the caps are the feature's limits (None: no limit)."""
     order = [F.col("published_at").desc_nulls_last(), F.col("doc_id")]
-    a = stock.orderBy(*order).limit(stock_cap).withColumn("_rank", F.lit(0))
-    b = market.orderBy(*order).limit(market_cap).withColumn("_rank", F.lit(1))
+    upto = lambda d, n: d if n is None else d.orderBy(*order).limit(n)
+    a = upto(stock, stock_cap).withColumn("_rank", F.lit(0))
+    b = upto(market, market_cap).withColumn("_rank", F.lit(1))
     u = a.unionByName(b)
     rest = [c for c in u.columns if c not in ("url", "_rank")]
     first = u.groupBy("url").agg(F.min_by(F.struct(*rest), F.struct("_rank", -F.unix_micros(F.col("published_at").cast("timestamp")), "doc_id")).alias("r"))
-    return first.select("url", "r.*").orderBy(*order).limit(out_cap)
+    out = first.select("url", "r.*").orderBy(*order)
+    return out if out_cap is None else out.limit(out_cap)
 
 
 # -- documents --------------------------------------------------------------------------
