@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapeline.functions.scalars import camel_to_snake, duration_class, fiscal_quarter, nonzero, safe_div
+from tapeline.functions.scalars import WORD_STARTS, camel_to_snake, duration_class, fiscal_quarter, nonzero, safe_div
 from tapeline.sources import schema as S
 
 # Context ids with a known period class.
@@ -35,8 +36,10 @@ def statement_columns(statement: str) -> list[str]:
 
 
 def snake(tag: str) -> str:
-    """Column name of a catalog tag, for naming columns on the driver (catalog tags hold no acronyms)."""
-    return "".join(f"_{ch.lower()}" if ch.isupper() else ch for ch in tag).lstrip("_")
+    """``camel_to_snake`` by the same rule, for naming columns on the driver."""
+    for boundary in WORD_STARTS:
+        tag = re.sub(boundary, r"\1_\2", tag)
+    return tag.lower()
 
 
 _NAME = r"(?:[\w.-]+:)?"
