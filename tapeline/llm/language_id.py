@@ -65,12 +65,15 @@ class Chain:
         return features(word) + [HASHED + i for i, x in enumerate(self.lexicons) if word in x]
 
     def emissions(self, words: list[bytes]) -> np.ndarray:
-        """A row of potentials, scaled to a largest value of 1, for each word."""
-        rows = [self.word_features(w) for w in words]
-        starts = np.cumsum([0] + [len(r) for r in rows[:-1]])
-        flat = np.fromiter((f for r in rows for f in r), np.int64)
-        e = np.add.reduceat(self.weights[flat], starts, axis=0)
-        return np.exp(e - e.max(axis=1, keepdims=True)).astype(np.float64)
+        """A row of potentials, scaled to a largest value of 1, for each word; features of so many words are held at once."""
+        out = []
+        for i in range(0, len(words), 20_000):
+            rows = [self.word_features(w) for w in words[i : i + 20_000]]
+            starts = np.cumsum([0] + [len(r) for r in rows[:-1]])
+            flat = np.fromiter((f for r in rows for f in r), np.int64)
+            e = np.add.reduceat(self.weights[flat], starts, axis=0)
+            out.append(np.exp(e - e.max(axis=1, keepdims=True)).astype(np.float64))
+        return np.concatenate(out)
 
     def posteriors(self, potentials: np.ndarray, ids: np.ndarray, lengths: np.ndarray, per_word: bool = False):
         """Sum of the posteriors over the words of each sequence.
@@ -208,9 +211,9 @@ def fit(docs: DataFrame) -> Chain | None:
 
 
 #: Texts handled together, in bytes: short documents take each step of the chain together.
-TOGETHER = 6_000_000
+TOGETHER = 4_000_000
 #: Words whose potentials a task remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 def predict(docs: DataFrame, chain: Chain | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
