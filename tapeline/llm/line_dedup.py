@@ -88,7 +88,8 @@ def _first_ranks(lines: DataFrame) -> DataFrame:
 
     A document that is read several times leaves its suffixes once.
     """
-    groups = lines.groupBy("id1", "id2").agg(F.count("*").alias("n")).where("n > 1")
+    lines = cut_lineage(lines.sparkSession, lines)  # the texts are read once
+    groups = cut_lineage(lines.sparkSession, lines.groupBy("id1", "id2").agg(F.count("*").alias("n")).where("n > 1"))
     # 4096 buckets of the first hash: they are summed along the order in one small window
     groups = groups.withColumn("top", F.shiftright("id1", 52))
     tops = groups.groupBy("top").agg(F.sum("n").alias("_n"))
