@@ -33,6 +33,8 @@ PER_CLASS, MAX_TERMS, NEIGHBOURS = 4_000, 5_000, 25
 FOLDS, HELD_OUT = 5, 0
 #: Examples in a block of the index.
 BLOCK = 64
+#: Vectors whose neighbours a task remembers; beyond it the memory starts anew.
+REMEMBERED = 20_000
 #: A term is used if it occurs in so many different toxic examples, and its share of them is so many
 #: standard errors above its share of the others.
 LEAST_DOCS, STANDARD_ERRORS = 4, 4.0
@@ -235,10 +237,18 @@ def score(docs: DataFrame, index: Index | None) -> DataFrame:
     shared = broadcast_model(docs.sparkSession, index)
 
     def run(batches):
-        own = pickle.loads(shared.value)
+        own, known = pickle.loads(shared.value), {}
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
         for piece, texts in pieces(batches):
-            near = [own.nearest(own.vector(lower_words(t))) if own else [] for t in texts]
+            vectors = [own.vector(lower_words(t)) if own else {} for t in texts]
+            near = []
+            for v in vectors:  # copies, and texts with the same few terms, share their neighbours
+                key = tuple(v.items())
+                if key not in known:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[key] = own.nearest(v) if v else []
+                near.append(known[key])
             scores = [own.score(n) if own else 0.0 for n in near]
             why = [[{"doc_id": int(own.ids[i]), "similarity": s, "toxic": int(own.toxic[i])} for s, i in n[:3]] for n in near]
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(scores, pa.float64()), pa.array(why, kind)], ["doc_id", "score", "evidence"])
