@@ -1,43 +1,50 @@
 """Toxicity by nearest labelled examples.
 
-Texts and examples are TF-IDF vectors over the terms that mark the toxic label; document
-frequencies are counted over all documents. The examples form an inverted index whose postings
-lie in blocks of examples, each term having the largest weight of every block: blocks whose
-bound can't reach the k-th best cosine are skipped, the others are scored exactly. Neighbours
-vote with their similarity, and a logistic curve fitted on leave-one-out votes turns votes into
-scores. The nearest examples are the evidence.
-
-Bounds: ``PER_CLASS`` examples of each label (those with the smallest hash of the id) and
-``MAX_TERMS`` terms; the index that tasks hold is at most their product.
-
-Edge cases: a text that is null, empty or has none of the terms has no neighbour and the score
-of the examples without neighbours; an id labelled twice is toxic if any label says so; ties go
-to the example that comes first in the index; repeated rows get the same score; without
-examples of both labels every score is 0; other columns are ignored.
+Texts and examples are TF-IDF vectors over all their words, with document frequencies counted
+over all documents. The examples form an inverted index whose postings lie in blocks of
+examples of one label, each term having the largest weight of every block: blocks whose bound
+can't reach the k-th best cosine are skipped, the others are scored exactly. The nearest
+examples of each label vote with the part of their cosine that rests on words of the toxic
+label, and a logistic curve fitted on leave-one-out votes turns votes into scores. The nearest
+examples are the evidence.
+
+Bounds: ``PER_CLASS`` examples of each label (those with the smallest hash of the id); the index
+that tasks hold has the different words of these whole texts.
+
+Edge cases: a text that is null, empty or has no word of any example has no neighbour and the
+score of the examples without neighbours; words that no example has count in the length of the
+text's vector; an id labelled twice is toxic if any label says so; ties go to the example that
+comes first in the index; repeated rows get the same score; without examples of both labels
+every score is 0; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections import Counter
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.llm.common import bounded, broadcast_model, fold, lower_words, map_texts, pieces
+from tapeline.llm.common import bounded, broadcast_model, fold, lower_words, pieces
+from tapeline.session import new_run_dir
 
-PER_CLASS, MAX_TERMS, NEIGHBOURS = 4_000, 5_000, 25
+PER_CLASS, NEIGHBOURS = 4_000, 25
 FOLDS, HELD_OUT = 5, 0
 #: Examples in a block of the index.
 BLOCK = 64
-#: Vectors whose neighbours a task remembers; beyond it the memory starts anew.
+#: Texts whose scores a task remembers; beyond it the memory starts anew.
 REMEMBERED = 20_000
-#: A term is used if it occurs in so many different toxic examples, and its share of them is so many
-#: standard errors above its share of the others.
-LEAST_DOCS, STANDARD_ERRORS = 4, 4.0
+#: Different words that a task counts before it hands them on.
+COUNTED = 200_000
+#: Terms of one in so many examples have a weight for every example in the index, the most frequent ones at most.
+OFTEN, MOST_OFTEN = 16, 1_000
 
 
 def examples(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[DataFrame, dict[int, int]]:
@@ -52,34 +59,42 @@ def examples(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
 
 
 def _term_rows(docs: DataFrame, picked: DataFrame) -> DataFrame:
-    """doc_id, toxic, a key of the text, term and its count for every term of the sampled documents; a text without words has the empty term."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").join(F.broadcast(picked), "doc_id")
+    """doc_id, toxic, term and its count for every term of the sampled documents; every text has the empty term too."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
 
     def run(batches):
         for piece, texts in pieces(batches, "text"):
-            counts = [Counter(lower_words(t) or [b""]) for t in texts]
+            counts = [Counter([b"", *lower_words(t)]) for t in texts]
             at = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
             words = pa.array([w for c in counts for w in c], pa.binary())
             n = pa.array([v for c in counts for v in c.values()], pa.int32())
-            same = [piece.column(piece.schema.names.index(c)).take(pa.array(at)) for c in ("doc_id", "toxic", "text_key")]
-            yield pa.RecordBatch.from_arrays([*same, words, n], ["doc_id", "toxic", "text_key", "term", "tf"])
+            same = [piece.column(piece.schema.names.index(c)).take(pa.array(at)) for c in ("doc_id", "toxic")]
+            yield pa.RecordBatch.from_arrays([*same, words, n], ["doc_id", "toxic", "term", "tf"])
 
-    return texts.mapInArrow(run, "doc_id long, toxic int, text_key long, term binary, tf int")
+    rows = texts.mapInArrow(run, "doc_id long, toxic int, term binary, tf int")
+    return rows.groupBy("doc_id", "toxic", "term").agg(F.max("tf").alias("tf"))
 
 
-def document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[dict[bytes, int], int]:
-    """Documents that have each term, and all documents, counted over every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(terms))
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """term and n, the documents that have it, for every word of every whole text; the empty term counts all documents."""
 
-    def run(piece: pa.RecordBatch, texts: list) -> pa.RecordBatch:
+    def run(batches):
         n: Counter = Counter()
-        for t in texts:
-            n.update(shared.value.intersection(lower_words(t)))
-        return pa.RecordBatch.from_arrays([pa.array([b"", *n], pa.binary()), pa.array([len(texts), *n.values()], pa.int64())], ["term", "n"])
+        for _, texts in pieces(batches):
+            n[b""] += len(texts)
+            for t in texts:
+                n.update(set(lower_words(t)))
+                if len(n) > COUNTED:
+                    yield pa.RecordBatch.from_arrays([pa.array(n, pa.binary()), pa.array(n.values(), pa.int64())], ["term", "n"])
+                    n = Counter()
+        yield pa.RecordBatch.from_arrays([pa.array(n, pa.binary()), pa.array(n.values(), pa.int64())], ["term", "n"])
+
+    return docs.select("text").mapInArrow(run, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
 
-    rows = map_texts(docs.select("text"), "term binary, n long", run).groupBy("term").agg(F.sum("n").alias("n"))
-    counts = {r["term"]: r["n"] for r in bounded(rows, len(terms) + 1)}
-    return counts, counts.pop(b"", 0)
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, so many as its size, one range after the other."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
 @dataclass
@@ -96,93 +111,196 @@ class Index:
     block_at: np.ndarray  # postings of an entry: block_at[j] to block_at[j + 1]
     ids: np.ndarray
     toxic: np.ndarray
-    class_weight: tuple[float, float] = (1.0, 1.0)
+    own_at: np.ndarray  # terms and weights of example i: own_at[i] to own_at[i + 1]
+    own_term: np.ndarray
+    own_weight: np.ndarray
+    having: np.ndarray  # different examples of label 0 and 1 that have each term
+    different: np.ndarray  # different examples of label 0 and 1
+    parts: list[tuple[slice, slice]]  # examples and blocks of label 0 and 1
+    starts: np.ndarray  # first example of each block
+    row: np.ndarray  # a frequent term's row of weights, -1 for other terms, which have postings
+    rows: np.ndarray
+    scratch: np.ndarray  # zeros, one for each term
+    documents: int = 0
     alone: float = 0.0  # score without neighbours
     slope: float = 1.0
     shift: float = 0.0
 
+    def __reduce__(self):
+        """Sent to tasks without what follows from the vectors."""
+        parts = (self.ids, self.toxic, np.diff(self.own_at), self.own_term, self.own_weight, self.idf, self.documents)
+        return _index, parts, {"alone": self.alone, "slope": self.slope, "shift": self.shift}
+
+    def lengths(self, words) -> tuple[dict[int, float], dict[bytes, int]]:
+        """Term numbers and weights of a text, not yet scaled, and the counts of the words that no example has."""
+        tf, v, other = Counter(words), {}, {}
+        for w, n in tf.items():
+            if known := self.idf.get(w):
+                v[known[0]] = (1 + math.log(n)) * known[1]
+            else:
+                other[w] = n
+        return dict(sorted(v.items())), other
+
     def vector(self, words) -> dict[int, float]:
-        """Term numbers and weights of a text, of length 1."""
-        tf = Counter(w for w in words if w in self.idf)
-        v = {self.idf[w][0]: (1 + np.log(n)) * self.idf[w][1] for w, n in sorted(tf.items())}
-        norm = np.sqrt(sum(x * x for x in v.values()))
-        return {i: x / norm for i, x in v.items()} if norm else {}
+        """Term numbers and weights of a text, of length 1 over the examples' words."""
+        return _scaled(self.lengths(words)[0])
 
     def _scores(self, entries: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Exact cosines over the postings of these (term, block) entries, by example."""
+        """Parts of the cosines from the postings of these (term, block) entries, by example."""
         size = self.block_at[entries + 1] - self.block_at[entries]
-        at = np.repeat(self.block_at[entries] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        return np.bincount(self.example[at], np.repeat(weights, size) * self.weight[at], len(self.ids)).round(9)
+        at = _ranges(self.block_at[entries], size)
+        return np.bincount(self.example[at], np.repeat(weights, size) * self.weight[at], len(self.ids))
 
-    def nearest(self, v: dict[int, float], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of the largest cosine over 0, as (cosine, example), exact; ``without`` is left out.
+    def _search(self, v: dict[int, float], k: int, without: int, parts: list[tuple[slice, slice]]) -> list[list[tuple[float, int]]]:
+        """For each part the k examples of the largest cosine over 0, exact.
 
-        The blocks with the largest bounds are scored until they hold enough examples, then
-        all blocks whose bound reaches the k-th best cosine found so far.
+        Frequent terms are added up for all examples. For the others the blocks with the largest
+        bounds are scored until they hold enough examples, then all blocks whose bound reaches
+        the k-th best cosine found so far.
         """
-        if not v:
-            return []
-        own = [np.arange(self.block_first[t], self.block_first[t + 1]) for t in v]
-        entries, weights = np.concatenate(own), np.repeat(list(v.values()), [len(e) for e in own])
-        if not len(entries):
-            return []
+        terms, own = np.fromiter(v, np.int64, len(v)), np.fromiter(v.values(), float, len(v))
+        row = self.row[terms]
+        score, part = np.zeros(len(self.ids)), np.empty(len(self.ids))
+        for r, w in zip(row[row >= 0].tolist(), own[row >= 0].tolist()):
+            score += np.multiply(self.rows[r], w, out=part)
+        terms, own = terms[row < 0], own[row < 0]
+        size = self.block_first[terms + 1] - self.block_first[terms]
+        entries, weights = _ranges(self.block_first[terms], size), np.repeat(own, size)
         blocks = self.block[entries]
-        bound = np.bincount(blocks, weights * self.block_max[entries])
-        first = np.zeros(len(bound), bool)
-        first[np.argsort(-bound, kind="stable")[: 2 + 2 * k // BLOCK]] = True
+        bound = np.bincount(blocks, weights * self.block_max[entries], len(self.starts)) + np.maximum.reduceat(score, self.starts)
+        first, rest = np.zeros(len(bound), bool), np.zeros(len(bound), bool)
+        for _, at in parts:
+            first[at.start + np.argsort(-bound[at], kind="stable")[: 2 + 2 * k // BLOCK]] = True
         use = first[blocks]
-        score = self._scores(entries[use], weights[use])
-        found = score if without < 0 else np.delete(score, without)
-        least = np.partition(found, -k)[-k] if len(found) >= k else 0.0
-        rest = (bound >= least - 1e-8) & ~first
+        score += self._scores(entries[use], weights[use])
+        for those, at in parts:
+            found = score[those]
+            if those.start <= without < those.stop:
+                found = np.delete(found, without - those.start)
+            least = np.partition(found, -k)[-k] if len(found) >= k else 0.0
+            rest[at] = (bound[at] >= least - 1e-8) & ~first[at]
         if rest.any():
             use = rest[blocks]
-            score = score + self._scores(entries[use], weights[use])
+            score += self._scores(entries[use], weights[use])
+        score = score.round(9)
         if without >= 0:
             score[without] = 0
-        some = np.nonzero(score > 0)[0]
-        some = some[np.lexsort((some, -score[some]))[:k]]
-        return list(zip(score[some].tolist(), some.tolist()))
+        out = []
+        for those, _ in parts:
+            some = np.nonzero(score[those] > 0)[0] + those.start
+            if len(some) > k:
+                some = some[score[some] >= np.partition(score[some], -k)[-k]]
+            some = some[np.lexsort((some, -score[some]))[:k]]
+            out.append(list(zip(score[some].tolist(), some.tolist())))
+        return out
 
-    def vote(self, near: list[tuple[float, int]]) -> float:
-        """Similarity-weighted share of toxic neighbours, each class counting as often as among all labelled rows."""
-        yes = sum(s * s * self.class_weight[1] for s, i in near if self.toxic[i])
-        no = sum(s * s * self.class_weight[0] for s, i in near if not self.toxic[i])
-        return yes / (yes + no)
+    def nearest(self, v: dict[int, float], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
+        """The k examples of the largest cosine over 0, as (cosine, example), exact; ``without`` is left out."""
+        return self._search(v, k, without, [(slice(0, len(self.ids)), slice(0, len(self.starts)))])[0] if v else []
 
-    def score(self, near: list[tuple[float, int]]) -> float:
+    def nearest_of_each(self, v: dict[int, float], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
+        """The k nearest examples of each label, nearest first."""
+        if not v:
+            return []
+        return sorted((x for near in self._search(v, k, without, self.parts) for x in near), key=lambda x: (-x[0], x[1]))
+
+    def marking(self, terms: np.ndarray, without: int = -1) -> np.ndarray:
+        """How many standard errors each term's share of the toxic examples is above its share of the others, 0 at least."""
+        having, different = self.having[:, terms].astype(float), self.different.astype(float)
+        if without >= 0:
+            having[self.toxic[without]] -= 1
+            different[self.toxic[without]] -= 1
+        different = np.maximum(different, 1)
+        share = having.sum(axis=0) / different.sum()
+        error = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / different).sum())
+        return np.maximum(having[1] / different[1] - having[0] / different[0], 0) / error
+
+    def vote(self, v: dict[int, float], near: list[tuple[float, int]], without: int = -1) -> float:
+        """The toxic neighbours' share of the cosines' parts, each term counting as it marks the toxic label; 0 if none does."""
+        terms, own = np.fromiter(v, np.int64, len(v)), np.fromiter(v.values(), float, len(v))
+        weights = self.scratch
+        weights[terms] = own * self.marking(terms, without)
+        those = np.array([i for _, i in near])
+        size = self.own_at[those + 1] - self.own_at[those]
+        at = _ranges(self.own_at[those], size)
+        part = np.add.reduceat(weights[self.own_term[at]] * self.own_weight[at], np.cumsum(size) - size)
+        weights[terms] = 0
+        return float(part[self.toxic[those] == 1].sum() / part.sum()) if part.sum() > 0 else 0.0
+
+    def score(self, v: dict[int, float], near: list[tuple[float, int]]) -> float:
         if not near:
             return self.alone
-        x = min(max(self.vote(near), 1e-4), 1 - 1e-4)
+        x = min(max(self.vote(v, near), 1e-4), 1 - 1e-4)
         return float(1 / (1 + np.exp(-(self.slope * np.log(x / (1 - x)) + self.shift))))
 
 
+def _scaled(v: dict[int, float]) -> dict[int, float]:
+    norm = math.sqrt(sum(x * x for x in v.values()))
+    return {i: x / norm for i, x in v.items()} if norm else {}
+
+
 def build_index(vectors: list[tuple[int, int, dict[int, float]]], idf: dict[bytes, tuple[int, float]]) -> Index:
-    """Index of (id, toxic, vector); examples with the same heaviest term lie together, so that blocks have tight bounds."""
-    vectors = sorted(vectors, key=lambda x: (max(x[2], key=lambda t: (x[2][t], -t), default=-1), x[0]))
-    rows = sorted((t, i, w) for i, (_, _, v) in enumerate(vectors) for t, w in v.items())
-    term, example = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-    weight = np.array([r[2] for r in rows])
-    key = term * (len(vectors) // BLOCK + 1) + example // BLOCK
+    """Index of (id, toxic, vector)."""
+    size = np.array([len(v) for _, _, v in vectors], np.int64)
+    terms = np.fromiter((t for _, _, v in vectors for t in v), np.int64, size.sum())
+    weights = np.fromiter((w for _, _, v in vectors for w in v.values()), float, size.sum())
+    return _index(np.array([x[0] for x in vectors], np.int64), np.array([x[1] for x in vectors], np.int64), size, terms, weights, idf)
+
+
+def _index(ids: np.ndarray, toxic: np.ndarray, size: np.ndarray, terms: np.ndarray, weights: np.ndarray, idf: dict, documents: int = 0) -> Index:
+    """Index of vectors put after each other; examples of a label with the same heaviest term lie together, so that blocks have tight bounds."""
+    at = np.cumsum(size) - size
+    heaviest = np.array([terms[a + np.argmax(weights[a : a + n])] if n else -1 for a, n in zip(at, size)], np.int64)
+    order = np.lexsort((ids, heaviest, toxic))
+    ids, toxic, size, at = ids[order], toxic[order], size[order], at[order]
+    own = _ranges(at, size)
+    own_term, own_weight, own_at = terms[own].astype(np.int32), weights[own], np.append(0, np.cumsum(size))
+    clean, number = int((toxic == 0).sum()), np.arange(len(ids))
+    split = -(-clean // BLOCK)
+    block_of = np.where(number < clean, number // BLOCK, split + (number - clean) // BLOCK)
+    starts = np.nonzero(np.append(True, block_of[1:] != block_of[:-1]))[0] if len(ids) else number
+    # a vector that occurs again counts once among the examples that have its terms
+    seen, having = set(), np.zeros((2, len(idf)), np.int64)
+    for i in range(len(ids)):
+        one = slice(own_at[i], own_at[i + 1])
+        if (key := (int(toxic[i]), blake2b(own_term[one].tobytes() + own_weight[one].tobytes()).digest())) not in seen:
+            seen.add(key)
+            having[toxic[i], own_term[one]] += 1
+    different = np.array([sum(k[0] == y for k in seen) for y in (0, 1)])
+
+    example = np.repeat(number, size).astype(np.int32)
+    often = np.bincount(own_term, minlength=len(idf))
+    often = [t for t in np.argsort(-often, kind="stable")[:MOST_OFTEN] if often[t] * OFTEN > len(ids)]
+    row, rows = np.full(len(idf), -1, np.int64), np.zeros((len(often), len(ids)))
+    row[often] = np.arange(len(often))
+    inside = row[own_term] >= 0
+    rows[row[own_term[inside]], example[inside]] = own_weight[inside]
+    term, example, weight = own_term[~inside], example[~inside], own_weight[~inside]
+    order = np.lexsort((example, term))
+    term, example, weight = term[order], example[order], weight[order]
+    key = term * np.int64(len(starts) + 1) + block_of[example]
     at = np.nonzero(np.append(True, key[1:] != key[:-1]))[0] if len(key) else np.zeros(0, np.int64)
     numbers = np.arange(len(idf) + 1)
     return Index(
-        idf, np.searchsorted(term, numbers), example, weight, np.searchsorted(term[at], numbers), example[at] // BLOCK,
-        np.maximum.reduceat(weight, at) if len(at) else weight, np.append(at, len(key)),
-        np.array([x[0] for x in vectors], np.int64), np.array([x[1] for x in vectors], np.int64))
+        idf, np.searchsorted(term, numbers), example, weight, np.searchsorted(term[at], numbers), block_of[example[at]],
+        np.maximum.reduceat(weight, at) if len(at) else weight, np.append(at, len(key)), ids, toxic, own_at, own_term, own_weight, having, different,
+        [(slice(0, clean), slice(0, split)), (slice(clean, len(ids)), slice(split, len(starts)))], starts, row, rows, np.zeros(len(idf)), documents)
 
 
-def _calibrate(index: Index, vectors: list[dict[int, float]], totals: dict[int, int]) -> None:
+def _calibrate(index: Index, totals: dict[int, int]) -> None:
     """Fits the logistic curve on the votes that each example gets from the others, rows weighted to the labels' shares."""
     share = np.array([totals.get(y, 0) / max(1, (index.toxic == y).sum()) for y in (0, 1)])
-    index.class_weight = (float(share[0]), float(share[1]))
-    near = [index.nearest(v, without=i) for i, v in enumerate(vectors)]
+    votes = []
+    for i, (a, b) in enumerate(zip(index.own_at[:-1], index.own_at[1:])):
+        v = dict(zip(index.own_term[a:b].tolist(), index.own_weight[a:b].tolist()))
+        near = index.nearest_of_each(v, without=i)
+        votes.append(index.vote(v, near, i) if near else None)
     y, w = index.toxic.astype(float), share[index.toxic]
-    lone = np.array([not n for n in near])
+    lone = np.array([x is None for x in votes])
     index.alone = float((w * y)[lone].sum() / w[lone].sum()) if lone.any() else float((w * y).sum() / w.sum())
     if lone.all():
         return
-    x = np.clip([index.vote(n) for n in near if n], 1e-4, 1 - 1e-4)
+    x = np.clip([x for x in votes if x is not None], 1e-4, 1 - 1e-4)
     x, y, w = np.log(x / (1 - x)), y[~lone], w[~lone] / w[~lone].mean()
 
     def loss(c: np.ndarray) -> float:
@@ -204,60 +322,96 @@ def _calibrate(index: Index, vectors: list[dict[int, float]], totals: dict[int,
     index.slope, index.shift = float(a), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Index | None:
+def fit(docs: DataFrame, labels: DataFrame, frequencies: DataFrame, per_class: int = PER_CLASS) -> Index | None:
     """The index of the sampled examples; None without examples of both labels."""
+    spark = docs.sparkSession
     picked, totals = examples(docs, labels, per_class)
-    rows = _term_rows(docs, picked)
-    sizes = {r["toxic"]: r["n"] for r in bounded(rows.groupBy("toxic").agg(F.countDistinct("text_key").alias("n")), 2)}
-    if len(sizes) < 2:
+    rows = _term_rows(docs, picked).toArrow()  # the words of 2 * per_class texts at most
+    rows = rows.sort_by([("doc_id", "ascending"), ("term", "ascending")])
+    if len(set(rows["toxic"].unique().to_pylist())) < 2:
         return None
-    n0, n1 = float(sizes[0]), float(sizes[1])
-    seen = rows.groupBy("term").agg(*[F.countDistinct(F.when(F.col("toxic") == y, F.col("text_key"))).alias(f"d{y}") for y in (0, 1)])
-    share = (F.col("d0") + F.col("d1")) / (n0 + n1)
-    error = F.sqrt(share * (1 - share) * (1 / n0 + 1 / n1))
-    terms = seen.where(F.col("d1") >= LEAST_DOCS).withColumn("z", (F.col("d1") / n1 - F.col("d0") / n0) / F.greatest(error, F.lit(1e-12)))
-    terms = terms.where((F.col("z") >= STANDARD_ERRORS) & (F.length("term") > 0)).orderBy(F.desc("z"), "term").limit(MAX_TERMS).select("term")
-    chosen = sorted(r["term"] for r in bounded(terms, MAX_TERMS))
-    df, n = document_frequencies(docs, chosen)
-    idf = {t: (i, float(np.log((1 + n) / (1 + df.get(t, 0))) + 1)) for i, t in enumerate(chosen)}
-    found = rows.join(F.broadcast(terms), "term").groupBy("doc_id", "toxic", "term").agg(F.max("tf").alias("tf"))
-    tfs: dict[tuple, dict] = {(r["doc_id"], r["toxic"]): {} for r in bounded(picked.join(docs.select("doc_id"), "doc_id", "left_semi"), 2 * per_class)}
-    for r in bounded(found, 2 * per_class * len(chosen)):
-        tfs[r["doc_id"], r["toxic"]][r["term"]] = r["tf"]
-    empty = build_index([], idf)
-    vectors = [(i, y, empty.vector([w for w, k in tf.items() for _ in range(k)])) for (i, y), tf in sorted(tfs.items())]
-    index = build_index(vectors, idf)
-    by_id = {i: v for i, _, v in vectors}
-    _calibrate(index, [by_id[i] for i in index.ids.tolist()], totals)
+    terms = pc.unique(rows["term"]).sort()
+    shared = spark.sparkContext.broadcast(terms.to_pylist())
+
+    def known(batches):
+        own = pa.array(shared.value, pa.binary())
+        for batch in batches:
+            yield batch.filter(pc.is_in(batch.column(0), value_set=own))
+
+    df = frequencies.mapInArrow(known, frequencies.schema).toArrow().sort_by("term")
+    counts = df["n"].to_numpy()  # of the sorted terms; the empty one is the first
+    n = int(counts[0])
+    weight_of = np.log((1 + n) / (1 + counts)) + 1
+    idf = {t: (i, x) for i, (t, x) in enumerate(zip(shared.value[1:], weight_of[1:].tolist()))}
+    number = pc.index_in(rows["term"], value_set=terms).to_numpy()
+    ids, label, tf = rows["doc_id"].to_numpy(), rows["toxic"].to_numpy(), rows["tf"].to_numpy()
+    first = np.nonzero(np.append(True, ids[1:] != ids[:-1]))[0]  # the empty term of each example
+    weight = (1 + np.log(tf)) * weight_of[number]
+    weight[first] = 0
+    weight /= np.maximum(np.repeat(np.sqrt(np.add.reduceat(weight * weight, first)), np.diff(np.append(first, len(ids)))), 1e-300)
+    real = number > 0
+    size = np.diff(np.append(first, len(ids))) - 1
+    index = _index(ids[first], label[first].astype(np.int64), size, number[real].astype(np.int64) - 1, weight[real], idf, n)
+    del rows, df, number, weight
+    _calibrate(index, totals)
     return index
 
 
-def score(docs: DataFrame, index: Index | None) -> DataFrame:
-    """doc_id, score and the nearest examples (evidence: id, similarity, toxic) of every whole text."""
+def score(docs: DataFrame, index: Index | None, frequencies: DataFrame) -> DataFrame:
+    """doc_id, score and the nearest examples (evidence: id, similarity, toxic) of every whole text.
+
+    Cosines come from the index scaled to the examples' words; the words that no example has are
+    joined with their document frequencies afterwards, and lengthen the vectors.
+    """
     shared = broadcast_model(docs.sparkSession, index)
+    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
+    other_kind = pa.list_(pa.struct([("term", pa.binary()), ("tf", pa.int32())]))
+
+    def result(own: Index | None, text: bytes | None) -> tuple:
+        if own is None:
+            return 0.0, [], 0.0, []
+        raw, other = own.lengths(lower_words(text))
+        v = _scaled(raw)
+        near = own.nearest_of_each(v)
+        why = [{"doc_id": int(own.ids[i]), "similarity": s, "toxic": int(own.toxic[i])} for s, i in near[:3]]
+        return own.score(v, near), why, sum(x * x for x in raw.values()), [{"term": w, "tf": n} for w, n in other.items()] if near else []
 
     def run(batches):
         own, known = pickle.loads(shared.value), {}
-        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
         for piece, texts in pieces(batches):
-            vectors = [own.vector(lower_words(t)) if own else {} for t in texts]
-            near = []
-            for v in vectors:  # copies, and texts with the same few terms, share their neighbours
-                key = tuple(v.items())
+            made = []
+            for t in texts:  # copies share their neighbours
+                key = blake2b(t or b"", digest_size=16).digest()
                 if key not in known:
                     if len(known) >= REMEMBERED:
                         known.clear()
-                    known[key] = own.nearest(v) if v else []
-                near.append(known[key])
-            scores = [own.score(n) if own else 0.0 for n in near]
-            why = [[{"doc_id": int(own.ids[i]), "similarity": s, "toxic": int(own.toxic[i])} for s, i in n[:3]] for n in near]
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(scores, pa.float64()), pa.array(why, kind)], ["doc_id", "score", "evidence"])
-
-    schema = "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double,toxic:int>>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+                    known[key] = result(own, t)
+                made.append(known[key])
+            columns = [pa.array(c, k) for c, k in zip(zip(*made), (pa.float64(), kind, pa.float64(), other_kind))]
+            yield pa.RecordBatch.from_arrays([piece.column(0), *columns], ["doc_id", "score", "evidence", "inner", "other"])
+
+    schema = "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double,toxic:int>>, inner double, other array<struct<term:binary,tf:int>>"
+    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    if index is None:
+        return found.select("doc_id", "score", "evidence")
+    found = _stored(found.withColumn("_row", F.monotonically_increasing_id()), "toxicity-scores")
+    weight = (1 + F.log("o.tf")) * (F.log(F.lit(1.0 + index.documents) / (1 + F.col("n"))) + 1)
+    others = found.select("_row", F.explode("other").alias("o")).join(frequencies, F.col("o.term") == F.col("term"))
+    outer = others.groupBy("_row").agg(F.sum((weight * weight).cast("decimal(24,10)")).cast("double").alias("outer"))
+    shorter = F.sqrt(F.col("inner") / (F.col("inner") + F.coalesce("outer", F.lit(0.0))))
+    why = F.transform("evidence", lambda e: F.struct(e.doc_id.alias("doc_id"), F.round(e.similarity * shorter, 9).alias("similarity"), e.toxic.alias("toxic")))
+    return found.join(outer, "_row", "left").select("doc_id", "score", why.alias("evidence"))
+
+
+def _stored(d: DataFrame, label: str) -> DataFrame:
+    """The rows as a table in the shared folder."""
+    path = new_run_dir(d.sparkSession, label)
+    d.write.parquet(path)
+    return d.sparkSession.read.parquet(path)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence of every document."""
-    found = score(docs, fit(docs, labels))
+    frequencies = _stored(document_frequencies(docs), "toxicity-terms")
+    found = score(docs, fit(docs, labels, frequencies), frequencies)
     return found.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")

@@ -357,6 +357,22 @@ def test_nearest_is_exact():
         assert [i for _, i in got] == [i for _, i in want] and np.allclose([x for x, _ in got], [x for x, _ in want])
 
 
+def test_nearest_of_each_label_is_exact():
+    rng = np.random.default_rng(6)
+    idf = {b"t%d" % i: (i, 1.0 + rng.random()) for i in range(3000)}
+    empty = toxicity.build_index([], idf)
+    texts = [[b"t%d" % min(2999, int(t)) for t in rng.exponential(400, 30)] for _ in range(900)]
+    index = toxicity.build_index([(i, int(i % 4 == 0), empty.vector(t)) for i, t in enumerate(texts)], idf)
+    assert (index.row < 0).any()
+    by_id = {i: empty.vector(t) for i, t in enumerate(texts)}
+    for q in range(40):
+        v, own = by_id[q], int(np.nonzero(index.ids == q)[0][0])
+        every = [(round(sum(x * by_id[i].get(t, 0.0) for t, x in v.items()), 9), at) for at, i in enumerate(index.ids.tolist()) if at != own]
+        want = sorted((x for y in (0, 1) for x in sorted((x for x in every if x[0] > 0 and index.toxic[x[1]] == y), key=lambda x: (-x[0], x[1]))[:25]), key=lambda x: (-x[0], x[1]))
+        got = index.nearest_of_each(v, without=own)
+        assert [i for _, i in got] == [i for _, i in want] and np.allclose([x for x, _ in got], [x for x, _ in want])
+
+
 def test_toxicity(spark, odd, labels, nothing):
     docs, named = (table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
     some = docs.join(named.select("doc_id"), "doc_id", "left_semi")
@@ -368,6 +384,30 @@ def test_toxicity(spark, odd, labels, nothing):
         assert len(got) == d.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
 
 
+def test_toxicity_reads_every_word(spark):
+    """An exact copy of an example finds it, whatever its words, and evidence is the cosine over all words of the text."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(30)) for _ in range(12)) for _ in range(60)]
+    texts = [t + " foul" * (i < 12) for i, t in enumerate(texts)]
+    texts[13] = "lonely words that nobody else has"
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1000 + i, t) for i, t in enumerate(texts)] + [(2000, texts[20] + " unseen unseen new")], "doc_id long, text string")
+    named = spark.createDataFrame([(i, 1, int(i < 14)) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, named).collect()}
+    inside = [i for i in range(60) if zlib.crc32(str(i).encode()) % toxicity.FOLDS != toxicity.HELD_OUT]
+    assert 13 in inside and 20 in inside
+    for i in inside:
+        best = got[1000 + i].evidence[0]
+        assert best.doc_id == i and best.similarity == pytest.approx(1)
+    words = [t.split() for t in [*texts, *texts, texts[20] + " unseen unseen new"]]
+    df = Counter(w for t in words for w in set(t))
+    idf = {w: np.log((1 + len(words)) / (1 + n)) + 1 for w, n in df.items()}
+    v = {w: (1 + np.log(n)) * idf[w] for w, n in Counter(words[-1]).items()}
+    u = {w: (1 + np.log(n)) * idf[w] for w, n in Counter(words[20]).items()}
+    cosine = sum(x * v[w] for w, x in u.items()) / np.sqrt(sum(x * x for x in u.values()) * sum(x * x for x in v.values()))
+    best = got[2000].evidence[0]
+    assert best.doc_id == 20 and best.similarity == pytest.approx(cosine)
+
+
 def test_mixing_meets_targets(spark, odd, labels, nothing):
     docs, named = (table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
     domains = mixing.label_domains(named)
