@@ -468,6 +468,18 @@ def test_conversations_of_odd_rows(spark):
     assert chat.format_conversations(d.where("false")).count() == 0
 
 
+def test_texts_beyond_the_limits_of_parsers(spark):
+    long = spark.range(1).select(F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"), F.repeat(F.lit("a"), 25_000_000).alias("text"))
+    d = long.union(long.select(F.lit(1), F.lit(1), F.lit("assistant"), F.lit("ok")))
+    d = d.union(long.select(F.lit(2), F.lit(0), F.lit("tool"), "text"))
+    got = {r.conv_id: r for r in chat.format_conversations(d).collect()}
+    assert (got[1].n_turns, got[1].layout, got[2].n_turns, got[2].layout) == (2, "prompt", 1, "messages")
+    assert got[1].turns_sha256 == hashlib.sha256(b"user\n" + b"a" * 25_000_000 + b"\nassistant\nok\n").hexdigest()
+    payload = F.to_json(F.struct(F.col("text").alias("prompt"), F.lit("ok").alias("response")))
+    with pytest.raises(Exception, match="does not parse"):
+        chat.canonical(long.select(payload.alias("payload"))).select("layout").collect()
+
+
 # --- pipeline ---
 
 
