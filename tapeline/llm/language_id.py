@@ -1,6 +1,8 @@
 """Language of words and documents by a linear-chain conditional random field.
 
-Every word of a text is a position of the chain and its language the label. Emissions are
+Every word of a text is a position of the chain and its language the label; runs without blanks
+are cut where the script changes and at wide punctuation, and what is longer than ``LONG`` bytes
+then into several positions that together hold all of it. Emissions are
 learned weights of hashed affix and character n-gram features and of per-language lexicons,
 transitions are learned from code-switched sequences; forward-backward gives each word's
 posterior. A document's language is the one with the largest mean posterior.
@@ -16,6 +18,7 @@ the same result; with nothing to learn from every text is ``und``; other columns
 from __future__ import annotations
 
 import pickle
+import re
 import zlib
 from collections import Counter
 
@@ -36,18 +39,49 @@ SPAN, SEQUENCES, BATCH, EPOCHS, RATE = 64, 800, 40, 3, 0.5
 _LETTERS = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
+#: Longer words are cut into pieces of PIECE bytes; a piece begins with the last OVERLAP bytes before it, so no n-gram is lost.
+LONG, PIECE, OVERLAP = 40, 24, 2
+#: Stands at the end of a piece where its word goes on.
+GOES_ON = b"\x01"
+_WIDE = re.compile(rb"[\xe0-\xff]|[^ ]{%d}" % (LONG + 1))
+#: Punctuation beyond ASCII, and letters of scripts; characters of no listed script stay together.
+_MARKS = "\u2000-\u206f\u3000-\u3003\u3008-\u3020\u3030\u303d\ufe30-\ufe4f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65"
+_SCRIPTS = [
+    "a-z\u00c0-\u024f\u0300-\u036f\u1e00-\u1eff", "\u0370-\u03ff\u1f00-\u1fff", "\u0400-\u052f", "\u0530-\u058f", "\u0590-\u05ff", "\u0600-\u06ff\u0750-\u077f",
+    *(f"{chr(b)}-{chr(b + 0x7F)}" for b in range(0x0900, 0x1000, 0x80)), "\u1000-\u109f", "\u10a0-\u10ff", "\u1200-\u137f", "\u1780-\u17ff",
+    "\u3040-\u30ff\u31f0-\u31ff\uff66-\uff9f", "\u1100-\u11ff\u3130-\u318f\uac00-\ud7af", "\u3005-\u3007\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"]
+_SEGMENTS = re.compile("|".join([*(f"[{x}]+" for x in _SCRIPTS), f"[^{_MARKS}{''.join(_SCRIPTS)}]+"]))
+
+
 def words_of(text: str) -> list[bytes]:
-    return text.lower().encode().translate(_LETTERS).split()
+    run = text.lower().encode().translate(_LETTERS)
+    words = run.split()
+    return [p for w in words for p in (_cut(w) if _WIDE.search(w) else (w,))] if _WIDE.search(run) else words
+
+
+def _cut(run: bytes) -> list[bytes]:
+    """The positions of a run: its segments of one script, the long ones in pieces."""
+    out = []
+    for segment in _SEGMENTS.findall(run.decode()):
+        w = segment.encode()
+        if len(w) <= LONG:
+            out.append(w)
+            continue
+        for i in range(0, len(w), PIECE):
+            head = GOES_ON + w[i - OVERLAP : i] if i else b""
+            out.append(head + w[i : i + PIECE] + (GOES_ON if i + PIECE < len(w) else b""))
+    return out
 
 
 def features(word: bytes) -> list[int]:
-    """Hashed features of a word: itself, its prefixes and suffixes, its n-grams of two and three bytes."""
+    """Hashed features of a word: itself, its prefixes and suffixes, its n-grams of two and three bytes; a piece has the affixes of its word's real ends only."""
     h = zlib.crc32
-    w = b"^" + word[:40] + b"$"
+    head, tail = not word.startswith(GOES_ON), not word.endswith(GOES_ON)
+    w = b"^" * head + word.strip(GOES_ON) + b"$" * tail
     out = [h(b"w" + w)]
-    out += [h(w[:i], 1) for i in range(2, min(5, len(w)))]
-    out += [h(w[-i:], 2) for i in range(2, min(6, len(w)))]
-    out += [h(w[i : i + 2], 3) for i in range(1, len(w) - 2)]
+    out += [h(w[:i], 1) for i in range(2, min(5, len(w)))] if head else []
+    out += [h(w[-i:], 2) for i in range(2, min(6, len(w)))] if tail else []
+    out += [h(w[i : i + 2], 3) for i in range(head, len(w) - 1 - tail)]
     out += [h(w[i : i + 3], 4) for i in range(0, len(w) - 2)]
     return [x % HASHED for x in out]
 

@@ -338,6 +338,22 @@ def test_words_have_languages(spark):
     assert p.argmax(axis=1).tolist() == [0, 0, 0, 1, 1, 1, 1]
 
 
+def test_whole_runs_have_positions():
+    """Runs without blanks are read to their end, and cut where the script changes."""
+    run = "".join(chr(0x4E00 + 7 * i) for i in range(50))
+    tail = {language_id.zlib.crc32(run[-1].encode(), 4) % language_id.HASHED}
+    words = language_id.words_of(run + "\u3002" + "\u3042\u3044" * 30)
+    assert b"".join(w.strip(b"\x01")[language_id.OVERLAP * w.startswith(b"\x01"):] for w in words).decode() == run + "\u3042\u3044" * 30
+    assert tail <= {f for w in words for f in language_id.features(w)}
+    chain = language_id.train(["ja", "zh"], [(0, language_id.words_of("\u3042\u3044\u3046\u3048\u304a" * 30)), (1, language_id.words_of(run * 3))])
+    mixed = language_id.words_of(run + "\u3042\u3044\u3046\u3048\u304a" * 10)
+    p = chain.posteriors(chain.emissions(mixed), np.arange(len(mixed)), np.array([len(mixed)]), per_word=True)
+    assert p[0].argmax() == 1 and p[-1].argmax() == 0
+    word = "\u043f\u0440\u0435" * 12 + "\u043e\u0441\u0442\u044c"  # 40 letters, 80 bytes
+    last = language_id.features(language_id.words_of(word)[-1])
+    assert zlib.crc32(word.encode()[-3:] + b"$", 2) % language_id.HASHED in last and language_id.words_of("d\u00e9j\u00e0 vu") == ["d\u00e9j\u00e0".encode(), b"vu"]
+
+
 def test_nearest_is_exact():
     rng = np.random.default_rng(4)
     idf = {b"t%d" % i: (i, 1.0 + rng.random()) for i in range(40)}
