@@ -7,8 +7,9 @@ learned weights of hashed affix and character n-gram features and of per-languag
 transitions are learned from code-switched sequences; forward-backward gives each word's
 posterior. A document's language is the one with the largest mean posterior.
 
-The training sample is bounded: ``PER_LANGUAGE`` documents of each of at most ``MAX_LANGUAGES``
-languages, ``SAMPLE_WORDS`` words of each, from a place in the whole text that a hash picks.
+Every language is learned; a table with more than ``MAX_LANGUAGES`` is an error. The training sample
+is bounded: ``PER_LANGUAGE`` documents of each language, ``SAMPLE_WORDS`` words of each, from a place
+in the whole text that a hash picks.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; ties go to the
 language that sorts first; rows with a null id are predicted like any other; repeated rows get
@@ -218,9 +219,10 @@ def train(languages: list[str], samples: list[tuple[int, list[bytes]]], seed: in
 def training_sample(docs: DataFrame) -> DataFrame:
     """lang and words of the sampled documents; only ids and languages are ranked, the sample's ids are broadcast."""
     named = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
-    top = named.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    if (n := len(bounded(named.select("lang").distinct().limit(MAX_LANGUAGES + 1), MAX_LANGUAGES + 1))) > MAX_LANGUAGES:
+        raise ValueError(f"{n} languages or more where the field learns at most {MAX_LANGUAGES}; merge rare ones or set them to null")
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = named.join(F.broadcast(top.select("lang")), "lang").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= PER_LANGUAGE)
+    picked = named.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= PER_LANGUAGE)
     picked = picked.select("doc_id", "lang").distinct()
     texts = docs.select("doc_id", "lang", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), ["doc_id", "lang"])
 

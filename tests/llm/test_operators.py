@@ -354,6 +354,17 @@ def test_whole_runs_have_positions():
     assert zlib.crc32(word.encode()[-3:] + b"$", 2) % language_id.HASHED in last and language_id.words_of("d\u00e9j\u00e0 vu") == ["d\u00e9j\u00e0".encode(), b"vu"]
 
 
+def test_no_language_is_left_out(spark):
+    """All languages up to the bound are learned, and more are an error."""
+    many = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26)} " * 5, f"l{i:03}") for i in range(400)]
+    known = sorted({lang for i, _, lang in many if zlib.crc32(str(i).encode()) % language_id.FOLDS != language_id.HELD_OUT})
+    d = spark.createDataFrame(many, "doc_id long, text string, lang string")
+    some = d.where(F.col("lang").isin(known[: language_id.MAX_LANGUAGES]))
+    assert {r.lang for r in language_id.training_sample(some).collect()} == set(known[: language_id.MAX_LANGUAGES])
+    with pytest.raises(ValueError, match="languages"):
+        language_id.training_sample(d.where(F.col("lang").isin(known[: language_id.MAX_LANGUAGES + 1])))
+
+
 def test_nearest_is_exact():
     rng = np.random.default_rng(4)
     idf = {b"t%d" % i: (i, 1.0 + rng.random()) for i in range(40)}
