@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeline.llm import chat, decontamination, language_id, line_dedup, mixing, near_dup, quality_rules, sharding, token_counts, toxicity
+from tapeline.llm import alignment, chat, decontamination, language_id, line_dedup, mixing, near_dup, quality_rules, sharding, token_counts, toxicity
 from tapeline.llm.checks import CHAT_SQL, DECONTAMINATION_SQL, LINE_DEDUP_SQL
 from tapeline.llm.common import table
 
@@ -55,9 +55,13 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(rows.unionByName(chat.added_conversation(spark)))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(alignment.cross_align(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_mixing, op3_decontamination, op4_toxicity, op5_language_id, op6_simhash, op7_sharding, op8_quality_rules, op9_token_counts, op10_chat_format)
+    for f in (op1_line_dedup, op2_mixing, op3_decontamination, op4_toxicity, op5_language_id, op6_simhash, op7_sharding, op8_quality_rules, op9_token_counts, op10_chat_format, op13_alignment)
 }
 #: The other queries rest on trained models, an external vocabulary or hashes that the SQL engine lacks.
 ORACLES: dict[str, str] = {"op1_line_dedup": LINE_DEDUP_SQL, "op3_decontamination": DECONTAMINATION_SQL, "op10_chat_format": CHAT_SQL}
