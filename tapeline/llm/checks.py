@@ -1,5 +1,6 @@
 """SQL texts that check the queries that SQL can express."""
 
+from tapeline.llm import secret_scan
 from tapeline.llm.chat import CONTROLS
 
 _ESCAPED = "replace(text, '\\', '\\\\')"
@@ -53,3 +54,45 @@ k AS (
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CAST(CASE WHEN d.text IS NOT NULL THEN strlen(t) END AS BIGINT) AS clean_bytes,
   CASE WHEN d.text IS NOT NULL THEN sha256(t) END AS clean_sha256
 FROM d LEFT JOIN k USING (doc_id)"""
+
+
+def _format_sql(kind: str) -> str:
+    pattern, group, least = secret_scan.FORMATS[kind]
+    p = pattern.replace("'", "''")
+    return f"""SELECT r, {secret_scan.KINDS.index(kind)} AS o, '{kind}' AS kind, h[i] AS hit, v[i] AS value, g[i] AS gap,
+  CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS s
+  FROM (SELECT r, regexp_extract_all(t, '{p}') AS h, regexp_extract_all(t, '{p}', {group}) AS v, string_split_regex(t, '{p}') AS g FROM d WHERE regexp_matches(t, '{p}')), unnest(range(1, len(h) + 1)) AS u(i)
+  WHERE length(v[i]) >= {least}"""
+
+
+def _class_sql(k: int) -> str:
+    c = secret_scan.CLASSES[k]
+    smaller = " AND ".join(["true", *[f"NOT regexp_matches(hit, '{x.form}')" for x in secret_scan.CLASSES[:k]]])
+    gain = f"CAST(round({secret_scan.SCALE} * n * log2(n)) AS BIGINT)"
+    return f"""SELECT r, {len(secret_scan.FORMATS) + k} AS o, '{c.name}' AS kind, s + min(i) - 1 AS s, s + max(i) - 1 + {c.window} AS e
+  FROM (SELECT r, hit, s, i, sum({gain}) AS gains, sum(CASE WHEN ch BETWEEN '0' AND '9' THEN n END) AS digits
+    FROM (SELECT r, hit, s, i, ch, count(*) AS n FROM (
+      SELECT r, hit, s, i, unnest(string_split(substr(hit, i, {c.window}), '')) AS ch FROM (
+        SELECT r, hit, s, unnest(range(1, length(hit) - {c.window} + 2)) AS i FROM c WHERE regexp_matches(hit, '{c.form}') AND {smaller})) GROUP BY ALL)
+    GROUP BY ALL)
+  WHERE gains <= {c.most} AND digits >= {secret_scan.LEAST_DIGITS} GROUP BY r, hit, s"""
+
+
+_BEFORE = secret_scan.ALLOWED_BEFORE.replace("'", "''")
+SECRETS_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(_format_sql(k) for k in secret_scan.FORMATS)}),
+b AS (SELECT r, o, kind, s, s + length(hit) AS e FROM f),
+c AS (
+  SELECT r, h[i] AS hit, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i-1], lambda x: length(x))), 0) AS s
+  FROM (SELECT r, regexp_extract_all(t, '{secret_scan.CANDIDATE}') AS h, string_split_regex(t, '{secret_scan.CANDIDATE}') AS g FROM d), unnest(range(1, len(h) + 1)) AS u(i)
+  WHERE regexp_matches(h[i], '[0-9][^0-9]*[0-9]') AND regexp_matches(h[i], '[A-Za-z]') AND NOT regexp_matches(lower(h[i]), '{secret_scan.ALLOWED}')
+    AND NOT regexp_matches(lower(h[i]), '{secret_scan.ALLOWED_FORMS}') AND NOT regexp_matches(lower(right(g[i], {secret_scan.BEFORE_CHARS})), '{_BEFORE}')),
+n AS ({" UNION ALL ".join(_class_sql(k) for k in range(len(secret_scan.CLASSES)))}),
+a AS (SELECT r, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) AS spans FROM (SELECT * FROM b UNION ALL SELECT * FROM n) GROUP BY r),
+k AS (SELECT r, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) AS base, count(*) FILTER (kind = 'assign') AS n_assign,
+  count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex FROM b GROUP BY r),
+m AS (SELECT r, count(*) AS n_entropy FROM n GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_entropy, 0) AS n_entropy
+FROM d LEFT JOIN a USING (r) LEFT JOIN k USING (r) LEFT JOIN m USING (r)"""
