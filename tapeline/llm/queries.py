@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeline.llm import alignment, chat, decontamination, language_id, line_dedup, mixing, near_dup, quality_rules, secret_scan, sharding, token_counts, toxicity
-from tapeline.llm.checks import CHAT_SQL, DECONTAMINATION_SQL, LINE_DEDUP_SQL, SECRETS_SQL
+from tapeline.llm import alignment, chat, decontamination, language_id, lexical_search, line_dedup, mixing, near_dup, quality_rules, secret_scan, sharding, token_counts, toxicity
+from tapeline.llm.checks import CHAT_SQL, DECONTAMINATION_SQL, LINE_DEDUP_SQL, SEARCH_SQL, SECRETS_SQL
 from tapeline.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(rows.unionByName(chat.added_conversation(spark)))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -65,7 +69,7 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_mixing, op3_decontamination, op4_toxicity, op5_language_id, op6_simhash, op7_sharding, op8_quality_rules, op9_token_counts, op10_chat_format, op12_secret_scan, op13_alignment)
+    for f in (op1_line_dedup, op2_mixing, op3_decontamination, op4_toxicity, op5_language_id, op6_simhash, op7_sharding, op8_quality_rules, op9_token_counts, op10_chat_format, op11_lexical_search, op12_secret_scan, op13_alignment)
 }
 #: The other queries rest on trained models, an external vocabulary or hashes that the SQL engine lacks.
-ORACLES: dict[str, str] = {"op1_line_dedup": LINE_DEDUP_SQL, "op3_decontamination": DECONTAMINATION_SQL, "op10_chat_format": CHAT_SQL, "op12_secret_scan": SECRETS_SQL}
+ORACLES: dict[str, str] = {"op1_line_dedup": LINE_DEDUP_SQL, "op3_decontamination": DECONTAMINATION_SQL, "op10_chat_format": CHAT_SQL, "op11_lexical_search": SEARCH_SQL, "op12_secret_scan": SECRETS_SQL}
