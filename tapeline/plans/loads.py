@@ -9,7 +9,9 @@ from tapeline.operators import statements as ST
 from tapeline.operators import text as TX
 from tapeline.plans.checks import view
 from tapeline.registry import query
+from tapeline.session import new_run_dir
 from tapeline.sources import schema as S
+from tapeline.sources.snapshots import SnapshotTable, newest
 
 KEY = ", ".join(S.STATEMENT_KEY)
 
@@ -60,6 +62,7 @@ view("v_incoming", _NEW)
  CASE WHEN list_contains(present_cols,'expenses') THEN n.expenses ELSE s.expenses END AS expenses, s.finance_costs AS finance_costs, CASE WHEN s.o IS NULL THEN 'insert' WHEN present_cols IS NOT NULL THEN 'update' ELSE 'keep' END AS action
  FROM (SELECT *, true AS o FROM v_stored) s FULL JOIN v_incoming n USING ({KEY})""")
 def upsert_statements(v):
+    """Statements merged field by field into a stored table by year: one version with what was stored, one with what came."""
     inc = v.income.select(*S.STATEMENT_KEY, S.REVENUE, "expenses", S.FINANCE)
     cut = lambda d: F.lit(d).cast("date")
     stored = inc.filter(F.col("period_end_date") < cut("2001-01-01"))
@@ -67,15 +70,26 @@ def upsert_statements(v):
     new = inc.filter(F.col("period_end_date") >= cut("2000-01-01")).withColumns({
         S.REVENUE: F.col(S.REVENUE) + 1, "expenses": F.when(~march, F.col("expenses")),
         "present_cols": F.when(march, F.array(F.lit(S.REVENUE), F.lit("expenses"))).otherwise(F.array(F.lit(S.REVENUE)))})
-    return ST.upsert_present(stored, new, S.STATEMENT_KEY)
+    table = SnapshotTable(v.spark, new_run_dir(v.spark, "statements"), _dated(stored.withColumn("action", F.lit("keep"))).schema, "year")
+    table.append(_dated(stored.withColumn("action", F.lit("keep"))))
+    table.upsert(_dated(new), lambda old, came: _dated(ST.upsert_present(old.drop("action", "year"), came.drop("year"), S.STATEMENT_KEY)))
+    return table.read().drop("year")
+
+
+def _dated(d):
+    return d.withColumn("year", F.year("period_end_date").cast("string"))
 
 
 @query("upsert_bars", """SELECT symbol, exchange, date, open, high, low, close+CASE WHEN date>=DATE '2001-01-01' THEN 1 ELSE 0 END AS close, adjusted_close, country, volume FROM v_raw_bars""")
 def upsert_bars(v):
-    """Bars delivered again with corrected closes replace the stored rows of their key."""
-    old = v.raw_bars.withColumn("load_ts", F.lit(1))
-    new = v.raw_bars.filter(F.col("date") >= F.lit("2001-01-01").cast("date")).withColumn("close", F.col("close") + 1).withColumn("load_ts", F.lit(2))
-    return ST.upsert_latest(old, new, ["symbol", "exchange", "date"], "load_ts")
+    """Bars delivered again with corrected closes replace the stored rows of their key; only the years that came are written again."""
+    bars = v.raw_bars.withColumn("year", F.year("date").cast("string"))
+    old = bars.withColumn("load_ts", F.lit(1))
+    new = bars.filter(F.col("date") >= F.lit("2001-01-01").cast("date")).withColumn("close", F.col("close") + 1).withColumn("load_ts", F.lit(2))
+    table = SnapshotTable(v.spark, new_run_dir(v.spark, "bars"), old.schema, "year")
+    table.append(old)
+    table.upsert(new, newest(old.columns, ["symbol", "exchange", "date"], "load_ts"))
+    return table.read().drop("year", "load_ts")
 
 
 view("v_batch", "SELECT url, doc_id, country, source, title FROM v_news WHERE doc_id%3<>0")

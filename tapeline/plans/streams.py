@@ -31,60 +31,75 @@ def stream_session_vwap(v):
     return J.session_vwap(J.drain(_stream(v, "events"), "vwap", transform=J.vwap_parts))
 
 
-def _bar_stream(v, label, in_order=True):
-    """Daily bars as a table folder of one file a year, then read back as a stream of several batches.
+_GAP = 1800
 
-    The years (a calendar's worth) are written one after the other, or the odd ones last.
+
+@query("stream_gap_sessions", f"""WITH e AS (SELECT event_type, event_id, ts, value, CASE WHEN date_diff('microsecond', lag(ts) OVER w, ts) >= {_GAP * 1_000_000} OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS opens FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+ s AS (SELECT *, sum(opens) OVER (PARTITION BY event_type ORDER BY ts) AS session FROM e)
+ SELECT event_type AS symbol, min(ts) AS session_start, max(ts) AS session_end, count(*) AS bars, CAST(sum(CAST(value AS DECIMAL(18,6))*CAST(event_id%7 AS DECIMAL(10,0))) AS DOUBLE)/CAST(nullif(sum(event_id%7),0) AS DOUBLE) AS vwap FROM s GROUP BY event_type, session""")
+def stream_gap_sessions(v):
+    """Sessions end where nothing was printed for half an hour; the feed's files interleave in time, so most batches join sessions of earlier ones."""
+    path = new_run_dir(v.spark, "prints")
+    v.table("events").repartition(8, F.xxhash64("event_id")).write.parquet(path)
+    return J.gap_sessions(J.drain(J.read_stream(v.spark, path, 2), "gaps", transform=J.gap_parts(_GAP)), _GAP)
+
+
+@query("rate_decisions", """SELECT event_id, hash_key AS key, ts, window_start, request, request<=1 AS allowed, greatest(1-request,0) AS remaining, window_start + INTERVAL 1 MINUTE AS reset_at,
+ CASE WHEN request>1 THEN CAST(ceil(date_diff('microsecond', ts, window_start + INTERVAL 1 MINUTE)/1000000.0::DOUBLE) AS INT) END AS retry_after
+ FROM (SELECT event_id, user_id%10 AS hash_key, ts, date_trunc('minute', ts) AS window_start, row_number() OVER (PARTITION BY user_id%10, date_trunc('minute', ts) ORDER BY ts, event_id) AS request FROM events)""")
+def rate_decisions(v):
+    """One allow or deny per request, ten callers with one request a minute each."""
+    s = _stream(v, "events").select("event_id", (F.col("user_id") % 10).alias("key"), "ts")
+    return J.rate_decisions(s, "decisions", rpm=1)
+
+
+def _bar_stream(v, label):
+    """Daily bars as a table folder, written in one job with the years dealt over its files, then read back as a stream of several batches.
+
+    Files arrive in no order of their years, so late bars are the rule.
     """
     path = new_run_dir(v.spark, label)
-    bars = v.bars.withColumn("year", F.year("date"))
-    first, last = bars.agg(F.min("year"), F.max("year")).first()
-    years = range(first, last + 1)
-    for y in years if in_order else sorted(years, key=lambda y: (y % 2, -y)):
-        bars.where(F.col("year") == y).drop("year").coalesce(1).write.mode("append").parquet(path)
-    return J.read_stream(v.spark, path, 1 if in_order else 2)
+    v.bars.repartition(8, F.year("date")).write.parquet(path)
+    return J.read_stream(v.spark, path, 2)
 
 
 @query("stream_resample", _RES.format(b=WEEK, t="v_bars"))
 def stream_resample(v):
-    return J.merge_bars(J.drain(_bar_stream(v, "bars"), "weekly", transform=J.bar_parts("week")))
+    return J.merge_bars(J.drain_parts(_bar_stream(v, "bars"), "weekly", J.bar_parts("week"), J.merge_bar_parts, "bucket").read().drop("year"))
 
 
 @query("stream_resample_month", _RES.format(b=MONTH, t="v_bars"))
 def stream_resample_month(v):
     """Years arrive out of order; a late bar restates its month."""
-    return J.merge_bars(J.drain(_bar_stream(v, "bars", in_order=False), "monthly", transform=J.bar_parts("month")))
+    return J.merge_bars(J.drain_parts(_bar_stream(v, "bars"), "monthly", J.bar_parts("month"), J.merge_bar_parts, "bucket", most=1).read().drop("year"))
 
 
-@query("stream_indicators", """SELECT s.symbol, strftime(s.date,'%Y-%m-%d') AS date, s.n AS bars, s.close, round(s.e12,6) AS ema_12, round(s.e26,6) AS ema_26, round(s.rsi,6) AS rsi_14, round(s.atr,6) AS atr_14, CAST(0 AS BIGINT) AS dropped FROM v_dx s WHERE s.rd=1""")
+@query("stream_indicators", """SELECT s.symbol, strftime(s.date,'%Y-%m-%d') AS date, s.n AS bars, s.close, round(s.e12,6) AS ema_12, round(s.e26,6) AS ema_26, round(s.rsi,6) AS rsi_14, round(s.atr,6) AS atr_14 FROM v_dx s WHERE s.rd=1""")
 def stream_indicators(v):
-    s = _bar_stream(v, "bars").drop("open", "volume").withColumn("date", F.date_format("date", "yyyy-MM-dd"))
-    out = J.newest_epoch(J.drain(J.indicators(s), "state", "update"), ["symbol"])
-    return out.select("symbol", "date", "bars", "close", *[F.round(c, 6).alias(c) for c in ("ema_12", "ema_26", "rsi_14", "atr_14")], "dropped")
+    s = _bar_stream(v, "bars").select("symbol", F.col("date").cast("date").alias("date"), "high", "low", "close", F.lit(1).cast("bigint").alias("load"))
+    out = J.latest_indicators(J.indicators(s, "state").read()).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+    return out.select("symbol", "date", "bars", "close", *[F.round(c, 6).alias(c) for c in ("ema_12", "ema_26", "rsi_14", "atr_14")])
 
 
 @query("stream_upsert_bars", "SELECT symbol, date, open, high, low, CASE WHEN month(date)%2=0 THEN close+1 ELSE close END AS close, volume FROM v_bars")
 def stream_upsert_bars(v):
-    """Bars merged into a stored table by load time; every other month was loaded again with another close, and that load arrives first."""
+    """Bars merged into a stored table by load time; every other month was loaded again with another close, and both loads arrive mixed."""
     source, stored = new_run_dir(v.spark, "loads"), new_run_dir(v.spark, "stored")
-    bars = v.bars.select("symbol", "date", "open", "high", "low", "close", "volume", F.year("date").alias("year"), F.lit(1).alias("load"))
+    bars = v.bars.select("symbol", "date", "open", "high", "low", "close", "volume", F.year("date").cast("string").alias("year"), F.lit(1).alias("load"))
     again = bars.where(F.month("date") % 2 == 0).withColumns({"close": F.col("close") + 1, "load": F.lit(2)})
-    for part in (again, bars):
-        part.coalesce(2).write.mode("append").parquet(source)
-    J.upsert_stream(J.read_stream(v.spark, source), stored, "year", ["symbol", "date"], "load")
-    return v.spark.read.parquet(stored).drop("year", "load")
+    bars.unionByName(again).repartition(4, "year", F.month("date")).write.parquet(source)
+    return J.upsert_stream(J.read_stream(v.spark, source, 2), stored, "year", ["symbol", "date"], "load").read().drop("year", "load")
 
 
 @query("stream_dedup_filings", "SELECT source AS symbol, md5(text) AS content_hash, min(doc_id) AS ord, text AS raw_data FROM documents GROUP BY source, text")
 def stream_dedup_filings(v):
     """Re-delivered announcements pass once per (symbol, content hash), whole."""
-    s = _stream(v, "documents").select(F.col("source").alias("symbol"), F.md5("text").alias("content_hash"), F.col("doc_id").alias("ord"), F.col("text").alias("raw_data"))
-    keys = ["symbol", "content_hash"]
-    return J.drain(s, "filings", transform=J.first_of(keys, "ord"), unseen=keys).drop("epoch")
+    columns = [F.col("source").alias("symbol"), F.md5("text").alias("content_hash"), F.col("doc_id").alias("ord"), F.col("text").alias("raw_data")]
+    return J.drain_unseen(v.spark, f"{v.sf_dir}/documents.parquet", columns, ["symbol", "content_hash"], "ord", "filings").drop("epoch")
 
 
 @query("stream_news_insert_ignore", "SELECT md5(text) AS url, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source, text FROM documents GROUP BY text")
 def stream_news_insert_ignore(v):
     """Append sink that ignores a url seen before; the first story stays, whole."""
-    s = _stream(v, "documents").select(F.md5("text").alias("url"), "doc_id", "source", "text")
-    return J.drain(s, "news", transform=J.first_of(["url"], "doc_id"), unseen=["url"]).drop("epoch")
+    columns = [F.md5("text").alias("url"), F.col("doc_id"), F.col("source"), F.col("text")]
+    return J.drain_unseen(v.spark, f"{v.sf_dir}/documents.parquet", columns, ["url"], "doc_id", "news").drop("epoch")

@@ -1,14 +1,11 @@
-"""Readers and writers of the file-based sources and stored tables."""
+"""Readers and writers of the file-based sources."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeline.operators.text import parse_index_list
-from tapeline.session import cut_lineage
 
 
 def read_index_lists(spark: SparkSession, path: str) -> DataFrame:
@@ -38,19 +35,3 @@ def read_json_feed(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def write_json_rows(df: DataFrame, path: str) -> None:
     """JSON objects with nulls left out and ISO dates."""
     df.write.mode("overwrite").option("ignoreNullFields", "true").option("dateFormat", "yyyy-MM-dd").json(path)
-
-
-def upsert_parquet(
-    spark: SparkSession, path: str, incoming: DataFrame, partition: str, merge: Callable[[DataFrame, DataFrame], DataFrame]
-) -> None:
-    """Merge incoming rows into a partitioned Parquet table, rewriting only the partitions they touch.
-
-    Plain Parquet has no row-level merge: the touched partitions are read (a partition
-    filter, so nothing else is scanned), merged, checkpointed in the shared folder and
-    written back with dynamic partition overwrite. The checkpoint frees the plan from
-    the files it is about to replace. The table may be an empty folder.
-    """
-    touched = incoming.select(partition).distinct()
-    stored = spark.read.schema(incoming.schema).parquet(path).join(touched, partition, "left_semi")
-    merged = cut_lineage(spark, merge(stored, incoming))
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)

@@ -7,22 +7,27 @@ so a batch repeated after a lost executor does not count twice.
 
 Windowed aggregates keep no state and have no watermark: a micro-batch leaves its partial
 sums, and the reader merges the partials of all batches, so a late row restates its window
-instead of being dropped.
+instead of being dropped. What has to be remembered by key is either a stored table that a batch
+changes as a whole, once (``sources/snapshots.py``), or a key's first arrival in a state store on
+disk; neither forgets by a horizon.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from datetime import date, timedelta
+from functools import reduce
+from urllib.parse import unquote
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tapeline.functions.ewm import ewm, span_alpha, wilder_alpha
 from tapeline.operators.bars import period_label
 from tapeline.operators.quality import LATENCY_BOUNDS
-from tapeline.session import new_run_dir
-from tapeline.sources.io import upsert_parquet
+from tapeline.session import cut_lineage, new_run_dir
+from tapeline.sources.snapshots import SnapshotTable, newest
 
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -38,54 +43,83 @@ def run_batches(stream: DataFrame, base: str, write: Callable[[DataFrame, int],
      .foreachBatch(write).trigger(availableNow=True).start().awaitTermination())
 
 
-def drain(stream: DataFrame, label: str, mode: str = "append", transform: Callable[[DataFrame], DataFrame] | None = None,
-          unseen: list[str] | None = None) -> DataFrame:
+def drain(stream: DataFrame, label: str, mode: str = "append", transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Run a stream over everything available and return what its sink holds.
 
     Every micro-batch is written to a folder named after its id (``epoch``), replacing
-    an earlier attempt of the same batch. With ``unseen`` only rows whose key no earlier batch
-    has stored are written: the stored keys are the only memory. A stream without a batch gives
-    an empty table.
+    an earlier attempt of the same batch. A stream without a batch gives an empty table.
     """
     spark = stream.sparkSession
     base = new_run_dir(spark, label)
     path = f"{base}/data"
     shape = spark.createDataFrame([], stream.schema)
-    shape = transform(shape) if transform else shape
-    shape.write.parquet(f"{path}/epoch=-1")
+    (transform(shape) if transform else shape).write.parquet(f"{path}/epoch=-1")
 
     def write(batch: DataFrame, epoch: int) -> None:
-        out = transform(batch) if transform else batch
-        if unseen:
-            stored = spark.read.schema(shape.schema).parquet(path).where(F.col("epoch") < epoch)
-            out = out.join(stored.select(*unseen), unseen, "left_anti")
-        out.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        (transform(batch) if transform else batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     run_batches(stream, base, write, mode)
     return spark.read.parquet(path)
 
 
-def newest_epoch(table: DataFrame, keys: list[str]) -> DataFrame:
-    """Latest emitted state per key of an update-mode sink."""
-    rest = [c for c in table.columns if c not in keys and c != "epoch"]
-    return table.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("_r")).select(*keys, "_r.*")
+# The store that keeps keyed state on disk and writes only what a batch changed.
+KEYED_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
-def upsert_stream(stream: DataFrame, path: str, partition: str, keys: list[str], load: str) -> None:
-    """Merge every batch into the stored table at ``path``: the row of the latest load stays, in whatever order loads arrive."""
-    spark = stream.sparkSession
-    columns = stream.columns
-    spark.createDataFrame([], stream.schema).write.mode("ignore").partitionBy(partition).parquet(path)
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their keys in RocksDB; the session's own settings come back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in KEYED_STATE}
+    for k, v in KEYED_STATE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
-    def newest(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-        both = stored.select(*columns).unionByName(incoming.select(*columns))
-        rest = [c for c in columns if c not in keys]
-        return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(load, F.xxhash64(*rest))).alias("r")).select(*keys, "r.*").select(*columns)
 
-    def write(batch: DataFrame, _: int) -> None:
-        upsert_parquet(spark, path, batch, partition, newest)
+def drain_unseen(spark: SparkSession, source: str, columns: list[Column], keys: list[str], order: str, label: str, files_per_trigger: int = 1) -> DataFrame:
+    """Rows of a table folder whose key came for the first time, read as a stream; the sink's table.
 
-    run_batches(stream, new_run_dir(spark, "upsert"), write)
+    A batch's first row of a key by ``order`` stays, whole; later batches' rows of it are
+    ignored, however late. The state holds, for every key, only when it came first, with which
+    order and in which file; a batch looks up and writes the keys it has. The rows themselves
+    never enter the state: the files in which new keys came first are this batch's own, and are
+    read again for them. ``epoch`` names the batch.
+    """
+    base = new_run_dir(spark, label)
+    path = f"{base}/data"
+    schema = spark.read.parquet(source).schema
+    shape = spark.createDataFrame([], schema).select(*columns)
+    shape.write.parquet(f"{path}/epoch=-1")
+    arrival = read_stream(spark, source, files_per_trigger).select(*columns, F.col("_metadata.file_path").alias("_file"), F.current_timestamp().alias("_at"))
+    # the time is the batch's own and stays when the batch is repeated
+    state = arrival.groupBy(*keys).agg(F.min(F.struct("_at", F.col(order).alias("_order"), "_file")).alias("_first"), F.max("_at").alias("_latest"))
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        new = cut_lineage(spark, batch.where("_first._at = _latest").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_first._order", "_first._file"))
+        files = [unquote(r._file) for r in new.select("_file").distinct().toLocalIterator()]  # of one batch
+        rows = spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]) & F.col(order).eqNullSafe(F.col("_order"))
+        rows = rows.select(*columns).join(new.drop("_file"), same, "left_semi")
+        first_of(keys, order)(rows).select(*shape.columns).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    with keyed_state(spark):
+        run_batches(state, base, write, "update")
+    return spark.read.parquet(path)
+
+
+def upsert_stream(stream: DataFrame, path: str, partition: str, keys: list[str], load: str) -> SnapshotTable:
+    """Merge every batch into the stored table at ``path``, one version each; a repeated batch changes nothing."""
+    spark = stream.sparkSession
+    table = SnapshotTable(spark, path, stream.schema, partition)
+    merge = newest(stream.columns, keys, load)
+    run_batches(stream, new_run_dir(spark, "upsert"), lambda batch, epoch: table.upsert(batch, merge, ("stream", epoch)))
+    return table
 
 
 def floor_to(c: str, unit: str) -> Column:
@@ -110,6 +144,54 @@ def rate_window(parts: DataFrame, rpm: int = 60) -> DataFrame:
                     F.greatest(F.lit(rpm) - F.col("requests"), F.lit(0)).alias("remaining"), (F.col("requests") > rpm).alias("over_limit"))
 
 
+COUNTERS = "key long, window_start timestamp_ntz, requests bigint, day string"
+DECISIONS = "event_id long, key long, ts timestamp_ntz, window_start timestamp_ntz, request bigint, allowed boolean, remaining bigint, reset_at timestamp_ntz, retry_after int"
+
+
+def rate_decisions(stream: DataFrame, label: str, rpm: int = 60, keep_days: int | None = None) -> DataFrame:
+    """Allow or deny for every request at its arrival, by a fixed window of a minute per key.
+
+    ``stream`` has event_id, key and ts. A request's number is the window's count before its batch
+    plus its place in the batch; denied requests count as well. Counters are a stored table by
+    day: a batch reads and rewrites the days it has requests of, and a day older than the newest
+    one by more than ``keep_days`` is forgotten (None: never, so the latest request of a window
+    still finds its count). The decisions are written first and the counters then, both named
+    after the batch, so a repeated batch decides alike.
+    """
+    spark = stream.sparkSession
+    base = new_run_dir(spark, label)
+    path = f"{base}/decisions"
+    counters = SnapshotTable(spark, f"{base}/counters", COUNTERS, "day")
+    spark.createDataFrame([], DECISIONS).write.parquet(f"{path}/epoch=-1")
+
+    def total(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+        return stored.unionByName(incoming).groupBy("key", "window_start", "day").agg(F.sum("requests").alias("requests"))
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        before = counters.manifest()
+        if before.applied.get("stream", -1) >= epoch:
+            return
+        start = floor_to("ts", "minute")
+        d = batch.select("event_id", "key", F.col("ts").cast("timestamp_ntz").alias("ts"), start.alias("window_start"), start.cast("date").cast("string").alias("day"))
+        coming = cut_lineage(spark, d.groupBy("key", "window_start", "day").agg(F.count("*").alias("requests")))
+        days = [r.day for r in coming.select(F.coalesce("day", F.lit("")).alias("day")).distinct().toLocalIterator()]
+        had = counters.read(days, before).select(F.col("key").alias("_key"), F.col("window_start").alias("_start"), F.col("requests").alias("_had"))
+        place = F.row_number().over(Window.partitionBy("key", "window_start").orderBy("ts", "event_id"))
+        d = d.withColumn("_place", place).join(had, F.col("key").eqNullSafe(F.col("_key")) & F.col("window_start").eqNullSafe(F.col("_start")), "left")
+        d = d.withColumn("request", F.col("_place") + F.coalesce("_had", F.lit(0)).cast("bigint"))
+        reset = F.col("window_start") + F.make_dt_interval(mins=F.lit(1))
+        out = d.select("event_id", "key", "ts", "window_start", "request", (F.col("request") <= rpm).alias("allowed"), F.greatest(F.lit(rpm) - F.col("request"), F.lit(0)).alias("remaining"), reset.alias("reset_at"),
+                       F.when(F.col("request") > rpm, F.ceil(F.unix_micros(reset.cast("timestamp")) / 1e6 - F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("int")).alias("retry_after"))
+        out.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        after = counters.upsert(coming, total, ("stream", epoch))
+        if keep_days is not None and any(after.parts):
+            oldest = str(date.fromisoformat(max(after.parts)) - timedelta(days=keep_days))
+            counters.forget(lambda day: bool(day) and day < oldest)
+
+    run_batches(stream, base, write)
+    return spark.read.parquet(path).drop("epoch")
+
+
 def route_parts(events: DataFrame) -> DataFrame:
     """Request and error counters with cumulative latency buckets of a batch per route and hour."""
     sec = F.col("value") / 1000.0
@@ -131,6 +213,37 @@ def session_vwap(parts: DataFrame) -> DataFrame:
     return g.select("symbol", "session", "bars", F.round(F.try_divide(F.col("pv").cast("double"), F.col("vol").cast("double")), 4).alias("vwap"))
 
 
+def gap_parts(gap_seconds: int) -> Callable[[DataFrame], DataFrame]:
+    """Prints of a batch per symbol and stretch of the gap's length: two of them are always in one session.
+
+    A stretch holds the first and last time and the sums, however many prints it has.
+    """
+
+    def parts(ticks: DataFrame) -> DataFrame:
+        price, vol = F.col("value").cast("decimal(18,6)"), (F.col("event_id") % 7).cast("decimal(18,0)")
+        us = F.unix_micros(F.col("ts").cast("timestamp"))
+        return ticks.groupBy(F.col("event_type").alias("symbol"), F.floor(us / (gap_seconds * 1_000_000)).alias("stretch")).agg(
+            F.min(us).alias("first_us"), F.max(us).alias("last_us"), F.sum((price * vol).cast("decimal(38,6)")).alias("pv"), F.sum(vol).alias("vol"), F.count("*").alias("bars"))
+
+    return parts
+
+
+def gap_sessions(parts: DataFrame, gap_seconds: int) -> DataFrame:
+    """Sessions of a symbol: prints less than the gap apart. Stretches of all batches are merged, so a late print may join two sessions.
+
+    Windows run over stretches, at most one per gap length of the calendar.
+    """
+    keys = ["symbol", "stretch"]
+    s = parts.groupBy(*keys).agg(F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), *[F.sum(c).alias(c) for c in ("pv", "vol", "bars")])
+    along = Window.partitionBy("symbol").orderBy("stretch")
+    opens = F.col("first_us") - F.lag("last_us").over(along) >= gap_seconds * 1_000_000
+    s = s.withColumn("_opens", F.coalesce(opens, F.lit(True)).cast("int")).withColumn("_session", F.sum("_opens").over(along))
+    g = s.groupBy("symbol", "_session").agg(F.min("first_us").alias("a"), F.max("last_us").alias("z"), F.sum("pv").alias("pv"), F.sum("vol").alias("vol"), F.sum("bars").alias("bars"))
+    at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    return g.select("symbol", at(F.col("a")).alias("session_start"), at(F.col("z")).alias("session_end"), "bars",
+                    F.try_divide(F.col("pv").cast("double"), F.col("vol").cast("double")).alias("vwap"))
+
+
 def bar_parts(rule: str) -> Callable[[DataFrame], DataFrame]:
     """Bars of a batch per week or month; the dates of the first open and the last close travel along."""
 
@@ -142,10 +255,35 @@ def bar_parts(rule: str) -> Callable[[DataFrame], DataFrame]:
     return parts
 
 
-def merge_bars(parts: DataFrame) -> DataFrame:
-    g = parts.groupBy("symbol", F.col("bucket").alias("date")).agg(
+def merge_bar_parts(parts: DataFrame) -> DataFrame:
+    """Partial bars of several batches as one per bucket, in the same columns."""
+    return parts.groupBy("symbol", "bucket").agg(
         F.min("first").alias("first"), F.max("high").alias("high"), F.min("low").alias("low"), F.max("last").alias("last"), F.sum("volume").cast("bigint").alias("volume"))
-    return g.select("symbol", "date", F.col("first.open").alias("open"), "high", "low", F.col("last.close").alias("close"), "volume").dropna(subset=["open", "close"])
+
+
+def merge_bars(parts: DataFrame) -> DataFrame:
+    g = merge_bar_parts(parts)
+    return g.select("symbol", F.col("bucket").alias("date"), F.col("first.open").alias("open"), "high", "low", F.col("last.close").alias("close"), "volume").dropna(subset=["open", "close"])
+
+
+def drain_parts(stream: DataFrame, label: str, parts: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame], bucket: str, most: int = 4) -> SnapshotTable:
+    """Partial rows of every batch in a stored table by the year of their bucket.
+
+    A year with more than ``most`` batches' partials is merged back to one row a bucket, so what
+    a reader merges doesn't grow with the number of batches.
+    """
+    spark = stream.sparkSession
+    base = new_run_dir(spark, label)
+    dated = lambda d: d.withColumn("year", F.year(bucket).cast("string"))
+    shape = dated(parts(spark.createDataFrame([], stream.schema)))
+    table = SnapshotTable(spark, f"{base}/parts", shape.schema, "year")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        table.append(dated(parts(batch)), ("stream", epoch))
+        table.compact(lambda d: dated(merge(d.drop("year"))), most)
+
+    run_batches(stream, base, write)
+    return table
 
 
 def first_of(keys: list[str], order: str) -> Callable[[DataFrame], DataFrame]:
@@ -158,48 +296,74 @@ def first_of(keys: list[str], order: str) -> Callable[[DataFrame], DataFrame]:
     return first
 
 
-# -- recursive indicators as state -----------------------------------------------------------------
-
-STATE = "n bigint, close double, high double, low double, ema_12 double, ema_26 double, gain double, loss double, atr double, last_date string, dropped bigint"
-OUTPUT = "symbol string, date string, bars bigint, close double, ema_12 double, ema_26 double, rsi_14 double, atr_14 double, dropped bigint"
-
+# -- recursive indicators over stored bars ------------------------------------------------------------
 
-def _smoothed(before: float | None, values: pd.Series, alpha: float) -> float:
-    seeded = values if before is None else pd.concat([pd.Series([before]), values])
-    return float(seeded.ewm(alpha=alpha, adjust=False).mean().iloc[-1])
+BARS = "symbol string, date date, high double, low double, close double, load bigint, year string"
+SMOOTHED = "symbol string, month date, date date, bars bigint, close double, ema_12 double, ema_26 double, gain double, loss double, atr double, epoch bigint, year string"
 
 
-def advance(state: tuple, rows: pd.DataFrame) -> tuple:
-    """Fold time-ordered bars into the constant-size state; a bar not after the one before it is dropped and counted."""
-    n, close, high, low, e12, e26, gain, loss, atr, last, dropped = state
-    days = rows["date"].astype(str)
-    new = ~days.duplicated() & (days > (last or ""))
-    dropped += int((~new).sum())
-    rows = rows[new.to_numpy()].reset_index(drop=True)
-    if not len(rows):
-        return n, close, high, low, e12, e26, gain, loss, atr, last, dropped
-    before = rows["close"].shift().fillna(close) if n else rows["close"].shift()
-    step = (rows["close"] - before).dropna()
-    reach = pd.concat([rows["high"] - rows["low"], (rows["high"] - before).abs(), (rows["low"] - before).abs()], axis=1).max(axis=1)
-    if len(step):
-        gain = _smoothed(gain if n > 1 else None, step.clip(lower=0), 1 / 14)
-        loss = _smoothed(loss if n > 1 else None, (-step).clip(lower=0), 1 / 14)
-    e12, e26, atr = _smoothed(e12, rows["close"], 2 / 13), _smoothed(e26, rows["close"], 2 / 27), _smoothed(atr, reach, 1 / 14)
-    r = rows.iloc[-1]
-    return n + len(rows), float(r["close"]), float(r["high"]), float(r["low"]), e12, e26, gain, loss, atr, str(r["date"]), dropped
-
-
-def update_symbol(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    s = state.get if state.exists else (0, None, None, None, None, None, 0.0, 0.0, None, None, 0)
-    # a key's batches arrive in pieces; a micro-batch holds the new bars of one symbol, bounded by the calendar
-    rows = pd.concat(list(batches)).sort_values("date", kind="stable")
-    s = advance(s, rows)
-    state.update(s)
-    n, close, _, _, e12, e26, gain, loss, atr, last, dropped = s
-    rsi = None if n < 2 or (gain == 0 and loss == 0) else 100.0 if loss == 0 else 100.0 - 100.0 / (1.0 + gain / loss)
-    yield pd.DataFrame([{"symbol": key[0], "date": last, "bars": n, "close": close, "ema_12": e12, "ema_26": e26, "rsi_14": rsi, "atr_14": atr, "dropped": dropped}])
+def smooth_on(bars: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Smoothed values of every bar, going on from its symbol's seed (the values after an earlier bar) where there is one.
 
+    A seed enters the recursions as the row before the bars: its smoothed values are the first
+    inputs, and a recursion starts with its first input.
+    """
+    b = bars.select("symbol", "date", "high", "low", "close", F.lit(0).cast("bigint").alias("had"), *[F.lit(None).cast("double").alias(c) for c in ("e12", "e26", "g", "l", "a")], F.lit(False).alias("seed"))
+    s = seeds.select("symbol", "date", F.lit(None).cast("double").alias("high"), F.lit(None).cast("double").alias("low"), "close", F.col("bars").alias("had"),
+                     F.col("ema_12").alias("e12"), F.col("ema_26").alias("e26"), F.col("gain").alias("g"), F.col("loss").alias("l"), F.col("atr").alias("a"), F.lit(True).alias("seed"))
+    along = Window.partitionBy("symbol").orderBy("date")
+    d = b.unionByName(s).withColumn("rn", F.row_number().over(along)).withColumns({"_pc": F.lag("close").over(along), "_had": F.first("had").over(along)})
+    step = F.col("close") - F.col("_pc")
+    reach = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_pc")), F.abs(F.col("low") - F.col("_pc")))
+    own = lambda stored, x: F.when(F.col("seed"), F.col(stored)).otherwise(x)
+    d = d.withColumns({"x12": own("e12", F.col("close")), "x26": own("e26", F.col("close")), "xg": own("g", F.when(step.isNotNull(), F.greatest(step, F.lit(0.0)))),
+                       "xl": own("l", F.when(step.isNotNull(), F.greatest(-step, F.lit(0.0)))), "xa": own("a", reach)})
+    wilder = wilder_alpha(14)
+    d = ewm(d, [("ema_12", "x12", span_alpha(12)), ("ema_26", "x26", span_alpha(26)), ("gain", "xg", wilder), ("loss", "xl", wilder), ("atr", "xa", wilder)])
+    bars_so_far = F.col("_had") + F.col("rn") - F.when(F.col("_had") > 0, 1).otherwise(0)
+    return d.where(~F.col("seed")).select("symbol", "date", bars_so_far.cast("bigint").alias("bars"), "close", "ema_12", "ema_26", "gain", "loss", "atr")
+
+
+def indicators(stream: DataFrame, label: str) -> SnapshotTable:
+    """Smoothed values at the end of every symbol's months, kept up while bars arrive late, twice or corrected.
+
+    ``stream`` has symbol, date, high, low, close and load; the latest load of a bar counts. Bars
+    and month-end values are stored by year. A batch merges its bars, and the symbols it touches
+    go on from the last month end before their earliest touched month: a bar of today costs the
+    days of its month, a late one the bars after it. Nothing is dropped, and there is one stored
+    value per symbol and month.
+    """
+    spark = stream.sparkSession
+    base = new_run_dir(spark, label)
+    bars, smoothed = SnapshotTable(spark, f"{base}/bars", BARS, "year"), SnapshotTable(spark, f"{base}/smoothed", SMOOTHED, "year")
+    bar_columns, smoothed_columns = [f.name for f in bars.schema.fields], [f.name for f in smoothed.schema.fields]
 
-def indicators(daily: DataFrame) -> DataFrame:
-    """Latest EMA, RSI and ATR per symbol, kept in a few numbers of state."""
-    return daily.groupBy("symbol").applyInPandasWithState(update_symbol, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    def write(batch: DataFrame, epoch: int) -> None:
+        coming = batch.withColumn("year", F.year("date").cast("string"))
+        bars.upsert(coming, newest(bar_columns, ["symbol", "date"], "load"), ("stream", epoch))
+        since = cut_lineage(spark, coming.groupBy("symbol").agg(F.trunc(F.min("date"), "MM").alias("since")))
+        earliest = since.agg(F.year(F.min("since")).alias("y")).first().y
+        if earliest is None:
+            return
+        later = [y for y in bars.manifest().parts if y and int(y) >= earliest]
+        again = bars.read(later).join(since, "symbol").where("date >= since")
+        ends = smoothed.read().join(since, "symbol").where("month < since")
+        rest = [c for c in smoothed_columns if c != "symbol"]
+        seeds = ends.groupBy("symbol").agg(F.max_by(F.struct(*rest), "month").alias("r")).select("symbol", "r.*")
+        d = smooth_on(again, seeds).withColumn("month", F.trunc("date", "MM"))
+        values = [c for c in d.columns if c not in ("symbol", "month")]
+        d = d.groupBy("symbol", "month").agg(F.max_by(F.struct(*values), "date").alias("r")).select("symbol", "month", "r.*")
+        d = d.withColumns({"epoch": F.lit(epoch).cast("bigint"), "year": F.year("month").cast("string")})
+        smoothed.upsert(cut_lineage(spark, d.select(*smoothed_columns)), newest(smoothed_columns, ["symbol", "month"], "epoch"), ("stream", epoch))
+
+    run_batches(stream, base, write)
+    return smoothed
+
+
+def latest_indicators(smoothed: DataFrame) -> DataFrame:
+    """The newest values of every symbol."""
+    rest = [c for c in smoothed.columns if c != "symbol"]
+    d = smoothed.groupBy("symbol").agg(F.max_by(F.struct(*rest), "month").alias("r")).select("symbol", "r.*")
+    flat = (F.col("loss") == 0) & (F.col("gain") == 0)
+    rsi = F.when(flat, F.lit(None)).when(F.col("loss") == 0, 100.0).otherwise(100.0 - 100.0 / (1.0 + F.col("gain") / F.nullif(F.col("loss"), F.lit(0.0))))
+    return d.select("symbol", "date", "bars", "close", "ema_12", "ema_26", rsi.alias("rsi_14"), F.col("atr").alias("atr_14"))

@@ -197,31 +197,6 @@ def test_mentions_match_brute_force(spark):
     assert got == want
 
 
-def test_late_bars_are_dropped_and_counted():
-    import pandas as pd
-
-    from tapeline.streaming.jobs import advance
-
-    zero = (0, None, None, None, None, None, 0.0, 0.0, None, None, 0)
-    bars = pd.DataFrame({"date": ["2024-01-01", "2024-01-02", "2024-01-03"], "high": [11.0, 12, 13], "low": [9.0, 10, 11], "close": [10.0, 11, 12]})
-    s = advance(zero, bars)
-    late = advance(s, bars.iloc[[1]])
-    assert s[0] == 3 and late[:10] == s[:10] and late[10] == 1
-    assert advance(advance(zero, bars.iloc[:1]), bars.iloc[1:]) == s
-
-
-def test_streams_of_folders_and_of_nothing(spark, tmp_path):
-    from tapeline.streaming import jobs as J
-
-    d = spark.createDataFrame([("a", 3, "x"), ("a", 1, "y"), ("b", 2, "x")], "k string, n int, payload string")
-    for i in range(3):
-        d.withColumn("n", F.col("n") + 10 * i).coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
-    out = J.drain(J.read_stream(spark, str(tmp_path / "t")), "t", transform=J.first_of(["k"], "n"), unseen=["k"])
-    assert sorted(tuple(r) for r in out.collect()) == [("a", 1, "y", 0), ("b", 2, "x", 0)]
-    d.where("false").write.parquet(str(tmp_path / "none"))
-    assert J.drain(J.read_stream(spark, str(tmp_path / "none")), "none").count() == 0
-
-
 @pytest.mark.parametrize("word", ["localCheckpoint", "crossJoin", ".collect()", "toPandas("])
 def test_library_avoids(word):
     import pathlib

@@ -2,10 +2,7 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from tapeline.operators import facts as FA
-from tapeline.operators import statements as ST
 from tapeline.sources import io
 
 
@@ -34,23 +31,6 @@ def test_filings_and_json(spark, tmp_path):
     assert io.read_json_feed(spark, str(tmp_path / "j"), "s string, d date, x double").first() == d.first()
 
 
-def test_upsert_rewrites_only_touched_partitions(spark, tmp_path):
-    path = str(tmp_path / "t")
-    old = spark.createDataFrame([(1, "a", 1.0), (2, "a", 2.0), (3, "b", 3.0)], "k int, p string, x double")
-    old.write.partitionBy("p").parquet(path)
-    before = {f.name for f in (tmp_path / "t" / "p=b").iterdir()}
-    new = spark.createDataFrame([(2, "a", 20.0), (4, "a", 4.0)], "k int, p string, x double")
-
-    def merge(stored, incoming):
-        one = lambda d, n: d.select("k", "p", "x").withColumn("load", F.lit(n))
-        return ST.upsert_latest(one(stored, 0), one(incoming, 1), ["k", "p"], "load")
-
-    io.upsert_parquet(spark, path, new, "p", merge)
-    got = sorted((r.k, r.p, r.x) for r in spark.read.parquet(path).collect())
-    assert got == [(1, "a", 1.0), (2, "a", 20.0), (3, "b", 3.0), (4, "a", 4.0)]
-    assert {f.name for f in (tmp_path / "t" / "p=b").iterdir()} == before
-
-
 def test_page_guard(spark):
     from tapeline.operators import text as TX
 

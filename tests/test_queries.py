@@ -16,7 +16,7 @@ volume_profile value_area divergence historical_analogues signals confluence lev
 insider_holdings upsert_statements dedup_content_hash select_pages news_symbol_match map_growth histogram_quantile
 dq_majority rate_window stream_indicators to_float parse_period_label round_py xbrl_facts
 ema_long us_cashflow_rows unpivot_periods order_nulls_last skip_existing stream_resample_month stream_upsert_bars
-stream_dedup_filings structure_topic_counts price_history_section union_news_dedup scan_news""".split()
+stream_dedup_filings stream_gap_sessions rate_decisions upsert_bars structure_topic_counts price_history_section union_news_dedup scan_news""".split()
 
 ALL = all_queries()
 NAMES = [n for n, q in ALL.items() if q.sql] if os.environ.get("TAPELINE_FULL") else CORE
