@@ -9,9 +9,11 @@ Counts of linked id pairs cover the whole corpus: each task writes its pieces of
 their distinct pairs, Spark sums the pairs, and every piece asks for its own pairs' counts by a
 join, so neither links nor counts pass through the driver or are broadcast.
 
-A text is encoded in parts cut before a blank that follows another character than white space:
-no token of either vocabulary spans such a place (``load`` checks the piece vocabulary), and what
-a task holds is bounded by the longest run without blanks. The ends of parts are common ends.
+A text is cut at blanks that follow another character than white space: no token of either
+vocabulary spans such a place (``byte_fallback`` checks the piece vocabulary), so a blank and what
+follows it, a word here, has the same tokens, groups and links wherever it stands. The distinct
+words of a piece are encoded and aligned once and the documents put together from them; what a
+task holds is bounded by the piece and the longest run without blanks.
 
 Edge cases: null and empty texts, and texts whose tokens' bytes are not a space and the text (a
 lower one eighth block is read as a space), have no tokens; special-token strings in a text are
@@ -23,8 +25,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +45,7 @@ PIECE_TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a text that are encoded together, or up to the next place where a text can be cut.
 PART_CHARS = 100_000
 #: Text bytes of a piece of the corpus, whose distinct pairs are counted and looked up together (one document at least).
-PIECE_BYTES = 4_000_000
+PIECE_BYTES = 8_000_000
 #: Bits of an id in a pair's code.
 ID_BITS = 32
 
@@ -109,27 +113,22 @@ def vocabularies(spark: SparkSession, a: str = BYTE_TOKENIZER, b: str = PIECE_TO
     return load_vocabulary(spark, a), load_vocabulary(spark, b)
 
 
+#: Where a text may be cut: a blank after another character than white space, not at the end.
+CUT = re.compile(r"(?<=\S) (?=.)", re.DOTALL)
+
+
 def parts(text: str, size: int = PART_CHARS) -> Iterator[str]:
-    """The text in parts, the first without its leading space; later ones begin with the blank they were cut before."""
-    start, n = 0, len(text)
-    while n - start > size:
-        cut = start + size
-        while True:
-            cut = text.find(" ", cut)
-            if cut < 0 or cut + 1 >= n:
-                yield text[start:]
-                return
-            if not text[cut - 1].isspace():
-                break
-            cut += 1
-        yield text[start:cut]
-        start = cut
+    """The text in parts of about ``size`` characters without the blanks it is cut at; the text is the parts with a blank between them."""
+    start = 0
+    while len(text) - start > size and (cut := CUT.search(text, start + size)):
+        yield text[start : cut.start()]
+        start = cut.end()
     yield text[start:]
 
 
 @dataclass
 class Alignment:
-    """Ids of both tokenizers, the index after each group's last token in both lists, and the linked tokens' indexes."""
+    """Ids of both tokenizers, the index after each group's last token in both lists, the linked tokens' indexes, and the byte offsets of the groups' ends."""
 
     ids_a: np.ndarray
     ids_b: np.ndarray
@@ -137,6 +136,7 @@ class Alignment:
     ends_b: np.ndarray
     links_a: np.ndarray
     links_b: np.ndarray
+    offsets: np.ndarray
 
 
 def group_ends(offsets_a: np.ndarray, offsets_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,28 +169,32 @@ def slice_links(offsets_a: np.ndarray, offsets_b: np.ndarray, at_a: np.ndarray,
     return np.concatenate([at_a[single], more_a[a]]), np.concatenate([at_b[single], more_b[b]])
 
 
+def align_part(part: str, t: Tokenizers) -> Alignment | None:
+    """The alignment of a space and ``part``; none if a tokenizer's bytes differ from it."""
+    ids_a, ids_b = t.encode_a(" " + part), t.encode_b(part)
+    whole = (" " + part).encode()
+    if b"".join(map(t.bytes_b.__getitem__, ids_b)) != whole:
+        return None
+    a, b = np.array(ids_a, dtype=np.int64), np.array(ids_b, dtype=np.int64)
+    offsets_a, offsets_b = np.cumsum(t.lengths_a[a]), np.cumsum(t.lengths_b[b])
+    if offsets_a[-1] != len(whole):  # merges of bytes keep the bytes, so their number decides
+        return None
+    at_a, at_b = group_ends(offsets_a, offsets_b)
+    return Alignment(a, b, at_a + 1, at_b + 1, *slice_links(offsets_a, offsets_b, at_a, at_b), offsets_a[at_a])
+
+
 def align(text: str | None, t: Tokenizers) -> Alignment | None:
     """The alignment of one text; none if it has no tokens."""
     if not text:
         return None
-    found = []
-    for i, part in enumerate(parts(text)):
-        spaced = " " + part if i == 0 else part
-        ids_a, ids_b = t.encode_a(spaced), t.encode_b(spaced[1:])
-        whole = spaced.encode()
-        if b"".join(map(t.bytes_b.__getitem__, ids_b)) != whole:
-            return None
-        a, b = np.array(ids_a, dtype=np.int64), np.array(ids_b, dtype=np.int64)
-        offsets_a, offsets_b = np.cumsum(t.lengths_a[a]), np.cumsum(t.lengths_b[b])
-        if offsets_a[-1] != len(whole):  # merges of bytes keep the bytes, so their number decides
-            return None
-        at_a, at_b = group_ends(offsets_a, offsets_b)
-        found.append((a, b, at_a + 1, at_b + 1, *slice_links(offsets_a, offsets_b, at_a, at_b)))
-    if len(found) == 1:
-        return Alignment(*found[0])
-    before_a, before_b = (np.concatenate([[0], np.cumsum([len(f[k]) for f in found])[:-1]]) for k in (0, 1))
-    shifts = [(0, 0, x, y, x, y) for x, y in zip(before_a, before_b)]
-    return Alignment(*[np.concatenate([f[k] + s[k] for f, s in zip(found, shifts)]) for k in range(6)])
+    found = [align_part(part, t) for part in parts(text)]
+    if len(found) == 1 or any(f is None for f in found):
+        return found[0] if len(found) == 1 else None
+    fields = ("ids_a", "ids_b", "ends_a", "ends_b", "links_a", "links_b", "offsets")
+    sizes = {"a": [len(f.ids_a) for f in found], "b": [len(f.ids_b) for f in found], "offsets": [f.offsets[-1] for f in found]}
+    before = {k: np.cumsum([0, *v[:-1]]) for k, v in sizes.items()}
+    shift = lambda c, k: 0 if c.startswith("ids") else before["offsets" if c == "offsets" else c[-1]][k]
+    return Alignment(*[np.concatenate([getattr(f, c) + shift(c, k) for k, f in enumerate(found)]) for c in fields])
 
 
 def written_groups(x: Alignment, names: list[bytes], width: int, other: int) -> bytes:
@@ -239,6 +243,108 @@ def alignments(docs: DataFrame, a: str = BYTE_TOKENIZER, b: str = PIECE_TOKENIZE
     return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ALIGNED, run)
 
 
+@dataclass
+class Words:
+    """Alignments of distinct words: sizes, groups as text, and pair codes from ``starts[i]`` to ``starts[i + 1]``; a word that can't be aligned isn't ``known``."""
+
+    known: np.ndarray
+    sizes: np.ndarray  # tokens of a, tokens of b, groups, links
+    written: list[bytes]
+    codes: np.ndarray
+    starts: np.ndarray
+
+
+def align_words(words: list[str], t: Tokenizers, names: tuple[list[bytes], int, int]) -> Words:
+    """Aligns words that a blank parts in some text, all of them as one text: no token and no link crosses a blank.
+
+    A word with white space at its end is the last of its text, so it ends a run of words here too.
+    """
+    n = len(words)
+    known, sizes, written, codes = np.zeros(n, bool), np.zeros((n, 4), np.int64), [b""] * n, []
+
+    def run(first: int, last: int) -> None:
+        own = words[first:last]
+        x = align_part(" ".join(own), t)
+        if x is None:
+            if last - first == 1:
+                codes.append(np.zeros(0, np.int64))
+                return
+            half = (first + last) // 2
+            run(first, half)
+            run(half, last)
+            return
+        ends = np.cumsum([len(w.encode()) + 1 for w in own])
+        group = np.searchsorted(x.offsets, ends) + 1  # the end of a word is the end of a group
+        order = np.argsort(x.links_a, kind="stable")
+        a, b = x.links_a[order], x.links_b[order]
+        codes.append(x.ids_a[a] << ID_BITS | x.ids_b[b])
+        stops = np.stack([x.ends_a[group - 1], x.ends_b[group - 1], group, np.searchsorted(a, x.ends_a[group - 1])], axis=1)
+        sizes[first:last] = np.diff(stops, axis=0, prepend=0)
+        groups = written_groups(x, *names).split(b";")
+        start = 0
+        for i, stop in enumerate(group.tolist(), first):
+            written[i] = b";".join(groups[start:stop])
+            start = stop
+        known[first:last] = True
+
+    first = size = 0
+    for i, w in enumerate(words):
+        size += len(w) + 1
+        if size >= PART_CHARS or w[-1].isspace() or i == n - 1:
+            run(first, i + 1)
+            first, size = i + 1, 0
+    return Words(known, sizes, written, np.concatenate(codes) if codes else np.zeros(0, np.int64), np.append(0, np.cumsum(sizes[:, 3])))
+
+
+class Documents:
+    """Sums over the words of a piece's documents, taken in blocks of bounded size; a long document runs over several blocks."""
+
+    def __init__(self, n: int, t: Tokenizers, names: tuple[list[bytes], int, int]):
+        self.t, self.names = t, names
+        self.known, self.sizes = np.ones(n, bool), np.zeros((n, 4), np.int64)
+        self.hashes, self.pairs = [None] * n, [[] for _ in range(n)]
+
+    def add(self, block: list[tuple[int, str]]) -> None:
+        """Parts of documents in order; every distinct word of the block is aligned once."""
+        number: dict[str, int] = {}
+        held = [[number.setdefault(w, len(number)) for w in CUT.split(part)] for _, part in block]
+        words = align_words(list(number), self.t, self.names)
+        at = np.fromiter(chain.from_iterable(held), np.int64, sum(map(len, held)))
+        starts = np.cumsum([0, *[len(h) for h in held[:-1]]])
+        known, sizes = np.logical_and.reduceat(words.known[at], starts), np.add.reduceat(words.sizes[at], starts)
+        distinct, pair_of = np.unique(words.codes, return_inverse=True)
+        # the pairs of all words in order, each with its part of the block
+        links = words.sizes[at, 3]
+        ends = np.cumsum(links)
+        pairs = pair_of[np.repeat(words.starts[at] - ends + links, links) + np.arange(ends[-1])]
+        owner = np.repeat(np.arange(len(block)), sizes[:, 3])
+        keys, counts = np.unique(owner * max(1, len(distinct)) + pairs, return_counts=True)
+        owner, codes = keys // max(1, len(distinct)), distinct[keys % max(1, len(distinct))]
+        bounds = np.searchsorted(owner, np.arange(len(block) + 1))
+        for k, (doc, _) in enumerate(block):
+            self.known[doc] &= known[k]
+            self.sizes[doc] += sizes[k]
+            text = b";".join(map(words.written.__getitem__, held[k]))
+            if self.hashes[doc] is None:
+                self.hashes[doc] = hashlib.sha256(text)
+            else:
+                self.hashes[doc].update(b";" + text)
+            self.pairs[doc].append((codes[bounds[k] : bounds[k + 1]], counts[bounds[k] : bounds[k + 1]]))
+
+    def results(self) -> Iterator[tuple[list[int], str, np.ndarray, np.ndarray]]:
+        """For each document its sizes, digest, distinct pairs and their links."""
+        none = np.zeros(0, np.int64)
+        for known, sizes, digest, found in zip(self.known, self.sizes.tolist(), self.hashes, self.pairs):
+            if not known or digest is None:
+                yield [0, 0, 0, 0], "", none, none
+                continue
+            pairs, links = found[0]
+            if len(found) > 1:
+                pairs, at = np.unique(np.concatenate([p for p, _ in found]), return_inverse=True)
+                links = np.bincount(at, weights=np.concatenate([n for _, n in found])).astype(np.int64)
+            yield sizes, digest.hexdigest(), pairs, links
+
+
 PIECES = ("piece long, docs array<struct<doc_id:bigint,n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,groups_sha256:string>>, "
           "pairs array<bigint>, pair_links array<bigint>, at array<array<int>>, links array<array<int>>")
 
@@ -255,28 +361,31 @@ def aligned_pieces(docs: DataFrame, a: str = BYTE_TOKENIZER, b: str = PIECE_TOKE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = load(files[0].value, files[1].value)  # once a task
         names = group_names(t)
+        docs_type = pa.struct([("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")], ("groups_sha256", pa.string())])
         number = TaskContext.get().partitionId() << 32
         for piece, texts in pieces(batches, size=piece_bytes):
+            found = Documents(len(texts), t, names)
+            block, size = [], 0
+            for i, text in enumerate(texts):
+                for part in parts(text.decode(), piece_bytes) if text else ():
+                    block.append((i, part))
+                    size += len(part)
+                    if size >= piece_bytes:
+                        found.add(block)
+                        block, size = [], 0
+            if block:
+                found.add(block)
             rows, codes, counts = [], [], []
-            for doc_id, text in zip(piece.column(0).to_pylist(), texts):
-                x = align(text.decode() if text else None, t)
-                if x is None:
-                    rows.append((doc_id, 0, 0, 0, 0, ""))
-                    c = n = np.zeros(0, np.int64)
-                else:
-                    digest = hashlib.sha256(written_groups(x, *names)).hexdigest()
-                    rows.append((doc_id, len(x.ids_a), len(x.ids_b), len(x.ends_a), len(x.links_a), digest))
-                    c, n = np.unique(x.ids_a[x.links_a] << ID_BITS | x.ids_b[x.links_b], return_counts=True)
-                codes.append(c)
-                counts.append(n)
+            for doc_id, (sizes, digest, own, links) in zip(piece.column(0).to_pylist(), found.results()):
+                rows.append(dict(zip([f.name for f in docs_type], [doc_id, *sizes, digest])))
+                codes.append(own)
+                counts.append(links)
             pairs, at = np.unique(np.concatenate(codes), return_inverse=True)
             held = np.bincount(at, weights=np.concatenate(counts), minlength=len(pairs)).astype(np.int64)
             ends = np.cumsum([len(c) for c in codes])[:-1]
-            docs_type = pa.struct([("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")], ("groups_sha256", pa.string())])
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), one(pa.array([dict(zip([f.name for f in docs_type], r)) for r in rows], docs_type)),
-                 one(pa.array(pairs, pa.int64())), one(pa.array(held, pa.int64())),
+                [pa.array([number], pa.int64()), one(pa.array(rows, docs_type)), one(pa.array(pairs, pa.int64())), one(pa.array(held, pa.int64())),
                  one(_int_lists(np.split(at, ends), pa.int32())), one(_int_lists(counts, pa.int32()))],
                 ["piece", "docs", "pairs", "pair_links", "at", "links"])
             number += 1

@@ -231,7 +231,7 @@ def test_alignment_of_parts(tokenizers, monkeypatch):
     for size in (1, 7, 40):
         monkeypatch.setattr(alignment.parts, "__defaults__", (size,))
         for t, w in zip(texts, whole):
-            assert "".join(alignment.parts(t)) == t
+            assert " ".join(alignment.parts(t)) == t
             x = alignment.align(t, tokenizers)
             pairs = lambda y: sorted(zip(y.links_a.tolist(), y.links_b.tolist()))
             assert all(np.array_equal(getattr(x, c), getattr(w, c)) for c in ("ids_a", "ids_b", "ends_a", "ends_b")) and pairs(x) == pairs(w)
