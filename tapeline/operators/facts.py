@@ -42,62 +42,6 @@ def snake(tag: str) -> str:
     return tag.lower()
 
 
-_NAME = r"(?:[\w.-]+:)?"
-
-
-def _subtree(*names: str) -> str:
-    """Pattern of whole elements with these local names, whatever their prefix."""
-    return rf"(?s)<({_NAME}(?:{'|'.join(names)}))(?=[\s>])[^>]*(?<!/)>.*?</\1\s*>"
-
-
-def _plain(text: Column) -> Column:
-    """Text content without entities and outer blanks; an empty one is null."""
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    return F.nullif(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit(""))
-
-
-def _attribute(element: Column, name: str) -> Column:
-    return F.nullif(F.regexp_extract(element, rf"""^<[^>]*?\s{name}\s*=\s*["']([^"']*)["']""", 1), F.lit(""))
-
-
-def _inner(element: Column, *names: str) -> Column:
-    """Text of the last leaf below ``element`` that has one of these local names."""
-    found = F.regexp_extract_all(element, F.lit(rf"<{_NAME}(?:{'|'.join(names)})(?:\s[^>]*)?>([^<]*)</"), F.lit(1))
-    return _plain(F.try_element_at(found, F.lit(-1)))
-
-
-def parse_filings(filings: DataFrame, xml: str = "xml") -> DataFrame:
-    """Facts of XML instances in document order: every root child with a text, by local name.
-
-    ``filings`` has ``symbol``, ``filing_id`` and the document text. Any namespace prefix will
-    do. Contexts and units (and footnote links) are no facts; contexts give a fact its entity
-    and dates, and a later context of the same id replaces an earlier one. The period end is the
-    last ``endDate`` on the root level, else the last one of the document. ``ord`` is the fact's
-    place; the catalog is joined afterwards, so unknown tags stay.
-    """
-    text = F.regexp_replace(F.col(xml), r"(?s)<!--.*?-->", "")
-    d = filings.select("symbol", "filing_id", text.alias("_xml"))
-    contexts = F.transform(F.regexp_extract_all("_xml", F.lit(_subtree("context")), F.lit(0)), lambda c: F.struct(
-        _attribute(c, "id").alias("id"), _inner(c, "identifier").alias("entity"), _inner(c, "startDate").alias("start_date"),
-        _inner(c, "endDate").alias("end_date"), _inner(c, "instant").alias("instant_date")))
-    unit = F.try_element_at(F.regexp_extract_all("_xml", F.lit(_subtree("unit")), F.lit(0)), F.lit(1))
-    body = F.regexp_replace("_xml", _subtree("context", "unit", "footnoteLink"), "")
-    leaves = F.regexp_extract_all(body, F.lit(rf"<({_NAME}[\w.-]+)(?:\s[^<>]*)?(?<!/)>[^<]*</\1\s*>"), F.lit(0))
-    d = d.select("symbol", "filing_id", F.filter(contexts, lambda c: c["id"].isNotNull()).alias("_contexts"), _inner(unit, "measure").alias("currency"), F.filter(F.transform(leaves, lambda e: F.struct(
-        F.regexp_extract(e, rf"^<{_NAME}([\w.-]+)", 1).alias("tag"), _plain(F.regexp_extract(e, r"(?s)^<[^>]*>(.*)</", 1)).alias("value"),
-        _attribute(e, "contextRef").alias("context_ref"))), lambda e: e["value"].isNotNull()).alias("_facts"))
-    ids = F.array_distinct(F.transform("_contexts", lambda c: c["id"]))
-    by_id = F.map_from_arrays(ids, F.transform(ids, lambda i: F.try_element_at(F.filter("_contexts", lambda c: c["id"] == i), F.lit(-1))))
-    root_end = F.try_element_at(F.filter("_facts", lambda f: f["tag"] == "endDate"), F.lit(-1))["value"]
-    any_end = F.try_element_at(F.filter(F.transform("_contexts", lambda c: c["end_date"]), lambda e: e.isNotNull()), F.lit(-1))
-    d = d.withColumns({"period_end": F.coalesce(root_end, any_end).try_cast("date"), "_by_id": by_id})
-    facts = F.transform("_facts", lambda f: F.struct(f.alias("f"), F.try_element_at("_by_id", f["context_ref"]).alias("c")))
-    d = d.select("symbol", "filing_id", "period_end", "currency", F.posexplode(facts).alias("ord", "e"))
-    return d.select("symbol", "filing_id", "period_end", "currency", "ord", "e.f.tag", "e.f.value", "e.f.context_ref",
-                    F.coalesce("e.c.entity", "symbol").alias("entity"), *[F.col(f"e.c.{x}").try_cast("date").alias(x) for x in ("start_date", "end_date", "instant_date")])
-
-
 def with_tags(facts: DataFrame, dim: DataFrame, how: str = "left") -> DataFrame:
     """Facts with their catalog entry; the dimension is the fixed tag list, so it is broadcast."""
     return facts.join(F.broadcast(dim), "tag", how)

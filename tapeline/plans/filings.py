@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tapeline.functions import scalars as X
 from tapeline.operators import facts as FA
+from tapeline.operators import instances as IN
 from tapeline.plans.checks import view
 from tapeline.registry import query
 from tapeline.sources import schema as S
@@ -152,7 +153,7 @@ def filing_documents(v):
 @query("xbrl_facts", """SELECT filing_id, symbol, period_end, 'INR' AS currency, CAST(row_number() OVER (PARTITION BY filing_id ORDER BY ord) AS INT) AS ord, tag, value, context_ref, symbol AS entity, start_date, end_date, instant_date FROM v_facts
  UNION ALL SELECT DISTINCT filing_id, symbol, period_end, 'INR', 0, 'endDate', strftime(period_end, '%Y-%m-%d'), NULL, symbol, NULL, NULL, NULL FROM v_facts""")
 def xbrl_facts(v):
-    return FA.parse_filings(filing_documents(v))
+    return IN.parse_filings(filing_documents(v))
 
 
 # -- concept frames --------------------------------------------------------------------------------

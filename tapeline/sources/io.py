@@ -20,13 +20,6 @@ def read_csv_dim(spark: SparkSession, path: str, columns: str) -> DataFrame:
     return d.select(*[F.trim(c).alias(c) if t == "string" else F.col(c) for c, t in d.dtypes])
 
 
-def read_filing_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Whole XML instances named <symbol>_<filing>.xml as (symbol, filing_id, xml)."""
-    file = F.regexp_extract(F.input_file_name(), r"([^/]+)\.xml$", 1)
-    d = spark.read.text(path, wholetext=True).select(file.alias("f"), F.col("value").alias("xml"))
-    return d.select(F.split_part("f", F.lit("_"), F.lit(1)).alias("symbol"), F.col("f").alias("filing_id"), "xml")
-
-
 def read_json_feed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines with a declared schema (no inference pass)."""
     return spark.read.schema(schema).json(path)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tapeline.functions import scalars as X
 from tapeline.operators import facts as FA
+from tapeline.operators import instances as IN
 from tapeline.operators import metrics as M
 from tapeline.operators import quality as QL
 from tapeline.operators import ratios as RT
@@ -132,12 +133,12 @@ def test_xml_instance(spark):
     <xbrli:context id="FourD"><xbrli:entity><xbrli:identifier>ACME</xbrli:identifier></xbrli:entity><xbrli:period><xbrli:startDate>2025-01-01</xbrli:startDate><xbrli:endDate>2025-12-31</xbrli:endDate></xbrli:period></xbrli:context>
     <xbrli:unit id="INR"><xbrli:measure>iso4217:INR</xbrli:measure></xbrli:unit><in:endDate contextRef="OneI">2025-09-30</in:endDate>
     <in:RevenueFromOperations contextRef="OneI">5000000</in:RevenueFromOperations><in:RevenueFromOperations contextRef="FourD">15000000</in:RevenueFromOperations></xbrl>"""
-    got = FA.parse_filings(spark.createDataFrame([("A", "f1", xml)], "symbol string, filing_id string, xml string")).orderBy("ord").collect()
+    got = IN.parse_filings(spark.createDataFrame([("A", "f1", xml)], "symbol string, filing_id string, xml string")).orderBy("ord").collect()
     assert [(r.tag, r.value, r.context_ref, r.start_date) for r in got] == [
         ("endDate", "2025-09-30", "OneI", dt.date(2025, 7, 1)), ("RevenueFromOperations", "5000000", "OneI", dt.date(2025, 7, 1)), ("RevenueFromOperations", "15000000", "FourD", dt.date(2025, 1, 1))]
     assert got[0].period_end == dt.date(2025, 9, 30) and got[0].currency == "iso4217:INR" and got[0].entity == "ACME"
     bare = xml.replace('<in:endDate contextRef="OneI">2025-09-30</in:endDate>', "")
-    assert FA.parse_filings(spark.createDataFrame([("A", "f1", bare)], "symbol string, filing_id string, xml string")).first().period_end == dt.date(2025, 12, 31)
+    assert IN.parse_filings(spark.createDataFrame([("A", "f1", bare)], "symbol string, filing_id string, xml string")).first().period_end == dt.date(2025, 12, 31)
 
 
 def test_instance_as_filed(spark):
@@ -147,16 +148,60 @@ def test_instance_as_filed(spark):
     <in-bse-fin:ProfitLossForPeriod decimals="0" contextRef="OneI">7</in-bse-fin:ProfitLossForPeriod><in-bse-fin:RevenueFromOperations contextRef="OneI">
       5 </in-bse-fin:RevenueFromOperations><in-bse-fin:NotInCatalog contextRef="Gone">a &amp;lt; &lt;b&gt;</in-bse-fin:NotInCatalog><in-bse-fin:Assets contextRef="OneI"/><in-bse-fin:Assets contextRef="OneI"> </in-bse-fin:Assets></xbrli:xbrl>"""
     d = spark.createDataFrame([("A", "f", xml), ("B", "g", None), ("C", "h", "no markup")], "symbol string, filing_id string, xml string")
-    got = [(r.ord, r.tag, r.value, r.context_ref, r.entity, r.start_date) for r in FA.parse_filings(d).orderBy("ord").collect()]
+    got = [(r.ord, r.tag, r.value, r.context_ref, r.entity, r.start_date) for r in IN.parse_filings(d).orderBy("ord").collect()]
     q = dt.date(2025, 7, 1)
     assert got == [(0, "endDate", "2025-09-30", None, "A", None), (1, "ProfitLossForPeriod", "7", "OneI", "T", q), (2, "RevenueFromOperations", "5", "OneI", "T", q), (3, "NotInCatalog", "a &lt; <b>", "Gone", "A", None)]
 
 
+AWKWARD = """<?xml version="1.0"?><!DOCTYPE x [<!ENTITY co "Co &amp; Sons">]><x:xbrl xmlns:x="http://www.xbrl.org/2003/instance" xmlns:f="urn:f">
+<!-- a > b <f:Assets>0</f:Assets> <![CDATA[ --><f:Assets contextRef='c1' note="1 > 0">5</f:Assets><f:Name contextRef="c2"><![CDATA[<b>R&D</b> -- > ]]]]><![CDATA[> <!-- no comment -->]]></f:Name>
+<f:Owner contextRef="c1">&co; &#65;&#x20B9;</f:Owner><f:Text>a<!-- cut -->b</f:Text><f:Tuple><f:Part contextRef="c1"> 1
+</f:Part></f:Tuple><f:Mixed>out<f:Leaf>in</f:Leaf>er</f:Mixed><f:Empty/><f:Blank> </f:Blank>
+<x:context id="c1"><x:entity><x:identifier>OLD</x:identifier></x:entity><x:period><x:instant>2024-03-31</x:instant></x:period></x:context>
+<x:context id="c1"><x:entity><x:identifier>NEW</x:identifier><x:segment><f:Leaf>skipped</f:Leaf></x:segment></x:entity><x:period><x:startDate>2024-01-01</x:startDate><x:endDate>2024-12-31</x:endDate></x:period></x:context>
+<x:context><x:entity><x:identifier>NONE</x:identifier></x:entity></x:context><x:unit id="u"><x:divide><x:measure>INR</x:measure><x:measure>shares</x:measure></x:divide></x:unit><x:unit id="v"><x:measure>pure</x:measure></x:unit></x:xbrl>
+"""
+
+
+def test_awkward_instances(spark, tmp_path):
+    day = dt.date(2024, 1, 1)
+    want = [("Assets", "5", "c1", "NEW", day), ("Name", "<b>R&D</b> -- > ]]> <!-- no comment -->", "c2", "S", None), ("Owner", "Co & Sons A\u20b9", "c1", "NEW", day),
+            ("Text", "ab", None, "S", None), ("Part", "1", "c1", "NEW", day), ("Leaf", "in", None, "S", None)]
+    broken = "<a><b contextRef='q'>1</b><c>2</d></a>"
+    texts = {"S_1": AWKWARD, "S_2": broken, "S_3": AWKWARD.rstrip(), "S_4": "", "S_5": "<a><b>7</b"}
+    strings = spark.createDataFrame([("S", k, v) for k, v in texts.items()], "symbol string, filing_id string, xml string")
+    for k, v in texts.items():
+        (tmp_path / f"{k}.xml").write_text(v)
+    for parsed, rows in ((IN.parse_filings(strings), IN.read_instances(strings)), (IN.parse_filing_files(spark, str(tmp_path)), IN.read_instance_files(spark, str(tmp_path)))):
+        got = {}
+        for r in parsed.orderBy("filing_id", "ord").collect():
+            got.setdefault(r.filing_id, []).append((r.tag, r.value, r.context_ref, r.entity, r.start_date))
+            assert r.filing_id in ("S_2", "S_5") or (r.currency, r.period_end) == ("shares", dt.date(2024, 12, 31))
+        assert got == {"S_1": want, "S_3": want, "S_2": [("b", "1", "q", "S", None)]} | ({"S_5": got["S_5"]} if "S_5" in got else {})
+        assert {r.filing_id for r in IN.broken_instances(rows).collect()} - {"S_4"} == {"S_2", "S_5"}
+
+
+def test_large_filings_are_read_in_splits(spark, tmp_path):
+    n = 60_000
+    contexts = "".join(f'<context id="c{i}"><entity><identifier>E{i}</identifier></entity><period><instant>2024-03-31</instant></period></context>' for i in range(n // 10))
+    facts = "\n".join(f'<in:Tag{i % 50} contextRef="c{i % (n // 10)}">{i}</in:Tag{i % 50}><!-- > -->' for i in range(n))
+    for k in "AB":
+        (tmp_path / f"{k}_1.xml").write_text(f"<xbrl xmlns:in='urn:in'>{contexts}{facts}</xbrl>")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        d = IN.parse_filing_files(spark, str(tmp_path))
+        assert spark.read.option("lineSep", ">").text(str(tmp_path)).rdd.getNumPartitions() > 8
+        assert d.count() == 2 * n and d.where("value <> ord OR entity <> concat('E', ord % 6000) OR instant_date IS NULL").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_shareholding_instance(spark):
     tag, ids = "ShareholdingAsAPercentageOfTotalNumberOfShares", ("ShareholdingOfPromoterAndPromoterGroup", "PublicShareholding")
     facts = "".join(f'<s:{tag} contextRef="{i}_ContextI">{x}</s:{tag}>' for i, x in zip(ids, ("0.7177", "0.2823")))
     xml = f'<xbrli:xbrl xmlns:xbrli="http://www.xbrl.org/2003/instance" xmlns:s="urn:s"><s:endDate>2026-06-30</s:endDate>{facts}</xbrli:xbrl>'
-    r = FA.shareholding(FA.parse_filings(spark.createDataFrame([("A", "f", xml)], "symbol string, filing_id string, xml string"))).first().asDict()
+    r = FA.shareholding(IN.parse_filings(spark.createDataFrame([("A", "f", xml)], "symbol string, filing_id string, xml string"))).first().asDict()
     assert r["period_end"] == dt.date(2026, 6, 30) and sorted(x for x in r.values() if isinstance(x, float)) == [28.23, 71.77]
 
 

@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from tapeline.operators import facts as FA
+from tapeline.operators import instances as IN
 from tapeline.sources import io
 
 
@@ -23,7 +23,7 @@ def test_filings_and_json(spark, tmp_path):
     <xbrli:period><xbrli:instant>2025-09-30</xbrli:instant></xbrli:period></xbrli:context><in:Assets contextRef="OneI">12</in:Assets></xbrl>'''
     (tmp_path / "x").mkdir()
     (tmp_path / "x" / "ABC_1.xml").write_text(xml)
-    r = FA.parse_filings(io.read_filing_documents(spark, str(tmp_path / "x"))).first()
+    r = IN.parse_filing_files(spark, str(tmp_path / "x")).first()
     assert (r.symbol, r.filing_id, r.tag, r.value, r.instant_date) == ("ABC", "ABC_1", "Assets", "12", dt.date(2025, 9, 30))
     d = spark.createDataFrame([("a", dt.date(2024, 1, 2), None)], "s string, d date, x double")
     io.write_json_rows(d, str(tmp_path / "j"))
