@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,15 +11,66 @@ from pyspark.sql import functions as F
 from tapeline.functions.scalars import nonzero, nz, pct, safe_div
 from tapeline.sources import schema as S
 
-_REGISTRY: dict[str, tuple[str, Callable[[], Column]]] = {}
-
-
-def register_ratio(name: str, category: str, build: Callable[[], Column]) -> None:
-    """Add a ratio: ``build()`` returns a Column over the statement columns of one record."""
-    _REGISTRY[name] = (category, build)
-
-
-def registered() -> dict[str, tuple[str, Callable[[], Column]]]:
+class Ratio(NamedTuple):
+    """``build`` gets the columns of the ratios it uses, in the order of ``uses``, and returns a Column over them and the statement columns."""
+
+    category: str
+    build: Callable[..., Column]
+    uses: tuple[str, ...] = ()
+
+
+_REGISTRY: dict[str, Ratio] = {}
+
+
+def register_ratio(name: str, category: str, build: Callable[..., Column], uses: Iterable[str] = ()) -> None:
+    """Add a ratio, or replace one. Ratios it uses have to be there, and none of them may rest on it."""
+    uses = tuple(uses)
+    unknown = [u for u in uses if u not in _REGISTRY and u != name]
+    if unknown:
+        raise KeyError(f"{name} uses unknown ratios: {', '.join(unknown)}")
+    before = _REGISTRY.get(name)
+    _REGISTRY[name] = Ratio(category, build, uses)
+    try:
+        evaluation_order([name])
+    except ValueError:
+        if before is None:
+            del _REGISTRY[name]
+        else:
+            _REGISTRY[name] = before
+        raise
+
+
+def unregister_ratio(name: str, cascade: bool = False) -> list[str]:
+    """Remove a ratio; those that use it go too with ``cascade``, else they are an error. Returns what went."""
+    if name not in _REGISTRY:
+        raise KeyError(name)
+    gone = [name]
+    for n in gone:  # grows while it is read
+        gone += [m for m, r in _REGISTRY.items() if n in r.uses and m not in gone]
+    if len(gone) > 1 and not cascade:
+        raise ValueError(f"{name} is used by {', '.join(gone[1:])}")
+    for n in gone:
+        del _REGISTRY[n]
+    return gone
+
+
+def evaluation_order(names: Iterable[str]) -> list[list[str]]:
+    """The named ratios and all they rest on, in layers: a ratio uses ratios of earlier layers only."""
+    level: dict[str, int] = {}
+
+    def place(n: str, path: tuple[str, ...]) -> int:
+        if n in path:
+            raise ValueError(f"ratios use each other: {' -> '.join((*path[path.index(n):], n))}")
+        if n not in level:
+            level[n] = 1 + max((place(u, (*path, n)) for u in _REGISTRY[n].uses), default=-1)
+        return level[n]
+
+    for n in names:
+        place(n, ())
+    return [[n for n in level if level[n] == k] for k in range(1 + max(level.values(), default=-1))]
+
+
+def registered() -> dict[str, Ratio]:
     return dict(_REGISTRY)
 
 
@@ -53,18 +105,27 @@ for _name, _cat, _build in (
 
 
 def static_ratios(recs: DataFrame, names=None, prefix: str = "static_") -> DataFrame:
-    """Ratio columns; the prefix keeps them apart from trailing metrics of the same name."""
+    """Ratio columns; the prefix keeps them apart from trailing metrics of the same name.
+
+    A ratio that only others use is computed on the way and leaves no column.
+    """
     names = list(names or _REGISTRY)
-    return recs.withColumns({f"{prefix}{n}": _REGISTRY[n][1]() for n in names})
+    d = recs
+    held = lambda n: prefix + n if n in names else f"_ratio_{n}"
+    layers = evaluation_order(names)
+    for layer in layers:
+        d = d.withColumns({held(n): _REGISTRY[n].build(*[F.col(held(u)) for u in _REGISTRY[n].uses]) for n in layer})
+    return d.drop(*[held(n) for layer in layers for n in layer if n not in names])
 
 
 def ratio_categories_long(recs: DataFrame, keys: list[str]) -> DataFrame:
     """(key, category, ratio, value) for every registered ratio, nulls included."""
+    d = static_ratios(recs, prefix="_long_")
     rows = F.array(*[
-        F.struct(F.lit(cat).alias("category"), F.lit(n).alias("ratio"), build().cast("double").alias("value"))
-        for n, (cat, build) in _REGISTRY.items()
+        F.struct(F.lit(r.category).alias("category"), F.lit(n).alias("ratio"), F.col(f"_long_{n}").cast("double").alias("value"))
+        for n, r in _REGISTRY.items()
     ])
-    return recs.select(*keys, F.inline(rows))
+    return d.select(*keys, F.inline(rows))
 
 
 def shares_from_capital() -> Column:

@@ -39,46 +39,49 @@ def daily(last: DataFrame) -> DataFrame:
     return last.filter(F.col("timeframe") == "daily").drop("timeframe")
 
 
-def _sig(name: str, present: Column, bias: Column, note=None) -> Column:
-    note = F.lit("") if note is None else note
-    return F.when(present, F.struct(F.lit(name).alias("signal"), bias.alias("bias"), note.alias("note")))
+def _side(up: str) -> str:
+    return f"CASE WHEN {up} THEN 'bullish' ELSE 'bearish' END"
+
+
+def signal_rules(row: str = "") -> list[tuple[str, tuple[str, ...], str, str]]:
+    """(signal, columns that must be there besides the price, bias, note) in SQL over the columns of ``row``.
+
+    One text serves the DataFrame form (``signals``) and the table function (functions/sql.py).
+    """
+    p = f"{row}." if row else ""
+    price, rsi, adx, cci, wr, k, d = (f"{p}{c}" for c in ("current_price", "rsi_14", "adx_14", "cci_20", "williams_r_14", "stoch_k", "stoch_d"))
+    di = f"coalesce({p}plus_di_14, 0D) > coalesce({p}minus_di_14, 0D)"
+    return [
+        *[(f"price_vs_sma_{n}", (f"sma_{n}",), _side(f"{price} > {p}sma_{n}"), "''") for n in (20, 50, 200)],
+        ("golden_death_cross_state", ("sma_50", "sma_200"), _side(f"{p}sma_50 > {p}sma_200"), "'50 above 200 = golden-cross state; below = death-cross state'"),
+        ("rsi_14", ("rsi_14",), f"CASE WHEN {rsi} >= 70 THEN 'bearish' WHEN {rsi} <= 30 THEN 'bullish' WHEN {rsi} > 60 THEN 'bullish' WHEN {rsi} < 40 THEN 'bearish' ELSE 'neutral' END",
+         f"CASE WHEN {rsi} >= 70 THEN 'overbought' WHEN {rsi} <= 30 THEN 'oversold' WHEN {rsi} > 60 OR {rsi} < 40 THEN '' ELSE '40-60 neutral band' END"),
+        ("macd_vs_signal", ("macd", "macd_signal"), _side(f"{p}macd > {p}macd_signal"), "''"),
+        ("stochastic", ("stoch_k", "stoch_d"), _side(f"{k} > {d}"), f"CASE WHEN {k} >= 80 THEN 'overbought' WHEN {k} <= 20 THEN 'oversold' ELSE '' END"),
+        ("adx_14", ("adx_14",), f"CASE WHEN {adx} <= 20 THEN 'neutral' ELSE {_side(di)} END",
+         f"CASE WHEN {adx} <= 20 THEN 'weak trend — direction unreliable' ELSE 'strength from ADX; direction from +DI vs -DI' END"),
+        ("cci_20", ("cci_20",), f"CASE WHEN {cci} > 50 THEN 'bullish' WHEN {cci} < -50 THEN 'bearish' ELSE 'neutral' END", f"CASE WHEN {cci} > 50 OR {cci} < -50 THEN '' ELSE '±50 neutral band' END"),
+        ("williams_r_14", ("williams_r_14",), _side(f"{wr} > -50"), f"CASE WHEN {wr} > -20 THEN 'overbought' WHEN {wr} < -80 THEN 'oversold' ELSE '' END"),
+        ("price_vs_vwap", ("vwap_anchored",), _side(f"{price} > {p}vwap_anchored"), "'anchored to window start (see vwap_anchored_meta), not a session VWAP'"),
+    ]
+
 
+def signal_inputs() -> list[str]:
+    """Columns that the rules read."""
+    return ["current_price", *dict.fromkeys(c for _, needs, _, _ in signal_rules() for c in needs), "plus_di_14", "minus_di_14"]
 
-def _side(up: Column) -> Column:
-    return F.when(up, "bullish").otherwise("bearish")
+
+def signal_array(row: str = "") -> str:
+    """SQL of the array of a row's signals, in order, each with its position."""
+    p = f"{row}." if row else ""
+    some = [f"CASE WHEN {' AND '.join(f'{p}{c} IS NOT NULL' for c in ('current_price', *needs))} THEN struct('{name}' AS signal, {bias} AS bias, {note} AS note) END"
+            for name, needs, bias, note in signal_rules(row)]
+    return f"transform(array_compact(array({', '.join(some)})), (s, i) -> struct(i AS position, s.signal AS signal, s.bias AS bias, s.note AS note))"
 
 
 def signals(day: DataFrame) -> DataFrame:
     """About a dozen deterministic calls per symbol: (symbol, position, signal, bias, note)."""
-    c = F.col
-    price = c("current_price")
-    have = lambda *cols: F.expr(" AND ".join(f"{x} IS NOT NULL" for x in ("current_price", *cols)))
-    empty = F.lit("")
-    rsi, adx, cci, wr, k, d = (c(x) for x in ("rsi_14", "adx_14", "cci_20", "williams_r_14", "stoch_k", "stoch_d"))
-    rsi_bias = (
-        F.when(rsi >= 70, "bearish").when(rsi <= 30, "bullish").when(rsi > 60, "bullish").when(rsi < 40, "bearish").otherwise("neutral")
-    )
-    rsi_note = (
-        F.when(rsi >= 70, "overbought").when(rsi <= 30, "oversold").when((rsi > 60) | (rsi < 40), "").otherwise("40-60 neutral band")
-    )
-    cci_bias = F.when(cci > 50, "bullish").when(cci < -50, "bearish").otherwise("neutral")
-    di = F.coalesce("plus_di_14", F.lit(0.0)) > F.coalesce("minus_di_14", F.lit(0.0))
-    rows = [
-        *[_sig(f"price_vs_sma_{p}", have(f"sma_{p}"), _side(price > c(f"sma_{p}"))) for p in (20, 50, 200)],
-        _sig("golden_death_cross_state", have("sma_50", "sma_200"), _side(c("sma_50") > c("sma_200")),
-             F.lit("50 above 200 = golden-cross state; below = death-cross state")),
-        _sig("rsi_14", have("rsi_14"), rsi_bias, rsi_note),
-        _sig("macd_vs_signal", have("macd", "macd_signal"), _side(c("macd") > c("macd_signal"))),
-        _sig("stochastic", have("stoch_k", "stoch_d"), _side(k > d), F.when(k >= 80, "overbought").when(k <= 20, "oversold").otherwise(empty)),
-        _sig("adx_14", have("adx_14"), F.when(adx <= 20, "neutral").otherwise(_side(di)),
-             F.when(adx <= 20, "weak trend — direction unreliable").otherwise("strength from ADX; direction from +DI vs -DI")),
-        _sig("cci_20", have("cci_20"), cci_bias, F.when(cci_bias == "neutral", "±50 neutral band").otherwise(empty)),
-        _sig("williams_r_14", have("williams_r_14"), _side(wr > -50), F.when(wr > -20, "overbought").when(wr < -80, "oversold").otherwise(empty)),
-        _sig("price_vs_vwap", have("vwap_anchored"), _side(price > c("vwap_anchored")),
-             F.lit("anchored to window start (see vwap_anchored_meta), not a session VWAP")),
-    ]
-    packed = day.withColumn("_s", F.array_compact(F.array(*rows)))
-    return packed.select("symbol", F.posexplode("_s").alias("position", "s")).select("symbol", "position", "s.*")
+    return day.select("symbol", F.inline(F.expr(signal_array())))
 
 
 def confluence(sig: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tapeline.functions.sql import register_table_functions
 from tapeline.operators import bars as B
 from tapeline.operators import indicators as I
 from tapeline.operators import report as RP
@@ -65,7 +66,10 @@ def signals(v):
 
 @query("udtf_signals", "SELECT symbol, signal, bias FROM v_sig WHERE bias<>'neutral'")
 def udtf_signals(v):
-    return SG.signals(SG.daily(_last(v))).filter("bias <> 'neutral'").select("symbol", "signal", "bias")
+    """The registered table function, called for every symbol's last row."""
+    register_table_functions(v.spark)
+    last = SG.daily(_last(v)).select("symbol", F.struct(*SG.signal_inputs()).alias("last"))
+    return v.spark.sql("SELECT d.symbol, s.signal, s.bias FROM {last} d, LATERAL signals_of(d.last) s WHERE s.bias <> 'neutral'", last=last)
 
 
 view("v_conf0", "SELECT symbol, count(*) FILTER (bias='bullish') AS bullish, count(*) FILTER (bias='bearish') AS bearish, count(*) FILTER (bias='neutral') AS neutral, count(*) AS total_signals FROM v_sig GROUP BY 1")

@@ -553,11 +553,19 @@ def ratio_categories_long(v):
     return d.withColumn("value", F.round("value", 6))
 
 
-@query("register_ratio", f"SELECT {KEY}, round({_div('expenses', S.REVENUE)},6) AS user_cost_income FROM v_cfwd")
+_COST = _div("expenses", S.REVENUE)
+
+
+@query("register_ratio", f"SELECT {KEY}, round({_COST},6) AS user_cost_income, round({_div(_COST, _RATIO_SQL['net_profit_margin'])},6) AS user_cost_per_margin FROM v_cfwd")
 def register_ratio(v):
-    """A ratio added by a user: one Column over the statement columns."""
-    added = {"cost_income": lambda: X.safe_div("expenses", S.REVENUE)}
-    return _recs(v).select(*S.STATEMENT_KEY, *[F.round(b(), 6).alias(f"user_{n}") for n, b in added.items()])
+    """Ratios added by a user, one over the statement columns and one over two other ratios; they go again when the plan is made."""
+    RT.register_ratio("cost_income", "User", lambda: X.safe_div("expenses", S.REVENUE))
+    RT.register_ratio("cost_per_margin", "User", lambda cost, margin: X.safe_div(cost, margin), uses=("cost_income", "net_profit_margin"))
+    try:
+        d = RT.static_ratios(_recs(v), ["cost_per_margin", "cost_income"], prefix="user_")
+    finally:
+        RT.unregister_ratio("cost_income", cascade=True)
+    return d.select(*S.STATEMENT_KEY, *[F.round(c, 6).alias(c) for c in ("user_cost_income", "user_cost_per_margin")])
 
 
 @query("static_growth", f"""SELECT a.symbol, a.source, a.consolidated, a.filing_type, a.period_end_date, {_gr('a.revenue_from_operations','b.revenue_from_operations')} AS revenue_growth_qoq,

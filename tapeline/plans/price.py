@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeline.functions import rolling as R
+from tapeline.functions.sql import register_table_functions
 from tapeline.operators import bars as B
 from tapeline.operators import indicators as I
 from tapeline.plans.checks import view
@@ -228,8 +229,11 @@ def fib_levels(v):
 
 @query("udtf_fib", "SELECT symbol, label, level FROM v_fib WHERE level BETWEEN swing_low AND swing_high")
 def udtf_fib(v):
-    d = I.fib_levels(v.bars)
-    return d.filter(F.col("level").between(F.col("swing_low"), F.col("swing_high"))).select("symbol", "label", "level")
+    """The registered table function, called for every symbol's swing."""
+    register_table_functions(v.spark)
+    swings = I.fib_swing(v.bars).select("symbol", "swing_high", "swing_low", "direction")
+    return v.spark.sql("""SELECT s.symbol, f.label, f.level FROM {swings} s, LATERAL fib_levels_of(s.swing_high, s.swing_low, s.direction) f
+        WHERE f.level BETWEEN s.swing_low AND s.swing_high""", swings=swings)
 
 
 view("v_sma", f"SELECT *, {_mean('close',20)} AS s20, {_mean('close',50)} AS s50, {_mean('close',200)} AS s200 FROM v_rn")

@@ -88,6 +88,48 @@ def test_static_ratios(spark):
     assert r.static_roce == 5.75 and r.static_debt_to_equity == 1.5 and r.static_cash_ratio == 0.5 and r.static_dilution_impact == 5.0
     RT.register_ratio("double_margin", "User", lambda: RT.pct(RT.safe_div(F.col(S.PAT) * 2, S.REVENUE)))
     assert RT.static_ratios(d, ["double_margin"]).first().static_double_margin == 30.0
+    assert RT.unregister_ratio("double_margin") == ["double_margin"]
+
+
+def test_ratios_of_ratios(spark):
+    d = spark.createDataFrame([(8.0, 2.0)], "a double, b double")
+    before = set(RT.registered())
+    RT.register_ratio("one", "User", lambda: F.col("a") / F.col("b"))
+    RT.register_ratio("two", "User", lambda one: one * 10, uses=["one"])
+    RT.register_ratio("three", "User", lambda two, one: two + one, uses=["two", "one"])
+    assert RT.evaluation_order(["three"]) == [["one"], ["two"], ["three"]]
+    got = RT.static_ratios(d, ["three"])
+    assert got.columns == ["a", "b", "static_three"] and got.first().static_three == 44.0
+    assert RT.static_ratios(d, ["three", "one"]).first().static_one == 4.0
+    with pytest.raises(ValueError, match="one -> three -> two -> one"):
+        RT.register_ratio("one", "User", lambda three: three, uses=["three"])
+    with pytest.raises(KeyError):
+        RT.register_ratio("four", "User", lambda x: x, uses=["nothing"])
+    with pytest.raises(ValueError):
+        RT.register_ratio("self", "User", lambda x: x, uses=["self"])
+    assert RT.static_ratios(d, ["one"]).first().static_one == 4.0  # a refused change leaves the ratio as it was
+    with pytest.raises(ValueError, match="two, three"):
+        RT.unregister_ratio("one")
+    assert sorted(RT.unregister_ratio("one", cascade=True)) == ["one", "three", "two"] and set(RT.registered()) == before
+
+
+def test_table_functions(spark):
+    from tapeline.functions.sql import register_table_functions
+    from tapeline.operators import signals as SG
+
+    register_table_functions(spark)
+    d = spark.createDataFrame([("A", 20.0, 10.0, "up"), ("B", 20.0, 10.0, "down"), ("C", None, 10.0, "up")], "symbol string, hi double, lo double, way string")
+    q = spark.sql("SELECT d.symbol, f.label, f.level FROM {d} d, LATERAL fib_levels_of(d.hi, d.lo, d.way) f WHERE f.level > 15", d=d)
+    assert sorted((r.symbol, r.label, r.level) for r in q.collect()) == [
+        ("A", "0.0%", 20.0), ("A", "23.6%", 17.64), ("A", "38.2%", 16.18), ("B", "100.0%", 20.0), ("B", "61.8%", 16.18), ("B", "78.6%", 17.86)]
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and not any(w in plan for w in ("Python", "Join", "Exchange"))
+    inputs = SG.signal_inputs()
+    rows = [("A", *range(1, len(inputs) + 1)), ("B", 50.0, *[None] * (len(inputs) - 1)), ("C", *[75.0] * len(inputs)), ("D", *[None] * len(inputs))]
+    last = spark.createDataFrame([(s, *[None if x is None else float(x) for x in v]) for s, *v in rows], f"symbol string, {', '.join(f'{c} double' for c in inputs)}")
+    called = spark.sql("SELECT d.symbol, s.* FROM {d} d, LATERAL signals_of(d.r) s", d=last.select("symbol", F.struct(*inputs).alias("r")))
+    assert sorted(map(tuple, called.collect())) == sorted(map(tuple, SG.signals(last).collect()))
+    assert {r.symbol for r in called.collect()} == {"A", "C"}
 
 
 def fact(spark, data):
