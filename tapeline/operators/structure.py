@@ -7,6 +7,8 @@ Order-dependent rules (clustering, greedy selection) are folds over a sorted arr
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -496,32 +498,41 @@ PATH, AHEAD, ANALOGUES, MIN_ANALOGUE_BARS = 20, 20, 6, 120
 
 
 def analogue_distances(numbered: DataFrame, keys=("symbol",)) -> DataFrame:
-    """Distance of every 20-bar path to the latest one, and the 20-bar return that followed it."""
-    d = numbered.filter(F.col("n") >= MIN_ANALOGUE_BARS)
-    win = R.w(keys)
-    path = F.collect_list("close").over(win.rowsBetween(0, PATH - 1))
-    d = d.select(*keys, "rn", "n", "date", path.alias("p"), (F.lead("close", PATH + AHEAD).over(win) / F.lead("close", PATH).over(win) - 1).alias("fwd"),
-                 F.lead("date", PATH - 1).over(win).alias("end_date"))
-    d = d.withColumn("p", F.transform("p", lambda x: x / F.col("p")[0] - 1))
-    recent = d.filter(F.col("rn") == F.col("n") - PATH + 1).select(*keys, F.col("p").alias("q"))
-    d = d.filter(F.col("rn") <= F.col("n") - PATH - AHEAD - 1).join(recent, list(keys))
-    sq = F.aggregate(F.zip_with("p", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    """Distance of every 20-bar path to the latest one, and the 20-bar return that followed it.
+
+    Paths are changes since their first bar. A row looks ahead along its own path and has the
+    latest path's bars beside it, so all windows share one shuffle and one sort, and no row
+    holds an array.
+    """
+    d = numbered.filter(F.col("n") >= MIN_ANALOGUE_BARS).select(*keys, "rn", "n", "date", "close")
+    along, whole = R.w(keys), Window.partitionBy(*keys)
+    latest = {f"_q{i}": F.max(F.when(F.col("rn") == F.col("n") - PATH + 1 + i, F.col("close"))).over(whole) for i in range(PATH)}
+    ahead = {f"_p{i}": F.lead("close", i).over(along) for i in range(1, PATH)}
+    d = d.withColumns({**ahead, "_next": F.lead("close", PATH).over(along), "_far": F.lead("close", PATH + AHEAD).over(along), "end_date": F.lead("date", PATH - 1).over(along)})
+    d = d.withColumns(latest).filter(F.col("rn") <= F.col("n") - PATH - AHEAD - 1)
+    apart = [(F.col(f"_p{i}") / F.col("close") - 1) - (F.col(f"_q{i}") / F.col("_q0") - 1) for i in range(1, PATH)]
+    sq = reduce(lambda acc, x: acc + x * x, apart, F.lit(0.0))
     return d.select(*keys, (F.col("rn") - 1).alias("start_idx"), F.col("date").alias("start_date"), "end_date",
-                    F.sqrt(sq).alias("distance"), (F.col("fwd") * 100).alias("forward_20d_pct"))
+                    F.sqrt(sq).alias("distance"), ((F.col("_far") / F.col("_next") - 1) * 100).alias("forward_20d_pct"))
 
 
-def greedy_nonoverlap(candidates: Column, position, gap: int, k: int | None) -> Column:
-    """First k entries (None: all) of a sorted array whose positions lie at least ``gap`` apart."""
+def greedy_nonoverlap(candidates: Column, position, gap: int, k: int) -> Column:
+    """First k entries of a sorted array whose positions lie at least ``gap`` apart."""
     def keep(acc, c):
         near = F.exists(acc, lambda t: F.abs(position(t) - position(c)) < gap)
-        return F.when(~near if k is None else (F.size(acc) < k) & ~near, F.concat(acc, F.array(c))).otherwise(acc)
+        return F.when((F.size(acc) < k) & ~near, F.concat(acc, F.array(c))).otherwise(acc)
 
     return F.aggregate(candidates, F.filter(candidates, lambda c: F.lit(False)), keep)
 
 
-def historical_analogues(numbered: DataFrame, keys=("symbol",), count: int | None = ANALOGUES) -> DataFrame:
-    """The ``count`` nearest paths that don't overlap (None: all of them)."""
-    d = analogue_distances(numbered, keys)
+def historical_analogues(numbered: DataFrame, keys=("symbol",), count: int = ANALOGUES) -> DataFrame:
+    """The ``count`` nearest paths that don't overlap.
+
+    A kept path rules out itself and the 2 * (PATH - 1) starts around it, so ``count`` paths are
+    found among the nearest (count - 1) * (2 * PATH - 1) + 1, however long the history is.
+    """
+    near = Window.partitionBy(*keys).orderBy("distance", "start_idx")
+    d = analogue_distances(numbered, keys).withColumn("_near", F.row_number().over(near)).filter(F.col("_near") <= (count - 1) * (2 * PATH - 1) + 1)
     g = d.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("distance", "start_idx", "start_date", "end_date", "forward_20d_pct"))).alias("c"))
     top = greedy_nonoverlap(F.col("c"), lambda t: t["start_idx"], PATH, count)
     return g.select(*keys, F.posexplode(top).alias("rank", "t")).select(
