@@ -19,7 +19,7 @@ from tapeline.operators import bars as B
 from tapeline.operators import indicators as I
 from tapeline.operators import signals as SG
 from tapeline.operators import structure as ST
-from tapeline.session import cut_lineage
+from tapeline.session import cut_lineage, cut_partitioned
 
 # Report sections in order.
 SECTIONS = [
@@ -105,9 +105,10 @@ def technical_report(spark: SparkSession, bars: DataFrame, index: DataFrame, ann
     K = ["symbol", "timeframe"]
     S = ["symbol"]
     # the bars feed the history topics, the frames a dozen structure topics, the indicator row all signals
-    bars = cut_lineage(spark, bars)
-    fr = cut_lineage(spark, R.number_rows(B.report_frames(bars), K))
-    last = cut_lineage(spark, SG.report_last(fr.drop("rn", "rd", "n")))
+    # all of them dealt by symbol once, so no topic shuffles bars or frames again
+    bars = cut_partitioned(spark, bars, S, ["symbol", "date"])
+    fr = cut_partitioned(spark, R.number_rows(B.report_frames(bars), K), S, [*K, "rn"])
+    last = cut_partitioned(spark, SG.report_last(fr.drop("rn", "rd", "n")), S, K)
     year = B.recent_years(bars, 1)
     day = SG.daily(last)
 

@@ -542,7 +542,10 @@ def historical_analogues(numbered: DataFrame, keys=("symbol",), count: int = ANA
 
 
 def structure_all(numbered: DataFrame, keys=K) -> DataFrame:
-    """Every structure finding of every frame as (key, topic, payload) rows."""
+    """Every structure finding of every frame as typed rows: the keys, the topic, and the columns of all topics (null where a topic hasn't them).
+
+    ``numbered`` is read once a topic; a frame table dealt by the keys (``session.cut_partitioned``) isn't shuffled for it.
+    """
     topics = {
         "support_resistance": support_resistance(numbered, keys),
         "supply_demand_zones": supply_demand_zones(numbered, keys),
@@ -555,9 +558,11 @@ def structure_all(numbered: DataFrame, keys=K) -> DataFrame:
         "value_area": value_area(volume_profile(numbered, keys), keys),
         "divergence": divergence(numbered, keys),
     }
-    out = None
-    for name, df in topics.items():
-        rest = [c for c in df.columns if c not in keys]
-        rows = df.select(*keys, F.lit(name).alias("topic"), F.to_json(F.struct(*rest)).alias("payload"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    rows = [df.withColumn("topic", F.lit(name)) for name, df in topics.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+
+
+def structure_json(structure: DataFrame, keys=K) -> DataFrame:
+    """(key, topic, payload): each finding as a JSON object of what its topic has."""
+    rest = [c for c in structure.columns if c not in (*keys, "topic")]
+    return structure.select(*keys, "topic", F.to_json(F.struct(*rest), {"ignoreNullFields": "true"}).alias("payload"))

@@ -10,6 +10,7 @@ from tapeline.operators import structure as ST
 from tapeline.plans.checks import view
 from tapeline.plans.price import indicator_views
 from tapeline.registry import _QUERIES, query
+from tapeline.session import cut_partitioned
 
 K = "symbol, timeframe"
 KEYS = ("symbol", "timeframe")
@@ -314,20 +315,27 @@ def greedy_topk_nonoverlap(v):
     return ST.historical_analogues(_year(v)).select("symbol", "rank", "start_idx", "distance")
 
 
-@query("structure_all")
-def structure_all(v):
-    return ST.structure_all(frames(v))
-
-
 # topic -> the registered query whose SQL gives the topic's rows
 _TOPICS = {t: t for t in ("support_resistance", "supply_demand_zones", "market_structure", "trend_regime", "chart_patterns", "breakout", "gaps", "value_area", "divergence")}
 _TOPICS["candlesticks"] = "candle_dedupe"
 
 
+def _dealt_frames(v):
+    """All frames, dealt by symbol once for every topic."""
+    return cut_partitioned(v.spark, frames(v), ["symbol"], [*KEYS, "rn"])
+
+
+@query("structure_all", " UNION ALL BY NAME ".join(f"SELECT *, '{t}' AS topic FROM ({_QUERIES[name].sql})" for t, name in _TOPICS.items()))
+def structure_all(v):
+    """Every topic's typed rows, against the SQL of every topic."""
+    return ST.structure_all(_dealt_frames(v))
+
+
 @query("structure_topic_counts", " UNION ALL ".join(f"SELECT {K}, '{t}' AS topic, count(*) AS findings FROM ({_QUERIES[name].sql}) GROUP BY ALL" for t, name in _TOPICS.items()))
 def structure_topic_counts(v):
-    """Findings of each frame by topic, against the SQL of every topic."""
-    return ST.structure_all(frames(v)).groupBy("symbol", "timeframe", "topic").agg(F.count("*").alias("findings"))
+    """Findings of each frame by topic, counted from the JSON rows."""
+    found = ST.structure_json(ST.structure_all(_dealt_frames(v))).where("payload <> '{}'")
+    return found.groupBy("symbol", "timeframe", "topic").agg(F.count("*").alias("findings"))
 
 
 def frame_vwap(pdf):

@@ -53,3 +53,17 @@ def cut_lineage(spark: SparkSession, df):
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
+
+
+def cut_partitioned(spark: SparkSession, df, keys: list[str], order: list[str]):
+    """Checkpoint dealt by ``keys`` and sorted by ``order`` that still says so: windows and groups over the keys read it without a shuffle.
+
+    The rows of a key have to fit a task (a series, a frame). The adaptive plan would hide the
+    partitioning, so it is off while the checkpoint is written.
+    """
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut_lineage(spark, df.repartition(*keys).sortWithinPartitions(*order))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
