@@ -23,23 +23,25 @@ def measures(df: DataFrame) -> list[str]:
 def merge_statements(income: DataFrame, balance: DataFrame, cashflow: DataFrame) -> DataFrame:
     """One record per period over the union of the three statements' periods.
 
-    The three frames are stacked and grouped instead of joined, and restated rows
-    combine before the shuffle. Inside a statement the first endpoint of a period
-    wins; identity columns come from the last statement that has the period,
-    ``fiscal_period`` from the first non-null. Rows that tie are ordered by a hash of
-    the whole row, so a result never depends on task order.
+    The three frames are stacked, dealt by series once and grouped instead of joined: the
+    group and all windows over the series share that shuffle. Inside a statement the
+    first endpoint of a period wins, whole; identity columns come from the last
+    statement that has the period, ``fiscal_period`` from the first non-null. Rows that
+    tie are ordered by a hash of the whole row, so a result never depends on task order.
     """
-    parts = [f.withColumn("_rank", F.lit(i)) for i, f in enumerate((income, balance, cashflow))]
+    frames = (income, balance, cashflow)
+    parts = [f.withColumn("_rank", F.lit(i)) for i, f in enumerate(frames)]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    stacked = stacked.withColumn("_tie", F.xxhash64(*stacked.columns))
-    owners = {c: i for i, f in enumerate((income, balance, cashflow)) for c in measures(f)}
-    aggs = [
-        F.min_by(c, F.when(F.col("_rank") == i, F.struct("source_endpoint", "_tie"))).cast("double").alias(c) for c, i in owners.items()
-    ]
-    later = [F.max_by(c, F.struct("_rank", "_tie")).alias(c) for c in META if c != "fiscal_period"]
-    fp = F.min_by("fiscal_period", F.when(F.col("fiscal_period").isNotNull(), F.struct("_rank", "_tie"))).alias("fiscal_period")
-    seen = [F.max(F.when(F.col("_rank") == i, F.col("period_end_date"))).alias(n) for i, n in enumerate(("_inc_end", "_bal_end", "_cf_end"))]
-    return stacked.groupBy(*KEY).agg(*later, fp, *aggs, *seen)
+    stacked = stacked.withColumn("_tie", F.xxhash64(*stacked.columns)).repartition(*SERIES)
+    own = [measures(f) for f in frames]
+    mine = [F.col("_rank") == i for i in range(len(frames))]
+    last = [c for c in META if c != "fiscal_period"]
+    g = stacked.groupBy(*KEY).agg(
+        F.max_by(F.struct(*last), F.struct("_rank", "_tie")).alias("_last"),
+        F.min_by("fiscal_period", F.when(F.col("fiscal_period").isNotNull(), F.struct("_rank", "_tie"))).alias("fiscal_period"),
+        *[F.min_by(F.struct(*[F.col(c).cast("double").alias(c) for c in cols]), F.when(m, F.struct("source_endpoint", "_tie"))).alias(f"_s{i}") for i, (cols, m) in enumerate(zip(own, mine))],
+        *[F.max(F.when(m, F.col("period_end_date"))).alias(n) for n, m in zip(("_inc_end", "_bal_end", "_cf_end"), mine)])
+    return g.select(*KEY, *[F.col(f"_last.{c}").alias(c) for c in last], "fiscal_period", *[F.col(f"_s{i}.{c}").alias(c) for i, cols in enumerate(own) for c in cols], "_inc_end", "_bal_end", "_cf_end")
 
 
 def newest_first() -> Column:
