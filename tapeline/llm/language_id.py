@@ -7,9 +7,12 @@ learned weights of hashed affix and character n-gram features and of per-languag
 transitions are learned from code-switched sequences; forward-backward gives each word's
 posterior. A document's language is the one with the largest mean posterior.
 
-Every language is learned; a table with more than ``MAX_LANGUAGES`` is an error. The training sample
-is bounded: ``PER_LANGUAGE`` documents of each language, ``SAMPLE_WORDS`` words of each, from a place
-in the whole text that a hash picks.
+Every language is learned. The training sample is bounded: ``PER_LANGUAGE`` documents of each
+language, fewer where there are many languages, ``SAMPLE_WORDS`` words of each, from a place in the
+whole text that a hash picks. More than ``MAX_LANGUAGES`` distinct values are an error.
+
+Forward-backward keeps the steps of one stretch of a chain, so a text of any length takes a few
+numbers a word.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; ties go to the
 language that sorts first; rows with a null id are predicted like any other; repeated rows get
@@ -22,6 +25,8 @@ import pickle
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +35,16 @@ from pyspark.sql import functions as F
 
 from tapeline.llm.common import bounded, broadcast_model, fold, neutral, pieces
 
-MAX_LANGUAGES, PER_LANGUAGE, SAMPLE_WORDS = 64, 250, 400
+#: Documents learned from: of each language at most PER_LANGUAGE, of all together about SAMPLE_DOCS, of a language at least LEAST_DOCS.
+PER_LANGUAGE, SAMPLE_DOCS, LEAST_DOCS, SAMPLE_WORDS = 250, 16_000, 16, 400
+#: The model's weights grow with the languages, to 140 MB at so many; a table with more distinct values has no language column.
+MAX_LANGUAGES = 1_000
 FOLDS, HELD_OUT = 4, 2
 HASHED, LEXICON = 1 << 15, 200
 #: Training: sequences of SPAN words cut from segments of 4 to 30 words of one document each.
 SPAN, SEQUENCES, BATCH, EPOCHS, RATE = 64, 800, 40, 3, 0.5
+#: Steps of a chain that are held at once.
+STRETCH = 8_192
 
 #: Bytes of words after lower-casing: ASCII letters and all bytes of non-ASCII characters.
 _LETTERS = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -60,6 +70,15 @@ def words_of(text: str) -> list[bytes]:
     return [p for w in words for p in (_cut(w) if _WIDE.search(w) else (w,))] if _WIDE.search(run) else words
 
 
+def blank_parts(text: str, size: int | None = None) -> Iterator[str]:
+    """The text in parts of about ``size`` characters, cut after blanks, which no word goes over."""
+    start, size = 0, PART if size is None else size
+    while len(text) - start > size and (cut := text.find(" ", start + size)) >= 0:
+        yield text[start : cut + 1]
+        start = cut + 1
+    yield text[start:]
+
+
 def _cut(run: bytes) -> list[bytes]:
     """The positions of a run: its segments of one script, the long ones in pieces."""
     out = []
@@ -120,27 +139,38 @@ class Chain:
         longest, k = int(lengths[0]), len(self.languages)
         active = np.searchsorted(-lengths, -np.arange(longest), side="left")  # sequences longer than t
         move = np.exp(self.moves - self.moves.max())
-        alphas = []
-        a = np.exp(self.first - self.first.max())[None, :]
-        for t in range(longest):
-            n = active[t]
-            a = (a if t == 0 else a[:n] @ move) * potentials[ids[starts[:n] + t]]
-            a /= a.sum(axis=1, keepdims=True)
-            alphas.append(a)
+        first = np.exp(self.first - self.first.max())[None, :]
+
+        def forward(a: np.ndarray | None, begin: int, end: int):
+            for t in range(begin, end):
+                n = active[t]
+                a = (first if a is None else a[:n] @ move) * potentials[ids[starts[:n] + t]]
+                a /= a.sum(axis=1, keepdims=True)
+                yield a
+
+        # only the last step before each stretch is kept; the steps of a stretch are taken again on the way back
+        before: list[np.ndarray | None] = [None]
+        for at in range(0, longest - STRETCH, STRETCH):
+            for a in forward(before[-1], at, at + STRETCH):
+                pass
+            before.append(a)
         total, words = np.zeros((len(lengths), k)), np.zeros((len(ids) if per_word else 0, k))
         b = np.ones((0, k))
-        for t in range(longest - 1, -1, -1):
-            n = active[t]
-            if t + 1 < longest:
-                m = active[t + 1]
-                b = (b * potentials[ids[starts[:m] + t + 1]]) @ move.T
-                b /= b.sum(axis=1, keepdims=True)
-            b = np.concatenate([b, np.ones((n - len(b), k))]) if len(b) < n else b
-            g = alphas[t] * b
-            g /= g.sum(axis=1, keepdims=True)
-            total[:n] += g
-            if per_word:
-                words[starts[:n] + t] = g
+        for stretch in range(len(before) - 1, -1, -1):
+            at = stretch * STRETCH
+            alphas = list(forward(before[stretch], at, min(longest, at + STRETCH)))
+            for t in range(at + len(alphas) - 1, at - 1, -1):
+                n = active[t]
+                if t + 1 < longest:
+                    m = active[t + 1]
+                    b = (b * potentials[ids[starts[:m] + t + 1]]) @ move.T
+                    b /= b.sum(axis=1, keepdims=True)
+                b = np.concatenate([b, np.ones((n - len(b), k))]) if len(b) < n else b
+                g = alphas[t - at] * b
+                g /= g.sum(axis=1, keepdims=True)
+                total[:n] += g
+                if per_word:
+                    words[starts[:n] + t] = g
         return words if per_word else total
 
 
@@ -198,8 +228,10 @@ def train(languages: list[str], samples: list[tuple[int, list[bytes]]], seed: in
                 beta[:, t] /= beta[:, t].sum(axis=1, keepdims=True)
             g = alpha * beta
             g /= g.sum(axis=2, keepdims=True)
-            pair = alpha[:, :-1, :, None] * move[None, None] * (p[:, 1:] * beta[:, 1:])[:, :, None, :]
-            pair /= pair.sum(axis=(2, 3), keepdims=True)
+            # expected moves, each step of each sequence normalized; their sum is one matrix product
+            after = p[:, 1:] * beta[:, 1:]
+            share = alpha[:, :-1] / ((alpha[:, :-1] @ move) * after).sum(axis=2, keepdims=True)
+            pair = move * (share.reshape(-1, k).T @ after.reshape(-1, k))
             step = np.eye(k)[gold] - g
             by_word = np.zeros((len(names), k))
             np.add.at(by_word, ids.ravel(), step.reshape(-1, k))
@@ -210,7 +242,7 @@ def train(languages: list[str], samples: list[tuple[int, list[bytes]]], seed: in
             chain.weights += (RATE * grad / np.sqrt(seen)).astype(np.float32) * 0.5
             moved = np.zeros((k, k))
             np.add.at(moved, (gold[:, :-1].ravel(), gold[:, 1:].ravel()), 1)
-            moved = (moved - pair.sum(axis=(0, 1))) / BATCH
+            moved = (moved - pair) / BATCH
             seen_moves += moved * moved
             chain.moves += RATE * moved / np.sqrt(seen_moves) * 0.5
     return chain
@@ -222,7 +254,8 @@ def training_sample(docs: DataFrame) -> DataFrame:
     if (n := len(bounded(named.select("lang").distinct().limit(MAX_LANGUAGES + 1), MAX_LANGUAGES + 1))) > MAX_LANGUAGES:
         raise ValueError(f"{n} languages or more where the field learns at most {MAX_LANGUAGES}; merge rare ones or set them to null")
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = named.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= PER_LANGUAGE)
+    each = max(LEAST_DOCS, min(PER_LANGUAGE, SAMPLE_DOCS // max(1, n)))
+    picked = named.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= each)
     picked = picked.select("doc_id", "lang").distinct()
     texts = docs.select("doc_id", "lang", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), ["doc_id", "lang"])
 
@@ -238,8 +271,9 @@ def training_sample(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame) -> Chain | None:
-    """The field of the bounded sample (PER_LANGUAGE * MAX_LANGUAGES * SAMPLE_WORDS words at most); None if it is empty."""
-    rows = sorted(((r["lang"], r["doc_id"], bytes(r["words"])) for r in bounded(training_sample(docs), MAX_LANGUAGES * PER_LANGUAGE)))
+    """The field of the bounded sample; None if it is empty."""
+    most = max(SAMPLE_DOCS, LEAST_DOCS * MAX_LANGUAGES)
+    rows = sorted(((r["lang"], r["doc_id"], bytes(r["words"])) for r in bounded(training_sample(docs), most)))
     languages = sorted({lang for lang, _, words in rows if words})
     if not languages:
         return None
@@ -247,9 +281,11 @@ def fit(docs: DataFrame) -> Chain | None:
 
 
 #: Texts handled together, in bytes: short documents take each step of the chain together.
-TOGETHER = 4_000_000
+TOGETHER = 2_000_000
 #: Words whose potentials a task remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
+#: Characters of a text whose words are numbered at once, or up to the next blank.
+PART = 1_000_000
 
 
 def predict(docs: DataFrame, chain: Chain | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -259,27 +295,25 @@ def predict(docs: DataFrame, chain: Chain | None, keep: tuple[str, ...] = ("doc_
 
     def languages_of(chain: Chain, texts: list, rows: dict, table: list) -> tuple[list, list]:
         found, scores = ["und"] * len(texts), [0.0] * len(texts)
-        lists = {}
+        if len(rows) > REMEMBERED:
+            rows.clear()
+            table.clear()
+        lists, known = {}, len(rows)
         for i, t in enumerate(texts):
             s = t.decode() if t else ""
-            if any(map(str.isalpha, s)) and (words := words_of(s)):
-                lists[i] = words
+            if any(map(str.isalpha, s)):
+                ids = [np.array([rows.setdefault(w, len(rows)) for w in words_of(part)], dtype=np.int32) for part in blank_parts(s)]
+                if any(map(len, ids)):
+                    lists[i] = np.concatenate(ids)
         if not lists:
             return found, scores
-        order = sorted(lists, key=lambda i: -len(lists[i]))
-        new = list({w for i in order for w in lists[i] if w not in rows})
-        if len(rows) + len(new) > REMEMBERED:
-            rows.clear()
-            table.clear()
-            new = list({w for i in order for w in lists[i]})
-        if new:
-            rows.update(zip(new, range(len(rows), len(rows) + len(new))))
-            table.append(chain.emissions(new))
+        if len(rows) > known:
+            table.append(chain.emissions(list(islice(rows, known, None))))
         if len(table) > 1:
             table[:] = [np.concatenate(table)]
-        ids = np.fromiter((rows[w] for i in order for w in lists[i]), np.int64)
+        order = sorted(lists, key=lambda i: -len(lists[i]))
         lengths = np.array([len(lists[i]) for i in order])
-        mean = chain.posteriors(table[0], ids, lengths) / lengths[:, None]
+        mean = chain.posteriors(table[0], np.concatenate([lists[i] for i in order]), lengths) / lengths[:, None]
         for i, m in zip(order, mean):
             found[i], scores[i] = chain.languages[int(np.argmax(m))], float(min(1.0, m.max()))
         return found, scores

@@ -8,24 +8,26 @@ the ranges of the quantised dimensions (``manifest``).
 Places come from counts, not from a global sort: cells (at most 2^(3*BITS), whatever the input)
 are summed along the curve, a cell of many rows is dealt into buckets by a hash of the row, and
 only the rows of one bucket are numbered together. A cell with a third of all rows is many
-buckets.
+buckets, and so is one row that is repeated as often.
 
 Edge cases: null languages and sources have a code of their own; null texts have the size 1 and
 the crc32 of no bytes; null ids are ordered first; rows that agree in id, size and crc32 take
-neighbouring places in either order; an empty table gives no rows; other columns are carried,
+places of the same cell in any order; an empty table gives no rows; other columns are carried,
 those named like an output are replaced.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeline.llm.common import neutral
+from tapeline.llm.decontamination import stored
+from tapeline.session import cut_lineage
 
-BITS = 5
+BITS = 6
 #: Rows numbered together, on average; more rows in a cell make more buckets.
 BUCKET_ROWS = 2_000
 OUTPUTS = ["size", "text_crc32", "law", "shard", "slot", "grown_shard", "curve"]
@@ -60,48 +62,60 @@ def hilbert_numbers(points: np.ndarray, bits: int) -> np.ndarray:
 
 
 def quantised(bits: int = BITS) -> list[Column]:
-    """Codes below 2^bits: hash codes of language and source (0: null), half octaves of the size."""
+    """Codes below 2^bits: hash codes of language and source (0: null), and the size.
+
+    The size code has equal steps of its logarithm up to the largest text there can be, half octaves with six bits.
+    """
     top = (1 << bits) - 1
     named = [F.coalesce((F.crc32(F.col(c).cast("string").cast("binary")) % top + 1).cast("int"), F.lit(0)) for c in ("lang", "source")]
-    return [*named, F.least(F.floor(2 * F.log2("size")).cast("int"), F.lit(top))]
+    return [*named, F.least(F.floor(F.log2("size") * ((1 << bits) / 32)).cast("int"), F.lit(top))]
+
+
+CODES = ("_lang_code", "_source_code", "_size_code")
+
+
+def curve_places(codes: DataFrame, bits: int) -> DataFrame:
+    """The cells that occur, with their rows and their places on the curve: at most 2^(3 * bits) rows."""
+    def run(batches):
+        for batch in batches:
+            points = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hilbert_numbers(points, bits).astype(np.int32))], [*CODES, "_n", "curve"])
+
+    cells = codes.groupBy(*CODES).agg(F.count("*").alias("_n"))
+    return cells.mapInArrow(run, ", ".join([*(f"{c} int" for c in CODES), "_n long", "curve int"]))
 
 
 def assign(docs: DataFrame, shards: int = 16, bits: int = BITS, bucket_rows: int = BUCKET_ROWS, keep: list[str] | None = None) -> DataFrame:
     """Adds size, text_crc32, law, shard, slot, grown_shard and curve (the cell) to every document.
 
     Law ``rows``: shard sizes differ by one row at most, the first shards being the larger
-    ones. One shuffle of the rows, to their buckets; ``keep`` names the input columns that make
-    it (all, if it isn't given).
+    ones. ``keep`` names the input columns that are kept (all, if it isn't given); with what the
+    numbering needs they become a table in the shared folder, so texts are hashed once, and go
+    through one shuffle, to their buckets.
     """
-
-    @F.pandas_udf("int")
-    def cell(lang: pd.Series, source: pd.Series, size: pd.Series) -> pd.Series:
-        return pd.Series(hilbert_numbers(np.stack([lang, source, size], axis=1), bits))
-
+    spark = docs.sparkSession
     d, _ = neutral(docs, "doc_id", "text", "lang", "source")
     d = d.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)
     d = d.withColumn("text_crc32", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    d = d.withColumn("curve", cell(*quantised(bits)))
+    d = d.withColumns(dict(zip(CODES, quantised(bits)))).withColumn("_place", F.monotonically_increasing_id())
     kept = [c for c in (docs.columns if keep is None else keep) if c not in OUTPUTS]
     own = [c if c in d.columns else f"carried{docs.columns.index(c)}" for c in kept]
-    d = d.select(*dict.fromkeys([*own, "doc_id", "size", "text_crc32", "curve"]))
+    d = stored(spark, d.select(*dict.fromkeys([*own, "doc_id", "size", "text_crc32", *CODES, "_place"])), "shard-rows")
 
-    sizes = d.groupBy("curve").agg(F.count("*").alias("_n"))  # as many rows as cells at most
     along = Window.orderBy("curve").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("curve", F.ceil(F.col("_n") / bucket_rows).cast("int").alias("_buckets"))
-    d = d.join(F.broadcast(sizes), "curve")
-    d = d.withColumn("_bucket", F.when(F.col("_buckets") > 1, F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.col("_buckets"))).otherwise(F.lit(0)).cast("int"))
-
-    held = d.groupBy("curve", "_bucket").agg(F.count("*").alias("_n"))
-    per_cell = held.groupBy("curve").agg(F.sum("_n").alias("_c"))
-    starts = per_cell.select("curve", F.coalesce(F.sum("_c").over(along), F.lit(0)).alias("_s"))
+    whole = Window.orderBy("curve").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cells = curve_places(d.select(*CODES), bits).select(
+        *CODES, "curve", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_s"), F.sum("_n").over(whole).alias("_total"),
+        F.greatest(F.ceil(F.col("_n") / bucket_rows), F.lit(1)).cast("int").alias("_buckets"))
+    cells = F.broadcast(cut_lineage(spark, cells))  # as many rows as cells at most
+    # equal rows differ in their place in the stored table, so a row that is repeated often is spread as well
+    d = d.join(cells, [*CODES]).withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", "_place"), F.col("_buckets")).cast("int"))
     inside = Window.partitionBy("curve").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    places = held.join(F.broadcast(starts), "curve").select(
-        "curve", "_bucket", (F.col("_s") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("_start"))
-    total = per_cell.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("_total"))
+    held = d.groupBy("curve", "_s", "_bucket").agg(F.count("*").alias("_n"))
+    places = held.select("curve", "_bucket", (F.col("_s") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("_start"))
 
-    order = Window.partitionBy("curve", "_bucket").orderBy("doc_id", "text_crc32", "size")
-    d = d.withColumn("_row", F.row_number().over(order)).join(places, ["curve", "_bucket"]).join(F.broadcast(total))
+    order = Window.partitionBy("curve", "_bucket").orderBy("doc_id", "text_crc32", "size", "_place")
+    d = d.withColumn("_row", F.row_number().over(order)).join(places, ["curve", "_bucket"])
     at, each, more = F.col("_start") + F.col("_row") - 1, F.expr(f"_total div {shards}"), F.col("_total") % shards
     head = more * (each + 1)
     d = d.withColumn("_at", at)
