@@ -254,3 +254,23 @@ def section_status_counts(report: DataFrame) -> DataFrame:
     return report.groupBy("symbol").agg(
         F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") == "unsupported").alias("unsupported")
     )
+
+
+def report_values(spark: SparkSession, report: DataFrame, levels: int = 4) -> DataFrame:
+    """The report's values, typed: (symbol, section, path, number, text), one row a value.
+
+    ``path`` names the value inside its section, list entries by their number. Payloads are
+    parsed once and opened level by level; no section is nested deeper than ``levels``.
+    """
+    report = cut_lineage(spark, report.where("payload IS NOT NULL").select("symbol", "section", "payload"))
+    d = report.select("symbol", "section", F.lit("").alias("path"), F.parse_json("payload").alias("v"))
+    found = []
+    for _ in range(levels):
+        d = spark.sql("""SELECT d.symbol, d.section, concat(d.path, CASE WHEN d.path = '' THEN '' ELSE '.' END, coalesce(e.key, CAST(e.pos AS STRING))) AS path, e.value AS v
+            FROM {d} d, LATERAL variant_explode(d.v) e""", d=d)
+        kind = F.schema_of_variant("v")
+        plain = d.where(~(kind.startswith("OBJECT") | kind.startswith("ARRAY") | (kind == "VOID")))
+        text = kind.isin("STRING", "BOOLEAN")
+        found.append(plain.select("symbol", "section", "path", F.when(~text, F.expr("try_variant_get(v, '$', 'double')")).alias("number"), F.when(text, F.expr("try_variant_get(v, '$', 'string')")).alias("text")))
+        d = d.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
+    return reduce(lambda a, b: a.unionByName(b), found)

@@ -39,7 +39,11 @@ def daily(last: DataFrame) -> DataFrame:
     return last.filter(F.col("timeframe") == "daily").drop("timeframe")
 
 
-def _side(up: str) -> str:
+def _side(up: Column) -> Column:
+    return F.when(up, "bullish").otherwise("bearish")
+
+
+def _side_of(up: str) -> str:
     return f"CASE WHEN {up} THEN 'bullish' ELSE 'bearish' END"
 
 
@@ -52,17 +56,17 @@ def signal_rules(row: str = "") -> list[tuple[str, tuple[str, ...], str, str]]:
     price, rsi, adx, cci, wr, k, d = (f"{p}{c}" for c in ("current_price", "rsi_14", "adx_14", "cci_20", "williams_r_14", "stoch_k", "stoch_d"))
     di = f"coalesce({p}plus_di_14, 0D) > coalesce({p}minus_di_14, 0D)"
     return [
-        *[(f"price_vs_sma_{n}", (f"sma_{n}",), _side(f"{price} > {p}sma_{n}"), "''") for n in (20, 50, 200)],
-        ("golden_death_cross_state", ("sma_50", "sma_200"), _side(f"{p}sma_50 > {p}sma_200"), "'50 above 200 = golden-cross state; below = death-cross state'"),
+        *[(f"price_vs_sma_{n}", (f"sma_{n}",), _side_of(f"{price} > {p}sma_{n}"), "''") for n in (20, 50, 200)],
+        ("golden_death_cross_state", ("sma_50", "sma_200"), _side_of(f"{p}sma_50 > {p}sma_200"), "'50 above 200 = golden-cross state; below = death-cross state'"),
         ("rsi_14", ("rsi_14",), f"CASE WHEN {rsi} >= 70 THEN 'bearish' WHEN {rsi} <= 30 THEN 'bullish' WHEN {rsi} > 60 THEN 'bullish' WHEN {rsi} < 40 THEN 'bearish' ELSE 'neutral' END",
          f"CASE WHEN {rsi} >= 70 THEN 'overbought' WHEN {rsi} <= 30 THEN 'oversold' WHEN {rsi} > 60 OR {rsi} < 40 THEN '' ELSE '40-60 neutral band' END"),
-        ("macd_vs_signal", ("macd", "macd_signal"), _side(f"{p}macd > {p}macd_signal"), "''"),
-        ("stochastic", ("stoch_k", "stoch_d"), _side(f"{k} > {d}"), f"CASE WHEN {k} >= 80 THEN 'overbought' WHEN {k} <= 20 THEN 'oversold' ELSE '' END"),
-        ("adx_14", ("adx_14",), f"CASE WHEN {adx} <= 20 THEN 'neutral' ELSE {_side(di)} END",
+        ("macd_vs_signal", ("macd", "macd_signal"), _side_of(f"{p}macd > {p}macd_signal"), "''"),
+        ("stochastic", ("stoch_k", "stoch_d"), _side_of(f"{k} > {d}"), f"CASE WHEN {k} >= 80 THEN 'overbought' WHEN {k} <= 20 THEN 'oversold' ELSE '' END"),
+        ("adx_14", ("adx_14",), f"CASE WHEN {adx} <= 20 THEN 'neutral' ELSE {_side_of(di)} END",
          f"CASE WHEN {adx} <= 20 THEN 'weak trend — direction unreliable' ELSE 'strength from ADX; direction from +DI vs -DI' END"),
         ("cci_20", ("cci_20",), f"CASE WHEN {cci} > 50 THEN 'bullish' WHEN {cci} < -50 THEN 'bearish' ELSE 'neutral' END", f"CASE WHEN {cci} > 50 OR {cci} < -50 THEN '' ELSE '±50 neutral band' END"),
-        ("williams_r_14", ("williams_r_14",), _side(f"{wr} > -50"), f"CASE WHEN {wr} > -20 THEN 'overbought' WHEN {wr} < -80 THEN 'oversold' ELSE '' END"),
-        ("price_vs_vwap", ("vwap_anchored",), _side(f"{price} > {p}vwap_anchored"), "'anchored to window start (see vwap_anchored_meta), not a session VWAP'"),
+        ("williams_r_14", ("williams_r_14",), _side_of(f"{wr} > -50"), f"CASE WHEN {wr} > -20 THEN 'overbought' WHEN {wr} < -80 THEN 'oversold' ELSE '' END"),
+        ("price_vs_vwap", ("vwap_anchored",), _side_of(f"{price} > {p}vwap_anchored"), "'anchored to window start (see vwap_anchored_meta), not a session VWAP'"),
     ]
 
 

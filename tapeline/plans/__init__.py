@@ -1,3 +1,3 @@
 """Registered queries; importing this package registers all of them."""
 
-from tapeline.plans import calls, checkups, filings, fundamentals, loads, market, price, shapes, streams, words  # noqa: F401
+from tapeline.plans import calls, checkups, filings, fundamentals, loads, market, price, report, shapes, streams, words  # noqa: F401

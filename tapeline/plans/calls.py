@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tapeline.functions.sql import register_table_functions
 from tapeline.operators import bars as B
 from tapeline.operators import indicators as I
-from tapeline.operators import report as RP
 from tapeline.operators import signals as SG
 from tapeline.operators import structure as ST
 from tapeline.plans.checks import view
@@ -214,16 +213,3 @@ def indicator_dashboard(v):
 def setups(v):
     last = _last(v)
     return SG.setups(last, ST.market_structure(frames(v)), _levels(v, last), SG.mtf_matrix(last))
-
-
-@query("technical_report")
-def technical_report(v):
-    return RP.technical_report(v.spark, v.bars, v.market_index, v.announcements, v.earnings, AS_OF)
-
-
-@query("section_status_counts", f"SELECT symbol, CAST({len(RP.SECTIONS)} AS BIGINT) AS ok, CAST(0 AS BIGINT) AS unsupported FROM v_bars GROUP BY 1 HAVING count(*) >= 260")
-def section_status_counts(v):
-    """Every symbol of the test tables has a year of bars and more, so no section may be missing."""
-    return RP.section_status_counts(technical_report(v))
-
-
