@@ -5,8 +5,9 @@ the domains, in whole units of 1/UNITS. Nonnegative document rates are then fitt
 gradient least squares, so that the expected tokens of each domain (tokens times rate times
 posterior, over all documents) meet their targets. Steps are scaled by a document's tokens, so
 rates depend on the posterior only: documents are summed by posterior before the iterations,
-each iteration is one small aggregation, and the rate of every document follows from the few
-numbers that the iterations sent back.
+each iteration is one aggregation of that smaller table, and the rate of every document follows
+from the few numbers that the iterations sent back. All sums are exact (decimals), so the rates
+don't depend on the order of tasks.
 
 Bounds: the classifier learns from ``PER_DOMAIN`` labelled documents of each domain (those with
 the smallest hash of the id) over ``HASHED`` features; posteriors have C(UNITS + K - 1, K - 1)
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 from tapeline.llm.common import bounded, broadcast_model, lower_words, neutral, pieces
 from tapeline.session import cut_lineage
 
-UNITS = 100
+#: Units of a posterior, and decimals of a rate; a share of tokens far below the smallest target is still counted.
+UNITS, DECIMALS = 10_000, 9
 HASHED, PER_DOMAIN = 1 << 15, 2_000
 #: A feature is used if some domain's share of documents with it is so many standard errors off the others'.
 STANDARD_ERRORS, LEAST_DOCS = 4.0, 4
@@ -75,11 +77,14 @@ class Classifier:
     def logits(self, features: np.ndarray) -> np.ndarray:
         return self.weights[features].sum(axis=0)
 
-    def units(self, logits: np.ndarray) -> np.ndarray:
-        """Posteriors in whole units; the remainders go to the largest fractions, ties to the first domain."""
+    def posterior(self, logits: np.ndarray) -> np.ndarray:
         z = (logits + self.constant) / self.temperature
         p = np.exp(z - z.max())
-        p = UNITS * p / p.sum()
+        return p / p.sum()
+
+    def units(self, logits: np.ndarray) -> np.ndarray:
+        """Posteriors in whole units; the remainders go to the largest fractions, ties to the first domain."""
+        p = UNITS * self.posterior(logits)
         whole = np.floor(p + 1e-9).astype(np.int64)
         whole[np.argsort(-(p - whole).round(9), kind="stable")[: UNITS - whole.sum()]] += 1
         return whole
@@ -220,9 +225,12 @@ def fit_rates(members: DataFrame, targets: np.ndarray) -> Rates:
 
     def state(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
         """Expected tokens by domain, and the second moments of the posteriors with a rate over 0."""
-        p, free = F.col("p"), F.when(F.col("x") > 0, F.col("t")).otherwise(0)
-        row = sums.withColumn("x", rate_of("p", steps)).agg(
-            *[F.sum(F.col("t") * p[i] * F.col("x")).alias(f"d{i}") for i in range(k)], *[F.sum(free * p[i] * p[j]).alias(f"m{i}_{j}") for i, j in pairs]).first()
+        p, t = F.col("p"), F.col("t").cast("decimal(16,0)")
+        free = F.when(F.col("x") > 0, t).otherwise(0)
+        rate = rate_of("p", steps).cast(f"decimal(20,{DECIMALS})")
+        row = sums.withColumn("x", rate).agg(
+            *[F.sum(t * p[i].cast("decimal(5,0)") * F.col("x")).alias(f"d{i}") for i in range(k)],
+            *[F.sum(free * (p[i] * p[j]).cast("decimal(9,0)")).alias(f"m{i}_{j}") for i, j in pairs]).first()
         values = [float(v or 0) for v in row]
         moments = np.zeros((k, k))
         for (i, j), v in zip(pairs, values[k:]):
@@ -257,7 +265,7 @@ def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float] | None =
     members = cut_lineage(docs.sparkSession, posteriors(docs, fit_classifier(docs, domains, names), list(keep)))
     total = members.agg(F.sum("n_tokens")).first()[0] or 0
     rates = fit_rates(members, np.array([targets[n] for n in names]) / sum(targets.values()) * total)
-    return members.withColumn("rate", F.round(rate_of("p", rates.steps), 6)), rates
+    return members.withColumn("rate", F.round(rate_of("p", rates.steps), DECIMALS)), rates
 
 
 def copies(rate: Column, *keys: str) -> Column:
