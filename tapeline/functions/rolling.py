@@ -43,6 +43,18 @@ def mean_n(c, n, keys=KEYS, order="date") -> Column:
     return full(F.avg(col(c)), c, n, keys, order)
 
 
+def exact_mean_n(c, n, keys=KEYS, order="date") -> Column:
+    """``mean_n`` of values of at most six decimals: their sum is one of integers, so no addition shifts a tie.
+
+    A window with another value has the plain mean.
+    """
+    win, units = back(n, keys, order), F.round(col(c) * 1e6)
+    whole_units = (F.abs(units) < 9e15) & (units / 1e6 == col(c))
+    total = F.sum(F.when(whole_units, units.cast("bigint"))).over(win).cast("double") / (n * 1e6)
+    mean = F.when(F.min(whole_units).over(win), total).otherwise(F.avg(col(c)).over(win))
+    return F.when(F.count(col(c)).over(win) == n, mean)
+
+
 def max_n(c, n, keys=KEYS, order="date") -> Column:
     return full(F.max(col(c)), c, n, keys, order)
 

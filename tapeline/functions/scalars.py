@@ -23,6 +23,23 @@ def finite(c) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
 
 
+def round_scaled(c, digits: int) -> Column:
+    """Round the scaled value, halves away from zero: what a query engine does to a double.
+
+    ``F.round`` rounds the shortest decimal text, so it takes another side where the product is a half and the text isn't.
+    """
+    return F.round(col(c) * float(10**digits)) / float(10**digits)
+
+
+def number_text(c) -> Column:
+    """Text of a double without an exponent from 0.0001 up to 10**16 (a cast changes to one below 0.001 and from 10**7)."""
+    c = col(c)
+    size = F.abs(c)
+    plain = F.regexp_replace(F.when(size < 1e16, c).try_cast("decimal(38,20)").cast("string"), r"(\.\d+?)0+$", "$1")
+    odd = ((size >= 1e7) & (size < 1e16)) | ((size >= 1e-4) & (size < 1e-3))
+    return F.when(odd, plain).otherwise(c.cast("string"))
+
+
 def to_float(c) -> Column:
     """Text to double: thousands commas dropped; garbage, NaN and infinities give null."""
     s = F.replace(col(c).cast("string"), F.lit(","), F.lit(""))

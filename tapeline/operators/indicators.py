@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tapeline.functions import rolling as R
 from tapeline.functions.ewm import ewm, span_alpha, wilder_alpha
-from tapeline.functions.scalars import finite, safe_div, typical_price
+from tapeline.functions.scalars import finite, round_scaled, safe_div, typical_price
 
 KEYS = ("symbol",)
 
@@ -24,11 +24,11 @@ def _lag(c, n=1, keys=KEYS) -> Column:
 
 
 def sma(df: DataFrame, lengths=(20, 50, 200), keys=KEYS) -> DataFrame:
-    return df.withColumns({f"sma_{n}": R.mean_n("close", n, keys) for n in lengths})
+    return df.withColumns({f"sma_{n}": R.exact_mean_n("close", n, keys) for n in lengths})
 
 
 def bollinger(df: DataFrame, n=20, width=2.0, keys=KEYS) -> DataFrame:
-    mid = R.mean_n("close", n, keys)
+    mid = R.exact_mean_n("close", n, keys)
     sd = R.full(F.stddev_pop("close"), "close", n, keys)
     return df.withColumns({"bb_upper": mid + width * sd, "bb_middle": mid, "bb_lower": mid - width * sd})
 
@@ -253,7 +253,7 @@ def indicator_frame(frames: DataFrame, keys=("symbol", "timeframe")) -> DataFram
 def technicals_last(frames: DataFrame, keys=("symbol", "timeframe")) -> DataFrame:
     """One row per frame: bars, price and each indicator's last value when the frame is long enough."""
     last = indicator_frame(frames, keys).filter(F.col("rd") == 1)
-    digits = lambda c: F.round(finite(F.col(c).cast("double")), 4)
+    digits = lambda c: round_scaled(finite(F.col(c).cast("double")), 4)
     return last.select(
         *keys, F.col("n").alias("bars"), F.col("close").alias("current_price"),
         *[F.when(F.col("n") >= need, digits(c)).alias(c) for c, need in MIN_BARS.items()],
@@ -279,7 +279,7 @@ def fib_swing(df: DataFrame, lookback=120, keys=KEYS) -> DataFrame:
 def fib_level(ratio: float) -> Column:
     diff = F.col("swing_high") - F.col("swing_low")
     up = F.col("swing_high") - diff * ratio
-    return F.round(F.when(F.col("direction") == "up", up).otherwise(F.col("swing_low") + diff * ratio), 4)
+    return round_scaled(F.when(F.col("direction") == "up", up).otherwise(F.col("swing_low") + diff * ratio), 4)
 
 
 def fib_levels(df: DataFrame, lookback=120, keys=KEYS) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeline.functions import rolling as R
-from tapeline.functions.scalars import finite, safe_div
+from tapeline.functions.scalars import finite, number_text, round_scaled, safe_div
 from tapeline.operators import bars as B
 from tapeline.operators import indicators as I
 from tapeline.operators import structure as ST
@@ -20,7 +20,7 @@ def report_last(frames: DataFrame, keys=K) -> DataFrame:
     """One wide row per frame: indicators, slopes, cross state, changes, 52-week extremes, anchored VWAP."""
     d = I.change_windows(I.cross_state(I.sma_slope(I.indicator_frame(frames, keys), keys=keys)), keys)
     d = d.withColumns({"high_52w": F.max("high").over(R.back(252, keys)), "low_52w": F.min("low").over(R.back(252, keys))})
-    r4 = lambda c: F.round(finite(F.col(c).cast("double")), 4)
+    r4 = lambda c: round_scaled(finite(F.col(c).cast("double")), 4)
     n = F.col("n")
     ind = {c: F.when(n >= need, r4(c)) for c, need in I.MIN_BARS.items() if not c.startswith("ichimoku")}
     cloud = {c: F.when(n >= ICHIMOKU_BARS, r4(c)) for c in
@@ -288,7 +288,7 @@ DASHBOARD = (
 
 def dashboard(last: DataFrame) -> DataFrame:
     """(symbol, timeframe, indicator, value) without nulls."""
-    wide = last.select(*K, *[F.col(c).cast("string").alias(c) for c in DASHBOARD])
+    wide = last.select(*K, *[(F.col(c) if c == "golden_death_cross_state" else number_text(c)).alias(c) for c in DASHBOARD])
     return wide.unpivot(list(K), list(DASHBOARD), "indicator", "value").filter(F.col("value").isNotNull())
 
 
