@@ -158,7 +158,7 @@ def levels(day: DataFrame, sr_daily: DataFrame, fib: DataFrame) -> DataFrame:
     )
     exit_ = F.concat(F.transform(F.slice("res", 1, 3), lambda x: zone("resistance", x)), F.array_compact(F.array(*fibs(EXIT_FIBS, lambda x: x > price))))
     order = lambda sign: (lambda a, b: F.when(a["level"] < b["level"], -sign).when(a["level"] > b["level"], sign).otherwise(0))
-    swing, atr_stop = at("sup", 1), F.round(price - 2 * F.col("atr_14"), 4)
+    swing, atr_stop = at("sup", 1), round_scaled(price - 2 * F.col("atr_14"), 4)
     use_atr = F.coalesce(atr_stop.isNotNull() & (swing.isNull() | (atr_stop > swing * 0.98)), F.lit(False))
     d = d.withColumns({
         "entry_zones": F.array_sort(entry, order(-1)), "exit_zones": F.array_sort(exit_, order(1)),
@@ -166,7 +166,7 @@ def levels(day: DataFrame, sr_daily: DataFrame, fib: DataFrame) -> DataFrame:
         "stop_basis": F.when(use_atr, "2x ATR below price (tighter of structure/ATR)").when(swing.isNotNull(), "nearest confirmed support"),
         "tp1": at("res", 1), "tp2": at("res", 2), "tp3": at("res", 3), "invalidation_level": at("sup", -1),
     })
-    rr = F.when(price > F.col("stop_level"), F.round(safe_div(F.col("tp1") - price, price - F.col("stop_level")), 2))
+    rr = F.when(price > F.col("stop_level"), round_scaled(safe_div(F.col("tp1") - price, price - F.col("stop_level")), 2))
     return d.filter(price.isNotNull()).select(
         "symbol", price.alias("reference_price"), "entry_zones", "exit_zones", "stop_level", "stop_basis",
         "tp1", "tp2", "tp3", rr.alias("risk_reward_to_tp1"), "invalidation_level",
@@ -174,7 +174,7 @@ def levels(day: DataFrame, sr_daily: DataFrame, fib: DataFrame) -> DataFrame:
 
 
 def zone_text(c: str) -> Column:
-    return F.array_join(F.transform(c, lambda z: F.concat(z["kind"], F.lit("@"), z["level"].cast("string"))), "; ")
+    return F.array_join(F.transform(c, lambda z: F.concat(z["kind"], F.lit("@"), number_text(z["level"]))), "; ")
 
 
 def scenarios(lv: DataFrame, conf: DataFrame, sig: DataFrame) -> DataFrame:

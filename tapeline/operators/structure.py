@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeline.functions import rolling as R
-from tapeline.functions.scalars import safe_div
+from tapeline.functions.scalars import round_scaled, safe_div
 from tapeline.operators.indicators import adx_di, rsi
 
 K = ("symbol", "timeframe")
@@ -54,11 +54,11 @@ def cluster_fold(prices: Column, tolerance: float) -> Column:
     def step(levels, v):
         near = F.transform(levels, lambda lv: F.abs(v - lv["price"]) / lv["price"] <= tolerance)
         pos = F.array_position(near, F.lit(True))
-        fresh = F.struct(F.round(v, 4).alias("price"), F.lit(1).cast("bigint").alias("touches"))
+        fresh = F.struct(round_scaled(v, 4).alias("price"), F.lit(1).cast("bigint").alias("touches"))
 
         def merge(lv, i):
             touches = lv["touches"] + 1
-            mean = F.round((lv["price"] * lv["touches"] + v) / touches, 4)
+            mean = round_scaled((lv["price"] * lv["touches"] + v) / touches, 4)
             return F.when(i == pos - 1, F.struct(mean.alias("price"), touches.alias("touches"))).otherwise(lv)
 
         return F.when(pos == 0, F.concat(levels, F.array(fresh))).otherwise(F.transform(levels, merge))
