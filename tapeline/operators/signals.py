@@ -187,9 +187,9 @@ def scenarios(lv: DataFrame, conf: DataFrame, sig: DataFrame) -> DataFrame:
     pick = lambda arr, kind: F.transform(F.filter(arr, lambda z: z["kind"] == kind), lambda z: z["level"])
     d = d.withColumns({"_sup": pick("entry_zones", "support"), "_res": pick("exit_zones", "resistance")})
     sup1, res1 = F.try_element_at("_sup", F.lit(1)), F.try_element_at("_res", F.lit(1))
-    s = lambda x: x.cast("string")
+    s = number_text
     txt = lambda *xs: F.array_join(F.array_compact(F.array(*[s(x) for x in xs])), ", ")
-    hint = lambda b: F.concat(F.lit(f"{b} signals "), s(F.col(b)), F.lit(" of "), s(F.col("total_signals")))
+    hint = lambda b: F.concat(F.lit(f"{b} signals "), F.col(b).cast("string"), F.lit(" of "), F.col("total_signals").cast("string"))
     rows = F.array(
         F.struct(F.lit("bullish").alias("scenario"),
                  F.coalesce(F.concat(F.lit("close above resistance "), s(res1)), F.lit("sustained closes above current range high")).alias("trigger"),
