@@ -293,6 +293,19 @@ def chart_window(numbered: DataFrame, keys=K, bars: int | None = CHART_BARS) ->
     return R.number_rows(tail, keys).filter("n >= 30")
 
 
+def ordered_slope(points: Column) -> Column:
+    """Slope of y over x, the points always taken by x: an even row of pivots leaves a rounding error whose sign is the order's."""
+    start = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "mx", "my", "c", "v")])
+
+    def step(acc, p):
+        n = acc["n"] + 1
+        dx, dy = p["x"] - acc["mx"], p["y"] - acc["my"]
+        mx, my = acc["mx"] + dx / n, acc["my"] + dy / n
+        return F.struct(n.alias("n"), mx.alias("mx"), my.alias("my"), (acc["c"] + dx * (p["y"] - my)).alias("c"), (acc["v"] + (p["x"] - mx) * dx).alias("v"))
+
+    return F.aggregate(F.array_sort(points), start, step, lambda s: F.try_divide(F.try_divide(s["c"], s["n"]), F.try_divide(s["v"], s["n"])))
+
+
 def chart_row(numbered: DataFrame, keys=K) -> DataFrame:
     """Everything the chart rules need, one row per frame from one pass over its last 60 bars.
 
@@ -317,8 +330,8 @@ def chart_row(numbered: DataFrame, keys=K) -> DataFrame:
         F.regr_slope("close", x).alias("slope"), F.regr_r2("close", x).alias("_r2"), F.var_pop("close").alias("_var"),
         F.count_if(past & (F.col("high") >= F.col("range_high") * 0.99)).alias("near_high"),
         F.count_if(past & (F.col("low") <= F.col("range_low") * 1.01)).alias("near_low"),
-        F.regr_slope(F.when(F.col("pivot_high"), F.col("high")), F.col("_hx")).alias("hs"),
-        F.regr_slope(F.when(F.col("pivot_low"), F.col("low")), F.col("_lx")).alias("ls"),
+        ordered_slope(F.collect_list(F.when(F.col("pivot_high"), F.struct(F.col("_hx").alias("x"), F.col("high").alias("y"))))).alias("hs"),
+        ordered_slope(F.collect_list(F.when(F.col("pivot_low"), F.struct(F.col("_lx").alias("x"), F.col("low").alias("y"))))).alias("ls"),
     ]
     for side, price in (("h", "high"), ("l", "low")):
         aggs += [F.max(F.when(F.col(f"_{side}r") == i, F.col(price))).alias(f"{side}{i}") for i in (1, 2, 3)]
