@@ -60,16 +60,21 @@ def balance_fields(balance: DataFrame) -> list[str]:
     return measures(balance)
 
 
-def filter_period_range(df: DataFrame, gte: str | None = None, lte: str | None = None) -> DataFrame:
-    """Inclusive bounds on the period end; a bound that is no date is ignored."""
+def in_period_range(gte: str | None = None, lte: str | None = None) -> Column:
     def bound(text):
         return F.try_to_timestamp(F.lit(text), F.lit("yyyy-MM-dd")).cast("date")
 
+    inside = F.lit(True)
     if gte is not None:
-        df = df.filter(F.coalesce(F.col("period_end_date") >= bound(gte), F.lit(True)))
+        inside &= F.coalesce(F.col("period_end_date") >= bound(gte), F.lit(True))
     if lte is not None:
-        df = df.filter(F.coalesce(F.col("period_end_date") <= bound(lte), F.lit(True)))
-    return df
+        inside &= F.coalesce(F.col("period_end_date") <= bound(lte), F.lit(True))
+    return inside
+
+
+def filter_period_range(df: DataFrame, gte: str | None = None, lte: str | None = None) -> DataFrame:
+    """Inclusive bounds on the period end; a bound that is no date is ignored."""
+    return df.filter(in_period_range(gte, lte))
 
 
 def same_month(months_back: int, ref: Column) -> Column:
