@@ -131,23 +131,26 @@ def shareholdings_latest(v):
 # -- XML instances ------------------------------------------------------------------------------
 
 def filing_documents(v):
-    """One XML instance per filing, written from the facts; filings differ in their namespace prefixes."""
+    """One XML instance per filing, written from the facts; filings differ in their namespace prefixes.
+
+    A filing grows from a narrow row to some kilobytes here and is parsed by the same task, so the narrow
+    rows are dealt to several tasks a core; their size alone would leave hardly a task a core.
+    """
     c = F.col
     lit = lambda *a: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in a])
     odd = F.pmod(F.xxhash64("symbol"), F.lit(2)) == 1
-    own, base = F.when(odd, "in-bse-fin:").otherwise("in:"), F.when(odd, "").otherwise("xbrli:")
-    facts = v.facts.select(
-        "filing_id", "symbol", "period_end", "ord", lit("<", own, c("tag"), ' contextRef="', c("context_ref"), '">', c("value"), "</", own, c("tag"), ">").alias("el"), "context_ref",
-        F.when(c("instant_date").isNotNull(), lit("<", base, "instant>", c("instant_date").cast("string"), "</", base, "instant>")).otherwise(
-            lit("<", base, "startDate>", c("start_date").cast("string"), "</", base, "startDate><", base, "endDate>", c("end_date").cast("string"), "</", base, "endDate>")).alias("p"))
-    ctx = lit("<", base, 'context id="', c("context_ref"), '"><', base, "entity><", base, 'identifier scheme="s">', c("symbol"), "</", base, "identifier></", base, "entity><", base, "period>", c("p"), "</", base, "period></", base, "context>")
-    g = facts.withColumn("ctx", ctx).groupBy("filing_id", "symbol", "period_end").agg(
-        F.array_join(F.array_sort(F.collect_set("ctx")), "").alias("ctx"), F.array_sort(F.collect_list(F.struct("ord", "el"))).alias("els"))
-    body = F.array_join(F.transform("els", lambda e: e["el"]), "\n")
+    quarters = v.filed_quarters.repartition(8 * v.spark.sparkContext.defaultParallelism, "symbol", "period_end_date")
+    d = v.fact_lists(quarters).withColumns({"own": F.when(odd, "in-bse-fin:").otherwise("in:"), "base": F.when(odd, "").otherwise("xbrli:")})
+    own, base = c("own"), c("base")
+    tag = lambda f: lit("<", own, f["tag"], ' contextRef="', f["context_ref"], '">', f["value"], "</", own, f["tag"], ">")
+    span = lambda f: F.when(f["instant_date"].isNotNull(), lit("<", base, "instant>", f["instant_date"].cast("string"), "</", base, "instant>")).otherwise(
+        lit("<", base, "startDate>", f["start_date"].cast("string"), "</", base, "startDate><", base, "endDate>", f["end_date"].cast("string"), "</", base, "endDate>"))
+    context = lambda f: lit("<", base, 'context id="', f["context_ref"], '"><', base, "entity><", base, 'identifier scheme="s">', c("symbol"), "</", base, "identifier></", base, "entity><", base, "period>", span(f), "</", base, "period></", base, "context>")
+    contexts, body = F.array_join(F.array_sort(F.array_distinct(F.transform("f", context))), ""), F.array_join(F.transform("f", tag), "\n")
     spaces = ' xmlns:xbrli="http://www.xbrl.org/2003/instance" xmlns="http://www.xbrl.org/2003/instance" xmlns:in="urn:in" xmlns:in-bse-fin="urn:fin">'
-    xml = lit("<", base, "xbrl", spaces, c("ctx"), "<", base, 'unit id="INR"><', base, "measure>INR</", base, "measure></", base, "unit><!-- facts -->\n<", own, "endDate>",
+    xml = lit("<", base, "xbrl", spaces, contexts, "<", base, 'unit id="INR"><', base, "measure>INR</", base, "measure></", base, "unit><!-- facts -->\n<", own, "endDate>",
               c("period_end").cast("string"), "</", own, "endDate>", body, "</", base, "xbrl>")
-    return g.select("filing_id", "symbol", xml.alias("xml"))
+    return d.select("filing_id", "symbol", xml.alias("xml"))
 
 
 @query("xbrl_facts", """SELECT filing_id, symbol, period_end, 'INR' AS currency, CAST(row_number() OVER (PARTITION BY filing_id ORDER BY ord) AS INT) AS ord, tag, value, context_ref, symbol AS entity, start_date, end_date, instant_date FROM v_facts

@@ -218,11 +218,14 @@ class Views:
     # -- filing facts -------------------------------------------------------
 
     @cached_property
-    def facts(self) -> DataFrame:
-        """Long fact list per filing, with repeated contexts, an old instant and unmapped tags."""
-        inc = self.income.filter(F.col("filing_type") == "quarterly").select(
+    def filed_quarters(self) -> DataFrame:
+        """One narrow row per filing: what its facts are made of."""
+        return self.income.filter(F.col("filing_type") == "quarterly").select(
             "symbol", "consolidated", "period_start_date", "period_end_date", S.REVENUE, S.PAT, S.FINANCE
         )
+
+    def fact_lists(self, quarters: DataFrame) -> DataFrame:
+        """One row per filing with its facts in ``f``: repeated contexts, an old instant and unmapped tags."""
         q = F.col("period_end_date")
         year_start = F.make_date(F.year(q), F.lit(1), F.lit(1))
 
@@ -254,16 +257,18 @@ class Views:
             fact(12, "DescriptionOfSegmentPolicy", F.lit("n/a"), "OneD", s, e),
             fact(13, "DebtEquityRatio", F.lit("0.5"), "NoDates"),
         )
-        return (
-            inc.withColumn("f", F.explode(rows))
-            .select(
-                F.concat_ws("|", "symbol", F.col("period_end_date").cast("string"), F.col("consolidated").cast("string")).alias("filing_id"),
-                "symbol", F.col("period_end_date").alias("period_end"),
-                F.when(F.col("consolidated"), "integrated-filing").otherwise("annual-results").alias("category"),
-                "f.*",
-            )
+        return quarters.select(
+            F.concat_ws("|", "symbol", F.col("period_end_date").cast("string"), F.col("consolidated").cast("string")).alias("filing_id"),
+            "symbol", F.col("period_end_date").alias("period_end"),
+            F.when(F.col("consolidated"), "integrated-filing").otherwise("annual-results").alias("category"),
+            rows.alias("f"),
         )
 
+    @cached_property
+    def facts(self) -> DataFrame:
+        """Long fact list of all filings."""
+        return self.fact_lists(self.filed_quarters).withColumn("f", F.explode("f")).select("filing_id", "symbol", "period_end", "category", "f.*")
+
     @cached_property
     def concept_periods(self) -> DataFrame:
         """Concept x period values: year-to-date per 10-Q quarter, full year per 10-K."""

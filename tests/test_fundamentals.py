@@ -239,6 +239,26 @@ def test_large_filings_are_read_in_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_strings_of_several_slices_without_a_shuffle(spark, tmp_path):
+    n = 3000
+    facts = "".join(f'<f:T{i % 7} contextRef="c{i % 40}">{i}</f:T{i % 7}>' for i in range(n))
+    contexts = "".join(f"<context id='c{i % 30}'><entity><identifier>E{i}</identifier></entity><period><startDate>2024-01-01</startDate><endDate>2024-0{1 + i % 9}-28</endDate></period></context>" for i in range(45))
+    body = f"<xbrl xmlns:f='urn:f'>{facts}<f:endDate>2024-03-31</f:endDate>{contexts}<unit><measure>INR</measure></unit><unit><measure>USD</measure></unit>"
+    texts = {"S_1": body + "</xbrl>", "S_2": body.replace("<f:endDate>2024-03-31</f:endDate>", "") + facts + "</xbrl>", "S_3": body + facts + "</wrong>", "S_4": AWKWARD.rstrip(), "S_5": AWKWARD.rstrip() + " " * IN.SLICE}
+    assert min(len(texts[k]) for k in ("S_1", "S_2", "S_3")) > IN.SLICE > len(texts["S_4"])
+    for k, v in texts.items():
+        (tmp_path / f"{k}.xml").write_text(v)
+    parsed = IN.parse_filings(spark.createDataFrame([("S", k, v) for k, v in texts.items()], "symbol string, filing_id string, xml string"))
+    plan = parsed._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    got, want = (sorted(map(repr, d.select(sorted(d.columns)).collect())) for d in (parsed, IN.parse_filing_files(spark, str(tmp_path))))
+    assert got == want and len(got) == 5 * n + 2 + 2 * 6
+    rows = {r.ord: r for r in parsed.where("filing_id = 'S_1'").collect()}
+    assert [(rows[i].entity, rows[i].end_date, rows[i].period_end, rows[i].currency) for i in (0, 20, 35, n)] == [
+        ("E30", dt.date(2024, 4, 28), dt.date(2024, 3, 31), "INR"), ("E20", dt.date(2024, 3, 28), dt.date(2024, 3, 31), "INR"),
+        ("S", None, dt.date(2024, 3, 31), "INR"), ("S", None, dt.date(2024, 3, 31), "INR")]
+
+
 def test_shareholding_instance(spark):
     tag, ids = "ShareholdingAsAPercentageOfTotalNumberOfShares", ("ShareholdingOfPromoterAndPromoterGroup", "PublicShareholding")
     facts = "".join(f'<s:{tag} contextRef="{i}_ContextI">{x}</s:{tag}>' for i, x in zip(ids, ("0.7177", "0.2823")))
